@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracehound.operators import c2
+from tracehound.operators import c2, dns, hunts, lateral
 from tracehound.session import pin_utc
 from tracehound.sources import fixtures as fx
 
@@ -51,3 +51,74 @@ def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def q_c2_beaconing(spark, sf_dir):
     """C2 beaconing findings."""
     return c2.c2_beaconing(_load(spark, sf_dir, "conn_logs"), **fx.C2_PARAMS)
+
+
+@query("dns_tunneling")
+def q_dns_tunneling(spark, sf_dir):
+    """DNS tunneling findings."""
+    return dns.dns_tunneling(_load(spark, sf_dir, "dns_logs"), **fx.DNS_PARAMS)
+
+
+@query("lateral_movement")
+def q_lateral_movement(spark, sf_dir):
+    """Lateral movement findings."""
+    return lateral.lateral_movement(_load(spark, sf_dir, "win_security"), **fx.LATERAL_PARAMS)
+
+
+def _log_inputs(spark, sf_dir):
+    return {n: _load(spark, sf_dir, n) for n in ("conn_logs", "dns_logs", "win_security")}
+
+
+HUNT_PARAMS = {"c2_beaconing": fx.C2_PARAMS, "dns_tunneling": fx.DNS_PARAMS, "lateral_movement": fx.LATERAL_PARAMS}
+
+
+@query("all_hunts")
+def q_all_hunts(spark, sf_dir):
+    """Every registered hunt, unioned by name (the campaign)."""
+    return hunts.all_hunts(_log_inputs(spark, sf_dir), HUNT_PARAMS)
+
+
+@query("c2_beacon_profile")
+def q_c2_beacon_profile(spark, sf_dir):
+    """A1 (+E2, E4): per-pair connection profile."""
+    return c2.c2_beacon_profile(_load(spark, sf_dir, "conn_logs")).drop("first_ts", "last_ts")
+
+
+@query("c2_intervals")
+def q_c2_intervals(spark, sf_dir):
+    """Seconds since the previous connection of the same pair."""
+    return c2.c2_intervals(_load(spark, sf_dir, "conn_logs"))
+
+
+@query("dns_profile")
+def q_dns_profile(spark, sf_dir):
+    """A2: per (source, query) statistics."""
+    return dns.dns_profile(_load(spark, sf_dir, "dns_logs"))
+
+
+@query("lateral_profile")
+def q_lateral_profile(spark, sf_dir):
+    """A3: per (user, source, bucket) logon burst statistics."""
+    p = lateral.lateral_profile(_load(spark, sf_dir, "win_security"),
+                                time_window_minutes=fx.LATERAL_PARAMS["time_window_minutes"])
+    return p.withColumn("hosts_accessed", F.array_join("hosts_accessed", ","))
+
+
+@query("logon_events")
+def q_logon_events(spark, sf_dir):
+    """Logon events only, renamed."""
+    return lateral.logon_events(_load(spark, sf_dir, "win_security"))
+
+
+@query("privileged_accounts")
+def q_privileged_accounts(spark, sf_dir):
+    """G1: privileged-name flag per logon account."""
+    ev = lateral.logon_events(_load(spark, sf_dir, "win_security"))
+    per_user = ev.groupBy("username").agg(F.count(F.lit(1)).alias("logon_count"))
+    return lateral.with_privilege(per_user).select("username", "is_privileged_account", "logon_count")
+
+
+@query("records_analyzed")
+def q_records_analyzed(spark, sf_dir):
+    """A4: rows each hunt analyses."""
+    return hunts.records_analyzed(_log_inputs(spark, sf_dir))

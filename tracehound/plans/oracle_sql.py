@@ -93,9 +93,128 @@ def c2_beaconing(min_connections=10, jitter=400000) -> str:
     return with_(CONN, c2_profile_cte()) + c2_findings_sql(min_connections, jitter)
 
 
+def dns_ctes(by: str = "", extra: str = "") -> list[str]:
+    return [DNS, f"""dns_q AS (
+  SELECT {extra} id_orig_h AS source_ip, query AS query_domain, ts AS timestamp, CAST(length(query) AS BIGINT) AS query_length,
+         length(query) - length(replace(query, '.', '')) + 1 AS subdomain_count
+  FROM dns_logs WHERE query IS NOT NULL AND query <> ''),
+dns_prof AS (
+  SELECT {by}source_ip, query_domain, count(*) AS query_count, avg(query_length) AS avg_query_length, max(query_length) AS max_query_length,
+         avg(subdomain_count) AS avg_subdomain_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen
+  FROM dns_q GROUP BY {by}source_ip, query_domain)"""]
+
+
+ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
+
+
+def dns_findings_sql(min_len=50, min_count=100, min_score=50, by: str = "") -> str:
+    return f"""SELECT {by}'dns_tunneling' AS hunt_name, CASE WHEN score > 80 THEN 'critical' ELSE 'high' END AS severity, 'dns_tunneling' AS finding_type,
+  source_ip, NULL::VARCHAR AS destination_ip, query_domain AS destination_hostname, NULL::VARCHAR AS username, first_seen AS timestamp,
+  round(score, 2) AS confidence_score,
+  printf('Potential DNS tunneling: %d queries with avg length %.0f chars to %s', query_count, round(avg_query_length, 0), query_domain) AS description,
+  to_json({{'query_count': query_count, 'avg_query_length': round(avg_query_length, 6), 'max_query_length': max_query_length,
+           'avg_subdomain_count': round(avg_subdomain_count, 6), 'first_seen': strftime(first_seen, {ISO}), 'last_seen': strftime(last_seen, {ISO})}}) AS raw_data
+FROM (SELECT *, least(100.0, avg_query_length / 100.0::DOUBLE * 40 + query_count / 1000.0::DOUBLE * 40 + avg_subdomain_count / 10.0::DOUBLE * 20) AS score
+      FROM dns_prof WHERE avg_query_length > {min_len} OR query_count > {min_count} OR avg_subdomain_count > 5)
+WHERE score > {min_score}"""
+
+
+PRIV = "coalesce(contains(lower({u}), 'admin') OR contains(lower({u}), 'svc') OR contains(lower({u}), 'service'), false)"
+
+
+def lateral_ctes(minutes: int, by: str = "", extra: str = "") -> list[str]:
+    return [WIN, f"""lat_le AS (
+  SELECT {extra} timestamp, event_code, user_name AS username, host_name AS destination_host, source_ip, logon_type,
+         CAST(floor(epoch(timestamp) / {minutes * 60}) AS BIGINT) AS time_bucket
+  FROM win_security WHERE event_code IN ('4624', '4625', '4648')),
+lat_prof AS (
+  SELECT {by}username, source_ip, time_bucket, count(DISTINCT destination_host) AS unique_hosts, count(*) AS logon_attempts,
+         list_sort(list(DISTINCT destination_host) FILTER (WHERE destination_host IS NOT NULL)) AS hosts_accessed,
+         min(timestamp) AS first_logon, max(timestamp) AS last_logon
+  FROM lat_le GROUP BY {by}username, source_ip, time_bucket)"""]
+
+
+def lateral_findings_sql(minutes: int, min_hosts=5, min_score=50, by: str = "") -> str:
+    return f"""SELECT {by}'lateral_movement' AS hunt_name, CASE WHEN priv THEN 'critical' ELSE 'high' END AS severity, 'lateral_movement' AS finding_type,
+  source_ip, NULL::VARCHAR AS destination_ip, NULL::VARCHAR AS destination_hostname, username, first_logon AS timestamp,
+  round(score, 2) AS confidence_score,
+  printf('Potential lateral movement: Account ''%s'' accessed %d unique hosts in %d minutes from %s',
+         coalesce(username, 'None'), unique_hosts, {minutes}, coalesce(source_ip, 'None')) AS description,
+  to_json({{'unique_hosts_count': unique_hosts, 'logon_attempts': logon_attempts, 'hosts_accessed': hosts_accessed, 'is_privileged_account': priv,
+           'first_logon': strftime(first_logon, {ISO}), 'last_logon': strftime(last_logon, {ISO}), 'time_window_minutes': {minutes}}}) AS raw_data
+FROM (SELECT *, least(100.0, unique_hosts / 10.0::DOUBLE * 50 + logon_attempts / 20.0::DOUBLE * 30 + CASE WHEN priv THEN 20 ELSE 0 END) AS score
+      FROM (SELECT *, {PRIV.format(u='username')} AS priv FROM lat_prof WHERE unique_hosts >= {min_hosts}))
+WHERE score > {min_score}"""
+
+
+HUNT_COLS = "hunt_name, severity, finding_type, source_ip, destination_ip, destination_hostname, username, timestamp, confidence_score, description, raw_data"
+
+
+def dns_tunneling() -> str:
+    return with_(*dns_ctes()) + dns_findings_sql()
+
+
+def lateral_movement() -> str:
+    return with_(*lateral_ctes(4320)) + lateral_findings_sql(4320, 3)
+
+
+def all_hunts() -> str:
+    return (with_(CONN, c2_profile_cte(), *dns_ctes(), *lateral_ctes(4320))
+            + f"SELECT {HUNT_COLS} FROM ({c2_findings_sql(10, 400000)})\nUNION ALL SELECT {HUNT_COLS} FROM ({dns_findings_sql()})\n"
+            + f"UNION ALL SELECT {HUNT_COLS} FROM ({lateral_findings_sql(4320, 3)})")
+
+
+def c2_beacon_profile() -> str:
+    return with_(CONN, c2_profile_cte()) + """SELECT source_ip, destination_ip, destination_port, connection_count,
+  round(avg_interval, 6) AS avg_interval, round(interval_stddev, 6) AS interval_stddev, round(avg_bytes_sent, 6) AS avg_bytes_sent,
+  round(bytes_sent_stddev, 6) AS bytes_sent_stddev, first_seen, last_seen,
+  round(1 - bytes_sent_stddev / nullif(avg_bytes_sent, 0), 6) AS byte_similarity, last_seen - first_seen AS session_seconds
+FROM c2_prof"""
+
+
+def c2_intervals() -> str:
+    return with_(CONN, c2_profile_cte()) + "SELECT source_ip, destination_ip, destination_port, ts, gap AS interval_seconds FROM c2_iv"
+
+
+def dns_profile() -> str:
+    return with_(*dns_ctes()) + """SELECT source_ip, query_domain, query_count, round(avg_query_length, 6) AS avg_query_length, max_query_length,
+  round(avg_subdomain_count, 6) AS avg_subdomain_count, first_seen, last_seen FROM dns_prof"""
+
+
+def lateral_profile() -> str:
+    return with_(*lateral_ctes(4320)) + """SELECT username, source_ip, time_bucket, unique_hosts, logon_attempts,
+  array_to_string(hosts_accessed, ',') AS hosts_accessed, first_logon, last_logon FROM lat_prof"""
+
+
+def logon_events() -> str:
+    return with_(WIN) + """SELECT timestamp, event_code, user_name AS username, host_name AS destination_host, source_ip, logon_type
+FROM win_security WHERE event_code IN ('4624', '4625', '4648')"""
+
+
+def privileged_accounts() -> str:
+    return with_(WIN) + f"""SELECT user_name AS username, {PRIV.format(u='user_name')} AS is_privileged_account, count(*) AS logon_count
+FROM win_security WHERE event_code IN ('4624', '4625', '4648') GROUP BY user_name"""
+
+
+def records_analyzed() -> str:
+    return with_(CONN, DNS, WIN) + """SELECT 'c2_beaconing' AS hunt_name, count(*) AS records_analyzed FROM conn_logs
+UNION ALL SELECT 'dns_tunneling', count(*) FROM dns_logs
+UNION ALL SELECT 'lateral_movement', count(*) FROM win_security WHERE event_code IN ('4624', '4625', '4648')"""
+
+
 # --- registry -----------------------------------------------------------------
 def registered() -> dict[str, str]:
     """name -> SQL for every query that has an oracle."""
     return {
         "c2_beaconing": c2_beaconing(10, 400000),
+        "dns_tunneling": dns_tunneling(),
+        "lateral_movement": lateral_movement(),
+        "all_hunts": all_hunts(),
+        "c2_beacon_profile": c2_beacon_profile(),
+        "c2_intervals": c2_intervals(),
+        "dns_profile": dns_profile(),
+        "lateral_profile": lateral_profile(),
+        "logon_events": logon_events(),
+        "privileged_accounts": privileged_accounts(),
+        "records_analyzed": records_analyzed(),
     }
