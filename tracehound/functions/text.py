@@ -43,6 +43,14 @@ def json_number(c: Column) -> Column:
     return F.round(c.cast("double"), JSON_DIGITS)
 
 
+# JSON keeps NULL fields (as ``json.dumps`` does).
+JSON_OPTIONS = {"ignoreNullFields": "false"}
+
+
+def to_json(c: Column | str) -> Column:
+    return F.to_json(c, JSON_OPTIONS)
+
+
 def raw_json(**fields: Column) -> Column:
     """``to_json`` of a struct whose keys keep the given order."""
-    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    return to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))

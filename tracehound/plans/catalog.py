@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracehound.functions import text
 from tracehound.operators import c2, dns, hunts, lateral
+from tracehound.plans import charts, dashboards, report, views
 from tracehound.session import pin_utc
 from tracehound.sources import fixtures as fx
 
@@ -37,6 +39,7 @@ def query(name: str):
             return round_doubles(fn(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
+        run.__wrapped__ = fn
         REGISTRY[name] = run
         return run
     return deco
@@ -122,3 +125,113 @@ def q_privileged_accounts(spark, sf_dir):
 def q_records_analyzed(spark, sf_dir):
     """A4: rows each hunt analyses."""
     return hunts.records_analyzed(_log_inputs(spark, sf_dir))
+
+
+# --- result layer -------------------------------------------------------------
+def _results(spark, sf_dir):
+    return _load(spark, sf_dir, "findings"), _load(spark, sf_dir, "executions")
+
+
+RESULT_WINDOW = {"as_of": fx.RESULTS_AS_OF, "days": fx.SUMMARY_DAYS}
+
+
+def _view(name):
+    table, fn = views.VIEWS[name]
+
+    def run(spark, sf_dir):
+        f, e = _results(spark, sf_dir)
+        return fn(f if table == "findings" else e)
+    run.__doc__ = fn.__doc__
+    return run
+
+
+for _name in views.VIEWS:
+    query(_name)(_view(_name))
+
+
+@query("dashboard_hunt_summary")
+def q_dashboard_hunt_summary(spark, sf_dir):
+    return dashboards.dashboard_hunt_summary(_results(spark, sf_dir)[1], **RESULT_WINDOW)
+
+
+@query("dashboard_severity_trends")
+def q_dashboard_severity_trends(spark, sf_dir):
+    return dashboards.dashboard_severity_trends(_results(spark, sf_dir)[0], **RESULT_WINDOW)
+
+
+@query("dashboard_finding_types")
+def q_dashboard_finding_types(spark, sf_dir):
+    return dashboards.dashboard_finding_types(_results(spark, sf_dir)[0], **RESULT_WINDOW)
+
+
+@query("dashboard_top_indicators")
+def q_dashboard_top_indicators(spark, sf_dir):
+    return dashboards.dashboard_top_indicators(_results(spark, sf_dir)[0], **RESULT_WINDOW)
+
+
+@query("dashboard_ioc_feed")
+def q_dashboard_ioc_feed(spark, sf_dir):
+    return dashboards.dashboard_ioc_feed(_results(spark, sf_dir)[0])
+
+
+@query("hunt_statistics")
+def q_hunt_statistics(spark, sf_dir):
+    f, e = _results(spark, sf_dir)
+    return dashboards.hunt_statistics(e, f, as_of=fx.RESULTS_AS_OF, days=7)
+
+
+@query("report_overall")
+def q_report_overall(spark, sf_dir):
+    return report.report_overall(_results(spark, sf_dir)[1], **RESULT_WINDOW)
+
+
+@query("report_severity")
+def q_report_severity(spark, sf_dir):
+    return report.report_severity(_results(spark, sf_dir)[0], **RESULT_WINDOW)
+
+
+@query("report_top_threats")
+def q_report_top_threats(spark, sf_dir):
+    return report.report_top_threats(_results(spark, sf_dir)[0], **RESULT_WINDOW)
+
+
+@query("report_hunt_performance")
+def q_report_hunt_performance(spark, sf_dir):
+    return report.report_hunt_performance(_results(spark, sf_dir)[1], **RESULT_WINDOW)
+
+
+@query("report_summary")
+def q_report_summary(spark, sf_dir):
+    """R5, with the three breakdowns rendered as JSON text."""
+    f, e = _results(spark, sf_dir)
+    r = report.report_summary(f, e, **RESULT_WINDOW)
+    perf = F.transform("hunt_performance", lambda x: x.withField("avg_time", F.round(x["avg_time"], DIGITS)))
+    return r.withColumns({"severity_breakdown": text.to_json("severity_breakdown"), "top_threats": text.to_json("top_threats"),
+                          "hunt_performance": text.to_json(perf)})
+
+
+CHART_SOURCES = {
+    "chart_findings_by_severity": (charts.chart_findings_by_severity, "vw_severity_distribution"),
+    "chart_daily_trend": (charts.chart_daily_trend, "vw_daily_findings"),
+    "chart_hunt_performance": (charts.chart_hunt_performance, "vw_hunt_performance"),
+    "chart_top_sources": (charts.chart_top_sources, "vw_top_sources"),
+    "chart_timeline_heatmap": (charts.chart_timeline_heatmap, "vw_hunt_timeline"),
+    "chart_effectiveness": (charts.chart_effectiveness, "vw_hunt_effectiveness"),
+    "chart_investigation_status": (charts.chart_investigation_status, "vw_investigation_status"),
+    "chart_ioc_feed": (charts.chart_ioc_feed, "dashboard_ioc_feed"),
+    "chart_finding_types": (charts.chart_finding_types, "dashboard_finding_types"),
+    "chart_severity_trends": (charts.chart_severity_trends, "dashboard_severity_trends"),
+}
+
+
+def _chart(name):
+    fn, source = CHART_SOURCES[name]
+
+    def run(spark, sf_dir):
+        return fn(REGISTRY[source].__wrapped__(spark, sf_dir))
+    run.__doc__ = fn.__doc__
+    return run
+
+
+for _name in CHART_SOURCES:
+    query(_name)(_chart(_name))

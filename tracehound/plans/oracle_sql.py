@@ -202,6 +202,125 @@ UNION ALL SELECT 'dns_tunneling', count(*) FROM dns_logs
 UNION ALL SELECT 'lateral_movement', count(*) FROM win_security WHERE event_code IN ('4624', '4625', '4648')"""
 
 
+# --- result layer (as_of 2000-01-15, 30 days -> cutoff 1999-12-16) --------------
+CUT = "TIMESTAMP '1999-12-16 00:00:00'"
+NOT_FP = "status != 'false_positive'"
+RANKED_MAX = "CASE max(" + SEV_RANK.format(c="severity") + ") WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' WHEN 0 THEN 'info' END"
+AVG_CONF = "round(CAST(avg(confidence_score) AS DOUBLE), 6)"
+RUN_SECS = "datesub('second', execution_start, execution_end)"
+DLIST = "string_agg(DISTINCT finding_type, ',' ORDER BY finding_type)"
+
+VIEW_BODIES = {
+    "vw_daily_findings": f"""SELECT CAST(timestamp AS DATE) AS finding_date, hunt_name, severity, count(*) AS finding_count, {AVG_CONF} AS avg_confidence,
+  count(DISTINCT source_ip) AS unique_sources, count(DISTINCT destination_ip) AS unique_destinations
+FROM findings WHERE {NOT_FP} GROUP BY ALL""",
+    "vw_hunt_performance": f"""SELECT hunt_name, CAST(execution_start AS DATE) AS execution_date, count(*) AS execution_count,
+  CAST(sum(findings_count) AS BIGINT) AS total_findings, round(avg({RUN_SECS}), 6) AS avg_execution_time,
+  CAST(sum(records_analyzed) AS BIGINT) AS total_records_analyzed, count_if(status = 'completed') AS successful_runs,
+  count_if(status = 'failed') AS failed_runs
+FROM executions GROUP BY ALL""",
+    "vw_severity_distribution": f"""SELECT severity, finding_type, count(*) AS "count", {AVG_CONF} AS avg_confidence
+FROM findings WHERE {NOT_FP} GROUP BY ALL""",
+    "vw_top_sources": f"""SELECT source_ip, count(*) AS finding_count, count(DISTINCT finding_type) AS unique_finding_types, max(severity) AS max_severity,
+  {RANKED_MAX} AS max_severity_ranked, {AVG_CONF} AS avg_confidence, min(timestamp) AS first_seen, max(timestamp) AS last_seen
+FROM findings WHERE source_ip IS NOT NULL AND {NOT_FP} GROUP BY source_ip HAVING count(*) > 1""",
+    "vw_hunt_timeline": f"""SELECT CAST(timestamp AS DATE) AS date, CAST(hour(timestamp) AS INTEGER) AS hour, hunt_name, count(*) AS finding_count,
+  count(DISTINCT source_ip) AS unique_sources
+FROM findings WHERE {NOT_FP} GROUP BY ALL""",
+    "vw_investigation_status": """SELECT status, severity, count(*) AS "count", min(created_at) AS oldest_finding, max(created_at) AS newest_finding
+FROM findings GROUP BY ALL""",
+    "vw_hunt_effectiveness": """SELECT hunt_name, count(*) AS total_findings, count_if(status = 'confirmed') AS confirmed_threats,
+  count_if(status = 'false_positive') AS false_positives, round(CAST(count_if(status = 'confirmed') AS DOUBLE) * 100.0 / count(*), 2) AS true_positive_rate
+FROM findings GROUP BY hunt_name""",
+    "dashboard_hunt_summary": f"""SELECT hunt_name, count(DISTINCT execution_id) AS total_executions, CAST(sum(findings_count) AS BIGINT) AS total_findings,
+  round(avg({RUN_SECS}), 6) AS avg_time_seconds, max(execution_start) AS last_run
+FROM executions WHERE execution_start >= {CUT} GROUP BY hunt_name""",
+    "dashboard_severity_trends": f"""SELECT CAST(timestamp AS DATE) AS date, severity, count(*) AS "count"
+FROM findings WHERE timestamp >= {CUT} AND {NOT_FP} GROUP BY ALL""",
+    "dashboard_finding_types": f"""SELECT finding_type, count(*) AS "count", {AVG_CONF} AS avg_confidence
+FROM findings WHERE timestamp >= {CUT} AND {NOT_FP} GROUP BY finding_type""",
+    "dashboard_top_indicators": f"""SELECT source_ip, destination_ip, count(*) AS occurrence_count, {DLIST} AS finding_types, max(severity) AS max_severity
+FROM findings WHERE timestamp >= {CUT} AND {NOT_FP} GROUP BY source_ip, destination_ip HAVING count(*) > 5
+ORDER BY occurrence_count DESC, source_ip ASC NULLS FIRST, destination_ip ASC NULLS FIRST LIMIT 100""",
+    "dashboard_ioc_feed": "\nUNION ALL\n".join(
+        f"""SELECT {col} AS ioc_value, '{kind}' AS ioc_type, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS times_seen,
+  max(severity) AS threat_level, {RANKED_MAX} AS threat_level_ranked, {DLIST} AS associated_hunts, CAST(max(confidence_score) AS DOUBLE) AS max_confidence
+FROM findings WHERE {col} IS NOT NULL AND status IN ('confirmed', 'investigating') GROUP BY {col}"""
+        for col, kind in (("source_ip", "ip"), ("destination_ip", "ip"), ("destination_hostname", "domain"))),
+    "report_overall": f"""SELECT count(DISTINCT execution_id) AS total_hunts, CAST(sum(findings_count) AS BIGINT) AS total_findings,
+  count_if(status = 'completed') AS successful_hunts, CAST(sum(records_analyzed) AS BIGINT) AS total_records_analyzed
+FROM executions WHERE execution_start >= {CUT}""",
+    "report_severity": f"""SELECT severity, count(*) AS "count" FROM findings WHERE timestamp >= {CUT} AND {NOT_FP} GROUP BY severity""",
+    "report_top_threats": f"""SELECT source_ip, count(*) AS finding_count, max(severity) AS max_severity, {DLIST} AS threat_types
+FROM findings WHERE timestamp >= {CUT} AND status IN ('confirmed', 'investigating') GROUP BY source_ip
+ORDER BY finding_count DESC, source_ip ASC NULLS FIRST LIMIT 10""",
+    "report_hunt_performance": f"""SELECT hunt_name, count(*) AS execution_count, CAST(sum(findings_count) AS BIGINT) AS total_findings, round(avg({RUN_SECS}), 6) AS avg_time
+FROM executions WHERE execution_start >= {CUT} AND status = 'completed' GROUP BY hunt_name""",
+}
+
+
+def result_sql(body: str) -> str:
+    return with_(FINDINGS, EXECS) + body
+
+
+def hunt_statistics() -> str:
+    return with_(FINDINGS, EXECS, """fagg AS (
+  SELECT execution_id, count(finding_id) AS total_findings, count_if(severity = 'critical') AS critical_findings,
+         count_if(severity = 'high') AS high_findings, count_if(severity = 'medium') AS medium_findings, count_if(severity = 'low') AS low_findings,
+         count_if(status = 'false_positive') AS false_positives, count_if(status = 'confirmed') AS confirmed_threats,
+         sum(confidence_score) AS s, count(confidence_score) AS n
+  FROM findings GROUP BY execution_id)""", """runs AS (
+  SELECT e.hunt_name, CAST(e.execution_start AS DATE) AS execution_date, e.records_analyzed, e.execution_start, e.execution_end,
+         CAST(coalesce(sum(total_findings), 0) AS BIGINT) AS total_findings, CAST(coalesce(sum(critical_findings), 0) AS BIGINT) AS critical_findings,
+         CAST(coalesce(sum(high_findings), 0) AS BIGINT) AS high_findings, CAST(coalesce(sum(medium_findings), 0) AS BIGINT) AS medium_findings,
+         CAST(coalesce(sum(low_findings), 0) AS BIGINT) AS low_findings, CAST(coalesce(sum(false_positives), 0) AS BIGINT) AS false_positives,
+         CAST(coalesce(sum(confirmed_threats), 0) AS BIGINT) AS confirmed_threats,
+         round(CAST(sum(s) AS DOUBLE) / nullif(sum(n), 0), 6) AS avg_confidence_score
+  FROM executions e LEFT JOIN fagg f ON e.execution_id = f.execution_id
+  WHERE e.status = 'completed' AND CAST(e.execution_start AS DATE) >= DATE '2000-01-08'
+  GROUP BY e.hunt_name, CAST(e.execution_start AS DATE), e.records_analyzed, e.execution_start, e.execution_end)""") + f"""SELECT hunt_name, execution_date,
+  total_findings, critical_findings, high_findings, medium_findings, low_findings, false_positives, confirmed_threats, avg_confidence_score,
+  records_analyzed, {RUN_SECS} AS execution_time_seconds
+FROM (SELECT *, row_number() OVER (PARTITION BY hunt_name, execution_date ORDER BY execution_start DESC, execution_end DESC, records_analyzed DESC) AS rn FROM runs)
+WHERE rn = 1"""
+
+
+def report_summary() -> str:
+    v = VIEW_BODIES
+    return with_(FINDINGS, EXECS, f"ov AS ({v['report_overall']})", f"sev AS ({v['report_severity']})",
+                 f"thr AS ({v['report_top_threats']})", f"perf AS ({v['report_hunt_performance']})") + f"""SELECT DATE '2000-01-15' AS report_date, 30 AS period_days,
+  DATE '1999-12-16' AS period_start, DATE '2000-01-15' AS period_end,
+  coalesce(total_hunts, 0) AS total_hunts, coalesce(total_findings, 0) AS total_findings, coalesce(successful_hunts, 0) AS successful_hunts,
+  coalesce(total_records_analyzed, 0) AS records_analyzed,
+  round(successful_hunts * 100.0::DOUBLE / nullif(total_hunts, 0), 6) AS success_rate,
+  round(coalesce(total_records_analyzed, 0) / 1e6::DOUBLE, 6) AS records_millions,
+  (SELECT to_json(list({{'severity': severity, 'count': "count"}} ORDER BY {SEV_RANK.format(c="severity")} DESC)) FROM sev) AS severity_breakdown,
+  (SELECT to_json(list({{'source_ip': source_ip, 'finding_count': finding_count, 'max_severity': max_severity, 'threat_types': threat_types}}
+                  ORDER BY finding_count DESC, source_ip ASC NULLS FIRST)) FROM thr) AS top_threats,
+  (SELECT to_json(list({{'hunt_name': hunt_name, 'execution_count': execution_count, 'total_findings': total_findings, 'avg_time': avg_time}}
+                  ORDER BY hunt_name)) FROM perf) AS hunt_performance
+FROM ov"""
+
+
+CHART_BODIES = {
+    "chart_findings_by_severity": ("vw_severity_distribution", 'SELECT severity, CAST(sum("count") AS BIGINT) AS total_count FROM v GROUP BY severity'),
+    "chart_daily_trend": ("vw_daily_findings", "SELECT finding_date, hunt_name, CAST(sum(finding_count) AS BIGINT) AS total_findings FROM v GROUP BY ALL"),
+    "chart_hunt_performance": ("vw_hunt_performance", "SELECT hunt_name, execution_count, total_findings, avg_execution_time, successful_runs FROM v"),
+    "chart_top_sources": ("vw_top_sources", "SELECT source_ip, finding_count FROM v ORDER BY finding_count DESC, source_ip ASC LIMIT 10"),
+    "chart_timeline_heatmap": ("vw_hunt_timeline", 'SELECT date, hour, CAST(sum(finding_count) AS BIGINT) AS total_findings FROM v GROUP BY ALL'),
+    "chart_effectiveness": ("vw_hunt_effectiveness", "SELECT hunt_name, total_findings, confirmed_threats, false_positives, true_positive_rate FROM v"),
+    "chart_investigation_status": ("vw_investigation_status", 'SELECT status, severity, CAST(sum("count") AS BIGINT) AS total_count FROM v GROUP BY ALL'),
+    "chart_ioc_feed": ("dashboard_ioc_feed", "SELECT ioc_value, ioc_type, times_seen, threat_level, first_seen, last_seen FROM v"),
+    "chart_finding_types": ("dashboard_finding_types", 'SELECT finding_type, "count" FROM v'),
+    "chart_severity_trends": ("dashboard_severity_trends", 'SELECT date, severity, "count" FROM v'),
+}
+
+
+def chart_sql(name: str) -> str:
+    view, body = CHART_BODIES[name]
+    return with_(FINDINGS, EXECS, f"v AS ({VIEW_BODIES[view]})") + body
+
+
 # --- registry -----------------------------------------------------------------
 def registered() -> dict[str, str]:
     """name -> SQL for every query that has an oracle."""
@@ -217,4 +336,8 @@ def registered() -> dict[str, str]:
         "logon_events": logon_events(),
         "privileged_accounts": privileged_accounts(),
         "records_analyzed": records_analyzed(),
+        **{name: result_sql(body) for name, body in VIEW_BODIES.items()},
+        "hunt_statistics": hunt_statistics(),
+        "report_summary": report_summary(),
+        **{name: chart_sql(name) for name in CHART_BODIES},
     }
