@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracehound.functions import text
-from tracehound.operators import c2, dns, hunts, lateral
+from tracehound.functions.timecols import cutoff
+from tracehound.operators import c2, dedup, dns, executions, hunts, inventory, ioc, lateral
 from tracehound.plans import charts, dashboards, report, views
 from tracehound.session import pin_utc
 from tracehound.sources import fixtures as fx
+from tracehound.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -28,7 +30,9 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        cols.append(F.round(c, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            c = F.round(c.cast("double"), digits).alias(f.name)
+        cols.append(c)
     return df.select(*cols)
 
 
@@ -235,3 +239,89 @@ def _chart(name):
 
 for _name in CHART_SOURCES:
     query(_name)(_chart(_name))
+
+
+# --- de-duplication, IOCs, execution log ---------------------------------------
+def _dedup_inputs(spark, sf_dir):
+    f = _load(spark, sf_dir, "findings")
+    t = f.schema["timestamp"].dataType
+    day = lambda d: F.lit(d).cast(t)
+    history = f.filter((F.col("timestamp") >= day(cutoff(fx.DEDUP_AS_OF, fx.DEDUP_LOOKBACK_DAYS)))
+                       & (F.col("timestamp") < day(fx.DEDUP_AS_OF)))
+    incoming = f.filter((F.col("timestamp") >= day(fx.DEDUP_AS_OF)) & (F.col("timestamp") < day(fx.DEDUP_INCOMING_END)))
+    return incoming, history
+
+
+@query("dedup_source")
+def q_dedup_source(spark, sf_dir):
+    """Anti join on (finding_type, source_ip) within the look-back."""
+    incoming, history = _dedup_inputs(spark, sf_dir)
+    return dedup.dedup_source(incoming, history, as_of=fx.DEDUP_AS_OF, lookback_days=fx.DEDUP_LOOKBACK_DAYS)
+
+
+@query("dedup_fingerprint")
+def q_dedup_fingerprint(spark, sf_dir):
+    """Anti join on the fingerprint plus first-of-batch."""
+    incoming, history = _dedup_inputs(spark, sf_dir)
+    return dedup.dedup_fingerprint(incoming, history, as_of=fx.DEDUP_AS_OF, lookback_days=fx.DEDUP_LOOKBACK_DAYS)
+
+
+@query("finding_fingerprint")
+def q_finding_fingerprint(spark, sf_dir):
+    """the five-field SHA-256 fingerprint of every finding."""
+    f = dedup.with_fingerprint(_load(spark, sf_dir, "findings"))
+    return f.select("finding_id", "execution_id", "finding_type", "source_ip", "destination_ip",
+                    "destination_hostname", "username", "fingerprint")
+
+
+def _ioc_out(df):
+    return df.select("ioc_type", "ioc_value", "first_seen", "last_seen", "times_seen",
+                     text.to_json("associated_hunts").alias("associated_hunts"), "threat_level")
+
+
+@query("ioc_rollup")
+def q_ioc_rollup(spark, sf_dir):
+    """Indicator roll-up of all findings."""
+    return _ioc_out(ioc.ioc_rollup(_load(spark, sf_dir, "findings")))
+
+
+@query("ioc_upsert")
+def q_ioc_upsert(spark, sf_dir):
+    """K4: roll-up of older findings, then the newer ones merged in."""
+    f = _load(spark, sf_dir, "findings")
+    split = F.lit(fx.IOC_SPLIT).cast(f.schema["created_at"].dataType)
+    state = ioc.ioc_rollup(f.filter(F.col("created_at") < split))
+    delta = ioc.ioc_rollup(f.filter(F.col("created_at") >= split))
+    return _ioc_out(ioc.ioc_upsert(state, delta))
+
+
+@query("execution_log_latest")
+def q_execution_log_latest(spark, sf_dir):
+    """K3: current state per run from appended start/complete events."""
+    return executions.execution_log_latest(executions.execution_events(_load(spark, sf_dir, "executions")))
+
+
+@query("campaign_summary")
+def q_campaign_summary(spark, sf_dir):
+    """Per-day campaign outcome."""
+    return executions.campaign_summary(_load(spark, sf_dir, "executions"))
+
+
+# --- sources -------------------------------------------------------------------
+@query("union_sources")
+def q_union_sources(spark, sf_dir):
+    """S3: two connection logs with different column sets, by name."""
+    return tables.union_sources([_load(spark, sf_dir, "conn_logs"),
+                                 fx.conn_logs_alt(fx.table(spark, sf_dir, "lineitem"))])
+
+
+@query("partition_date_range")
+def q_partition_date_range(spark, sf_dir):
+    """Inclusive day range on year/month/day."""
+    return tables.partition_date_range(_load(spark, sf_dir, "conn_logs"), *fx.PARTITION_RANGE)
+
+
+@query("table_inventory")
+def q_table_inventory(spark, sf_dir):
+    """A5: rows, day range, days and columns per log table."""
+    return inventory.table_inventory({n: _load(spark, sf_dir, n) for n in ("conn_logs", "dns_logs", "win_security")})

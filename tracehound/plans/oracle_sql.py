@@ -11,21 +11,24 @@ from __future__ import annotations
 CONN = """conn_logs AS (
   SELECT concat('10.0.', user_id // 256, '.', user_id % 256) AS id_orig_h, concat('203.0.113.', ascii(event_type)) AS id_resp_h,
          443 AS id_resp_p, ts, CAST(floor(value*100) AS BIGINT) AS orig_bytes, CAST(floor(value*10) AS BIGINT) AS resp_bytes,
-         value AS duration, year(ts) AS year, month(ts) AS month, day(ts) AS day
+         value AS duration, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day
   FROM events)"""
 
 DNS = """dns_logs AS (
   SELECT concat('10.2.0.', page_id % 20) AS id_orig_h,
          CASE WHEN page_id % 16 = 0 THEN concat(sha256(url),'.',sha256(concat(url,'x')),'.',md5(url),'.',host)
               WHEN page_id % 4 = 0 THEN concat(md5(url),'.',sha256(url),'.',host) ELSE host END AS query,
-         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(page_id AS INTEGER)) AS ts
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(page_id AS INTEGER)) AS ts,
+         CAST(year(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(page_id AS INTEGER))) AS INTEGER) AS year,
+         CAST(month(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(page_id AS INTEGER))) AS INTEGER) AS month,
+         CAST(day(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(page_id AS INTEGER))) AS INTEGER) AS day
   FROM (SELECT *, regexp_extract(url,'^https?://([^/]+)',1) AS host FROM pages))"""
 
 WIN = """win_security AS (
   SELECT ts AS timestamp, CASE event_type WHEN 'click' THEN '4624' WHEN 'view' THEN '4625' WHEN 'error' THEN '4648' ELSE '4634' END AS event_code,
          concat(CASE WHEN user_id % 5 = 0 THEN 'Admin' ELSE 'user' END, user_id % 15) AS user_name,
          concat('host', CAST(floor(value) AS BIGINT) % 12) AS host_name, concat('10.3.0.', user_id % 15) AS source_ip, 3 AS logon_type,
-         year(ts) AS year, month(ts) AS month, day(ts) AS day
+         CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day
   FROM events)"""
 
 EXECS = """executions AS (
@@ -321,6 +324,86 @@ def chart_sql(name: str) -> str:
     return with_(FINDINGS, EXECS, f"v AS ({VIEW_BODIES[view]})") + body
 
 
+# --- de-duplication, IOCs, execution log, sources --------------------------------
+FINDING_COLS = ("finding_id, execution_id, hunt_name, severity, finding_type, source_ip, destination_ip, destination_hostname, username, "
+                "timestamp, CAST(confidence_score AS DOUBLE) AS confidence_score, status, created_at")
+FP = "sha256(concat_ws('|', coalesce(finding_type, ''), coalesce(source_ip, ''), coalesce(destination_ip, ''), coalesce(destination_hostname, ''), coalesce(username, '')))"
+INCOMING = "findings WHERE timestamp >= TIMESTAMP '2000-01-01 00:00:00' AND timestamp < TIMESTAMP '2000-02-01 00:00:00'"
+HISTORY = "findings WHERE timestamp >= TIMESTAMP '1999-12-25 00:00:00' AND timestamp < TIMESTAMP '2000-01-01 00:00:00'"
+
+
+def dedup_source() -> str:
+    return with_(FINDINGS) + f"""SELECT {FINDING_COLS} FROM {INCOMING}
+  AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT finding_type AS t, source_ip AS s FROM {HISTORY}) h
+                  WHERE h.t = findings.finding_type AND h.s = findings.source_ip)"""
+
+
+def dedup_fingerprint() -> str:
+    order = ", ".join(f"{c} NULLS FIRST" for c in ["timestamp", "finding_id", "execution_id", "confidence_score", "severity", "status",
+                                                    "created_at", "hunt_name", "finding_id", "execution_id", "hunt_name", "severity",
+                                                    "finding_type", "source_ip", "destination_ip", "destination_hostname", "username"])
+    return with_(FINDINGS) + f"""SELECT fingerprint, {FINDING_COLS} FROM (
+  SELECT *, {FP} AS fingerprint FROM {INCOMING}) inc
+WHERE fingerprint NOT IN (SELECT {FP} FROM {HISTORY})
+QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY {order}) = 1"""
+
+
+def finding_fingerprint() -> str:
+    return with_(FINDINGS) + f"""SELECT finding_id, execution_id, finding_type, source_ip, destination_ip, destination_hostname, username, {FP} AS fingerprint
+FROM findings"""
+
+
+ARRIVAL = "created_at, execution_id, finding_id, timestamp, severity, finding_type"
+
+
+def ioc_rollup() -> str:
+    ind = "\n  UNION ALL ".join(
+        f"SELECT '{t}' AS ioc_type, {c} AS ioc_value, timestamp, finding_type AS hunt, {SEV_RANK.format(c='severity')} AS rank, seq "
+        f"FROM fs WHERE {c} IS NOT NULL AND {c} <> ''"
+        for t, c in (("ip", "source_ip"), ("ip", "destination_ip"), ("domain", "destination_hostname")))
+    return with_(FINDINGS, f"fs AS (SELECT *, dense_rank() OVER (ORDER BY {ARRIVAL}) AS seq FROM findings)", f"ind AS (\n  {ind})",
+                 """ph AS (SELECT ioc_type, ioc_value, hunt, count(*) AS times, min(seq) AS a0 FROM ind GROUP BY ALL)""",
+                 """agg AS (SELECT ioc_type, ioc_value, arg_min(timestamp, seq) AS first_seen, arg_max(timestamp, seq) AS last_seen,
+    count(*) AS times_seen, arg_min(rank, seq) AS r0, max(CASE WHEN rank >= 2 THEN rank END) AS esc FROM ind GROUP BY ALL)""") + """SELECT a.ioc_type, a.ioc_value, first_seen, last_seen, times_seen,
+  (SELECT to_json(list({'hunt': hunt, 'times': times} ORDER BY a0)) FROM ph WHERE ph.ioc_type = a.ioc_type AND ph.ioc_value = a.ioc_value) AS associated_hunts,
+  CASE greatest(r0, esc) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' WHEN 0 THEN 'info' END AS threat_level
+FROM agg a"""
+
+
+def execution_log_latest() -> str:
+    return with_(EXECS) + """SELECT execution_id, hunt_name, execution_start, execution_end, status,
+  CASE WHEN status <> 'running' THEN records_analyzed END AS records_analyzed, CASE WHEN status <> 'running' THEN findings_count END AS findings_count
+FROM executions"""
+
+
+def campaign_summary() -> str:
+    return with_(EXECS) + """SELECT CAST(execution_start AS DATE) AS campaign_date, count(*) AS hunts_run, count_if(status = 'completed') AS successful_hunts,
+  count_if(status = 'failed') AS failed_hunts, CAST(coalesce(sum(CASE WHEN status = 'completed' THEN findings_count END), 0) AS BIGINT) AS total_findings,
+  string_agg(DISTINCT hunt_name, ',' ORDER BY hunt_name) AS hunts
+FROM executions GROUP BY 1"""
+
+
+CONN_ALT = """SELECT l_returnflag AS service, CAST(8000 + l_linenumber AS INTEGER) AS id_resp_p, l_shipdate + to_seconds((l_orderkey*37+l_partkey) % 86400) AS ts,
+  concat('10.4.0.', l_suppkey % 256) AS id_orig_h, concat('198.51.100.', l_partkey % 256) AS id_resp_h,
+  CAST(floor(l_extendedprice) AS BIGINT) AS orig_bytes, CAST(floor(l_quantity) AS BIGINT) AS resp_bytes, l_discount AS duration FROM lineitem"""
+
+
+def union_sources() -> str:
+    return with_(CONN) + f"SELECT * FROM conn_logs UNION ALL BY NAME {CONN_ALT}"
+
+
+def partition_date_range() -> str:
+    return with_(CONN) + "SELECT * FROM conn_logs WHERE make_date(year, month, day) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"
+
+
+def table_inventory() -> str:
+    parts = "\nUNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS record_count, min(make_date(year, month, day)) AS earliest, max(make_date(year, month, day)) AS latest, "
+        f"count(DISTINCT make_date(year, month, day)) AS partition_count, {k} AS column_count FROM {n}"
+        for n, k in (("conn_logs", 10), ("dns_logs", 6), ("win_security", 9)))
+    return with_(CONN, DNS, WIN) + parts
+
+
 # --- registry -----------------------------------------------------------------
 def registered() -> dict[str, str]:
     """name -> SQL for every query that has an oracle."""
@@ -340,4 +423,14 @@ def registered() -> dict[str, str]:
         "hunt_statistics": hunt_statistics(),
         "report_summary": report_summary(),
         **{name: chart_sql(name) for name in CHART_BODIES},
+        "dedup_source": dedup_source(),
+        "dedup_fingerprint": dedup_fingerprint(),
+        "finding_fingerprint": finding_fingerprint(),
+        "ioc_rollup": ioc_rollup(),
+        "ioc_upsert": ioc_rollup(),          # merging old + new equals rolling up all
+        "execution_log_latest": execution_log_latest(),
+        "campaign_summary": campaign_summary(),
+        "union_sources": union_sources(),
+        "partition_date_range": partition_date_range(),
+        "table_inventory": table_inventory(),
     }

@@ -24,6 +24,12 @@ SUMMARY_DAYS = 30
 C2_PARAMS = {"min_connections": 10, "jitter_threshold": 400000}
 DNS_PARAMS: dict = {}
 LATERAL_PARAMS = {"time_window_minutes": 4320, "min_hosts": 3}
+# Windows of the de-duplication and IOC upsert checks.
+DEDUP_AS_OF = _dt.date(2000, 1, 1)
+DEDUP_INCOMING_END = _dt.date(2000, 2, 1)
+DEDUP_LOOKBACK_DAYS = 7
+IOC_SPLIT = _dt.date(1998, 1, 1)
+PARTITION_RANGE = (_dt.date(2024, 1, 10), _dt.date(2024, 1, 20))
 # ---------------------------------------------------------------------------
 
 
@@ -61,6 +67,22 @@ def conn_logs(events: DataFrame) -> DataFrame:
     return _with_ymd(df, "ts")
 
 
+def conn_logs_alt(lineitem: DataFrame) -> DataFrame:
+    """lineitem -> a second connection log with its columns in another
+    order, an extra ``service`` column and no partition columns."""
+    ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    return lineitem.select(
+        F.col("l_returnflag").alias("service"),
+        (F.lit(8000) + F.col("l_linenumber")).cast("int").alias("id_resp_p"),
+        (F.col("l_shipdate") + _secs((ok * 37 + pk) % 86400)).alias("ts"),
+        F.concat(F.lit("10.4.0."), (sk % 256).cast("string")).alias("id_orig_h"),
+        F.concat(F.lit("198.51.100."), (pk % 256).cast("string")).alias("id_resp_h"),
+        F.floor(F.col("l_extendedprice")).cast("long").alias("orig_bytes"),
+        F.floor(F.col("l_quantity")).cast("long").alias("resp_bytes"),
+        F.col("l_discount").alias("duration"),
+    )
+
+
 def dns_logs(pages: DataFrame) -> DataFrame:
     """pages -> Zeek-style DNS log; every 4th page gets encoded labels,
     every 16th longer ones."""
