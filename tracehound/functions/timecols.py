@@ -66,3 +66,11 @@ def text_time(col: Column | str, with_fraction: bool = True) -> Column:
     if with_fraction:
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def epoch_to_time(seconds: Column, dtype: T.DataType) -> Column:
+    """Epoch seconds back to a time of ``dtype`` (NTZ: UTC wall clock)."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.timestamp_seconds(seconds)

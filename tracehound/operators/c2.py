@@ -85,7 +85,8 @@ def with_edges(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | None = None) -> DataFrame:
+def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | None = None,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """Level 2: merge slice moments to one profile row per keys.
 
     ``edge_used`` (optional boolean column) drops boundary gaps that are
@@ -100,17 +101,23 @@ def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | Non
         (F.sum(F.col("g2").cast(_EXACT)) + F.coalesce(F.sum(edge_x * edge_x), F.lit(0))).alias("_g2"),
         F.sum("bn").alias("_bn"),
         F.try_divide(F.sum(F.col("bn") * F.col("bmean")), F.sum("bn")).alias("avg_bytes_sent"),
-        F.sum(F.col("bm2") + F.col("bn") * dev * dev).alias("_bm2"),
+        F.sum(F.col("bm2") + F.col("bn") * dev * dev).alias("_bm2_c"),
+        F.max("_bmu").alias("_c"),
         F.min("e_first").alias("first_seen"),
         F.max("e_last").alias("last_seen"),
         F.min("ts_first").alias("first_ts"),
         F.max("ts_last").alias("last_ts"),
+        *[F.first(k).alias(k) for k in keep],
     )
+    # M2 about the group mean from M2 about the pair mean c (exact identity;
+    # the correction is 0 when the group is the whole pair)
+    shift = F.col("avg_bytes_sent") - F.col("_c")
+    agg = agg.withColumn("_bm2", F.col("_bm2_c") - F.col("_bn") * shift * shift)
     gaps, g1, g2 = F.col("_gaps"), F.col("_g1"), F.col("_g2")
     var_num = (gaps.cast(_EXACT) * g2 - g1 * g1).cast("double")
     bn = F.col("_bn")
     return agg.select(
-        *keys,
+        *keys, *keep,
         "connection_count",
         F.when(gaps > 0, g1.cast("double") / gaps.cast("double")).alias("avg_interval"),
         F.when(gaps > 1, F.sqrt(var_num / (gaps.cast("double") * (gaps - 1).cast("double")))).alias("interval_stddev"),

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from tracehound.functions import text
 from tracehound.functions.timecols import cutoff
-from tracehound.operators import c2, dedup, dns, executions, hunts, inventory, ioc, lateral
-from tracehound.plans import charts, dashboards, report, views
+from tracehound.operators import c2, dedup, dns, executions, extensions, hunts, inventory, ioc, lateral
+from tracehound.plans import charts, dashboards, report, sweeps, views
 from tracehound.session import pin_utc
 from tracehound.sources import fixtures as fx
 from tracehound.sources import tables
@@ -325,3 +325,62 @@ def q_partition_date_range(spark, sf_dir):
 def q_table_inventory(spark, sf_dir):
     """A5: rows, day range, days and columns per log table."""
     return inventory.table_inventory({n: _load(spark, sf_dir, n) for n in ("conn_logs", "dns_logs", "win_security")})
+
+
+# --- sweeps --------------------------------------------------------------------
+@query("daily_hunt_sweep")
+def q_daily_hunt_sweep(spark, sf_dir):
+    """Every hunt for every day, one plan."""
+    return sweeps.daily_hunt_sweep(_log_inputs(spark, sf_dir), HUNT_PARAMS)
+
+
+@query("weekly_hunt_sweep")
+def q_weekly_hunt_sweep(spark, sf_dir):
+    """Every hunt for every 8-day week ending on a Sunday."""
+    return sweeps.weekly_hunt_sweep(_log_inputs(spark, sf_dir), HUNT_PARAMS)
+
+
+@query("sliding_c2_sweep")
+def q_sliding_c2_sweep(spark, sf_dir):
+    """C2 over 3-day windows every 6 hours."""
+    return sweeps.sliding_c2_sweep(_load(spark, sf_dir, "conn_logs"), **fx.SLIDING_C2_PARAMS)
+
+
+# --- extensions ----------------------------------------------------------------
+@query("dns_entropy")
+def q_dns_entropy(spark, sf_dir):
+    """Shannon entropy per distinct query name."""
+    return extensions.dns_entropy(_load(spark, sf_dir, "dns_logs"))
+
+
+@query("c2_off_hours")
+def q_c2_off_hours(spark, sf_dir):
+    """Off-hours share of each pair's connections."""
+    return extensions.c2_off_hours(_load(spark, sf_dir, "conn_logs"))
+
+
+@query("dns_subdomains")
+def q_dns_subdomains(spark, sf_dir):
+    """E5: distinct names per parent domain."""
+    return extensions.dns_subdomains(_load(spark, sf_dir, "dns_logs"))
+
+
+@query("new_logon_pairs")
+def q_new_logon_pairs(spark, sf_dir):
+    """(account, host) pairs unseen on the baseline day."""
+    ev = lateral.logon_events(_load(spark, sf_dir, "win_security"))
+    split = F.lit(fx.NEW_PAIRS_SPLIT).cast(ev.schema["timestamp"].dataType)
+    return extensions.new_logon_pairs(ev.filter(F.col("timestamp") >= split), ev.filter(F.col("timestamp") < split),
+                                      keys=("username", "destination_host"))
+
+
+@query("logon_escalation")
+def q_logon_escalation(spark, sf_dir):
+    """Privileged success right after a failure on the same host."""
+    return extensions.logon_escalation(_load(spark, sf_dir, "win_security"))
+
+
+@query("admin_port_fanout")
+def q_admin_port_fanout(spark, sf_dir):
+    """Distinct destinations per source on the watched ports."""
+    return extensions.admin_port_fanout(_load(spark, sf_dir, "conn_logs"), **fx.FANOUT_PARAMS)

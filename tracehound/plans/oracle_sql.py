@@ -96,11 +96,11 @@ def c2_beaconing(min_connections=10, jitter=400000) -> str:
     return with_(CONN, c2_profile_cte()) + c2_findings_sql(min_connections, jitter)
 
 
-def dns_ctes(by: str = "", extra: str = "") -> list[str]:
+def dns_ctes(by: str = "", extra: str = "", src: str = "dns_logs") -> list[str]:
     return [DNS, f"""dns_q AS (
   SELECT {extra} id_orig_h AS source_ip, query AS query_domain, ts AS timestamp, CAST(length(query) AS BIGINT) AS query_length,
          length(query) - length(replace(query, '.', '')) + 1 AS subdomain_count
-  FROM dns_logs WHERE query IS NOT NULL AND query <> ''),
+  FROM {src} WHERE query IS NOT NULL AND query <> ''),
 dns_prof AS (
   SELECT {by}source_ip, query_domain, count(*) AS query_count, avg(query_length) AS avg_query_length, max(query_length) AS max_query_length,
          avg(subdomain_count) AS avg_subdomain_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen
@@ -125,11 +125,11 @@ WHERE score > {min_score}"""
 PRIV = "coalesce(contains(lower({u}), 'admin') OR contains(lower({u}), 'svc') OR contains(lower({u}), 'service'), false)"
 
 
-def lateral_ctes(minutes: int, by: str = "", extra: str = "") -> list[str]:
+def lateral_ctes(minutes: int, by: str = "", extra: str = "", src: str = "win_security") -> list[str]:
     return [WIN, f"""lat_le AS (
   SELECT {extra} timestamp, event_code, user_name AS username, host_name AS destination_host, source_ip, logon_type,
          CAST(floor(epoch(timestamp) / {minutes * 60}) AS BIGINT) AS time_bucket
-  FROM win_security WHERE event_code IN ('4624', '4625', '4648')),
+  FROM {src} WHERE event_code IN ('4624', '4625', '4648')),
 lat_prof AS (
   SELECT {by}username, source_ip, time_bucket, count(DISTINCT destination_host) AS unique_hosts, count(*) AS logon_attempts,
          list_sort(list(DISTINCT destination_host) FILTER (WHERE destination_host IS NOT NULL)) AS hosts_accessed,
@@ -404,6 +404,84 @@ def table_inventory() -> str:
     return with_(CONN, DNS, WIN) + parts
 
 
+# --- sweeps and extensions --------------------------------------------------------
+RUNCOLS = "run_start, run_end, "
+
+
+def _runs(table: str, tcol: str, weekly: bool) -> str:
+    d = f"CAST({tcol} AS DATE)"
+    if not weekly:
+        return f"(SELECT *, {d} AS run_start, {d} AS run_end FROM {table})"
+    e1 = f"({d} + CAST((7 - dayofweek({d})) % 7 AS INTEGER))"
+    ends = f"CASE WHEN dayofweek({d}) = 0 THEN [{e1}, {e1} + 7] ELSE [{e1}] END"
+    return f"(SELECT *, run_end - 7 AS run_start FROM (SELECT *, unnest({ends}) AS run_end FROM {table}))"
+
+
+def hunt_sweep(weekly: bool) -> str:
+    ctes = [CONN, c2_profile_cte(by=RUNCOLS, part=RUNCOLS, src=_runs("conn_logs", "ts", weekly), extra="run_start, run_end,"),
+            *dns_ctes(by=RUNCOLS, extra="run_start, run_end,", src=_runs("dns_logs", "ts", weekly)),
+            *lateral_ctes(4320, by=RUNCOLS, extra="run_start, run_end,", src=_runs("win_security", "timestamp", weekly))]
+    cols = f"{RUNCOLS}{HUNT_COLS}"
+    return (with_(*ctes) + f"SELECT {cols} FROM ({c2_findings_sql(10, 400000, by=RUNCOLS)})\n"
+            f"UNION ALL SELECT {cols} FROM ({dns_findings_sql(by=RUNCOLS)})\n"
+            f"UNION ALL SELECT {cols} FROM ({lateral_findings_sql(4320, 3, by=RUNCOLS)})")
+
+
+def sliding_c2_sweep() -> str:
+    w = "CAST(floor(epoch(ts) / 21600) AS BIGINT)"
+    src = (f"(SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(w * 21600) AS window_start, "
+           f"TIMESTAMP '1970-01-01 00:00:00' + to_seconds(w * 21600 + 259200) AS window_end "
+           f"FROM (SELECT *, unnest(generate_series({w} - 11, {w})) AS w FROM conn_logs))")
+    by = "window_start, window_end, "
+    return with_(CONN, c2_profile_cte(by=by, part=by, src=src, extra="window_start, window_end,")) + c2_findings_sql(5, 400000, by=by)
+
+
+def dns_entropy() -> str:
+    ent = "-sum(n / length(query_domain) * log2(n / length(query_domain)))"
+    return with_(DNS, """names AS (SELECT DISTINCT query AS query_domain FROM dns_logs WHERE query IS NOT NULL AND query <> '')""",
+                 """cnt AS (SELECT query_domain, c, count(*) AS n FROM (SELECT query_domain, unnest(string_split(query_domain, '')) AS c FROM names) GROUP BY ALL)""") + \
+        f"""SELECT query_domain, CAST(length(query_domain) AS BIGINT) AS query_length, round({ent}, 6) AS entropy, {ent} >= 3.5 AS high_entropy
+FROM cnt GROUP BY query_domain"""
+
+
+def c2_off_hours() -> str:
+    off = "hour(ts) < 8 OR hour(ts) >= 18"
+    return with_(CONN) + f"""SELECT id_orig_h AS source_ip, id_resp_h AS destination_ip, id_resp_p AS destination_port, count(*) AS connection_count,
+  count_if({off}) AS off_hours_count, round(count_if({off}) / count(*), 6) AS off_hours_share
+FROM conn_logs GROUP BY ALL"""
+
+
+def dns_subdomains() -> str:
+    parent = "CASE WHEN len(string_split(query_domain, '.')) >= 2 THEN array_to_string(string_split(query_domain, '.')[-2:], '.') ELSE query_domain END"
+    return with_(*dns_ctes()) + f"""SELECT {parent} AS parent_domain, count(DISTINCT query_domain) AS subdomain_count, count(*) AS query_count,
+  count(DISTINCT source_ip) AS source_count FROM dns_q GROUP BY 1"""
+
+
+LOGONS = """le AS (SELECT timestamp, event_code, user_name AS username, host_name AS destination_host, source_ip
+  FROM win_security WHERE event_code IN ('4624', '4625', '4648'))"""
+
+
+def new_logon_pairs() -> str:
+    split = "TIMESTAMP '2024-01-02 00:00:00'"
+    return with_(WIN, LOGONS) + f"""SELECT * FROM (
+  SELECT username, destination_host, count(*) AS logon_count, min(timestamp) AS first_logon, max(timestamp) AS last_logon
+  FROM le WHERE timestamp >= {split} GROUP BY ALL) c
+WHERE NOT EXISTS (SELECT 1 FROM le b WHERE b.timestamp < {split} AND b.username = c.username AND b.destination_host = c.destination_host)"""
+
+
+def logon_escalation() -> str:
+    return with_(WIN, LOGONS) + f"""SELECT username, destination_host, source_ip, timestamp, pt AS failed_at FROM (
+  SELECT *, lag(event_code) OVER w AS pc, lag(timestamp) OVER w AS pt FROM le WHERE {PRIV.format(u='username')}
+  WINDOW w AS (PARTITION BY username, destination_host ORDER BY timestamp, event_code))
+WHERE event_code = '4624' AND pc = '4625'"""
+
+
+def admin_port_fanout() -> str:
+    return with_(CONN) + """SELECT id_orig_h AS source_ip, id_resp_p AS destination_port, count(DISTINCT id_resp_h) AS destination_count,
+  count(*) AS connection_count, min(ts) AS first_seen, max(ts) AS last_seen
+FROM conn_logs WHERE id_resp_p IN (443) GROUP BY ALL HAVING count(DISTINCT id_resp_h) >= 3"""
+
+
 # --- registry -----------------------------------------------------------------
 def registered() -> dict[str, str]:
     """name -> SQL for every query that has an oracle."""
@@ -433,4 +511,13 @@ def registered() -> dict[str, str]:
         "union_sources": union_sources(),
         "partition_date_range": partition_date_range(),
         "table_inventory": table_inventory(),
+        "daily_hunt_sweep": hunt_sweep(weekly=False),
+        "weekly_hunt_sweep": hunt_sweep(weekly=True),
+        "sliding_c2_sweep": sliding_c2_sweep(),
+        "dns_entropy": dns_entropy(),
+        "c2_off_hours": c2_off_hours(),
+        "dns_subdomains": dns_subdomains(),
+        "new_logon_pairs": new_logon_pairs(),
+        "logon_escalation": logon_escalation(),
+        "admin_port_fanout": admin_port_fanout(),
     }

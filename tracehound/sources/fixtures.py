@@ -30,6 +30,9 @@ DEDUP_INCOMING_END = _dt.date(2000, 2, 1)
 DEDUP_LOOKBACK_DAYS = 7
 IOC_SPLIT = _dt.date(1998, 1, 1)
 PARTITION_RANGE = (_dt.date(2024, 1, 10), _dt.date(2024, 1, 20))
+SLIDING_C2_PARAMS = {"min_connections": 5, "jitter_threshold": 400000}
+NEW_PAIRS_SPLIT = _dt.date(2024, 1, 2)
+FANOUT_PARAMS = {"ports": (443,), "min_destinations": 3}
 # ---------------------------------------------------------------------------
 
 
