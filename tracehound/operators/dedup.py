@@ -21,10 +21,10 @@ SOURCE_KEYS = ["finding_type", "source_ip"]
 FIRST_ORDER = ["timestamp", "finding_id", "execution_id", "confidence_score", "severity", "status", "created_at", "hunt_name"]
 
 
-def recent(history: DataFrame, as_of: _dt.date | str, lookback_days: int) -> DataFrame:
-    """History rows with ``timestamp >= as_of - lookback_days`` (midnight)."""
-    t = history.schema["timestamp"].dataType
-    return history.filter(F.col("timestamp") >= at_midnight(cutoff(as_of, lookback_days), t))
+def recent(history: DataFrame, as_of: _dt.date | str, lookback_days: int, time_col: str = "timestamp") -> DataFrame:
+    """History rows with ``time_col >= as_of - lookback_days`` (midnight)."""
+    t = history.schema[time_col].dataType
+    return history.filter(F.col(time_col) >= at_midnight(cutoff(as_of, lookback_days), t))
 
 
 def dedup_source(incoming: DataFrame, history: DataFrame, *, as_of, lookback_days: int = 7) -> DataFrame:
@@ -56,9 +56,14 @@ def first_per_fingerprint(findings: DataFrame) -> DataFrame:
     return picked.select("fingerprint", "_f.*")
 
 
-def dedup_fingerprint(incoming: DataFrame, history: DataFrame, *, as_of, lookback_days: int = 7) -> DataFrame:
-    """The intended fingerprint de-duplication: drop fingerprints seen
-    in the look-back, and keep only the first of repeats within the batch."""
-    seen = with_fingerprint(recent(history, as_of, lookback_days)).select("fingerprint").distinct()
+def dedup_fingerprint(incoming: DataFrame, history: DataFrame, *, as_of, lookback_days: int = 7,
+                      time_col: str | None = None) -> DataFrame:
+    """The intended fingerprint de-duplication: drop fingerprints
+    stored within the look-back, and keep only the first of repeats within
+    the batch.  The look-back is on ``created_at`` (when a finding was
+    stored) when the history has it, so findings of a retrospective hunt,
+    whose event times are old, are still recognised as repeats."""
+    time_col = time_col or ("created_at" if "created_at" in history.columns else "timestamp")
+    seen = with_fingerprint(recent(history, as_of, lookback_days, time_col)).select("fingerprint").distinct()
     fresh = with_fingerprint(incoming).join(seen, "fingerprint", "left_anti")
     return first_per_fingerprint(fresh)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracehound.functions.scoring import LOGON_EVENT_CODES as LOGON_CODES
 from tracehound.operators import c2, dns, lateral
 
 # The finding columns every hunt emits, in order.
@@ -29,6 +30,7 @@ class Hunt:
     source: str                                   # which log it reads
     run: Callable[..., DataFrame]                 # (logs, **params) -> findings
     records: Callable[[DataFrame], DataFrame]     # rows it analyses (A4)
+    records_metric: Callable[[], object] = lambda: F.count(F.lit(1))   # same count as an aggregate column
     version: str = "1.0"
     description: str = ""
 
@@ -46,6 +48,7 @@ register(Hunt("c2_beaconing", "conn_logs", c2.c2_beaconing, lambda logs: logs,
 register(Hunt("dns_tunneling", "dns_logs", dns.dns_tunneling, lambda logs: logs,
               description="Detect DNS tunneling for data exfiltration"))
 register(Hunt("lateral_movement", "win_security", lateral.lateral_movement, lateral.logon_events,
+              records_metric=lambda: F.count_if(F.col("event_code").cast("string").isin(*LOGON_CODES)),
               description="Detect lateral movement via authentication logs"))
 
 
