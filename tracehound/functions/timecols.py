@@ -74,3 +74,15 @@ def epoch_to_time(seconds: Column, dtype: T.DataType) -> Column:
         return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
             F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
     return F.timestamp_seconds(seconds)
+
+
+def epoch_micros(col: Column | str) -> Column:
+    """Microseconds since 1970 (NTZ wall clock taken as UTC)."""
+    c = F.col(col) if isinstance(col, str) else col
+    frac = (F.date_part(F.lit("SECOND"), c) - F.second(c)) * F.lit(1000000)
+    return epoch_seconds(c) * F.lit(1000000) + frac.cast("long")
+
+
+def ntz_as_utc(col: Column | str) -> Column:
+    """An NTZ wall clock as the TIMESTAMP instant it names in UTC."""
+    return F.timestamp_micros(epoch_micros(col))

@@ -98,13 +98,17 @@ def read_versioned(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(cur) if cur else None
 
 
-def swap_write(df: DataFrame, base: str) -> str:
+def swap_write(df: DataFrame, base: str, name: str | None = None) -> str:
     """K4/K5 on plain parquet: write a new version folder, then point
-    ``_CURRENT`` at it.  The previous version stays readable until then."""
+    ``_CURRENT`` at it.  The previous version stays readable until then.
+    With a ``name`` (e.g. a stream batch id) a version that was already
+    written completely is not written again, only re-pointed."""
     spark = df.sparkSession
-    name = f"v-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("errorifexists").parquet(f"{base}/{name}")
+    name = name or f"v-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     fs, jvm = _fs(spark, base)
+    done = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/_SUCCESS")
+    if not fs.exists(done):
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
     tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}.{name}")
     out = fs.create(tmp, True)
     try:
