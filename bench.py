@@ -27,7 +27,7 @@ def run_once(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "4")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     names = sys.argv[1:] or list(catalog.REGISTRY)
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="tracehound-bench")
     for n in names:                                   # warm-up

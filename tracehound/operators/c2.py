@@ -75,14 +75,15 @@ def slice_moments(pairs: DataFrame, keys: Sequence[str], slice_seconds: int = DE
 
 def with_edges(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gap crossing into each slice from the previous non-empty slice of
-    the same keys, plus the keys' overall byte mean (for the M2 merge)."""
+    the same keys, plus a per-keys reference point for the byte M2 merge
+    (the first slice's byte mean: any constant inside the data range keeps
+    the merge exact and stable; this one comes from the same ordered window)."""
     w_ord = Window.partitionBy(*keys).orderBy("_slice")
-    w_all = Window.partitionBy(*keys)
-    return slices.withColumn("_prev_slice", F.lag("_slice").over(w_ord)).withColumn(
-        "_edge", F.col("e_first") - F.lag("e_last").over(w_ord)
-    ).withColumn(
-        "_bmu", F.try_divide(F.sum(F.col("bn") * F.col("bmean")).over(w_all), F.sum("bn").over(w_all))
-    )
+    return slices.withColumns({
+        "_prev_slice": F.lag("_slice").over(w_ord),
+        "_edge": F.col("e_first") - F.lag("e_last").over(w_ord),
+        "_bmu": F.first("bmean", ignorenulls=True).over(w_ord),
+    })
 
 
 def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | None = None,
@@ -109,8 +110,8 @@ def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | Non
         F.max("ts_last").alias("last_ts"),
         *[F.first(k).alias(k) for k in keep],
     )
-    # M2 about the group mean from M2 about the pair mean c (exact identity;
-    # the correction is 0 when the group is the whole pair)
+    # M2 about the group mean from M2 about the reference point c (exact
+    # identity: sum(M2_i + n_i (mean_i - c)^2) - N (mean - c)^2)
     shift = F.col("avg_bytes_sent") - F.col("_c")
     agg = agg.withColumn("_bm2", F.col("_bm2_c") - F.col("_bn") * shift * shift)
     gaps, g1, g2 = F.col("_gaps"), F.col("_g1"), F.col("_g2")

@@ -33,9 +33,9 @@ def indicators(findings: DataFrame, arrival: Sequence[str] = DEFAULT_ARRIVAL) ->
     order = [c for c in arrival if c in findings.columns]
     arr = F.struct(*[F.col(c) for c in order]).alias("arrival")
     ind = F.explode(F.array(*[F.struct(F.lit(t).alias("ioc_type"), F.col(c).alias("ioc_value")) for t, c in IOC_SOURCES]))
-    x = findings.select(ind.alias("i"), arr, "timestamp", "finding_type",
-                        F.coalesce(F.col("severity"), F.lit("medium")).alias("severity"))
-    x = x.select("i.*", "arrival", "timestamp", F.col("finding_type").alias("hunt"), severity_rank("severity").alias("rank"))
+    sev = severity_rank(F.coalesce(F.col("severity"), F.lit("medium")))
+    x = findings.select(ind.alias("i"), arr, F.col("finding_type").alias("hunt"), sev.alias("rank"))
+    x = x.select("i.*", "arrival", "hunt", "rank")
     return x.filter(F.col("ioc_value").isNotNull() & (F.col("ioc_value") != ""))
 
 
@@ -46,29 +46,38 @@ def _escalation(rank: Column) -> Column:
 def ioc_rollup(findings: DataFrame, arrival: Sequence[str] = DEFAULT_ARRIVAL) -> DataFrame:
     """Per indicator: first/last sighting time (by arrival, not by
     time), times seen, hunts with counts in order of first arrival, and
-    the threat level (first sighting's level, raised by later medium+)."""
+    the threat level (first sighting's level, raised by later medium+).
+
+    The arrival key carries the sighting's time and severity, so one
+    ``min``/``max`` of it per group yields the first and last sighting
+    whole (struct ordering forces a sort-based aggregate; keeping it to two
+    such aggregates per row is what keeps this cheap)."""
+    arrival = [c for c in arrival if c in findings.columns]
+    for c in ("timestamp", "severity"):
+        if c not in arrival:
+            arrival.append(c)
     x = indicators(findings, arrival)
     per_hunt = x.groupBy(*IOC_KEYS, "hunt").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("arrival").alias("a0"),
         F.max("arrival").alias("a1"),
-        F.min_by("timestamp", "arrival").alias("t0"),
-        F.max_by("timestamp", "arrival").alias("t1"),
-        F.min_by("rank", "arrival").alias("r0"),
         _escalation(F.col("rank")).alias("esc"),
     )
     agg = per_hunt.groupBy(*IOC_KEYS).agg(
-        F.min_by("t0", "a0").alias("first_seen"),
-        F.max_by("t1", "a1").alias("last_seen"),
+        F.min("a0").alias("_first"),
+        F.max("a1").alias("_last"),
         F.sum("n").alias("times_seen"),
         F.array_sort(F.collect_list(F.struct("a0", "hunt", "n"))).alias("_hunts"),
-        F.min_by("r0", "a0").alias("_first_rank"),
         F.max("esc").alias("escalation_rank"),
     )
+    first_rank = severity_rank(F.coalesce(F.col("_first.severity"), F.lit("medium")))
     return agg.select(
-        *IOC_KEYS, "first_seen", "last_seen", "times_seen",
+        *IOC_KEYS,
+        F.col("_first.timestamp").alias("first_seen"),
+        F.col("_last.timestamp").alias("last_seen"),
+        "times_seen",
         F.transform("_hunts", lambda h: F.struct(h["hunt"].alias("hunt"), h["n"].alias("times"))).alias("associated_hunts"),
-        severity_from_rank(F.greatest("_first_rank", "escalation_rank")).alias("threat_level"),
+        severity_from_rank(F.greatest(first_rank, F.col("escalation_rank"))).alias("threat_level"),
         "escalation_rank",
     )
 
