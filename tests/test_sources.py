@@ -74,3 +74,23 @@ def test_smoke_write_read_roundtrip(spark):
     df.write.mode("overwrite").parquet(path)
     assert spark.read.parquet(path).count() == 2
     assert spark.read.parquet(path).filter(F.col("name") == "bob").count() == 1
+
+
+def test_raw_parquet_fallback_reads_every_file(spark, partitioned):
+    # ignores table layout: finds the files of both tables, without partition columns
+    df = tables.read_parquet_files(spark, partitioned)
+    assert df.count() == 14 and "year" not in df.columns
+
+
+def test_lookback_range():
+    assert tables.lookback_range("2024-03-01", 30) == (dt.date(2024, 1, 31), dt.date(2024, 3, 1))
+
+
+def test_lookback_hunt_reads_pruned_range(spark):
+    from tracehound.plans import jobs
+    from tracehound.sources import fixtures as fx
+    src = tempfile.mkdtemp(prefix="th-lb-") + "/conn"
+    fx.load(spark, "/root/testdata/sf0.001", "conn_logs").write.partitionBy("year", "month", "day").parquet(src)
+    r = jobs.run_lookback_hunt(spark, "c2_beaconing", src, results_dir=tempfile.mkdtemp(prefix="th-lbr-"), execution_id=5,
+                               as_of="2024-01-31", lookback_days=30, params=fx.C2_PARAMS)
+    assert r["records_analyzed"] == 1000 and r["findings_count"] == 31

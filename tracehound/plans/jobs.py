@@ -109,6 +109,18 @@ def run_campaign(spark: SparkSession, inputs: Mapping[str, DataFrame], *, result
     return out
 
 
+def run_lookback_hunt(spark: SparkSession, name: str, path: str, *, results_dir: str, execution_id: int,
+                      as_of, lookback_days: int = 30, fmt: str = "parquet", params: Mapping | None = None) -> dict:
+    """A hunt over the last ``lookback_days`` days up to ``as_of`` (inclusive
+    day range, pruned at the scan)."""
+    from tracehound.sources.tables import lookback_range, read_table
+    start, end = lookback_range(as_of, lookback_days)
+    time_col = "@timestamp" if hunts.get(name).source == "win_security" else "ts"
+    logs = read_table(spark, path, start, end, fmt=fmt, time_col=time_col)
+    return run_hunt_job(spark, name, logs, results_dir=results_dir, execution_id=execution_id,
+                        start_date=start, end_date=end, params=params)
+
+
 def run_full_export(spark: SparkSession, results_dir: str, *, as_of, days: int = 30) -> dict[str, int]:
     """Views, the four summaries, the IOC feed and the statistics upsert,
     written next to the result tables.  Returns row counts."""
