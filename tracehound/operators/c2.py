@@ -154,16 +154,21 @@ def c2_beacon_profile(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLIC
 
 def c2_intervals(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """Per connection, seconds since the previous connection of the
-    same pair (NULL for the first), computed slice by slice."""
+    same pair (NULL for the first), computed slice by slice.
+
+    One window over (pair, slice) yields both the in-slice ``lag`` and the
+    slice's last row (``lead`` is NULL); the last rows (one per slice) take
+    a ``lag`` over slices and are joined back to the first row of the next
+    slice.  Both branches share the same exchange, so the log is read once."""
     keys = PAIR
     x = _sliced(conn_pairs(conn_logs), slice_seconds)
     w = Window.partitionBy(*keys, "_slice").orderBy("ts")
-    x = x.withColumn("_gap", F.col("_e") - F.lag("_e").over(w))
-    heads = x.groupBy(*keys, "_slice").agg(F.max("_e").alias("_last"))
-    heads = heads.withColumn("_prev_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")))
-    heads = heads.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_slice").alias("_h_slice"), "_prev_last")
-    cond = [x[k].eqNullSafe(heads[f"_h_{k}"]) for k in keys] + [x["_slice"] == heads["_h_slice"]]
-    joined = x.join(heads, cond, "left")
+    x = x.withColumns({"_gap": F.col("_e") - F.lag("_e").over(w), "_tail": F.lead("_e").over(w).isNull()})
+    tails = x.filter(F.col("_tail")).select(*keys, "_slice", F.col("_e").alias("_last"))
+    tails = tails.withColumn("_prev_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")))
+    tails = tails.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_slice").alias("_h_slice"), "_prev_last")
+    cond = [x[k].eqNullSafe(tails[f"_h_{k}"]) for k in keys] + [x["_slice"] == tails["_h_slice"]]
+    joined = x.join(tails, cond, "left")
     return joined.select(
         *keys, "ts",
         F.coalesce(F.col("_gap"), F.col("_e") - F.col("_prev_last")).alias("interval_seconds"),

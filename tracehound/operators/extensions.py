@@ -33,14 +33,15 @@ def previous_in_order(df: DataFrame, keys: Sequence[str], time_col: str, order:
 
     ``lag`` runs inside (keys, time slice) partitions, so a hot key is
     spread over its slices; the first row of each slice takes the last
-    row of the previous non-empty slice (one row per slice, joined back)."""
+    row of the previous non-empty slice (one row per slice, joined back;
+    both branches come from one window, so the input is read once)."""
     x = df.withColumn("_slice", F.floor(epoch_seconds(time_col) / F.lit(slice_seconds)))
     w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    x = x.withColumn("_head", F.lag(F.lit(1)).over(w).isNull())
-    for v in values:
-        x = x.withColumn(f"_lag_{v}", F.lag(v).over(w))
-    tails = x.groupBy(*keys, "_slice").agg(
-        F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"))
+    x = x.withColumns({"_head": F.lag(F.lit(1)).over(w).isNull(), "_is_tail": F.lead(F.lit(1)).over(w).isNull(),
+                       **{f"_lag_{v}": F.lag(v).over(w) for v in values}})
+    # the last row of each slice, from the same window; it carries the whole
+    # row so both branches need the same columns and share one exchange
+    tails = x.filter(F.col("_is_tail")).select(*keys, "_slice", F.struct(*df.columns).alias("_tail"))
     tails = tails.withColumn("_prev_tail", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_slice")))
     tails = tails.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_slice").alias("_t_slice"), "_prev_tail")
     cond = [x[k].eqNullSafe(tails[f"_t_{k}"]) for k in keys] + [x["_slice"] == tails["_t_slice"]]
