@@ -7,6 +7,7 @@ the best of ``BENCH_REPEAT`` timed passes per query.  Prints one JSON line.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import sys
@@ -32,6 +33,8 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="tracehound-bench")
     for n in names:                                   # warm-up
         run_once(catalog.REGISTRY[n](spark, sf_dir))
+    gc.collect()                                      # start the timed pass with clean heaps
+    spark.sparkContext._jvm.System.gc()
     times = {}
     for n in names:
         best = None

@@ -55,3 +55,14 @@ def test_failed_run_recorded(spark):
         pass
     ev = spark.read.parquet(f"{out}/hunt_executions").filter(F.col("status") == "failed").collect()
     assert len(ev) == 1 and ev[0].error_message
+
+
+def test_campaign_records_failure_and_continues(spark):
+    out = tempfile.mkdtemp(prefix="th-camp-")
+    inputs = {"conn_logs": fx.load(spark, SF, "conn_logs"), "dns_logs": spark.createDataFrame([(1,)], "x int"),
+              "win_security": fx.load(spark, SF, "win_security")}
+    res = jobs.run_campaign(spark, inputs, results_dir=out, first_execution_id=100, start_date=dt.date(2024, 1, 1),
+                            end_date=dt.date(2024, 1, 30),
+                            params={"c2_beaconing": fx.C2_PARAMS, "lateral_movement": fx.LATERAL_PARAMS})
+    status = {r["hunt_name"]: r["status"] for r in res}
+    assert status == {"c2_beaconing": "completed", "dns_tunneling": "failed", "lateral_movement": "completed"}

@@ -98,3 +98,24 @@ def test_streaming_dedup_and_ioc_upkeep(spark):
     # duplicates of a fingerprint inside the watermark are dropped
     dd = run(spark, st.streaming_dedup(stream, watermark="36500 days"), "append")
     assert dd.count() == dedup.with_fingerprint(f).select("fingerprint").distinct().count()
+
+
+def test_late_rows_counted_not_applied(spark):
+    base = dt.datetime(2024, 1, 1)
+    schema = "ts timestamp_ntz, id_orig_h string, id_resp_h string, id_resp_p int, orig_bytes long, resp_bytes long, duration double"
+    path = tempfile.mkdtemp(prefix="th-late-") + "/in"
+    on_time = [(base + dt.timedelta(minutes=m), "a", "b", 443, 10, 0, 1.0) for m in (10, 20, 30)]
+    late = [(base + dt.timedelta(minutes=5), "a", "b", 443, 10, 0, 1.0)]
+    spark.createDataFrame(on_time, schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    name = f"late_{uuid.uuid4().hex[:6]}"
+    st.run_available_now(st.streaming_c2_profile(stream), name, sink="memory", output_mode="update")
+    final = max(spark.table(name).collect(), key=lambda r: (r.connection_count, r.late_rows))
+    assert (final.connection_count, final.late_rows, final.avg_interval) == (3, 1, 600.0)
+
+
+def test_checkpoint_dir_defaults_to_session_setting(spark):
+    from tracehound.session import checkpoint_dir
+    d = checkpoint_dir(spark)
+    assert d and spark.conf.get("spark.checkpoint.dir") == d

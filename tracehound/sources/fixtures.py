@@ -36,8 +36,18 @@ FANOUT_PARAMS = {"ports": (443,), "min_destinations": 3}
 # ---------------------------------------------------------------------------
 
 
+_LOADED: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A test table, loaded once per session (as a user registers a table
+    once and references it from many queries; the files are read-only)."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (str(spark._jsparkSession.sessionUUID()), path)
+    df = _LOADED.get(key)
+    if df is None:
+        df = _LOADED[key] = spark.read.parquet(path)
+    return df
 
 
 def _with_ymd(df: DataFrame, ts: str) -> DataFrame:

@@ -156,3 +156,24 @@ def ioc_upkeep(base_path: str):
         merged = delta if state is None else ioc.ioc_upsert(state, delta)
         sinks.swap_write(merged, base_path, name=f"b-{batch_id:012d}")
     return apply
+
+
+def run_available_now(df: DataFrame, name: str, *, sink: str = "parquet", path: str | None = None,
+                      output_mode: str = "append", checkpoint: str | None = None, foreach_batch=None):
+    """Process everything available once and stop (``availableNow``).
+
+    The checkpoint goes under the shared folder the cluster names in
+    ``spark.checkpoint.dir`` unless one is given, so a restarted job resumes
+    from its last committed batch."""
+    from tracehound.session import checkpoint_dir
+    ck = checkpoint or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
+    w = df.writeStream.outputMode(output_mode).option("checkpointLocation", ck).trigger(availableNow=True)
+    if foreach_batch is not None:
+        w = w.foreachBatch(foreach_batch)
+    elif sink == "memory":
+        w = w.format("memory").queryName(name)
+    else:
+        w = w.format(sink).option("path", path)
+    q = w.start()
+    q.awaitTermination()
+    return q
