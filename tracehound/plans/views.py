@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.functions.scoring import severity_from_rank, severity_rank
+from tracehound.functions.scoring import SEVERITY_LEVELS, severity_from_rank, severity_rank
+
+# Severity levels in text order: how MAX over the severity text ranks them.
+TEXT_ORDER = sorted(SEVERITY_LEVELS)
 
 
 def not_false_positive(findings: DataFrame) -> DataFrame:
@@ -36,8 +39,20 @@ def count_when(cond: Column) -> Column:
 
 
 def max_severity_text(col: str = "severity") -> Column:
-    """MAX over the severity text (what the reference's SQL returns)."""
-    return F.max(col)
+    """MAX over the severity text (what the reference's SQL returns:
+    'medium' > 'low' > 'info' > 'high' > 'critical').  Computed as the max of
+    each level's text position, an integer, so the aggregate stays
+    hash-based (a string max forces a sort-based aggregate).  Severity is
+    the result table's five-level enum; other text is ignored."""
+    c = F.col(col)
+    pos = F.when(c.isNull(), F.lit(None).cast("int"))
+    for i, level in enumerate(TEXT_ORDER):
+        pos = pos.when(c == level, F.lit(i))
+    m = F.max(pos)
+    out = F.when(m.isNull(), F.lit(None).cast("string"))
+    for i, level in enumerate(TEXT_ORDER):
+        out = out.when(m == i, F.lit(level))
+    return out
 
 
 def max_severity_ranked(col: str = "severity") -> Column:
