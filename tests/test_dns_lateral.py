@@ -90,3 +90,11 @@ def test_privileged_null_is_false(spark):
     df = spark.createDataFrame([(None,), ("xAdMiNx",), ("bob",)], "username string")
     got = {r.username: r.p for r in df.select("username", scoring.is_privileged("username").alias("p")).collect()}
     assert got == {None: False, "xAdMiNx": True, "bob": False}
+
+
+def test_registry_run_hunt_and_unknown_name(spark):
+    from tracehound.operators import hunts
+    df = logons(spark, "SVC_backup", [f"h{i}" for i in range(5)], 10)
+    assert hunts.run_hunt("lateral_movement", {"win_security": df}).count() == 1
+    with pytest.raises(ValueError):
+        hunts.get("no_such_hunt")

@@ -94,3 +94,8 @@ def test_lookback_hunt_reads_pruned_range(spark):
     r = jobs.run_lookback_hunt(spark, "c2_beaconing", src, results_dir=tempfile.mkdtemp(prefix="th-lbr-"), execution_id=5,
                                as_of="2024-01-31", lookback_days=30, params=fx.C2_PARAMS)
     assert r["records_analyzed"] == 1000 and r["findings_count"] == 31
+
+
+def test_inventory_sample_row(spark):
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    assert inventory.sample_row(df).count() == 1

@@ -119,3 +119,19 @@ def test_checkpoint_dir_defaults_to_session_setting(spark):
     from tracehound.session import checkpoint_dir
     d = checkpoint_dir(spark)
     assert d and spark.conf.get("spark.checkpoint.dir") == d
+
+
+def test_streaming_c2_findings_equal_batch(spark):
+    import json
+    logs = fx.load(spark, SF, "conn_logs").drop("year", "month", "day")
+    got = run(spark, st.streaming_c2(stream_of(spark, logs, "ts"), **fx.C2_PARAMS), "update")
+    final = {}   # a pair's last emission is the one over the most connections
+    for r in got.collect():
+        k, n = (r.source_ip, r.destination_ip), json.loads(r.raw_data)["connection_count"]
+        if k not in final or n > final[k][0]:
+            final[k] = (n, r)
+    want = {(r.source_ip, r.destination_ip): r for r in c2.c2_beaconing(logs, **fx.C2_PARAMS).collect()}
+    assert want and set(want) <= set(final)
+    for k, w in want.items():
+        g = final[k][1]
+        assert (g.confidence_score, g.severity, g.description, g.raw_data) == (w.confidence_score, w.severity, w.description, w.raw_data)

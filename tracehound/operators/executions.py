@@ -49,13 +49,6 @@ def execution_log_latest(events: DataFrame) -> DataFrame:
     return latest.select("execution_id", "_s.*")
 
 
-def start_event(execution_id, hunt_name: str, start, params_json: str | None = None) -> dict:
-    """A start event as a plain record (for appending a run's first row)."""
-    return {"execution_id": execution_id, "event_seq": START, "event_time": start, "hunt_name": hunt_name,
-            "execution_start": start, "execution_end": None, "status": "running", "records_analyzed": None,
-            "findings_count": None, "parameters": params_json}
-
-
 def campaign_summary(executions: DataFrame) -> DataFrame:
     """Per campaign (runs started the same day): runs, completed,
     failed, findings of completed runs, and the hunts that ran."""

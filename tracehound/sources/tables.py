@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracehound.functions.timecols import as_date, normalize_time
+from tracehound.functions.timecols import as_date
 
 PARTITION_COLUMNS = ("year", "month", "day")
 # Markers of a table root: a Delta log, or the success file Spark writes.
@@ -107,7 +107,3 @@ def lookback_range(as_of: _dt.date | str, days: int) -> tuple[_dt.date, _dt.date
     end = as_date(as_of)
     return end - _dt.timedelta(days=days), end
 
-
-def with_event_time(df: DataFrame, time_col: str) -> DataFrame:
-    """Normalise a string/NTZ event time column in place."""
-    return normalize_time(df, time_col)
