@@ -49,3 +49,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+# Runtime SQL settings for a large cluster (about 1000 executors, ~100 TB of
+# logs).  Sizes are per task, so they do not change with the data volume:
+# AQE starts from many shuffle partitions and coalesces them to ~256 MB,
+# splits skewed join partitions, and broadcasts only sides measured below
+# 64 MB at run time.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_settings(spark: SparkSession, overrides: dict[str, str] | None = None) -> None:
+    """Set ``CLUSTER_SETTINGS`` (plus ``overrides``) on a running session."""
+    for k, v in {**CLUSTER_SETTINGS, **(overrides or {})}.items():
+        spark.conf.set(k, v)
