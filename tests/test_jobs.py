@@ -40,9 +40,15 @@ def test_hunt_job_store_dedup_and_export(spark):
                            end_date=dt.date(2024, 1, 30), params=fx.LATERAL_PARAMS, now=now)
     assert r3["records_analyzed"] == lat.filter(F.col("event_code").isin("4624", "4625", "4648")).count()
     counts = jobs.run_full_export(spark, out, as_of=dt.date(2024, 3, 2), days=90)
-    assert set(counts) == {"dashboard_hunt_summary", "dashboard_severity_trends", "dashboard_finding_types", "dashboard_top_indicators"}
+    assert set(counts) == {"dashboard_hunt_summary", "dashboard_severity_trends", "dashboard_finding_types",
+                           "dashboard_top_indicators", "dashboard_ioc_feed", "hunt_statistics"}
+    # new findings are not in the feed until an analyst confirms or investigates them
+    assert counts["hunt_statistics"] >= 1 and counts["dashboard_ioc_feed"] == 0
     assert sinks.read_versioned(spark, f"{out}/hunt_statistics").count() >= 1
-    assert spark.read.json(f"{out}/report").count() == 1
+    assert spark.read.json(f"{out}/report/latest").count() == 1
+    path = jobs.save_report(spark, out, as_of=dt.date(2024, 3, 2), days=90)
+    rep = spark.read.json(path).collect()[0]
+    assert rep.total_hunts == 3 and rep.successful_hunts == 3
 
 
 def test_failed_run_recorded(spark):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tracehound.operators import dedup, hunts, ioc
 from tracehound.plans import dashboards, report, views
+from tracehound.functions.timecols import as_date
 from tracehound.sources import sinks
 
 EVENT_SCHEMA = ("execution_id bigint, event_seq int, event_time timestamp, hunt_name string, hunt_version string, "
@@ -121,21 +122,49 @@ def run_lookback_hunt(spark: SparkSession, name: str, path: str, *, results_dir:
                         start_date=start, end_date=end, params=params)
 
 
-def run_full_export(spark: SparkSession, results_dir: str, *, as_of, days: int = 30) -> dict[str, int]:
-    """Views, the four summaries, the IOC feed and the statistics upsert,
-    written next to the result tables.  Returns row counts."""
+def _stored(spark: SparkSession, results_dir: str) -> tuple[DataFrame, DataFrame]:
     from tracehound.operators.executions import execution_log_latest
     p = _paths(results_dir)
-    findings = spark.read.parquet(p["hunt_findings"])
-    executions = execution_log_latest(spark.read.parquet(p["hunt_executions"]))
+    return spark.read.parquet(p["hunt_findings"]), execution_log_latest(spark.read.parquet(p["hunt_executions"]))
+
+
+def create_ioc_feed(spark: SparkSession, results_dir: str) -> int:
+    """The IOC feed table (replaced); returns its row count."""
+    findings, _ = _stored(spark, results_dir)
+    path = os.path.join(results_dir, "dashboard_ioc_feed")
+    sinks.replace_table(dashboards.dashboard_ioc_feed(findings), path)
+    return spark.read.parquet(path).count()
+
+
+def update_statistics_table(spark: SparkSession, results_dir: str, *, as_of, days: int = 7) -> int:
+    """Upsert the last ``days`` days of per-run statistics; returns the
+    number of rows written for this period."""
+    findings, executions = _stored(spark, results_dir)
+    base = _paths(results_dir)["hunt_statistics"]
+    new_stats = dashboards.hunt_statistics(executions, findings, as_of=as_of, days=days)
+    old_stats = sinks.read_versioned(spark, base)
+    written = sinks.swap_write(new_stats if old_stats is None else dashboards.upsert_statistics(old_stats, new_stats), base)
+    return spark.read.parquet(written).filter(F.col("execution_date") >= F.lit(as_date(as_of) - _dt.timedelta(days=days))).count()
+
+
+def save_report(spark: SparkSession, results_dir: str, *, as_of, days: int = 7, output_path: str | None = None) -> str:
+    """The executive report (R5) as a JSON document; returns its path."""
+    findings, executions = _stored(spark, results_dir)
+    path = output_path or os.path.join(results_dir, "report", f"{as_date(as_of):%Y%m%d}")
+    sinks.write_report(report.report_summary(findings, executions, as_of=as_of, days=days), path)
+    return path
+
+
+def run_full_export(spark: SparkSession, results_dir: str, *, as_of, days: int = 30) -> dict[str, int]:
+    """Views, the four summaries, the IOC feed, the statistics upsert and
+    the report, written next to the result tables.  Returns row counts."""
+    findings, executions = _stored(spark, results_dir)
     views.create_dashboard_views(findings, executions)
     counts = {}
     for name, df in dashboards.export_summary_statistics(findings, executions, as_of=as_of, days=days).items():
         sinks.replace_table(df, os.path.join(results_dir, name))
         counts[name] = spark.read.parquet(os.path.join(results_dir, name)).count()
-    sinks.replace_table(dashboards.dashboard_ioc_feed(findings), os.path.join(results_dir, "dashboard_ioc_feed"))
-    new_stats = dashboards.hunt_statistics(executions, findings, as_of=as_of)
-    old_stats = sinks.read_versioned(spark, p["hunt_statistics"])
-    sinks.swap_write(new_stats if old_stats is None else dashboards.upsert_statistics(old_stats, new_stats), p["hunt_statistics"])
-    sinks.write_report(report.report_summary(findings, executions, as_of=as_of, days=7), os.path.join(results_dir, "report"))
+    counts["dashboard_ioc_feed"] = create_ioc_feed(spark, results_dir)
+    counts["hunt_statistics"] = update_statistics_table(spark, results_dir, as_of=as_of)
+    save_report(spark, results_dir, as_of=as_of, output_path=os.path.join(results_dir, "report", "latest"))
     return counts
