@@ -35,6 +35,8 @@ def test_hunt_job_store_dedup_and_export(spark):
     assert stored.filter(F.col("execution_id") == 1).count() == 31
     iocs = sinks.read_versioned(spark, f"{out}/hunt_iocs")
     assert iocs.count() > 0
+    # the retried run did not count its sightings twice
+    assert iocs.agg(F.sum("times_seen")).collect()[0][0] == 31 * 2   # a source and a destination per finding
     lat = fx.load(spark, SF, "win_security")
     r3 = jobs.run_hunt_job(spark, "lateral_movement", lat, results_dir=out, execution_id=3, start_date=dt.date(2024, 1, 1),
                            end_date=dt.date(2024, 1, 30), params=fx.LATERAL_PARAMS, now=now)

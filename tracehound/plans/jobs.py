@@ -69,10 +69,14 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame, *, results_dir
         sinks.append_findings(table, p["hunt_findings"])
         n_found = int(written.get["n"])
         records = int(seen.get.get("n") or 0)
-        stored = spark.read.parquet(p["hunt_findings"]).filter(F.col("execution_id") == execution_id)
-        delta = ioc.ioc_rollup(stored)
-        state = sinks.read_versioned(spark, p["hunt_iocs"])
-        sinks.swap_write(delta if state is None else ioc.ioc_upsert(state, delta), p["hunt_iocs"])
+        # IOC version named after the run: a retried run whose update already
+        # landed does not apply its sightings twice
+        version = f"x-{execution_id:012d}"
+        if not sinks.version_exists(spark, p["hunt_iocs"], version):
+            stored = spark.read.parquet(p["hunt_findings"]).filter(F.col("execution_id") == execution_id)
+            delta = ioc.ioc_rollup(stored)
+            state = sinks.read_versioned(spark, p["hunt_iocs"])
+            sinks.swap_write(delta if state is None else ioc.ioc_upsert(state, delta), p["hunt_iocs"], name=version)
         end = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         sinks.append_events(_event(spark, {**base, "event_seq": 1, "event_time": end, "execution_end": end,
                                            "status": "completed", "records_analyzed": records,

@@ -93,6 +93,12 @@ def current_version(spark: SparkSession, base: str) -> str | None:
     return f"{base}/{name.strip()}" if name else None
 
 
+def version_exists(spark: SparkSession, base: str, name: str) -> bool:
+    """Whether version ``name`` of a versioned table was written completely."""
+    fs, jvm = _fs(spark, base)
+    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/_SUCCESS")))
+
+
 def read_versioned(spark: SparkSession, base: str) -> DataFrame | None:
     cur = current_version(spark, base)
     return spark.read.parquet(cur) if cur else None
