@@ -32,6 +32,7 @@ PAIR = ["source_ip", "destination_ip", "destination_port"]
 HUNT = "c2_beaconing"
 DEFAULT_SLICE_SECONDS = 300
 _EXACT = "decimal(38,0)"
+_LONG_SAFE_SLICE = 86400          # gap^2 <= 7.5e9: a long sum holds > 1e9 such gaps
 
 
 def conn_pairs(conn_logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -58,11 +59,14 @@ def slice_moments(pairs: DataFrame, keys: Sequence[str], slice_seconds: int = DE
     w = Window.partitionBy(*keys, "_slice").orderBy("ts")
     x = x.withColumn("_gap", F.col("_e") - F.lag("_e").over(w))
     b = F.col("orig_bytes")
+    # a gap inside a slice is at most the slice width, so squares summed as
+    # long cannot overflow for any realistic slice; very wide slices sum exactly
+    gap = F.col("_gap") if slice_seconds <= _LONG_SAFE_SLICE else F.col("_gap").cast(_EXACT)
     return x.groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("_gap").alias("gn"),
         F.coalesce(F.sum("_gap"), F.lit(0)).alias("g1"),
-        F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0)).alias("g2"),
+        F.coalesce(F.sum(gap * gap), F.lit(0)).alias("g2"),
         F.min("_e").alias("e_first"),
         F.max("_e").alias("e_last"),
         F.min("ts").alias("ts_first"),
