@@ -150,3 +150,11 @@ def test_hot_pair_is_spread_and_exact(spark):
         assert r.connection_count == x.n
         assert r.interval_stddev == pytest.approx(x.s, rel=1e-9)
         assert (r.bytes_sent_stddev or 0.0) == pytest.approx(x.sb or 0.0, rel=1e-9, abs=1e-12)
+
+
+def test_byte_similarity_threshold_optional_filter(spark):
+    df = conn(spark, every(20, 60), bytes_=lambda i: 100 if i % 2 else 1900)   # regular gaps, very uneven bytes
+    assert c2.c2_beaconing(df).count() == 1
+    assert c2.c2_beaconing(df, byte_similarity_threshold=0.8).count() == 0
+    prof = c2.c2_beacon_profile(df).collect()[0]
+    assert prof.byte_similarity < 0.8 and prof.session_seconds == 19 * 60

@@ -98,3 +98,23 @@ def test_registry_run_hunt_and_unknown_name(spark):
     assert hunts.run_hunt("lateral_movement", {"win_security": df}).count() == 1
     with pytest.raises(ValueError):
         hunts.get("no_such_hunt")
+
+
+def test_entropy_threshold_filters_findings(spark):
+    varied = "".join(chr(97 + (i * 7) % 26) for i in range(100))
+    high = ".".join(varied[i:i + 20] for i in range(0, 100, 20)) + ".example"      # 6 labels, 112 chars, ~4.8 bits
+    low = ".".join(["a" * 20] * 5) + ".example"                                    # 6 labels, 112 chars, ~0.7 bits
+    rows = [(T0, "10.2.0.9", high), (T0, "10.2.0.9", low)]
+    df = dns_df(spark, rows)
+    assert dns.dns_tunneling(df).count() == 2
+    kept = [r.destination_hostname for r in dns.dns_tunneling(df, entropy_threshold=3.5).collect()]
+    assert kept == [high]
+
+
+def test_entropy_values(spark):
+    import math
+    from tracehound.operators.extensions import query_entropy
+    df = spark.createDataFrame([("aabb",), ("abcd",), ("aaaa",)], "query_domain string")
+    got = {r.query_domain: r.entropy for r in query_entropy(df).collect()}
+    assert got["aabb"] == pytest.approx(1.0) and got["abcd"] == pytest.approx(2.0) and got["aaaa"] == pytest.approx(0.0)
+    assert math.isfinite(got["abcd"])

@@ -112,3 +112,11 @@ def test_report_summary_one_row_empty_period(spark):
     r = report.report_summary(f(spark, []), ex, as_of="2024-01-10", days=7).collect()
     assert len(r) == 1 and r[0].total_hunts == 0 and r[0].success_rate is None
     assert r[0].severity_breakdown == [] and r[0].period_start == dt.date(2024, 1, 3)
+
+
+def test_views_approx_distinct_close_to_exact(spark):
+    rows = [row(i, D(2024, 1, 1), src=f"10.0.0.{i % 50}") for i in range(400)]
+    exact = {(r.hunt_name, r.severity): r.unique_sources for r in views.vw_daily_findings(f(spark, rows)).collect()}
+    approx = {(r.hunt_name, r.severity): r.unique_sources for r in views.vw_daily_findings(f(spark, rows), approx=True).collect()}
+    for k, v in exact.items():
+        assert abs(approx[k] - v) <= max(1, 0.05 * v)
