@@ -58,23 +58,22 @@ def slice_moments(pairs: DataFrame, keys: Sequence[str], slice_seconds: int = DE
     x = _sliced(pairs, slice_seconds)
     w = Window.partitionBy(*keys, "_slice").orderBy("ts")
     x = x.withColumn("_gap", F.col("_e") - F.lag("_e").over(w))
-    b = F.col("orig_bytes")
     # a gap inside a slice is at most the slice width, so squares summed as
     # long cannot overflow for any realistic slice; very wide slices sum exactly
-    gap = F.col("_gap") if slice_seconds <= _LONG_SAFE_SLICE else F.col("_gap").cast(_EXACT)
-    return x.groupBy(*keys, "_slice").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("_gap").alias("gn"),
-        F.coalesce(F.sum("_gap"), F.lit(0)).alias("g1"),
-        F.coalesce(F.sum(gap * gap), F.lit(0)).alias("g2"),
-        F.min("_e").alias("e_first"),
-        F.max("_e").alias("e_last"),
-        F.min("ts").alias("ts_first"),
-        F.max("ts").alias("ts_last"),
-        F.count(b).alias("bn"),
-        F.avg(b).alias("bmean"),
-        (F.var_pop(b) * F.count(b)).alias("bm2"),
-    )
+    gap = "_gap" if slice_seconds <= _LONG_SAFE_SLICE else f"CAST(_gap AS {_EXACT})"
+    return x.groupBy(*keys, "_slice").agg(*[F.expr(e) for e in (
+        "count(1) AS n",
+        "count(_gap) AS gn",
+        "coalesce(sum(_gap), 0) AS g1",
+        f"coalesce(sum({gap} * {gap}), 0) AS g2",
+        "min(_e) AS e_first",
+        "max(_e) AS e_last",
+        "min(ts) AS ts_first",
+        "max(ts) AS ts_last",
+        "count(orig_bytes) AS bn",
+        "avg(orig_bytes) AS bmean",
+        "var_pop(orig_bytes) * count(orig_bytes) AS bm2",
+    )])
 
 
 def with_edges(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,49 +89,48 @@ def with_edges(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
     })
 
 
+# Level-2 merge, as SQL expressions over the slice rows.  Gap sums are exact
+# integers; the byte M2 is taken about the reference point _bmu and shifted
+# to the group mean: M2 = sum(M2_i + n_i (mean_i - c)^2) - N (mean - c)^2.
+_MERGE = [
+    "sum(n) AS connection_count",
+    "sum(gn) + count(_edge) AS _gaps",
+    f"sum(CAST(g1 AS {_EXACT})) + coalesce(sum(CAST(_edge AS {_EXACT})), 0) AS _g1",
+    f"sum(CAST(g2 AS {_EXACT})) + coalesce(sum(CAST(_edge AS {_EXACT}) * CAST(_edge AS {_EXACT})), 0) AS _g2",
+    "sum(bn) AS _bn",
+    "try_divide(sum(bn * bmean), sum(bn)) AS avg_bytes_sent",
+    "sum(bm2 + bn * (bmean - _bmu) * (bmean - _bmu)) AS _bm2_c",
+    "max(_bmu) AS _c",
+    "min(e_first) AS first_seen",
+    "max(e_last) AS last_seen",
+    "min(ts_first) AS first_ts",
+    "max(ts_last) AS last_ts",
+]
+_PROFILE = [
+    "connection_count",
+    "CASE WHEN _gaps > 0 THEN CAST(_g1 AS DOUBLE) / CAST(_gaps AS DOUBLE) END AS avg_interval",
+    f"CASE WHEN _gaps > 1 THEN sqrt(CAST(CAST(_gaps AS {_EXACT}) * _g2 - _g1 * _g1 AS DOUBLE)"
+    " / (CAST(_gaps AS DOUBLE) * CAST(_gaps - 1 AS DOUBLE))) END AS interval_stddev",
+    "avg_bytes_sent",
+    "CASE WHEN _bn > 1 THEN sqrt(greatest(_bm2_c - _bn * (avg_bytes_sent - _c) * (avg_bytes_sent - _c), 0.0)"
+    " / CAST(_bn - 1 AS DOUBLE)) END AS bytes_sent_stddev",
+    "first_seen",
+    "last_seen",
+    "first_ts",
+    "last_ts",
+]
+
+
 def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | None = None,
                   keep: Sequence[str] = ()) -> DataFrame:
     """Level 2: merge slice moments to one profile row per keys.
 
     ``edge_used`` (optional boolean column) drops boundary gaps that are
     not part of the group (used by the sliding sweep)."""
-    edge = F.col("_edge") if edge_used is None else F.when(edge_used, F.col("_edge"))
-    edge_x = edge.cast(_EXACT)
-    dev = F.col("bmean") - F.col("_bmu")
-    agg = edged.groupBy(*keys).agg(
-        F.sum("n").alias("connection_count"),
-        (F.sum("gn") + F.count(edge)).alias("_gaps"),
-        (F.sum(F.col("g1").cast(_EXACT)) + F.coalesce(F.sum(edge_x), F.lit(0))).alias("_g1"),
-        (F.sum(F.col("g2").cast(_EXACT)) + F.coalesce(F.sum(edge_x * edge_x), F.lit(0))).alias("_g2"),
-        F.sum("bn").alias("_bn"),
-        F.try_divide(F.sum(F.col("bn") * F.col("bmean")), F.sum("bn")).alias("avg_bytes_sent"),
-        F.sum(F.col("bm2") + F.col("bn") * dev * dev).alias("_bm2_c"),
-        F.max("_bmu").alias("_c"),
-        F.min("e_first").alias("first_seen"),
-        F.max("e_last").alias("last_seen"),
-        F.min("ts_first").alias("first_ts"),
-        F.max("ts_last").alias("last_ts"),
-        *[F.first(k).alias(k) for k in keep],
-    )
-    # M2 about the group mean from M2 about the reference point c (exact
-    # identity: sum(M2_i + n_i (mean_i - c)^2) - N (mean - c)^2)
-    shift = F.col("avg_bytes_sent") - F.col("_c")
-    agg = agg.withColumn("_bm2", F.col("_bm2_c") - F.col("_bn") * shift * shift)
-    gaps, g1, g2 = F.col("_gaps"), F.col("_g1"), F.col("_g2")
-    var_num = (gaps.cast(_EXACT) * g2 - g1 * g1).cast("double")
-    bn = F.col("_bn")
-    return agg.select(
-        *keys, *keep,
-        "connection_count",
-        F.when(gaps > 0, g1.cast("double") / gaps.cast("double")).alias("avg_interval"),
-        F.when(gaps > 1, F.sqrt(var_num / (gaps.cast("double") * (gaps - 1).cast("double")))).alias("interval_stddev"),
-        "avg_bytes_sent",
-        F.when(bn > 1, F.sqrt(F.greatest(F.col("_bm2"), F.lit(0.0)) / (bn - 1).cast("double"))).alias("bytes_sent_stddev"),
-        "first_seen",
-        "last_seen",
-        "first_ts",
-        "last_ts",
-    )
+    if edge_used is not None:
+        edged = edged.withColumn("_edge", F.when(edge_used, F.col("_edge")))
+    agg = edged.groupBy(*keys).agg(*[F.expr(e) for e in _MERGE], *[F.first(k).alias(k) for k in keep])
+    return agg.selectExpr(*[f"`{k}`" for k in (*keys, *keep)], *_PROFILE)
 
 
 def profile_from_pairs(pairs: DataFrame, by: Sequence[str] = (), slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:

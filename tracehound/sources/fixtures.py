@@ -50,132 +50,109 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def _with_ymd(df: DataFrame, ts: str) -> DataFrame:
-    c = F.col(f"`{ts}`")
-    return df.withColumns({"year": F.year(c), "month": F.month(c), "day": F.dayofmonth(c)})
-
-
-def _secs(c) -> F.Column:
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), c)
-
-
-def hunt_of(key: F.Column) -> F.Column:
-    return (F.when(key % 3 == 0, F.lit(HUNT_NAMES[0]))
-            .when(key % 3 == 1, F.lit(HUNT_NAMES[1]))
-            .otherwise(F.lit(HUNT_NAMES[2])))
+# The mappings below are the FIXTURES.md Spark SQL, as select expressions
+# (one parse per column instead of one JVM call per function).
+YMD = ["year({t}) AS year", "month({t}) AS month", "day({t}) AS day"]
+HUNT_OF = ("CASE {k} % 3 WHEN 0 THEN 'c2_beaconing' WHEN 1 THEN 'dns_tunneling' "
+           "ELSE 'lateral_movement' END")
+
+CONN_LOGS = [
+    "ts",
+    "concat('10.0.', CAST(floor(user_id / 256) AS STRING), '.', CAST(user_id % 256 AS STRING)) AS id_orig_h",
+    "concat('203.0.113.', CAST(ascii(event_type) AS STRING)) AS id_resp_h",
+    "443 AS id_resp_p",
+    "CAST(floor(value * 100) AS BIGINT) AS orig_bytes",
+    "CAST(floor(value * 10) AS BIGINT) AS resp_bytes",
+    "value AS duration",
+]
+
+CONN_LOGS_ALT = [
+    "l_returnflag AS service",
+    "CAST(8000 + l_linenumber AS INT) AS id_resp_p",
+    "l_shipdate + make_dt_interval(0, 0, 0, (l_orderkey * 37 + l_partkey) % 86400) AS ts",
+    "concat('10.4.0.', CAST(l_suppkey % 256 AS STRING)) AS id_orig_h",
+    "concat('198.51.100.', CAST(l_partkey % 256 AS STRING)) AS id_resp_h",
+    "CAST(floor(l_extendedprice) AS BIGINT) AS orig_bytes",
+    "CAST(floor(l_quantity) AS BIGINT) AS resp_bytes",
+    "l_discount AS duration",
+]
+
+DNS_LOGS = [
+    "concat('10.2.0.', CAST(page_id % 20 AS STRING)) AS id_orig_h",
+    "CASE WHEN page_id % 16 = 0 THEN concat(sha2(url, 256), '.', sha2(concat(url, 'x'), 256), '.', md5(url), '.', host) "
+    "WHEN page_id % 4 = 0 THEN concat(md5(url), '.', sha2(url, 256), '.', host) ELSE host END AS query",
+    "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(page_id AS INT)) AS ts",
+]
+
+WIN_SECURITY = [
+    "ts AS `@timestamp`",
+    "CASE event_type WHEN 'click' THEN '4624' WHEN 'view' THEN '4625' WHEN 'error' THEN '4648' ELSE '4634' END AS event_code",
+    "concat(CASE WHEN user_id % 5 = 0 THEN 'Admin' ELSE 'user' END, CAST(user_id % 15 AS STRING)) AS user_name",
+    "concat('host', CAST(CAST(floor(value) AS BIGINT) % 12 AS STRING)) AS host_name",
+    "concat('10.3.0.', CAST(user_id % 15 AS STRING)) AS source_ip",
+    "3 AS logon_type",
+]
+
+EXECUTIONS = [
+    "o_orderkey AS execution_id",
+    HUNT_OF.format(k="o_custkey") + " AS hunt_name",
+    "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400) AS execution_start",
+    "CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400 + 1 + o_custkey % 600) END AS execution_end",
+    "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'running' END AS status",
+    "CAST(floor(o_totalprice) AS BIGINT) AS records_analyzed",
+    "CAST(o_orderkey % 7 AS INT) AS findings_count",
+]
+
+FINDINGS = [
+    "l_orderkey * 10 + l_linenumber AS finding_id",
+    "l_orderkey AS execution_id",
+    HUNT_OF.format(k="l_orderkey") + " AS hunt_name",
+    "CASE WHEN l_quantity > 45 THEN 'critical' WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 15 THEN 'medium' "
+    "WHEN l_quantity > 5 THEN 'low' ELSE 'info' END AS severity",
+    "CASE l_returnflag WHEN 'A' THEN 'c2_beaconing' WHEN 'N' THEN 'dns_tunneling' ELSE 'lateral_movement' END AS finding_type",
+    "CASE WHEN l_suppkey % 17 <> 0 THEN concat('10.0.0.', CAST(l_suppkey AS STRING)) END AS source_ip",
+    "CASE WHEN l_returnflag = 'A' THEN concat('10.1.', CAST(l_partkey % 8 AS STRING), '.', CAST(l_partkey % 5 AS STRING)) END AS destination_ip",
+    "CASE WHEN l_returnflag = 'N' THEN concat('h', CAST(l_partkey % 50 AS STRING), '.example.net') END AS destination_hostname",
+    "CASE WHEN l_returnflag = 'R' THEN concat('user', CAST(l_suppkey % 40 AS STRING)) END AS username",
+    "l_shipdate + make_dt_interval(0, 0, 0, (l_orderkey * 37 + l_partkey) % 86400) AS timestamp",
+    "CAST(l_quantity * 2 AS DECIMAL(5,2)) AS confidence_score",
+    "CASE l_linenumber % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'investigating' WHEN 2 THEN 'confirmed' "
+    "WHEN 3 THEN 'false_positive' ELSE 'resolved' END AS status",
+    "l_shipdate + make_dt_interval(1, 0, 0, 0) AS created_at",
+]
 
 
 def conn_logs(events: DataFrame) -> DataFrame:
     """events -> Zeek-style connection log."""
-    uid = F.col("user_id")
-    df = events.select(
-        F.col("ts"),
-        F.concat(F.lit("10.0."), F.floor(uid / 256).cast("string"), F.lit("."), (uid % 256).cast("string")).alias("id_orig_h"),
-        F.concat(F.lit("203.0.113."), F.ascii("event_type").cast("string")).alias("id_resp_h"),
-        F.lit(443).alias("id_resp_p"),
-        F.floor(F.col("value") * 100).cast("long").alias("orig_bytes"),
-        F.floor(F.col("value") * 10).cast("long").alias("resp_bytes"),
-        F.col("value").alias("duration"),
-    )
-    return _with_ymd(df, "ts")
+    return events.selectExpr(*CONN_LOGS, *[e.format(t="ts") for e in YMD])
 
 
 def conn_logs_alt(lineitem: DataFrame) -> DataFrame:
     """lineitem -> a second connection log with its columns in another
     order, an extra ``service`` column and no partition columns."""
-    ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    return lineitem.select(
-        F.col("l_returnflag").alias("service"),
-        (F.lit(8000) + F.col("l_linenumber")).cast("int").alias("id_resp_p"),
-        (F.col("l_shipdate") + _secs((ok * 37 + pk) % 86400)).alias("ts"),
-        F.concat(F.lit("10.4.0."), (sk % 256).cast("string")).alias("id_orig_h"),
-        F.concat(F.lit("198.51.100."), (pk % 256).cast("string")).alias("id_resp_h"),
-        F.floor(F.col("l_extendedprice")).cast("long").alias("orig_bytes"),
-        F.floor(F.col("l_quantity")).cast("long").alias("resp_bytes"),
-        F.col("l_discount").alias("duration"),
-    )
+    return lineitem.selectExpr(*CONN_LOGS_ALT)
 
 
 def dns_logs(pages: DataFrame) -> DataFrame:
     """pages -> Zeek-style DNS log; every 4th page gets encoded labels,
     every 16th longer ones."""
-    pid, url = F.col("page_id"), F.col("url")
-    host = F.regexp_extract(url, r"^https?://([^/]+)", 1)
-    query = (
-        F.when(pid % 16 == 0, F.concat(F.sha2(url, 256), F.lit("."), F.sha2(F.concat(url, F.lit("x")), 256),
-                                       F.lit("."), F.md5(url), F.lit("."), host))
-        .when(pid % 4 == 0, F.concat(F.md5(url), F.lit("."), F.sha2(url, 256), F.lit("."), host))
-        .otherwise(host)
-    )
-    df = pages.select(
-        F.concat(F.lit("10.2.0."), (pid % 20).cast("string")).alias("id_orig_h"),
-        query.alias("query"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-         + F.make_dt_interval(F.lit(0), F.lit(0), pid.cast("int"))).alias("ts"),
-    )
-    return _with_ymd(df, "ts")
+    with_host = pages.selectExpr("page_id", "url", r"regexp_extract(url, '^https?://([^/]+)', 1) AS host")
+    return with_host.selectExpr(*DNS_LOGS).selectExpr("*", *[e.format(t="ts") for e in YMD])
 
 
 def win_security(events: DataFrame) -> DataFrame:
     """events -> Windows security log (logon events)."""
-    uid, et = F.col("user_id"), F.col("event_type")
-    code = (F.when(et == "click", F.lit("4624")).when(et == "view", F.lit("4625"))
-            .when(et == "error", F.lit("4648")).otherwise(F.lit("4634")))
-    user = F.concat(F.when(uid % 5 == 0, F.lit("Admin")).otherwise(F.lit("user")), (uid % 15).cast("string"))
-    df = events.select(
-        F.col("ts").alias("@timestamp"),
-        code.alias("event_code"),
-        user.alias("user_name"),
-        F.concat(F.lit("host"), (F.floor(F.col("value")).cast("long") % 12).cast("string")).alias("host_name"),
-        F.concat(F.lit("10.3.0."), (uid % 15).cast("string")).alias("source_ip"),
-        F.lit(3).alias("logon_type"),
-    )
-    return _with_ymd(df, "@timestamp")
+    return events.selectExpr(*WIN_SECURITY, *[e.format(t="ts") for e in YMD])
 
 
 def executions(orders: DataFrame) -> DataFrame:
     """orders -> hunt execution log (running ones have no end)."""
-    key, cust, st = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
-    start = F.col("o_orderdate") + _secs(key % 86400)
-    end = F.when(st != "P", F.col("o_orderdate") + _secs(key % 86400 + 1 + cust % 600))
-    status = F.when(st == "F", F.lit("completed")).when(st == "O", F.lit("failed")).otherwise(F.lit("running"))
-    return orders.select(
-        key.alias("execution_id"),
-        hunt_of(cust).alias("hunt_name"),
-        start.alias("execution_start"),
-        end.alias("execution_end"),
-        status.alias("status"),
-        F.floor(F.col("o_totalprice")).cast("long").alias("records_analyzed"),
-        (key % 7).cast("int").alias("findings_count"),
-    )
+    return orders.selectExpr(*EXECUTIONS)
 
 
 def findings(lineitem: DataFrame) -> DataFrame:
     """lineitem -> stored findings.  finding_id is not unique."""
-    ok, ln, pk, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    qty, rf = F.col("l_quantity"), F.col("l_returnflag")
-    severity = (F.when(qty > 45, F.lit("critical")).when(qty > 30, F.lit("high")).when(qty > 15, F.lit("medium"))
-                .when(qty > 5, F.lit("low")).otherwise(F.lit("info")))
-    ftype = (F.when(rf == "A", F.lit(HUNT_NAMES[0])).when(rf == "N", F.lit(HUNT_NAMES[1]))
-             .otherwise(F.lit(HUNT_NAMES[2])))
-    status = (F.when(ln % 5 == 0, F.lit("new")).when(ln % 5 == 1, F.lit("investigating"))
-              .when(ln % 5 == 2, F.lit("confirmed")).when(ln % 5 == 3, F.lit("false_positive"))
-              .otherwise(F.lit("resolved")))
-    return lineitem.select(
-        (ok * 10 + ln).alias("finding_id"),
-        ok.alias("execution_id"),
-        hunt_of(ok).alias("hunt_name"),
-        severity.alias("severity"),
-        ftype.alias("finding_type"),
-        F.when(sk % 17 != 0, F.concat(F.lit("10.0.0."), sk.cast("string"))).alias("source_ip"),
-        F.when(rf == "A", F.concat(F.lit("10.1."), (pk % 8).cast("string"), F.lit("."), (pk % 5).cast("string"))).alias("destination_ip"),
-        F.when(rf == "N", F.concat(F.lit("h"), (pk % 50).cast("string"), F.lit(".example.net"))).alias("destination_hostname"),
-        F.when(rf == "R", F.concat(F.lit("user"), (sk % 40).cast("string"))).alias("username"),
-        (F.col("l_shipdate") + _secs((ok * 37 + pk) % 86400)).alias("timestamp"),
-        (qty * 2).cast("decimal(5,2)").alias("confidence_score"),
-        status.alias("status"),
-        (F.col("l_shipdate") + F.make_dt_interval(F.lit(1), F.lit(0), F.lit(0), F.lit(0))).alias("created_at"),
-    )
+    return lineitem.selectExpr(*FINDINGS)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
