@@ -41,3 +41,20 @@ def test_logon_filter_pushed_to_scan(spark):
 def test_c2_two_exchanges_only(spark):
     p = plan(catalog.REGISTRY["c2_beacon_profile"](spark, SF)).split("== Initial Plan ==")[0]
     assert p.count("Exchange hashpartitioning") == 2
+
+
+def test_observed_records_keep_logon_pushdown(spark):
+    """The job counts analysed records in the hunt's own pass; the logon
+    filter must still reach the parquet reader."""
+    import tempfile
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    from tracehound.operators.hunts import REGISTRY
+    path = tempfile.mkdtemp(prefix="th-obs-") + "/w"
+    catalog.fx.load(spark, SF, "win_security").write.parquet(path)
+    h = REGISTRY["lateral_movement"]
+    obs = Observation("records")
+    df = h.run(h.scope(spark.read.parquet(path)).observe(obs, F.count(F.lit(1)).alias("n")))
+    df.collect()
+    assert obs.get["n"] == catalog.fx.load(spark, SF, "win_security").filter(F.col("event_code").isin("4624", "4625", "4648")).count()
+    assert "PushedFilters: [In(event_code" in df._jdf.queryExecution().executedPlan().toString()

@@ -30,7 +30,9 @@ class Hunt:
     source: str                                   # which log it reads
     run: Callable[..., DataFrame]                 # (logs, **params) -> findings
     records: Callable[[DataFrame], DataFrame]     # rows it analyses (A4)
-    records_metric: Callable[[], object] = lambda: F.count(F.lit(1))   # same count as an aggregate column
+    # the raw rows it analyses, same columns (pushed into the scan); counting
+    # them in the run's own pass gives records_analyzed without a second scan
+    scope: Callable[[DataFrame], DataFrame] = lambda logs: logs
     version: str = "1.0"
     description: str = ""
 
@@ -48,7 +50,7 @@ register(Hunt("c2_beaconing", "conn_logs", c2.c2_beaconing, lambda logs: logs,
 register(Hunt("dns_tunneling", "dns_logs", dns.dns_tunneling, lambda logs: logs,
               description="Detect DNS tunneling for data exfiltration"))
 register(Hunt("lateral_movement", "win_security", lateral.lateral_movement, lateral.logon_events,
-              records_metric=lambda: F.count_if(F.col("event_code").cast("string").isin(*LOGON_CODES)),
+              scope=lambda logs: logs.filter(F.col("event_code").cast("string").isin(*LOGON_CODES)),
               description="Detect lateral movement via authentication logs"))
 
 

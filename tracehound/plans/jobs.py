@@ -56,7 +56,9 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame, *, results_dir
     sinks.append_events(_event(spark, {**base, "event_seq": 0, "event_time": now, "status": "running"}), p["hunt_executions"])
     try:
         seen = Observation(f"records_{execution_id}")
-        findings = h.run(logs.observe(seen, h.records_metric().alias("n")), **params)
+        # the count rides on the hunt's own scan; the scope filter stays below
+        # the observation so it is still pushed into the reader
+        findings = h.run(h.scope(logs).observe(seen, F.count(F.lit(1)).alias("n")), **params)
         history = _read_if_exists(spark, p["hunt_findings"])
         if history is not None:   # a re-run of this execution replaces its own output
             history = history.filter(F.col("execution_id") != execution_id)
