@@ -31,8 +31,10 @@ from tracehound.functions.timecols import epoch_seconds, floor_second, normalize
 PAIR = ["source_ip", "destination_ip", "destination_port"]
 HUNT = "c2_beaconing"
 DEFAULT_SLICE_SECONDS = 300
+# Gaps are non-negative and add up to last - first, so every sum of squared
+# gaps is at most (last - first)^2: a long holds it for spans under ~95
+# years.  Only the variance numerator n*S2 - S1^2 needs exact decimals.
 _EXACT = "decimal(38,0)"
-_LONG_SAFE_SLICE = 86400          # gap^2 <= 7.5e9: a long sum holds > 1e9 such gaps
 
 
 def conn_pairs(conn_logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -58,14 +60,11 @@ def slice_moments(pairs: DataFrame, keys: Sequence[str], slice_seconds: int = DE
     x = _sliced(pairs, slice_seconds)
     w = Window.partitionBy(*keys, "_slice").orderBy("ts")
     x = x.withColumn("_gap", F.col("_e") - F.lag("_e").over(w))
-    # a gap inside a slice is at most the slice width, so squares summed as
-    # long cannot overflow for any realistic slice; very wide slices sum exactly
-    gap = "_gap" if slice_seconds <= _LONG_SAFE_SLICE else f"CAST(_gap AS {_EXACT})"
     return x.groupBy(*keys, "_slice").agg(*[F.expr(e) for e in (
         "count(1) AS n",
         "count(_gap) AS gn",
         "coalesce(sum(_gap), 0) AS g1",
-        f"coalesce(sum({gap} * {gap}), 0) AS g2",
+        "coalesce(sum(_gap * _gap), 0) AS g2",
         "min(_e) AS e_first",
         "max(_e) AS e_last",
         "min(ts) AS ts_first",
@@ -95,8 +94,8 @@ def with_edges(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
 _MERGE = [
     "sum(n) AS connection_count",
     "sum(gn) + count(_edge) AS _gaps",
-    f"sum(CAST(g1 AS {_EXACT})) + coalesce(sum(CAST(_edge AS {_EXACT})), 0) AS _g1",
-    f"sum(CAST(g2 AS {_EXACT})) + coalesce(sum(CAST(_edge AS {_EXACT}) * CAST(_edge AS {_EXACT})), 0) AS _g2",
+    "sum(g1) + coalesce(sum(_edge), 0) AS _g1",
+    "sum(g2) + coalesce(sum(_edge * _edge), 0) AS _g2",
     "sum(bn) AS _bn",
     "try_divide(sum(bn * bmean), sum(bn)) AS avg_bytes_sent",
     "sum(bm2 + bn * (bmean - _bmu) * (bmean - _bmu)) AS _bm2_c",
@@ -109,7 +108,8 @@ _MERGE = [
 _PROFILE = [
     "connection_count",
     "CASE WHEN _gaps > 0 THEN CAST(_g1 AS DOUBLE) / CAST(_gaps AS DOUBLE) END AS avg_interval",
-    f"CASE WHEN _gaps > 1 THEN sqrt(CAST(CAST(_gaps AS {_EXACT}) * _g2 - _g1 * _g1 AS DOUBLE)"
+    f"CASE WHEN _gaps > 1 THEN sqrt(CAST(CAST(_gaps AS {_EXACT}) * CAST(_g2 AS {_EXACT})"
+    f" - CAST(_g1 AS {_EXACT}) * CAST(_g1 AS {_EXACT}) AS DOUBLE)"
     " / (CAST(_gaps AS DOUBLE) * CAST(_gaps - 1 AS DOUBLE))) END AS interval_stddev",
     "avg_bytes_sent",
     "CASE WHEN _bn > 1 THEN sqrt(greatest(_bm2_c - _bn * (avg_bytes_sent - _c) * (avg_bytes_sent - _c), 0.0)"
