@@ -51,7 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # The mappings below are the FIXTURES.md Spark SQL, as select expressions
-# (one parse per column instead of one JVM call per function).
+# (one parse per column instead of one JVM call per function); offsets are
+# added with timestampadd (integer arithmetic) instead of decimal intervals.
 YMD = ["year({t}) AS year", "month({t}) AS month", "day({t}) AS day"]
 HUNT_OF = ("CASE {k} % 3 WHEN 0 THEN 'c2_beaconing' WHEN 1 THEN 'dns_tunneling' "
            "ELSE 'lateral_movement' END")
@@ -69,7 +70,7 @@ CONN_LOGS = [
 CONN_LOGS_ALT = [
     "l_returnflag AS service",
     "CAST(8000 + l_linenumber AS INT) AS id_resp_p",
-    "l_shipdate + make_dt_interval(0, 0, 0, (l_orderkey * 37 + l_partkey) % 86400) AS ts",
+    "timestampadd(SECOND, (l_orderkey * 37 + l_partkey) % 86400, l_shipdate) AS ts",
     "concat('10.4.0.', CAST(l_suppkey % 256 AS STRING)) AS id_orig_h",
     "concat('198.51.100.', CAST(l_partkey % 256 AS STRING)) AS id_resp_h",
     "CAST(floor(l_extendedprice) AS BIGINT) AS orig_bytes",
@@ -81,7 +82,7 @@ DNS_LOGS = [
     "concat('10.2.0.', CAST(page_id % 20 AS STRING)) AS id_orig_h",
     "CASE WHEN page_id % 16 = 0 THEN concat(sha2(url, 256), '.', sha2(concat(url, 'x'), 256), '.', md5(url), '.', host) "
     "WHEN page_id % 4 = 0 THEN concat(md5(url), '.', sha2(url, 256), '.', host) ELSE host END AS query",
-    "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(page_id AS INT)) AS ts",
+    "timestampadd(MINUTE, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts",
 ]
 
 WIN_SECURITY = [
@@ -96,8 +97,8 @@ WIN_SECURITY = [
 EXECUTIONS = [
     "o_orderkey AS execution_id",
     HUNT_OF.format(k="o_custkey") + " AS hunt_name",
-    "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400) AS execution_start",
-    "CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400 + 1 + o_custkey % 600) END AS execution_end",
+    "timestampadd(SECOND, o_orderkey % 86400, o_orderdate) AS execution_start",
+    "CASE WHEN o_orderstatus <> 'P' THEN timestampadd(SECOND, o_orderkey % 86400 + 1 + o_custkey % 600, o_orderdate) END AS execution_end",
     "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'running' END AS status",
     "CAST(floor(o_totalprice) AS BIGINT) AS records_analyzed",
     "CAST(o_orderkey % 7 AS INT) AS findings_count",
@@ -114,11 +115,11 @@ FINDINGS = [
     "CASE WHEN l_returnflag = 'A' THEN concat('10.1.', CAST(l_partkey % 8 AS STRING), '.', CAST(l_partkey % 5 AS STRING)) END AS destination_ip",
     "CASE WHEN l_returnflag = 'N' THEN concat('h', CAST(l_partkey % 50 AS STRING), '.example.net') END AS destination_hostname",
     "CASE WHEN l_returnflag = 'R' THEN concat('user', CAST(l_suppkey % 40 AS STRING)) END AS username",
-    "l_shipdate + make_dt_interval(0, 0, 0, (l_orderkey * 37 + l_partkey) % 86400) AS timestamp",
+    "timestampadd(SECOND, (l_orderkey * 37 + l_partkey) % 86400, l_shipdate) AS timestamp",
     "CAST(l_quantity * 2 AS DECIMAL(5,2)) AS confidence_score",
     "CASE l_linenumber % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'investigating' WHEN 2 THEN 'confirmed' "
     "WHEN 3 THEN 'false_positive' ELSE 'resolved' END AS status",
-    "l_shipdate + make_dt_interval(1, 0, 0, 0) AS created_at",
+    "timestampadd(DAY, 1, l_shipdate) AS created_at",
 ]
 
 
