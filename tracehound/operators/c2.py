@@ -6,9 +6,8 @@ Plan shape (two exchanges, both skew-safe):
    pair *and* a fixed-width time slice of the connection time, so one hot
    pair (say a third of all rows) is spread over ``range/slice`` tasks.
    Inside a slice ``lag`` gives the gaps; the slice is reduced to
-   mergeable moments: gap count/sum/sum of squares (exact integers: a gap
-   inside a slice is at most the slice width), byte count/mean/M2 and the
-   first/last connection time.
+   mergeable moments: gap count/sum/sum of squares (exact 64-bit integers),
+   byte count/mean/M2 and the first/last connection time.
 2. ``pair`` — one row per non-empty slice (at most range/slice per pair,
    independent of traffic).  ``lag`` over slices yields the gap that
    crosses each slice boundary; the sums are merged exactly (gaps) or with
