@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracehound.functions.scoring import severity_rank
 from tracehound.functions.timecols import at_midnight, cutoff
 from tracehound.plans.views import avg_score, count_when, distinct_list, max_severity_ranked, max_severity_text, \
-    not_false_positive, run_seconds
+    n_distinct, not_false_positive, run_seconds
 
 TOP_INDICATORS_LIMIT = 100
 
@@ -25,10 +25,10 @@ def since(df: DataFrame, col: str, as_of: _dt.date | str, days: int) -> DataFram
     return df.filter(F.col(col) >= at_midnight(cutoff(as_of, days), df.schema[col].dataType))
 
 
-def dashboard_hunt_summary(executions: DataFrame, *, as_of, days: int = 30) -> DataFrame:
+def dashboard_hunt_summary(executions: DataFrame, *, as_of, days: int = 30, approx: bool = False) -> DataFrame:
     """Per hunt since the cutoff: executions, findings, mean time, last run."""
     return since(executions, "execution_start", as_of, days).groupBy("hunt_name").agg(
-        F.countDistinct("execution_id").alias("total_executions"),
+        n_distinct("execution_id", approx).alias("total_executions"),
         F.sum("findings_count").cast("long").alias("total_findings"),
         F.avg(run_seconds()).alias("avg_time_seconds"),
         F.max("execution_start").alias("last_run"),

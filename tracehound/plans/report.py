@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from tracehound.functions.scoring import severity_rank
 from tracehound.functions.timecols import as_date, cutoff
 from tracehound.plans.dashboards import since
-from tracehound.plans.views import count_when, distinct_list, max_severity_text, not_false_positive, run_seconds
+from tracehound.plans.views import count_when, distinct_list, max_severity_text, n_distinct, not_false_positive, run_seconds
 
 TOP_THREATS = 10
 
 
-def report_overall(executions: DataFrame, *, as_of, days: int = 7) -> DataFrame:
+def report_overall(executions: DataFrame, *, as_of, days: int = 7, approx: bool = False) -> DataFrame:
     """Runs, findings, completed runs and records since the cutoff."""
     return since(executions, "execution_start", as_of, days).agg(
-        F.countDistinct("execution_id").alias("total_hunts"),
+        n_distinct("execution_id", approx).alias("total_hunts"),
         F.sum("findings_count").cast("long").alias("total_findings"),
         count_when(F.col("status") == "completed").alias("successful_hunts"),
         F.sum("records_analyzed").cast("long").alias("total_records_analyzed"),
