@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, line_dedup, mixing, oracle_sql
+from . import common, exact_dedup, line_dedup, mixing, oracle_sql, packing, token_count, token_shards
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rows an Arrow batch carries to a Python worker; long texts make rows large.
@@ -35,6 +35,26 @@ def op4_mixing(spark, sf_dir):
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+@query
+def op3_token_shards(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_shards.materialise(docs, common.shared_path(spark, "shards"))
+
+
+@query
+def op6_packing(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs)
+
+
+@query
+def op8_token_count(spark, sf_dir):
+    import public_tokenizers
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     out = exact_dedup.exact_duplicates(common.table(spark, sf_dir, "documents"))
