@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, line_dedup, mixing, oracle_sql, packing, token_count, token_shards
+from . import common, exact_dedup, line_dedup, mixing, ngram_join, oracle_sql, packing, token_count, token_shards
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rows an Arrow batch carries to a Python worker; long texts make rows large.
@@ -35,6 +35,11 @@ def op4_mixing(spark, sf_dir):
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+@query
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.components(common.table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 @query
 def op3_token_shards(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
