@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, line_dedup, mixing, ngram_join, oracle_sql, packing, token_count, token_shards
+from . import ann, common, exact_dedup, line_dedup, mixing, ngram_join, oracle_sql, packing, token_count, token_shards
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rows an Arrow batch carries to a Python worker; long texts make rows large.
@@ -46,6 +46,11 @@ def op3_token_shards(spark, sf_dir):
     return token_shards.materialise(docs, common.shared_path(spark, "shards"))
 
 
+@query
+def op5_nearest(spark, sf_dir):
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_packing(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
