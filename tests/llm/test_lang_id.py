@@ -1,0 +1,104 @@
+"""Language identification: held-out accuracy, the fused posterior against a
+plain recomputation, and odd rows."""
+
+import math
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracehound.llm import lang_id
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    return lang_id.fit(docs.where("doc_id % 2 = 0"))
+
+
+def test_held_out_accuracy(docs, model):
+    held = docs.where("doc_id % 2 = 1").withColumn("declared", F.lit(None).cast("string"))
+    rows = held.select("doc_id", "text", "lang", "declared", F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("string").alias("host"))
+    got = lang_id.identify(rows, model, ["doc_id", "lang"]).collect()
+    assert np.mean([r.language == r.lang for r in got]) > 0.98
+    assert np.mean([r.kept for r in got]) > 0.99
+
+
+def plain(rows, model):
+    """The same posterior, row by row: (declared, suffix, host, text)."""
+    k = len(model.languages)
+    soft, ev = [], []
+    for _, _, _, t in rows:
+        e = model.evidence(np.frombuffer((t or "").encode(), np.uint8))
+        ev.append(e)
+        p = np.exp(np.array(e[:k])) if e else np.zeros(k)
+        soft.append(np.floor(p / p.sum() * 1000 + 0.5) if e and e[k] < 0 else np.zeros(k))
+    code = [("" if not d else (d.lower().split("-")[0] if d.lower().split("-")[0] in model.languages else "other")) for d, *_ in rows]
+    total, hosts, suf, codes = sum(soft), defaultdict(lambda: np.zeros(k)), defaultdict(lambda: np.zeros(k)), defaultdict(lambda: np.zeros(k))
+    for (d, s, h, _), n, c in zip(rows, soft, code):
+        hosts[s, h] += n
+        suf[s] += n
+        codes[c] += n
+    overall = (total / 1000 + 1) / (total.sum() / 1000 + k)
+    out = []
+    for (d, s, h, _), n, c, e in zip(rows, soft, code, ev):
+        if e is None:
+            out.append((None, 0.0))
+            continue
+        a, b = (suf[s] - n) / 1000, (hosts[s, h] - n) / 1000
+        ps = (a + 200 * overall) / (a.sum() + 200)
+        ph = (b + 50 * ps) / (b.sum() + 50)
+        said = np.log((codes[c] / 1000 + 1) / (total / 1000 + k + 2))
+        x = np.append(np.array(e[:k]) + said + np.log(ph), e[k] + math.log(1 / (k + 2)) + math.log(1 / (k + 1)))
+        p = np.exp(x - x.max())
+        p /= p.sum()
+        best = int(p[:k].argmax())
+        out.append((model.languages[best] if p[best] >= 0.5 and p[best] > p[k] else None, p[best]))
+    return out
+
+
+def test_fusion_matches_a_plain_recomputation(spark, docs, model):
+    some = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    rows = [("fr-CA" if i % 7 == 0 else "en", "net" if i % 2 else "com", f"h{i % 5}", t) for i, t in enumerate(some)]
+    rows += [(None, None, None, some[3]), ("xx", "net", "h1", "ab"), ("de", "net", "h1", ""), ("DE", "com", "h9", None), ("es", "com", "h9", "12 #$%& 0x9f3a9c 7788 @@ %%^^ ||| 00912")]
+    df = spark.createDataFrame([(i, *r, 1, "x") for i, r in enumerate(rows)], "doc_id long, declared string, suffix string, host string, text string, s int, _x string")
+    got = sorted(lang_id.identify(df, model, ["doc_id"]).collect())
+    for r, (language, p) in zip(got, plain(rows, model), strict=True):
+        assert r.language == language and r.posterior == pytest.approx(p, abs=2e-6) and r.kept == (language is not None)
+
+
+def test_evidence_breaks_a_tie(spark, model):
+    rows = [(i, "de", "net", "a.net", "Einerverch ungzu äkeit aukeitzu der und") for i in range(30)] + [(99, "de", "net", "a.net", "zu")]
+    df = spark.createDataFrame(rows, "doc_id long, declared string, suffix string, host string, text string")
+    assert {r.doc_id: r.language for r in lang_id.identify(df, model, ["doc_id"]).collect()}[99] == "de"
+
+
+def test_noise_goes_and_long_text_stays(spark, model, docs):
+    noise = "#@!% 9382 \x01\x02 qqxz ^^ 7f3e9c0a1b || zxqj 00 ~~ " * 30
+    long = " ".join(r.text for r in docs.where("lang = 'en'").limit(200).collect())
+    df = spark.createDataFrame([(1, noise), (2, long)], "doc_id long, text string").selectExpr("*", "cast(null as string) declared", "cast(null as string) suffix", "cast(null as string) host")
+    assert {r.doc_id: (r.language, r.kept) for r in lang_id.identify(df, model, ["doc_id"]).collect()} == {1: (None, False), 2: ("en", True)}
+
+
+def test_empty_and_unlabelled(spark, docs, model):
+    rows = lang_id.from_documents(docs)
+    assert lang_id.identify(rows.limit(0), model, ["doc_id"]).count() == 0
+    assert lang_id.fit(docs.limit(0)) is None and lang_id.fit(docs.withColumn("lang", F.lit(None).cast("string"))) is None
+    assert all(r.kept and r.language is None for r in lang_id.identify(rows.limit(5), None, ["doc_id"]).collect())
+
+
+def test_pages(spark, model):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = lang_id.identify(lang_id.from_pages(pages), model, ["page_id", "declared", "host"]).collect()
+    assert len(got) == pages.count()
+    assert np.mean([r.language == r.declared for r in got]) > 0.97
+    one = spark.createDataFrame([(1, "https://u@WWW.Example.FR:80/a?b", '<html class=x lang="fr-FR"><script>var a="<p>";</script><p>le <b>mot</b></p><!-- x --></html>'), (2, None, None)], "page_id long, url string, html string")
+    a, b = sorted(lang_id.from_pages(one).collect())
+    assert (a.text, a.declared, a.suffix, a.host) == ("le mot", "fr-FR", "fr", "www.example.fr") and b.text is None

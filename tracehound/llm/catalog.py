@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, common, exact_dedup, line_dedup, mixing, ngram_join, oracle_sql, packing, token_count, token_shards
+from . import ann, common, exact_dedup, lang_id, line_dedup, mixing, ngram_join, oracle_sql, packing, token_count, token_shards
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rows an Arrow batch carries to a Python worker; long texts make rows large.
@@ -65,6 +65,14 @@ def op8_token_count(spark, sf_dir):
     return token_count.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op9_language_id(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs)
+    both = lang_id.from_documents(docs).unionByName(lang_id.from_pages(common.table(spark, sf_dir, "pages")), allowMissingColumns=True)
+    return lang_id.identify(both, model, ["doc_id", "page_id", "declared", "host"])
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     out = exact_dedup.exact_duplicates(common.table(spark, sf_dir, "documents"))
