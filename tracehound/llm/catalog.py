@@ -7,16 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, common, exact_dedup, lang_id, line_dedup, mixing, ngram_join, oracle_sql, packing, token_count, token_shards
+from . import ann, common, exact_dedup, lang_id, line_dedup, mixing, ngram_join, oracle_sql, packing, repeats, token_count, token_shards
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rows an Arrow batch carries to a Python worker; long texts make rows large.
 BATCH_ROWS = 1000
 
 
+def set_batch_rows(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        set_batch_rows(spark)
         return fn(spark, sf_dir)
 
     REGISTRY[fn.__name__] = run
@@ -57,6 +61,11 @@ def op6_packing(spark, sf_dir):
     return packing.pack_documents(docs)
 
 
+@query
+def op7_repeats(spark, sf_dir):
+    return repeats.repeated_passages(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_count(spark, sf_dir):
     import public_tokenizers

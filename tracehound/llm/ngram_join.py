@@ -37,48 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from . import common
+from . import common, words
 
 LOW = 0.25
 CHUNK = 1_500_000
-WORDS = 300_000
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-class _Words(dict):
-    """64-bit hash of a word; emptied when full, since it is only a cache."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of a text; with fewer
     words, of the whole sequence; none without words."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+    h = words.word_hashes(text)
+    return np.unique(words.gram_hashes(h, min(n, len(h)))) if len(h) else h
 
 
 def need(size: int, percent: int) -> int:
@@ -86,10 +57,6 @@ def need(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _texts(b: pa.RecordBatch, column: int) -> Iterator[bytes]:
-    return (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(column))
-
-
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row: doc_id, n (set size), k1, k2 (hash of the set), low (its
     n-grams in the low range), rest (further n-grams if the low ones are fewer
@@ -99,13 +66,11 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in _texts(b, 1):
+            for text in words.texts(b, 1):
                 s = shingles(text, n)
-                d = xxhash.xxh3_128_digest(s.tobytes())
                 p = len(s) - need(len(s), percent) + 1 if len(s) else 0
                 cut = int(np.searchsorted(s, edge))
-                k = (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True))
-                out.append((len(s), *k, p, s[:cut].view(np.int64), s[cut : max(cut, p)].view(np.int64)))
+                out.append((len(s), *words.sequence_key(s), p, s[:cut].view(np.int64), s[cut : max(cut, p)].view(np.int64)))
             cols = list(zip(*out, strict=True))
             longs = pa.list_(pa.int64())
             arrays = [b.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], longs), pa.array(cols[5], longs)]
@@ -286,7 +251,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = pa.array([shingles(t, n).view(np.int64) for t in _texts(b, 1)], pa.list_(pa.int64()))
+            grams = pa.array([shingles(t, n).view(np.int64) for t in words.texts(b, 1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], grams], ["doc", "block", "chunk", "chunks", "grams"])
 
     schema = "doc long, block long, chunk long, chunks long, grams array<long>"
