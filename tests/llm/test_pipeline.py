@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from tests.llm.test_lang_id import plain
-from tests.llm.test_ngram_join import brute as near_brute
-from tests.llm.test_tokens import reference_ids
+from test_lang_id import plain
+from test_ngram_join import brute as near_brute
+from test_tokens import reference_ids
 from tracehound.llm import common, lang_id, oracle_sql
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,8 @@ SF = "/root/testdata/sf0.001"
 def start(spark):
     docs = common.table(spark, SF, "documents")
     long = " ".join(r.text for r in docs.limit(60).collect())
-    odd = [(-1, None, "en", "s1", 0), (-2, "", None, None, 0), (-3, "%%% 93 ## 1 @@ 00 || ~~ ^^ 7" * 9, "en", "s1", 252), (None, "The plain words of nobody, and the others.", "en", "s1", 42), (-5, long, "en", "s1", len(long)), (-5, long, "en", "s1", len(long))]
+    noise = "".join(map(chr, np.random.default_rng(8).integers(33, 127, 300)))
+    odd = [(-1, None, "en", "s1", 0), (-2, "", None, None, 0), (-3, noise, "en", "s1", 300), (None, "The plain words of nobody, and the others.", "en", "s1", 42), (-5, long, "en", "s1", len(long)), (-5, long, "en", "s1", len(long))]
     return common.stash(docs.unionByName(spark.createDataFrame(odd, docs.schema)).coalesce(4), "start")
 
 
