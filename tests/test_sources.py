@@ -1,6 +1,8 @@
 """Sources: partition range with pruning, discovery, union by name."""
 
 import datetime as dt
+import os
+import shutil
 import tempfile
 
 import pytest
@@ -41,7 +43,47 @@ def test_nested_discovery_unions_every_table(spark, partitioned):
 
 def test_discovery_nothing_found(spark):
     with pytest.raises(ValueError):
-        tables.discover_table_roots(spark, tempfile.mkdtemp(prefix="th-empty-"), ("_delta_log",))
+        tables.discover_table_roots(spark, tempfile.mkdtemp(prefix="th-empty-"))
+    with pytest.raises(ValueError):
+        tables.read_table(spark, tempfile.mkdtemp(prefix="th-empty-"))
+
+
+def test_tables_without_a_marker_are_found(spark):
+    root = tempfile.mkdtemp(prefix="th-bare-")
+    for name in ("a", "b", "deep/c"):
+        spark.range(3).coalesce(1).write.parquet(f"{root}/{name}")
+    spark.range(2).withColumn("year", F.lit(2021)).write.partitionBy("year").parquet(f"{root}/d")
+    for name in ("b", "deep/c", "d"):
+        os.remove(f"{root}/{name}/_SUCCESS")
+    assert [r.split("/")[-1] for r in tables.discover_table_roots(spark, root)] == ["a", "b", "d", "c"]
+    assert tables.read_table(spark, root).count() == 11
+    one = [f for f in os.listdir(f"{root}/b") if f.endswith(".parquet")][0]
+    assert tables.read_table(spark, f"{root}/b/{one}").count() == 3
+
+
+def test_mixed_layout_is_an_error(spark):
+    root = tempfile.mkdtemp(prefix="th-mixed-")
+    spark.range(3).write.mode("append").parquet(root)
+    spark.range(3).write.parquet(f"{root}/inner")
+    with pytest.raises(ValueError, match="inner"):
+        tables.read_table(spark, root)
+
+
+def test_folders_outside_the_range_are_not_opened(spark, partitioned):
+    root = tempfile.mkdtemp(prefix="th-out-") + "/t"
+    shutil.copytree(f"{partitioned}/org_a/conn", root)
+    for name in os.listdir(f"{root}/year=2021/month=2/day=1"):
+        if name.endswith(".parquet"):
+            with open(f"{root}/year=2021/month=2/day=1/{name}", "wb") as f:
+                f.write(b"not parquet")
+    df = tables.read_table(spark, root, "2020-12-30", "2021-01-31", merge_schema=True)
+    assert df.count() == 6 and not any("month=2" in f for f in df.inputFiles())
+    assert tables.read_table(spark, root, "2019-01-01", "2019-01-02", schema=df.schema).count() == 0
+
+
+def test_given_schema_is_used(spark, partitioned):
+    df = tables.read_table(spark, f"{partitioned}/org_a/conn", schema="id_orig_h string, extra int, year int, month int, day int")
+    assert df.columns == ["id_orig_h", "extra", "year", "month", "day"] and df.count() == 7
 
 
 def test_missing_partition_columns_filter_event_time(spark):

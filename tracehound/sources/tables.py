@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from tracehound.functions.timecols import as_date
 
 PARTITION_COLUMNS = ("year", "month", "day")
-# Markers of a table root: a Delta log, or the success file Spark writes.
-ROOT_MARKERS = ("_delta_log", "_SUCCESS")
+# The log folder that marks a table root by itself.
+TABLE_LOG = "_delta_log"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -28,23 +28,35 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def discover_table_roots(spark: SparkSession, path: str, markers: Sequence[str] = ROOT_MARKERS) -> list[str]:
-    """``path`` itself if it is a table root, else every table root
-    below it (a directory holding one of ``markers``).  None found is an
-    error, as in the reference."""
+def discover_table_roots(spark: SparkSession, path: str) -> list[str]:
+    """``path`` itself if it is a table, else every table below it.
+
+    A folder is a table if it has a table log, data files or partition
+    folders (``name=value``); nothing below a table is listed, so day folders
+    are not walked.  Other folders are searched.  A folder that is a table and
+    also has plain subfolders cannot be told apart and is an error, as is a
+    path without any table."""
     fs, root = _fs(spark, path)
     if not fs.exists(root):
         raise ValueError(f"No tables found at {path}")
+    if fs.getFileStatus(root).isFile():
+        return [path]
     found: list[str] = []
     stack = [root]
     while stack:
-        d = stack.pop()
-        children = fs.listStatus(d)
-        names = {c.getPath().getName() for c in children}
-        if any(m in names for m in markers):
-            found.append(d.toString())
+        folder = stack.pop()
+        children = [(c.getPath().getName(), c) for c in fs.listStatus(folder)]
+        if any(name == TABLE_LOG for name, _ in children):
+            found.append(folder.toString())
             continue
-        stack.extend(c.getPath() for c in children if c.isDirectory() and not c.getPath().getName().startswith(("_", ".")))
+        seen = [(name, c) for name, c in children if not name.startswith(("_", "."))]
+        plain = [c.getPath() for name, c in seen if c.isDirectory() and "=" not in name]
+        if len(plain) == len(seen):
+            stack.extend(plain)
+        elif plain:
+            raise ValueError(f"{folder.toString()} holds data and also plain folders ({plain[0].getName()}, ...): name the tables one by one")
+        else:
+            found.append(folder.toString())
     if not found:
         raise ValueError(f"No tables found at {path}")
     return sorted(found)
@@ -76,20 +88,38 @@ def partition_date_range(df: DataFrame, start: _dt.date | str, end: _dt.date | s
     return df.filter(F.to_date(tc).between(F.lit(a), F.lit(b)))
 
 
-def read_table(spark: SparkSession, path: str, start=None, end=None, *, fmt: str = "parquet",
-               time_col: str | None = None, merge_schema: bool = True) -> DataFrame:
-    """S1+S2+S3+S4: read one table, or every table root below ``path``
-    unioned by name, then apply the inclusive date range."""
-    def load(p: str) -> DataFrame:
-        return spark.read.option("mergeSchema", str(merge_schema).lower()).format(fmt).load(p)
-    markers = ("_delta_log",) if fmt == "delta" else ROOT_MARKERS
-    try:
-        roots = discover_table_roots(spark, path, markers)
-    except ValueError:
-        if fmt == "delta":
-            raise
-        roots = [path]   # a plain folder of files is one table
-    df = union_sources([load(r) for r in roots])
+def day_folders(spark: SparkSession, root: str, start: _dt.date, end: _dt.date) -> list[str] | None:
+    """The ``year=/month=/day=`` folders of a table in [start, end], or None
+    if it is not laid out by day.  Only folders of those days are looked up."""
+    fs, p = _fs(spark, root)
+    if not any(c.getPath().getName().startswith("year=") for c in fs.listStatus(p)):
+        return None
+    path, found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
+    for k in range((end - start).days + 1):
+        d = start + _dt.timedelta(days=k)
+        pattern = f"{root}/year={d.year}/month={{{d.month},{d.month:02d}}}/day={{{d.day},{d.day:02d}}}"
+        found += [x.getPath().toString() for x in fs.globStatus(path(pattern)) or []]
+    return found
+
+
+def read_table(spark: SparkSession, path: str, start=None, end=None, *, fmt: str = "parquet", time_col: str | None = None,
+               schema: T.StructType | str | None = None, merge_schema: bool = False) -> DataFrame:
+    """S1+S2+S3+S4: read one table, or every table below ``path`` unioned by
+    name, then apply the inclusive date range.
+
+    With a range, only the day folders in it are listed and read.  The schema
+    comes from one file (or ``schema``); ``merge_schema=True`` reads the footer
+    of every file that is listed."""
+    def load(root: str) -> DataFrame:
+        reader = spark.read.option("mergeSchema", str(merge_schema).lower()).format(fmt)
+        if schema is not None:
+            reader = reader.schema(schema)
+        if fmt == "parquet" and start is not None and end is not None:
+            days = day_folders(spark, root, as_date(start), as_date(end))
+            if days:
+                return reader.option("basePath", root).load(days)
+        return reader.load(root)
+    df = union_sources([load(r) for r in discover_table_roots(spark, path)])
     if start is not None and end is not None:
         df = partition_date_range(df, start, end, time_col)
     return df
