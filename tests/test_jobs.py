@@ -1,76 +1,234 @@
-"""End-to-end job: run, store, re-run (dedup), export."""
+"""End-to-end jobs: run, store, repeat, crash, export."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from tracehound.plans import jobs
+from tracehound.operators import dedup, hunts, ioc
+from tracehound.plans import dashboards, jobs, sweeps
 from tracehound.sources import fixtures as fx, sinks
 
 SF = "/root/testdata/sf0.001"
+RANGE = {"start_date": "2024-01-01", "end_date": "2024-01-30"}
+NOW = dt.datetime(2024, 1, 31, 2, 0)
+
+
+def folder():
+    return tempfile.mkdtemp(prefix="th-job-")
+
+
+def run(spark, out, execution_id, logs=None, name="c2_beaconing", params=None, now=NOW, **kw):
+    source = hunts.get(name).source
+    params = {"c2_beaconing": fx.C2_PARAMS, "lateral_movement": fx.LATERAL_PARAMS}.get(name, {}) if params is None else params
+    return jobs.run_hunt_job(spark, name, fx.load(spark, SF, source) if logs is None else logs, results_dir=out,
+                             execution_id=execution_id, params=params, now=now, **{**RANGE, **kw})
+
+
+def stored(spark, out, execution_id=None):
+    f = sinks.read_findings(spark, f"{out}/hunt_findings")
+    return f if execution_id is None else f.filter(F.col("execution_id") == execution_id)
+
+
+def iocs(spark, out):
+    return {(r.ioc_type, r.ioc_value): r.asDict() for r in sinks.read_iocs(spark, f"{out}/hunt_iocs").collect()}
+
+
+def rolled_up(spark, out):
+    return {(r.ioc_type, r.ioc_value): r.asDict() for r in ioc.ioc_rollup(stored(spark, out)).collect()}
 
 
 def test_hunt_job_store_dedup_and_export(spark):
-    out = tempfile.mkdtemp(prefix="th-job-")
-    logs = fx.load(spark, SF, "conn_logs")
-    now = dt.datetime(2024, 1, 31, 2, 0)
-    r1 = jobs.run_hunt_job(spark, "c2_beaconing", logs, results_dir=out, execution_id=1, start_date=dt.date(2024, 1, 1),
-                           end_date=dt.date(2024, 1, 30), params=fx.C2_PARAMS, now=now)
-    assert r1["status"] == "completed" and r1["findings_count"] == 31 and r1["records_analyzed"] == logs.count()
+    out = folder()
+    r1 = run(spark, out, 1)
+    assert r1["status"] == "completed" and r1["findings_count"] == 31
+    assert r1["records_analyzed"] == fx.load(spark, SF, "conn_logs").count()
     # the reference's check compares event times with the run date, so a
     # retrospective re-run finds no duplicates (its quirk) ...
-    src = jobs.run_hunt_job(spark, "c2_beaconing", logs, results_dir=tempfile.mkdtemp(prefix="th-job-"), execution_id=9,
-                            start_date=dt.date(2024, 1, 1), end_date=dt.date(2024, 1, 30), params=fx.C2_PARAMS, now=now,
-                            dedup_mode="source")
-    assert src["findings_count"] == 31
+    assert run(spark, folder(), 9, dedup_mode="source")["findings_count"] == 31
     # ... while fingerprints stored within the look-back are all repeats
-    r2 = jobs.run_hunt_job(spark, "c2_beaconing", logs, results_dir=out, execution_id=2, start_date=dt.date(2024, 1, 1),
-                           end_date=dt.date(2024, 1, 30), params=fx.C2_PARAMS, now=now)
-    assert r2["findings_count"] == 0
-    # re-running execution 1 replaces only its own partition
-    jobs.run_hunt_job(spark, "c2_beaconing", logs, results_dir=out, execution_id=1, start_date=dt.date(2024, 1, 1),
-                      end_date=dt.date(2024, 1, 30), params=fx.C2_PARAMS, now=dt.datetime(2024, 3, 1))
-    stored = spark.read.parquet(f"{out}/hunt_findings")
-    assert stored.filter(F.col("execution_id") == 1).count() == 31
-    iocs = sinks.read_versioned(spark, f"{out}/hunt_iocs")
-    assert iocs.count() > 0
-    # the retried run did not count its sightings twice
-    assert iocs.agg(F.sum("times_seen")).collect()[0][0] == 31 * 2   # a source and a destination per finding
+    assert run(spark, out, 2)["findings_count"] == 0
+    # re-running execution 1 replaces only its own rows
+    run(spark, out, 1, now=dt.datetime(2024, 3, 1))
+    assert stored(spark, out, 1).count() == 31 == stored(spark, out).count()
+    # the repeated run did not count its sightings twice
+    assert sum(r["times_seen"] for r in iocs(spark, out).values()) == 31 * 2   # a source and a destination per finding
+    r3 = run(spark, out, 3, name="lateral_movement")
     lat = fx.load(spark, SF, "win_security")
-    r3 = jobs.run_hunt_job(spark, "lateral_movement", lat, results_dir=out, execution_id=3, start_date=dt.date(2024, 1, 1),
-                           end_date=dt.date(2024, 1, 30), params=fx.LATERAL_PARAMS, now=now)
     assert r3["records_analyzed"] == lat.filter(F.col("event_code").isin("4624", "4625", "4648")).count()
     counts = jobs.run_full_export(spark, out, as_of=dt.date(2024, 3, 2), days=90)
     assert set(counts) == {"dashboard_hunt_summary", "dashboard_severity_trends", "dashboard_finding_types",
                            "dashboard_top_indicators", "dashboard_ioc_feed", "hunt_statistics"}
     # new findings are not in the feed until an analyst confirms or investigates them
     assert counts["hunt_statistics"] >= 1 and counts["dashboard_ioc_feed"] == 0
-    assert sinks.read_versioned(spark, f"{out}/hunt_statistics").count() >= 1
     assert spark.read.json(f"{out}/report/latest").count() == 1
-    path = jobs.save_report(spark, out, as_of=dt.date(2024, 3, 2), days=90)
-    rep = spark.read.json(path).collect()[0]
+    rep = spark.read.json(jobs.save_report(spark, out, as_of=dt.date(2024, 3, 2), days=90)).collect()[0]
     assert rep.total_hunts == 3 and rep.successful_hunts == 3
 
 
-def test_failed_run_recorded(spark):
-    out = tempfile.mkdtemp(prefix="th-job-")
+def test_quiet_first_run_then_a_second(spark):
+    out = folder()
+    assert run(spark, out, 1, params={})["findings_count"] == 0      # defaults find nothing here
+    assert stored(spark, out).count() == 0 and iocs(spark, out) == {}
+    assert run(spark, out, 2)["findings_count"] == 31
+    assert run(spark, out, 3)["findings_count"] == 0
+    jobs.run_full_export(spark, out, as_of=dt.date(2024, 2, 1))
+
+
+def test_first_and_later_runs_store_the_same(spark):
+    a, b = folder(), folder()
+    run(spark, b, 50)                                               # an unrelated finding is there already
+    first, later = run(spark, a, 1, name="lateral_movement"), run(spark, b, 1, name="lateral_movement")
+    assert first["findings_count"] == later["findings_count"] > 0
+    cols = ["source_ip", "username", "confidence_score", "raw_data"]
+    rows = lambda out: sorted(map(str, stored(spark, out, 1).select(cols).collect()))
+    assert rows(a) == rows(b)
+
+
+def test_rerun_with_nothing_clears_its_rows(spark):
+    out = folder()
+    run(spark, out, 1)
+    run(spark, out, 2, name="lateral_movement")
+    kept = stored(spark, out, 2).count()
+    assert run(spark, out, 1, params={})["findings_count"] == 0
+    assert stored(spark, out, 1).count() == 0 and stored(spark, out, 2).count() == kept
+    assert iocs(spark, out) == rolled_up(spark, out)
+
+
+@pytest.mark.parametrize("where", ["write_findings", "write_iocs"])
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_crash_and_retry(spark, monkeypatch, where, when):
+    out = folder()
+    run(spark, out, 1, name="lateral_movement")
+    real = getattr(sinks, where)
+
+    def crash(*a, **k):
+        if when == "after":
+            real(*a, **k)
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, where, crash)
+        with pytest.raises(RuntimeError):
+            run(spark, out, 2)
+    assert run(spark, out, 2)["findings_count"] == 31
+    run(spark, out, 3)
+    assert iocs(spark, out) == rolled_up(spark, out)
+    assert stored(spark, out, 2).count() == 31
+
+
+def test_interleaved_runs_and_snapshots(spark):
+    out = folder()
+    run(spark, out, 1)
+    sinks.compact_iocs(spark, f"{out}/hunt_iocs")
+    run(spark, out, 2, name="lateral_movement", now=dt.datetime(2024, 2, 1))
+    assert iocs(spark, out) == rolled_up(spark, out)
+    sinks.compact_iocs(spark, f"{out}/hunt_iocs")
+    assert iocs(spark, out) == rolled_up(spark, out)
+    run(spark, out, 1, params={})                                   # takes a run back that a snapshot holds
+    assert iocs(spark, out) == rolled_up(spark, out) and stored(spark, out, 1).count() == 0
+
+
+def test_statistics_replaced_on_a_second_export(spark):
+    out = folder()
+    run(spark, out, 1)
+    assert jobs.update_statistics_table(spark, out, as_of="2024-02-01") == 1
+    run(spark, out, 2, params={}, now=dt.datetime(2024, 1, 31, 5))
+    assert jobs.update_statistics_table(spark, out, as_of="2024-02-01") == 1
+    run(spark, out, 3, name="lateral_movement")
+    assert jobs.update_statistics_table(spark, out, as_of="2024-02-01") == 2
+    rows = {r.hunt_name: r.total_findings for r in sinks.read_statistics(spark, f"{out}/hunt_statistics").collect()}
+    assert rows["c2_beaconing"] == 0 and rows["lateral_movement"] > 0
+
+
+def test_date_range_is_applied(spark):
+    logs = fx.load(spark, SF, "conn_logs")
+    few = run(spark, folder(), 1, logs=logs, start_date=dt.date(2024, 1, 5), end_date="2024-01-09")
+    assert few["records_analyzed"] == logs.filter("day BETWEEN 5 AND 9").count()
+    bare = run(spark, folder(), 1, logs=logs.drop("year", "month", "day"), start_date="2024-01-05", end_date="2024-01-09")
+    assert bare["records_analyzed"] == few["records_analyzed"]
+    path = folder() + "/conn"
+    logs.write.partitionBy("year", "month", "day").parquet(path)
+    assert run(spark, folder(), 1, logs=path, start_date="2024-01-05", end_date="2024-01-09") == few
+
+
+def test_failed_run_recorded_with_its_whole_error(spark):
+    out = folder()
     bad = spark.createDataFrame([(1,)], "x int")
-    try:
-        jobs.run_hunt_job(spark, "c2_beaconing", bad, results_dir=out, execution_id=7, start_date=dt.date(2024, 1, 1),
-                          end_date=dt.date(2024, 1, 2))
-    except Exception:
-        pass
-    ev = spark.read.parquet(f"{out}/hunt_executions").filter(F.col("status") == "failed").collect()
-    assert len(ev) == 1 and ev[0].error_message
-
-
-def test_campaign_records_failure_and_continues(spark):
-    out = tempfile.mkdtemp(prefix="th-camp-")
-    inputs = {"conn_logs": fx.load(spark, SF, "conn_logs"), "dns_logs": spark.createDataFrame([(1,)], "x int"),
-              "win_security": fx.load(spark, SF, "win_security")}
-    res = jobs.run_campaign(spark, inputs, results_dir=out, first_execution_id=100, start_date=dt.date(2024, 1, 1),
-                            end_date=dt.date(2024, 1, 30),
+    with pytest.raises(Exception) as e:
+        run(spark, out, 7, logs=bad)
+    ev = sinks.read_result(spark, f"{out}/hunt_executions", sinks.EVENT_SCHEMA).filter(F.col("status") == "failed").collect()
+    assert len(ev) == 1 and ev[0].error_message == str(e.value)
+
+
+def test_campaign_records_failures_and_continues(spark):
+    out = folder()
+    inputs = {"conn_logs": fx.load(spark, SF, "conn_logs"), "dns_logs": spark.createDataFrame([(1,)], "x int")}
+    res = jobs.run_campaign(spark, inputs, results_dir=out, first_execution_id=100, **RANGE,
                             params={"c2_beaconing": fx.C2_PARAMS, "lateral_movement": fx.LATERAL_PARAMS})
-    status = {r["hunt_name"]: r["status"] for r in res}
-    assert status == {"c2_beaconing": "completed", "dns_tunneling": "failed", "lateral_movement": "completed"}
+    assert {r["hunt_name"]: r["status"] for r in res} == {
+        "c2_beaconing": "completed", "dns_tunneling": "failed", "lateral_movement": "failed"}
+    log = {r.hunt_name: r.status for r in jobs.stored_results(spark, out)[1].collect()}
+    assert log == {"c2_beaconing": "completed", "dns_tunneling": "failed", "lateral_movement": "failed"}
+
+
+def test_absent_logs_are_an_error(spark):
+    inputs = {"conn_logs": fx.load(spark, SF, "conn_logs")}
+    for call in (hunts.all_hunts, hunts.records_analyzed, sweeps.daily_hunt_sweep):
+        with pytest.raises(ValueError, match="dns_logs"):
+            call(inputs)
+    assert hunts.all_hunts(inputs, names=["c2_beaconing"]).count() >= 0
+
+
+def test_registered_hunt_reaches_the_sweeps(spark, monkeypatch):
+    def busy(logs, min_rows=1):
+        g = logs.groupBy("id_orig_h").agg(F.count("*").alias("n"), F.min("ts").alias("timestamp")).where(F.col("n") >= min_rows)
+        nothing = {c: F.lit(None).cast("string") for c in hunts.FINDING_COLUMNS if c not in ("source_ip", "timestamp")}
+        return g.withColumn("source_ip", F.col("id_orig_h")).withColumns({**nothing, "hunt_name": F.lit("busy")})
+
+    monkeypatch.setitem(hunts.REGISTRY, "busy", hunts.Hunt("busy", "conn_logs", busy, lambda logs: logs))
+    logs = fx.load(spark, SF, "conn_logs")
+    got = sweeps.hunt_sweep({"conn_logs": logs}, sweeps.daily_runs, names=["busy", "c2_beaconing"])
+    per_day = logs.groupBy(F.to_date("ts"), "id_orig_h").count().count()
+    assert got.where("hunt_name = 'busy'").count() == per_day
+
+
+def test_times_do_not_shift_with_the_drivers_zone():
+    code = f"""
+import datetime as dt, sys, tempfile
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from tracehound.session import get_session
+from tracehound.plans import jobs
+from tracehound.sources import fixtures as fx, sinks
+spark, out = get_session("local[2]", 2), tempfile.mkdtemp()
+jobs.run_hunt_job(spark, "c2_beaconing", fx.load(spark, {SF!r}, "conn_logs"), results_dir=out, execution_id=1,
+                  start_date="2024-01-01", end_date="2024-01-30", params=fx.C2_PARAMS, now=dt.datetime(2024, 1, 31, 2, 0))
+e = sinks.read_result(spark, out + "/hunt_executions", sinks.EVENT_SCHEMA)
+print("SEEN", e.selectExpr("min(date_format(execution_start, 'yyyy-MM-dd HH:mm'))").first()[0], e.selectExpr("max(timestampdiff(HOUR, execution_start, execution_end))").first()[0],
+      sinks.read_findings(spark, out + "/hunt_findings").selectExpr("min(date_format(created_at, 'yyyy-MM-dd HH:mm'))").first()[0])
+"""
+    got = subprocess.run([sys.executable, "-c", code], env={**os.environ, "TZ": "America/New_York"}, capture_output=True, text=True, timeout=300)
+    assert "SEEN 2024-01-31 02:00 0 2024-01-31 02:00" in got.stdout, got.stderr[-2000:]
+
+
+def test_results_by_path_and_table_name(spark):
+    out = folder()
+    run(spark, out, 1)
+    by_path = sinks.read_results(spark, path=f"{out}/hunt_findings", schema=sinks.FINDINGS_SCHEMA)
+    by_path.createOrReplaceTempView("stored_findings")
+    assert sinks.read_results(spark, table="stored_findings").count() == by_path.count() == 31
+    with pytest.raises(ValueError):
+        sinks.read_results(spark)
+
+
+def test_statistics_upsert_replaces(spark):
+    f, e = fx.load(spark, SF, "findings"), fx.load(spark, SF, "executions")
+    old = dashboards.hunt_statistics(e, f.limit(0), as_of=fx.RESULTS_AS_OF, days=7)
+    new = dashboards.hunt_statistics(e, f, as_of=fx.RESULTS_AS_OF, days=3)
+    got = {(r.hunt_name, r.execution_date): r.total_findings for r in dashboards.upsert_statistics(old, new).collect()}
+    want = {(r.hunt_name, r.execution_date): r.total_findings for d in (old, new) for r in d.collect()}
+    assert got == want and dedup.SOURCE_KEYS

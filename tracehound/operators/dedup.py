@@ -1,9 +1,9 @@
 """Finding de-duplication (J2, J3, F14) as anti joins, not per-row lookups.
 
-The history side is reduced to its distinct keys before the join (one row
-per key, so a hot key costs nothing extra there); AQE turns the join into
-a broadcast when that key set is small at run time (a checked size) and
-splits skewed partitions of the incoming side otherwise.
+The history side is reduced to its distinct keys before the join, and for
+fingerprints the incoming side to one row per key as well, so a hot key costs
+nothing extra; AQE turns the join into a broadcast when the key set is small at
+run time (a checked size).
 """
 
 from __future__ import annotations
@@ -46,14 +46,14 @@ def with_fingerprint(findings: DataFrame) -> DataFrame:
 def first_per_fingerprint(findings: DataFrame) -> DataFrame:
     """One finding per fingerprint: the earliest by ``FIRST_ORDER``.
 
-    ``max_by``/``min_by`` is a partial aggregate, so a fingerprint repeated
-    a million times is reduced map-side (no window over a hot group)."""
+    A minimum is a partial aggregate, so a fingerprint repeated a million
+    times is reduced map-side (no window over a hot group)."""
     fp = findings if "fingerprint" in findings.columns else with_fingerprint(findings)
     order = [c for c in FIRST_ORDER if c in fp.columns]
-    rest = [c for c in fp.columns if c != "fingerprint"]
-    picked = fp.groupBy("fingerprint").agg(
-        F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])).alias("_f"))
-    return picked.select("fingerprint", "_f.*")
+    rest = [c for c in fp.columns if c != "fingerprint" and c not in order]
+    # order first, then the other columns: one struct is key and value
+    picked = fp.groupBy("fingerprint").agg(F.min(F.struct(*order, *rest)).alias("_f"))
+    return picked.select("fingerprint", "_f.*").select(fp.columns)
 
 
 def dedup_fingerprint(incoming: DataFrame, history: DataFrame, *, as_of, lookback_days: int = 7,
@@ -65,5 +65,5 @@ def dedup_fingerprint(incoming: DataFrame, history: DataFrame, *, as_of, lookbac
     whose event times are old, are still recognised as repeats."""
     time_col = time_col or ("created_at" if "created_at" in history.columns else "timestamp")
     seen = with_fingerprint(recent(history, as_of, lookback_days, time_col)).select("fingerprint").distinct()
-    fresh = with_fingerprint(incoming).join(seen, "fingerprint", "left_anti")
-    return first_per_fingerprint(fresh)
+    # first of each fingerprint before the join: one row per key on both sides
+    return first_per_fingerprint(incoming).join(seen, "fingerprint", "left_anti")

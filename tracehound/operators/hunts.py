@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ class Hunt:
     scope: Callable[[DataFrame], DataFrame] = lambda logs: logs
     version: str = "1.0"
     description: str = ""
+    time_col: str = "ts"                          # event time of its log
 
 
 REGISTRY: dict[str, Hunt] = {}
@@ -46,12 +48,12 @@ def register(h: Hunt) -> Hunt:
 
 
 register(Hunt("c2_beaconing", "conn_logs", c2.c2_beaconing, lambda logs: logs,
-              description="Detect periodic beaconing indicative of C2 communication"))
+              description="Regular check-ins from one host to one service, as malware makes to its controller"))
 register(Hunt("dns_tunneling", "dns_logs", dns.dns_tunneling, lambda logs: logs,
-              description="Detect DNS tunneling for data exfiltration"))
+              description="Long, many or deeply nested query names that carry data out over DNS"))
 register(Hunt("lateral_movement", "win_security", lateral.lateral_movement, lateral.logon_events,
               scope=lambda logs: logs.filter(F.col("event_code").cast("string").isin(*LOGON_CODES)),
-              description="Detect lateral movement via authentication logs"))
+              description="One account logging on to many hosts within a short time", time_col="@timestamp"))
 
 
 def get(name: str) -> Hunt:
@@ -65,31 +67,27 @@ def run_hunt(name: str, inputs: Mapping[str, DataFrame], **params) -> DataFrame:
     return h.run(inputs[h.source], **params)
 
 
+def chosen(inputs: Mapping[str, object], names: list[str] | None = None) -> list[Hunt]:
+    """The hunts to run: ``names``, or all registered.  A hunt whose log is
+    not given is an error, never skipped; leave it out by ``names``."""
+    picked = [get(n) for n in (names or REGISTRY)]
+    absent = {h.name: h.source for h in picked if h.source not in inputs}
+    if absent:
+        raise ValueError(f"no log for these hunts (hunt: log): {absent}")
+    return picked
+
+
 def all_hunts(inputs: Mapping[str, DataFrame], params: Mapping[str, Mapping] | None = None,
               names: list[str] | None = None) -> DataFrame:
-    """Every registered hunt whose log is given, unioned by name."""
+    """Every registered hunt (or those of ``names``), unioned by name."""
     params = params or {}
-    out = None
-    for name in names or list(REGISTRY):
-        h = REGISTRY[name]
-        if h.source not in inputs:
-            continue
-        f = h.run(inputs[h.source], **dict(params.get(name, {}))).select(*FINDING_COLUMNS)
-        out = f if out is None else out.unionByName(f)
-    if out is None:
-        raise ValueError("no hunt has its input")
-    return out
+    parts = [h.run(inputs[h.source], **dict(params.get(h.name, {}))).select(*FINDING_COLUMNS) for h in chosen(inputs, names)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def records_analyzed(inputs: Mapping[str, DataFrame], names: list[str] | None = None) -> DataFrame:
     """A4: rows each hunt analyses (c2/dns: all rows in range, lateral:
     logon events only) — one global partial aggregate per hunt."""
-    out = None
-    for name in names or list(REGISTRY):
-        h = REGISTRY[name]
-        if h.source not in inputs:
-            continue
-        n = h.records(inputs[h.source]).agg(F.count(F.lit(1)).alias("records_analyzed"))
-        n = n.select(F.lit(name).alias("hunt_name"), "records_analyzed")
-        out = n if out is None else out.unionByName(n)
-    return out
+    parts = [h.records(inputs[h.source]).agg(F.count(F.lit(1)).alias("records_analyzed"))
+             .select(F.lit(h.name).alias("hunt_name"), "records_analyzed") for h in chosen(inputs, names)]
+    return reduce(DataFrame.unionByName, parts)

@@ -43,26 +43,47 @@ def _escalation(rank: Column) -> Column:
     return F.max(F.when(rank >= ESCALATING_RANK, rank))
 
 
-def ioc_rollup(findings: DataFrame, arrival: Sequence[str] = DEFAULT_ARRIVAL) -> DataFrame:
-    """Per indicator: first/last sighting time (by arrival, not by
-    time), times seen, hunts with counts in order of first arrival, and
-    the threat level (first sighting's level, raised by later medium+).
-
-    The arrival key carries the sighting's time and severity, so one
-    ``min``/``max`` of it per group yields the first and last sighting
-    whole (struct ordering forces a sort-based aggregate; keeping it to two
-    such aggregates per row is what keeps this cheap)."""
+ARRIVAL_TYPES = {"created_at": "timestamp", "execution_id": "bigint", "finding_id": "bigint", "timestamp": "timestamp",
+                 "severity": "string", "finding_type": "string"}
+#: A run's roll-up as stored, with the whole default arrival key.
+_ARRIVAL_STRUCT = "struct<" + ",".join(f"`{c}`:{t}" for c, t in ARRIVAL_TYPES.items()) + ">"
+PARTIAL_SCHEMA = f"ioc_type string, ioc_value string, hunt string, n bigint, a0 {_ARRIVAL_STRUCT}, a1 {_ARRIVAL_STRUCT}, esc int"
+
+
+def ioc_partial(findings: DataFrame, arrival: Sequence[str] = DEFAULT_ARRIVAL) -> DataFrame:
+    """The mergeable part of the roll-up: per (indicator, hunt) the count, the
+    first and last arrival and the highest escalating severity.
+
+    The arrival key carries the sighting's time and severity, so one minimum
+    and one maximum of it yield the first and last sighting whole.  A struct
+    with text needs a sort-based partial aggregate; that sort is local to a
+    task and spills, and only one row per key and task is shuffled.  (Hash
+    aggregates on the numbers alone would need the raw rows shuffled again to
+    settle ties, hot indicators included.)"""
     arrival = [c for c in arrival if c in findings.columns]
     for c in ("timestamp", "severity"):
         if c not in arrival:
             arrival.append(c)
-    x = indicators(findings, arrival)
-    per_hunt = x.groupBy(*IOC_KEYS, "hunt").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("arrival").alias("a0"),
-        F.max("arrival").alias("a1"),
-        _escalation(F.col("rank")).alias("esc"),
-    )
+    return indicators(findings, arrival).groupBy(*IOC_KEYS, "hunt").agg(
+        F.count(F.lit(1)).alias("n"), F.min("arrival").alias("a0"), F.max("arrival").alias("a1"),
+        _escalation(F.col("rank")).alias("esc"))
+
+
+def stored_partial(findings: DataFrame) -> DataFrame:
+    """``ioc_partial`` in the stored form (PARTIAL_SCHEMA): the whole arrival
+    key in its fixed types, absent columns NULL."""
+    fixed = {c: (F.col(c) if c in findings.columns else F.lit(None)).cast(t) for c, t in ARRIVAL_TYPES.items()}
+    return ioc_partial(findings.withColumns(fixed))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Roll-ups of several runs as one."""
+    return partials.groupBy(*IOC_KEYS, "hunt").agg(
+        F.sum("n").alias("n"), F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.max("esc").alias("esc"))
+
+
+def ioc_finish(per_hunt: DataFrame) -> DataFrame:
+    """The tracked indicators of a (merged) roll-up."""
     agg = per_hunt.groupBy(*IOC_KEYS).agg(
         F.min("a0").alias("_first"),
         F.max("a1").alias("_last"),
@@ -82,6 +103,13 @@ def ioc_rollup(findings: DataFrame, arrival: Sequence[str] = DEFAULT_ARRIVAL) ->
     )
 
 
+def ioc_rollup(findings: DataFrame, arrival: Sequence[str] = DEFAULT_ARRIVAL) -> DataFrame:
+    """Per indicator: first/last sighting time (by arrival, not by
+    time), times seen, hunts with counts in order of first arrival, and
+    the threat level (first sighting's level, raised by later medium+)."""
+    return ioc_finish(ioc_partial(findings, arrival))
+
+
 HUNTS_TYPE = "array<struct<hunt:string,times:bigint>>"
 
 

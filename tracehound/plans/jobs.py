@@ -1,12 +1,12 @@
 """End-to-end jobs: a hunt run (execute), a campaign, and the export.
 
-``run_hunt_job`` replaces the reference's execute(): start event ->
-hunt -> de-duplicate against stored findings -> one write -> completion
-event -> IOC update.  The hunt, de-dup and projection are one lazy plan
-executed by a single write; the analysed-record and finding counts are
-taken in that same pass with ``observe``.  The IOC step re-reads the
-findings just written (lineage cut at a stored table) and swaps in a new
-IOC version, so a retried job converges to the same state.
+``run_hunt_job`` replaces the reference's execute(): start event -> read the
+date range -> hunt -> de-duplicate against stored findings -> one write -> IOC
+roll-up -> completion event.  The hunt, de-dup and projection are one lazy plan
+executed by a single write; the analysed-record and finding counts are taken in
+that same pass with ``observe``.  Everything a run stores is keyed by its
+execution id and replaced whole, so a job that is retried or repeated after a
+crash at any point ends in the same state.
 """
 
 from __future__ import annotations
@@ -14,19 +14,18 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import os
+import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tracehound.functions.timecols import as_date, cutoff
 from tracehound.operators import dedup, hunts, ioc
+from tracehound.operators.executions import execution_log_latest
 from tracehound.plans import dashboards, report, views
-from tracehound.functions.timecols import as_date
 from tracehound.sources import sinks
-
-EVENT_SCHEMA = ("execution_id bigint, event_seq int, event_time timestamp, hunt_name string, hunt_version string, "
-                "execution_start timestamp, execution_end timestamp, status string, records_analyzed bigint, "
-                "findings_count int, date_range_start date, date_range_end date, parameters string, error_message string")
+from tracehound.sources.tables import lookback_range, partition_date_range, read_table
 
 
 def _paths(results_dir: str) -> dict[str, str]:
@@ -34,85 +33,84 @@ def _paths(results_dir: str) -> dict[str, str]:
 
 
 def _event(spark: SparkSession, row: dict) -> DataFrame:
-    cols = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(row.get(c) for c in cols)], EVENT_SCHEMA)
+    cols = [c.split()[0] for c in sinks.EVENT_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(row.get(c) for c in cols)], sinks.EVENT_SCHEMA)
+
+
+def _logs(spark: SparkSession, h: hunts.Hunt, logs: DataFrame | str, start: _dt.date, end: _dt.date, fmt: str) -> DataFrame:
+    """The hunt's log, cut to the date range (in a path: only its folders)."""
+    if isinstance(logs, str):
+        return read_table(spark, logs, start, end, fmt=fmt, time_col=h.time_col)
+    return partition_date_range(logs, start, end, h.time_col)
 
 
-def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame, *, results_dir: str, execution_id: int,
-                 start_date: _dt.date, end_date: _dt.date, params: Mapping | None = None,
-                 dedup_mode: str = "fingerprint", lookback_days: int = 7, now: _dt.datetime | None = None) -> dict:
-    """Run one hunt over ``logs`` (already limited to the date range) and
-    store its findings, execution events and IOC updates.
+def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *, results_dir: str, execution_id: int,
+                 start_date: _dt.date | str, end_date: _dt.date | str, params: Mapping | None = None,
+                 dedup_mode: str = "fingerprint", lookback_days: int = 7, now: _dt.datetime | None = None,
+                 fmt: str = "parquet") -> dict:
+    """Run one hunt over the days [start_date, end_date] of ``logs`` (a table
+    path or a frame) and store its findings, execution events and IOC roll-up.
 
     ``dedup_mode="source"`` reproduces the reference's check (same type and
     source with an *event time* in the look-back), "fingerprint" drops
-    findings whose five-field fingerprint was stored in the look-back."""
+    findings whose five-field fingerprint was stored in the look-back, and
+    repeats within the run.  ``now`` (UTC unless it has a zone) stands for the
+    start of the run."""
     params = dict(params or {})
     h = hunts.get(name)
-    now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    now, clock = sinks.utc(now or _dt.datetime.now(_dt.timezone.utc)), time.monotonic()
+    start_date, end_date = as_date(start_date), as_date(end_date)
     p = _paths(results_dir)
     base = {"execution_id": execution_id, "hunt_name": name, "hunt_version": h.version, "execution_start": now,
             "date_range_start": start_date, "date_range_end": end_date, "parameters": json.dumps(params, default=str)}
+
+    def finish(status: str, **fields) -> None:
+        end = now + _dt.timedelta(seconds=time.monotonic() - clock)
+        sinks.append_events(_event(spark, {**base, "event_seq": 1, "event_time": end, "execution_end": end,
+                                           "status": status, **fields}), p["hunt_executions"])
+
     sinks.append_events(_event(spark, {**base, "event_seq": 0, "event_time": now, "status": "running"}), p["hunt_executions"])
     try:
-        seen = Observation(f"records_{execution_id}")
+        if logs is None:
+            raise ValueError(f"hunt {name} has no log ({h.source})")
+        seen, written = Observation(f"records_{execution_id}"), Observation(f"findings_{execution_id}")
         # the count rides on the hunt's own scan; the scope filter stays below
         # the observation so it is still pushed into the reader
-        findings = h.run(h.scope(logs).observe(seen, F.count(F.lit(1)).alias("n")), **params)
-        history = _read_if_exists(spark, p["hunt_findings"])
-        if history is not None:   # a re-run of this execution replaces its own output
-            history = history.filter(F.col("execution_id") != execution_id)
-            as_of = now.date()
-            findings = (dedup.dedup_fingerprint(findings, history, as_of=as_of, lookback_days=lookback_days)
-                        if dedup_mode == "fingerprint"
-                        else dedup.dedup_source(findings, history, as_of=as_of, lookback_days=lookback_days))
-        written = Observation(f"findings_{execution_id}")
+        scoped = h.scope(_logs(spark, h, logs, start_date, end_date, fmt))
+        findings = h.run(scoped.observe(seen, F.count(F.lit(1)).alias("n")), **params)
+        # a re-run of this execution replaces its own output
+        history = sinks.read_findings(spark, p["hunt_findings"]).filter(F.col("execution_id") != execution_id)
+        if dedup_mode == "fingerprint":
+            history = history.filter(F.col("created_date") >= F.lit(cutoff(now.date(), lookback_days)))
+            findings = dedup.dedup_fingerprint(findings, history, as_of=now.date(), lookback_days=lookback_days)
+        else:
+            findings = dedup.dedup_source(findings, history, as_of=now.date(), lookback_days=lookback_days)
         table = sinks.to_findings_table(findings, execution_id, now).observe(written, F.count(F.lit(1)).alias("n"))
-        sinks.append_findings(table, p["hunt_findings"])
-        n_found = int(written.get["n"])
-        records = int(seen.get.get("n") or 0)
-        # IOC version named after the run: a retried run whose update already
-        # landed does not apply its sightings twice
-        version = f"x-{execution_id:012d}"
-        if not sinks.version_exists(spark, p["hunt_iocs"], version):
-            stored = spark.read.parquet(p["hunt_findings"]).filter(F.col("execution_id") == execution_id)
-            delta = ioc.ioc_rollup(stored)
-            state = sinks.read_versioned(spark, p["hunt_iocs"])
-            sinks.swap_write(delta if state is None else ioc.ioc_upsert(state, delta), p["hunt_iocs"], name=version)
-        end = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        sinks.append_events(_event(spark, {**base, "event_seq": 1, "event_time": end, "execution_end": end,
-                                           "status": "completed", "records_analyzed": records,
-                                           "findings_count": n_found}), p["hunt_executions"])
+        sinks.write_findings(table, p["hunt_findings"], execution_id, now)
+        n_found, records = int(written.get.get("n") or 0), int(seen.get.get("n") or 0)
+        stored = sinks.read_findings(spark, p["hunt_findings"]).filter(F.col("execution_id") == execution_id)
+        sinks.write_iocs(ioc.stored_partial(stored), p["hunt_iocs"], execution_id)
+        finish("completed", records_analyzed=records, findings_count=n_found)
         return {"execution_id": execution_id, "hunt_name": name, "status": "completed",
                 "findings_count": n_found, "records_analyzed": records}
     except Exception as e:  # record the failure, then re-raise (as the reference)
-        end = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        sinks.append_events(_event(spark, {**base, "event_seq": 1, "event_time": end, "execution_end": end,
-                                           "status": "failed", "error_message": str(e)[:2000]}), p["hunt_executions"])
+        finish("failed", error_message=str(e))
         raise
 
 
-def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(hp) else None
-
-
-def run_campaign(spark: SparkSession, inputs: Mapping[str, DataFrame], *, results_dir: str, first_execution_id: int,
-                 start_date, end_date, params: Mapping[str, Mapping] | None = None) -> list[dict]:
-    """Every registered hunt in turn; a failing hunt is recorded and skipped."""
+def run_campaign(spark: SparkSession, inputs: Mapping[str, DataFrame | str], *, results_dir: str, first_execution_id: int,
+                 start_date, end_date, params: Mapping[str, Mapping] | None = None, now: _dt.datetime | None = None) -> list[dict]:
+    """Every registered hunt in turn over the logs (frames or table paths) of
+    ``inputs``.  A hunt that fails, or whose log is not given, is recorded as
+    failed and the others go on."""
     out = []
-    for i, name in enumerate(hunts.REGISTRY):
-        h = hunts.REGISTRY[name]
-        if h.source not in inputs:
-            continue
+    for i, (name, h) in enumerate(hunts.REGISTRY.items()):
         try:
-            out.append(run_hunt_job(spark, name, inputs[h.source], results_dir=results_dir,
+            out.append(run_hunt_job(spark, name, inputs.get(h.source), results_dir=results_dir,
                                     execution_id=first_execution_id + i, start_date=start_date, end_date=end_date,
-                                    params=(params or {}).get(name)))
+                                    params=(params or {}).get(name), now=now))
         except Exception as e:  # noqa: BLE001 - campaign keeps going
-            out.append({"hunt_name": name, "status": "failed", "error": str(e)})
+            out.append({"execution_id": first_execution_id + i, "hunt_name": name, "status": "failed", "error": str(e)})
     return out
 
 
@@ -120,23 +118,21 @@ def run_lookback_hunt(spark: SparkSession, name: str, path: str, *, results_dir:
                       as_of, lookback_days: int = 30, fmt: str = "parquet", params: Mapping | None = None) -> dict:
     """A hunt over the last ``lookback_days`` days up to ``as_of`` (inclusive
     day range, pruned at the scan)."""
-    from tracehound.sources.tables import lookback_range, read_table
     start, end = lookback_range(as_of, lookback_days)
-    time_col = "@timestamp" if hunts.get(name).source == "win_security" else "ts"
-    logs = read_table(spark, path, start, end, fmt=fmt, time_col=time_col)
-    return run_hunt_job(spark, name, logs, results_dir=results_dir, execution_id=execution_id,
-                        start_date=start, end_date=end, params=params)
+    return run_hunt_job(spark, name, path, results_dir=results_dir, execution_id=execution_id,
+                        start_date=start, end_date=end, params=params, fmt=fmt)
 
 
-def _stored(spark: SparkSession, results_dir: str) -> tuple[DataFrame, DataFrame]:
-    from tracehound.operators.executions import execution_log_latest
+def stored_results(spark: SparkSession, results_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored findings and the current state of every run."""
     p = _paths(results_dir)
-    return spark.read.parquet(p["hunt_findings"]), execution_log_latest(spark.read.parquet(p["hunt_executions"]))
+    events = sinks.read_result(spark, p["hunt_executions"], sinks.EVENT_SCHEMA)
+    return sinks.read_findings(spark, p["hunt_findings"]), execution_log_latest(events)
 
 
 def create_ioc_feed(spark: SparkSession, results_dir: str) -> int:
     """The IOC feed table (replaced); returns its row count."""
-    findings, _ = _stored(spark, results_dir)
+    findings, _ = stored_results(spark, results_dir)
     path = os.path.join(results_dir, "dashboard_ioc_feed")
     sinks.replace_table(dashboards.dashboard_ioc_feed(findings), path)
     return spark.read.parquet(path).count()
@@ -145,29 +141,29 @@ def create_ioc_feed(spark: SparkSession, results_dir: str) -> int:
 def update_statistics_table(spark: SparkSession, results_dir: str, *, as_of, days: int = 7) -> int:
     """Upsert the last ``days`` days of per-run statistics; returns the
     number of rows written for this period."""
-    findings, executions = _stored(spark, results_dir)
-    base = _paths(results_dir)["hunt_statistics"]
-    new_stats = dashboards.hunt_statistics(executions, findings, as_of=as_of, days=days)
-    old_stats = sinks.read_versioned(spark, base)
-    written = sinks.swap_write(new_stats if old_stats is None else dashboards.upsert_statistics(old_stats, new_stats), base)
-    return spark.read.parquet(written).filter(F.col("execution_date") >= F.lit(as_date(as_of) - _dt.timedelta(days=days))).count()
+    findings, executions = stored_results(spark, results_dir)
+    path = _paths(results_dir)["hunt_statistics"]
+    sinks.write_statistics(dashboards.hunt_statistics(executions, findings, as_of=as_of, days=days), path)
+    first = F.lit(cutoff(as_of, days))
+    return sinks.read_statistics(spark, path).filter(F.col("execution_date") >= first).count()
 
 
 def save_report(spark: SparkSession, results_dir: str, *, as_of, days: int = 7, output_path: str | None = None) -> str:
     """The executive report (R5) as a JSON document; returns its path."""
-    findings, executions = _stored(spark, results_dir)
+    findings, executions = stored_results(spark, results_dir)
     path = output_path or os.path.join(results_dir, "report", f"{as_date(as_of):%Y%m%d}")
     sinks.write_report(report.report_summary(findings, executions, as_of=as_of, days=days), path)
     return path
 
 
-def run_full_export(spark: SparkSession, results_dir: str, *, as_of, days: int = 30) -> dict[str, int]:
+def run_full_export(spark: SparkSession, results_dir: str, *, as_of, days: int = 30, approx: bool = False) -> dict[str, int]:
     """Views, the four summaries, the IOC feed, the statistics upsert and
-    the report, written next to the result tables.  Returns row counts."""
-    findings, executions = _stored(spark, results_dir)
-    views.create_dashboard_views(findings, executions)
+    the report, written next to the result tables.  Returns row counts.
+    ``approx`` takes distinct counts from sketches (very large histories)."""
+    findings, executions = stored_results(spark, results_dir)
+    views.create_dashboard_views(findings, executions, approx=approx)
     counts = {}
-    for name, df in dashboards.export_summary_statistics(findings, executions, as_of=as_of, days=days).items():
+    for name, df in dashboards.export_summary_statistics(findings, executions, as_of=as_of, days=days, approx=approx).items():
         sinks.replace_table(df, os.path.join(results_dir, name))
         counts[name] = spark.read.parquet(os.path.join(results_dir, name)).count()
     counts["dashboard_ioc_feed"] = create_ioc_feed(spark, results_dir)

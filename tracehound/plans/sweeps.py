@@ -11,13 +11,15 @@ are fanned out to the windows that contain them, then merged.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.functions.timecols import epoch_to_time
+from tracehound.functions.timecols import epoch_to_time, normalize_time
 from tracehound.operators import c2, dns, lateral
-from tracehound.operators.hunts import FINDING_COLUMNS
+from tracehound.operators.hunts import FINDING_COLUMNS, Hunt, chosen
+from tracehound.sources.tables import partition_date_range
 
 RUN = ["run_start", "run_end"]
 Runs = Callable[[Column], Column]   # day -> array<struct<run_start, run_end>>
@@ -64,20 +66,30 @@ def lateral_sweep(win_logs: DataFrame, runs: Runs, *, time_window_minutes=60, mi
                                      min_score=min_score, by=RUN)
 
 
-SWEEPS = {"c2_beaconing": ("conn_logs", c2_sweep), "dns_tunneling": ("dns_logs", dns_sweep),
-          "lateral_movement": ("win_security", lateral_sweep)}
+# Hunts with a form that computes all runs in one pass over the log.
+SWEEPS = {"c2_beaconing": c2_sweep, "dns_tunneling": dns_sweep, "lateral_movement": lateral_sweep}
 
 
-def hunt_sweep(inputs: Mapping[str, DataFrame], runs: Runs, params: Mapping[str, Mapping] | None = None) -> DataFrame:
-    """Every hunt, every run, one plan."""
-    params = params or {}
-    out = None
-    for name, (src, fn) in SWEEPS.items():
-        if src not in inputs:
-            continue
-        f = fn(inputs[src], runs, **dict(params.get(name, {}))).select(*RUN, *FINDING_COLUMNS)
-        out = f if out is None else out.unionByName(f)
-    return out
+def run_by_run(hunt: Hunt, logs: DataFrame, runs: Runs, **params) -> DataFrame:
+    """Any registered hunt, once per run: the runs that the log's days belong
+    to (a list of dates) are found first, then each gets its date range."""
+    days = normalize_time(logs, hunt.time_col).select(F.to_date(F.col(f"`{hunt.time_col}`")).alias("d")).where("d IS NOT NULL").distinct()
+    spans = sorted({(r.r.run_start, r.r.run_end) for r in days.select(F.explode(runs(F.col("d"))).alias("r")).distinct().collect()})
+    parts = [hunt.run(partition_date_range(logs, a, b, hunt.time_col), **params).withColumns(
+        {"run_start": F.lit(a), "run_end": F.lit(b)}) for a, b in spans]
+    if not parts:
+        parts = [hunt.run(logs, **params).withColumns({c: F.lit(None).cast("date") for c in RUN}).limit(0)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def hunt_sweep(inputs: Mapping[str, DataFrame], runs: Runs, params: Mapping[str, Mapping] | None = None,
+               names: list[str] | None = None) -> DataFrame:
+    """Every registered hunt, every run, one plan."""
+    params, parts = params or {}, []
+    for h in chosen(inputs, names):
+        fn = SWEEPS.get(h.name, partial(run_by_run, h))
+        parts.append(fn(inputs[h.source], runs, **dict(params.get(h.name, {}))).select(*RUN, *FINDING_COLUMNS))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def daily_hunt_sweep(inputs, params=None) -> DataFrame:
@@ -90,12 +102,10 @@ def weekly_hunt_sweep(inputs, params=None) -> DataFrame:
     return hunt_sweep(inputs, weekly_runs, params)
 
 
-def sliding_c2_sweep(conn_logs: DataFrame, *, window_hours: int = 72, hop_hours: int = 6, min_connections: int = 5,
-                     jitter_threshold: float = 150, min_score: float = 50, null_score: str = "reference",
-                     slice_seconds: int = c2.DEFAULT_SLICE_SECONDS) -> DataFrame:
-    """The C2 hunt over every ``window_hours`` window starting every
-    ``hop_hours`` (epoch-aligned, as ``window()``); a window is reported
-    when it holds at least one connection."""
+def sliding_c2_profile(conn_logs: DataFrame, *, window_hours: int = 72, hop_hours: int = 6,
+                       slice_seconds: int = c2.DEFAULT_SLICE_SECONDS) -> DataFrame:
+    """The C2 profile of every ``window_hours`` window starting every
+    ``hop_hours`` (epoch-aligned, as ``window()``) that holds a connection."""
     size, hop = window_hours * 3600, hop_hours * 3600
     if size % hop or hop % slice_seconds:
         raise ValueError("window must be a multiple of hop, hop a multiple of slice_seconds")
@@ -109,8 +119,15 @@ def sliding_c2_sweep(conn_logs: DataFrame, *, window_hours: int = 72, hop_hours:
     used = (F.col("_prev_slice") * F.lit(slice_seconds)) >= (F.col("_w") * F.lit(hop))
     prof = c2.merge_moments(fanned, ["_w", *c2.PAIR], edge_used=used)
     start = F.col("_w") * F.lit(hop)
-    prof = prof.withColumns({"window_start": epoch_to_time(start, ts_type),
-                             "window_end": epoch_to_time(start + F.lit(size), ts_type)})
-    cands = c2.beacon_candidates(c2.add_extensions(prof), min_connections=min_connections, jitter_threshold=jitter_threshold)
+    return c2.add_extensions(prof.withColumns({"window_start": epoch_to_time(start, ts_type),
+                                               "window_end": epoch_to_time(start + F.lit(size), ts_type)}))
+
+
+def sliding_c2_sweep(conn_logs: DataFrame, *, window_hours: int = 72, hop_hours: int = 6, min_connections: int = 5,
+                     jitter_threshold: float = 150, min_score: float = 50, null_score: str = "reference",
+                     slice_seconds: int = c2.DEFAULT_SLICE_SECONDS) -> DataFrame:
+    """The C2 hunt over every sliding window."""
+    prof = sliding_c2_profile(conn_logs, window_hours=window_hours, hop_hours=hop_hours, slice_seconds=slice_seconds)
+    cands = c2.beacon_candidates(prof, min_connections=min_connections, jitter_threshold=jitter_threshold)
     return c2.beacon_findings(c2.score_beacons(cands, min_score=min_score, null_score=null_score),
                               by=["window_start", "window_end"])

@@ -39,12 +39,15 @@ def pin_utc(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when it is unset (tests, local runs) is a fresh
-    local folder created and registered."""
+    This is whatever ``spark.checkpoint.dir`` names (on a cluster: a shared
+    file system).  Only a local master (tests, one machine) may go without:
+    a fresh local folder is then created and registered."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tracehound-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

@@ -1,22 +1,27 @@
-"""Sinks (K1–K3, K5, K7, K8): the result tables as parquet folders.
-
-Every write is idempotent per run so a retried job (lost executors, a
-restarted driver) converges: findings are partitioned by ``execution_id``
-and written with dynamic partition overwrite, so a re-run replaces only its
-own partition; state tables (IOCs, statistics) are written to a fresh
-version folder and then made current by rewriting one small pointer file,
-so readers never see a half-written table and the table being read is never
-the one being overwritten.
+"""Sinks (K1–K5, K7, K8): the result tables as parquet folders.
+
+Every table is made of folders that one run owns and replaces whole, so a
+retried or repeated job converges and runs never touch each other's rows:
+
+* findings – ``execution_id=N/created_date=D``; a run replaces its folder, also
+  with nothing; the creation date lets a look-back skip older folders;
+* IOCs – ``execution_id=N`` holds the run's mergeable roll-up; readers merge
+  them (``read_iocs``), with a snapshot of many runs as a cache;
+* statistics – one folder per (date, hunt), replaced by partition;
+* execution events – appended.
+
+Tables are read with their schema given, so a folder without files is an empty
+table, not an error.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracehound.operators import ioc
 from tracehound.operators.dedup import with_fingerprint
 
 # Stored findings table: column -> Spark type (result-table DDL).
@@ -27,7 +32,52 @@ FINDINGS_TABLE = [
     ("timestamp", "timestamp"), ("confidence_score", "decimal(5,2)"), ("description", "string"), ("raw_data", "string"),
     ("analyst_notes", "string"), ("status", "string"), ("created_at", "timestamp"), ("updated_at", "timestamp"),
 ]
-POINTER = "_CURRENT"
+FINDINGS_SCHEMA = ", ".join(f"`{n}` {t}" for n, t in FINDINGS_TABLE) + ", created_date date"
+STATISTICS_SCHEMA = (
+    "total_findings bigint, critical_findings bigint, high_findings bigint, medium_findings bigint, low_findings bigint, "
+    "false_positives bigint, confirmed_threats bigint, avg_confidence_score double, records_analyzed bigint, "
+    "execution_time_seconds bigint, execution_date date, hunt_name string")
+EVENT_SCHEMA = (
+    "execution_id bigint, event_seq int, event_time timestamp, hunt_name string, hunt_version string, "
+    "execution_start timestamp, execution_end timestamp, status string, records_analyzed bigint, "
+    "findings_count int, date_range_start date, date_range_end date, parameters string, error_message string")
+SNAPSHOTS = "_snapshots"
+
+
+def utc(t: _dt.datetime) -> _dt.datetime:
+    """An aware UTC time; a naive one is taken as UTC."""
+    return t.replace(tzinfo=_dt.timezone.utc) if t.tzinfo is None else t.astimezone(_dt.timezone.utc)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return bool(fs.exists(p))
+
+
+def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A result table; one that was never written is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+def read_results(spark: SparkSession, *, path: str | None = None, table: str | None = None, jdbc: dict | None = None,
+                 schema: str | None = None) -> DataFrame:
+    """A result table from exactly one of: a folder, a catalog table, or a
+    database (``jdbc``: options of ``spark.read.jdbc``, where ``column``,
+    ``lowerBound``, ``upperBound`` and ``numPartitions`` split the read)."""
+    if sum(x is not None for x in (path, table, jdbc)) != 1:
+        raise ValueError("give one of path, table and jdbc")
+    if table is not None:
+        return spark.table(table)
+    if jdbc is not None:
+        return spark.read.jdbc(**jdbc)
+    return read_result(spark, path, schema) if schema else spark.read.parquet(path)
 
 
 def to_findings_table(findings: DataFrame, execution_id: int, created_at: _dt.datetime) -> DataFrame:
@@ -36,8 +86,8 @@ def to_findings_table(findings: DataFrame, execution_id: int, created_at: _dt.da
     f = with_fingerprint(findings)
     extra = {
         "execution_id": F.lit(execution_id).cast("bigint"),
-        "created_at": F.lit(created_at).cast("timestamp"),
-        "updated_at": F.lit(created_at).cast("timestamp"),
+        "created_at": F.lit(utc(created_at)).cast("timestamp"),
+        "updated_at": F.lit(utc(created_at)).cast("timestamp"),
         "status": F.lit("new"),
         "finding_id": F.xxhash64(F.lit(execution_id), F.col("fingerprint"), F.col("timestamp").cast("string")),
     }
@@ -49,10 +99,15 @@ def to_findings_table(findings: DataFrame, execution_id: int, created_at: _dt.da
     return f.select(*cols)
 
 
-def append_findings(table: DataFrame, path: str) -> None:
-    """K1 write: one partition per run, replaced on re-run."""
-    (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("execution_id").parquet(path))
+def write_findings(table: DataFrame, path: str, execution_id: int, created_at: _dt.datetime) -> None:
+    """K1 write: the run's folder, replaced whole on a re-run."""
+    day = F.lit(utc(created_at).date())
+    (table.drop("execution_id").withColumn("created_date", day).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("created_date").parquet(f"{path}/execution_id={execution_id}"))
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return read_result(spark, path, FINDINGS_SCHEMA)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batchsize: int = 1000, **props) -> None:
@@ -72,59 +127,63 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
-
-
-def current_version(spark: SparkSession, base: str) -> str | None:
-    """The folder a versioned table currently points to, if any."""
-    fs, jvm = _fs(spark, base)
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}")
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        name = reader.readLine()
-    finally:
-        stream.close()
-    return f"{base}/{name.strip()}" if name else None
-
-
-def version_exists(spark: SparkSession, base: str, name: str) -> bool:
-    """Whether version ``name`` of a versioned table was written completely."""
-    fs, jvm = _fs(spark, base)
-    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/_SUCCESS")))
-
-
-def read_versioned(spark: SparkSession, base: str) -> DataFrame | None:
-    cur = current_version(spark, base)
-    return spark.read.parquet(cur) if cur else None
-
-
-def swap_write(df: DataFrame, base: str, name: str | None = None) -> str:
-    """K4/K5 on plain parquet: write a new version folder, then point
-    ``_CURRENT`` at it.  The previous version stays readable until then.
-    With a ``name`` (e.g. a stream batch id) a version that was already
-    written completely is not written again, only re-pointed."""
-    spark = df.sparkSession
-    name = name or f"v-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    fs, jvm = _fs(spark, base)
-    done = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/_SUCCESS")
-    if not fs.exists(done):
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}.{name}")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(name.encode("utf-8")))
-    finally:
-        out.close()
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}")
-    fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
-    return f"{base}/{name}"
+def write_iocs(delta: DataFrame, base: str, execution_id: int) -> None:
+    """K4: the run's own roll-up (``ioc.stored_partial``), replaced on a re-run.
+    Snapshots that hold the run's older roll-up go first."""
+    spark = delta.sparkSession
+    for snapshot in _snapshots(spark, base):
+        if not spark.read.parquet(f"{snapshot}/runs").where(F.col("execution_id") == execution_id).isEmpty():
+            fs, p = _path(spark, snapshot)
+            fs.delete(p, True)
+    delta.write.mode("overwrite").parquet(f"{base}/execution_id={execution_id}")
+
+
+def _snapshots(spark: SparkSession, base: str) -> list[str]:
+    """Complete snapshots, oldest first (the list of runs is written last)."""
+    fs, p = _path(spark, f"{base}/{SNAPSHOTS}")
+    names = sorted(c.getPath().toString() for c in fs.listStatus(p)) if fs.exists(p) else []
+    return [n for n in names if exists(spark, f"{n}/runs/_SUCCESS")]
+
+
+def _ioc_partials(spark: SparkSession, base: str) -> DataFrame:
+    """The roll-ups of all runs: the newest snapshot, and the runs not in it."""
+    schema = ioc.PARTIAL_SCHEMA
+    runs = read_result(spark, base, f"{schema}, execution_id bigint")
+    found = _snapshots(spark, base)
+    if not found:
+        return runs.drop("execution_id")
+    covered = spark.read.parquet(f"{found[-1]}/runs")
+    held = spark.read.schema(schema).parquet(f"{found[-1]}/partials")
+    return runs.join(covered, "execution_id", "left_anti").drop("execution_id").unionByName(held)
+
+
+def read_iocs(spark: SparkSession, base: str) -> DataFrame:
+    """The tracked indicators: all runs' roll-ups merged."""
+    return ioc.ioc_finish(ioc.merge_partials(_ioc_partials(spark, base)))
+
+
+def compact_iocs(spark: SparkSession, base: str) -> None:
+    """Merge all runs' roll-ups into a snapshot.  The runs' folders stay, so a
+    run can be repeated and a lost snapshot costs nothing."""
+    fs, p = _path(spark, base)
+    ids = [int(c.getPath().getName().split("=")[1]) for c in fs.listStatus(p) if c.getPath().getName().startswith("execution_id=")]
+    found = _snapshots(spark, base)
+    target = f"{base}/{SNAPSHOTS}/{len(found):06d}-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S%f}"
+    ioc.merge_partials(_ioc_partials(spark, base)).write.parquet(f"{target}/partials")
+    spark.createDataFrame([(i,) for i in ids], "execution_id bigint").write.parquet(f"{target}/runs")
+    for old in found:
+        old_fs, old_p = _path(spark, old)
+        old_fs.delete(old_p, True)
+
+
+def write_statistics(new: DataFrame, path: str) -> None:
+    """K5: replace the rows of each (date, hunt) in ``new``."""
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("execution_date", "hunt_name").parquet(path))
+
+
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    return read_result(spark, path, STATISTICS_SCHEMA)
 
 
 def write_report(report: DataFrame, path: str) -> None:
