@@ -158,3 +158,21 @@ def test_byte_similarity_threshold_optional_filter(spark):
     assert c2.c2_beaconing(df, byte_similarity_threshold=0.8).count() == 0
     prof = c2.c2_beacon_profile(df).collect()[0]
     assert prof.byte_similarity < 0.8 and prof.session_seconds == 19 * 60
+
+
+def test_sessions_split_at_gaps(spark):
+    times = every(3, 600) + every(2, 60, T0 + dt.timedelta(hours=5)) + [T0 + dt.timedelta(hours=9)]
+    got = sorted(c2.pair_sessions(conn(spark, times, lambda i: i + 1)).collect(), key=lambda r: r.session_start)
+    assert [(r.connection_count, r.session_seconds, r.bytes_sent) for r in got] == [(3, 1200, 6), (2, 60, 9), (1, 0, 6)]
+
+
+def test_ports_are_part_of_the_pair(spark):
+    df = conn(spark, every(12, 60)).unionByName(conn(spark, every(15, 60), port=445))
+    assert {r.destination_port: r.connection_count for r in c2.c2_beacon_profile(df).collect()} == {443: 12, 445: 15}
+
+
+def test_stored_numbers_are_not_rounded(spark):
+    import json
+    times = every(12, 60) + [T0 + dt.timedelta(seconds=60 * 11 + 47)]
+    r = c2.c2_beaconing(conn(spark, times)).collect()[0]
+    assert json.loads(r.raw_data)["avg_interval_seconds"] == pytest.approx((60 * 11 + 47) / 12, abs=1e-12)

@@ -1,6 +1,7 @@
 """Property: the time-sliced C2 profile equals one lag over the pair."""
 
 import datetime as dt
+import statistics
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import CONN_SCHEMA
 from tracehound.operators import c2
+from tracehound.plans import sweeps
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -17,12 +19,13 @@ offsets = st.lists(st.tuples(st.integers(0, 3 * 86400), st.integers(0, 999999),
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=offsets, slice_seconds=st.sampled_from([1, 60, 300, 7200, 200000]), pairs=st.integers(1, 3))
-def test_sliced_profile_equals_single_lag(spark, rows, slice_seconds, pairs):
+@given(rows=offsets, slice_seconds=st.sampled_from([1, 60, 300, 7200, 200000]), pairs=st.integers(1, 3),
+       busy_rows=st.sampled_from([None, 0, 5, 20, 10**6]))
+def test_sliced_profile_equals_single_lag(spark, rows, slice_seconds, pairs, busy_rows):
     data = [(T0 + dt.timedelta(seconds=s, microseconds=us), f"10.0.0.{i % pairs}", "1.1.1.1", 443, b, 0, 1.0)
             for i, (s, us, b) in enumerate(rows)]
     df = spark.createDataFrame(data, CONN_SCHEMA)
-    got = {r.source_ip: r for r in c2.c2_beacon_profile(df, slice_seconds=slice_seconds).collect()}
+    got = {r.source_ip: r for r in c2.c2_beacon_profile(df, slice_seconds=slice_seconds, busy_rows=busy_rows).collect()}
     w = Window.partitionBy("id_orig_h").orderBy("ts")
     ref = df.withColumn("e", F.unix_timestamp("ts")).withColumn("gap", F.col("e") - F.lag("e").over(w)).groupBy("id_orig_h").agg(
         F.count("*").alias("n"), F.avg("gap").alias("a"), F.stddev("gap").alias("s"),
@@ -34,3 +37,27 @@ def test_sliced_profile_equals_single_lag(spark, rows, slice_seconds, pairs):
             assert (mine is None) == (theirs is None)
             if mine is not None:
                 assert mine == pytest.approx(theirs, rel=1e-9, abs=1e-6)
+
+
+far = st.lists(st.tuples(st.integers(0, 12 * 86400), st.integers(0, 3)), min_size=2, max_size=50)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=far, outlier=st.sampled_from([20 * 2**30, 5 * 10**15]))
+def test_sliding_byte_spread_ignores_what_lies_outside_the_window(spark, rows, outlier):
+    """Every reported window against one direct aggregate over its own rows,
+    with one huge transfer ten days before all others."""
+    first = T0 - dt.timedelta(days=10)
+    data = [(first, "10.0.0.1", "1.1.1.1", 443, outlier, 0, 1.0)]
+    data += [(T0 + dt.timedelta(seconds=s), "10.0.0.1", "1.1.1.1", 443, 1000 + b, 0, 1.0) for s, b in rows]
+    df = spark.createDataFrame(data, CONN_SCHEMA)
+    got = sweeps.sliding_c2_profile(df).collect()
+    times = [(r[0], r[4]) for r in data]
+    seen = 0
+    for r in got:
+        inside = [b for t, b in times if r.window_start <= t < r.window_end]
+        assert r.connection_count == len(inside)
+        if len(inside) > 1:
+            assert r.bytes_sent_stddev == pytest.approx(statistics.stdev(inside), rel=1e-9)
+            seen += 1
+    assert len(got) >= 12 and (seen or len(rows) < 3)

@@ -14,9 +14,6 @@ LATERAL_DESCRIPTION = "Potential lateral movement: Account '%s' accessed %d uniq
 MISSING_TEXT = "None"
 # ---------------------------------------------------------------------------
 
-# Digits kept for floating values inside raw_data.
-JSON_DIGITS = 6
-
 
 def shown(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(MISSING_TEXT))
@@ -39,10 +36,6 @@ def lateral_description(user: Column, hosts: Column, minutes: int, src: Column)
     return F.format_string(LATERAL_DESCRIPTION, shown(user), hosts, F.lit(minutes), shown(src))
 
 
-def json_number(c: Column) -> Column:
-    return F.round(c.cast("double"), JSON_DIGITS)
-
-
 # JSON keeps NULL fields (as ``json.dumps`` does).
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 

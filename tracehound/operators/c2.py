@@ -2,16 +2,18 @@
 
 Plan shape (two exchanges, both skew-safe):
 
+0. A map-side combined count per pair finds the busy pairs (few rows, so the
+   join that marks them is a run-time broadcast).
 1. ``(pair, time slice)`` — the connection log is hash-partitioned on the
-   pair *and* a fixed-width time slice of the connection time, so one hot
-   pair (say a third of all rows) is spread over ``range/slice`` tasks.
+   pair *and*, for busy pairs, a fixed-width time slice of the connection
+   time, so one hot pair (say a third of all rows) is spread over
+   ``range/slice`` tasks.  A burst of one pair within a slice is one task.
    Inside a slice ``lag`` gives the gaps; the slice is reduced to
    mergeable moments: gap count/sum/sum of squares (exact 64-bit integers),
-   byte count/mean/M2 and the first/last connection time.
+   byte count/sum/sum of squares (exact) and the first/last connection time.
 2. ``pair`` — one row per non-empty slice (at most range/slice per pair,
    independent of traffic).  ``lag`` over slices yields the gap that
-   crosses each slice boundary; the sums are merged exactly (gaps) or with
-   the parallel-variance formula (bytes).
+   crosses each slice boundary; all sums are merged exactly.
 
 The result equals one ``lag`` over the whole pair followed by ``avg`` and
 ``stddev`` — without ever putting a whole pair into one task.
@@ -30,6 +32,10 @@ from tracehound.functions.timecols import epoch_seconds, floor_second, normalize
 PAIR = ["source_ip", "destination_ip", "destination_port"]
 HUNT = "c2_beaconing"
 DEFAULT_SLICE_SECONDS = 300
+# A pair with more connections than this is cut into time slices; any other is
+# one slice, so the second exchange carries one row for it.  The result is the
+# same for every value.
+BUSY_PAIR_ROWS = 500_000
 # Gaps are non-negative and add up to last - first, so every sum of squared
 # gaps is at most (last - first)^2: a long holds it for spans under ~95
 # years.  Only the variance numerator n*S2 - S1^2 needs exact decimals.
@@ -49,14 +55,23 @@ def conn_pairs(conn_logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _sliced(pairs: DataFrame, slice_seconds: int) -> DataFrame:
-    e = epoch_seconds("ts")
-    return pairs.withColumn("_e", e).withColumn("_slice", F.floor(F.col("_e") / F.lit(slice_seconds)))
+def _sliced(pairs: DataFrame, keys: Sequence[str], slice_seconds: int, busy_rows: int | None) -> DataFrame:
+    """Epoch second and slice of each row; slice 0 for all rows of a pair
+    with at most ``busy_rows`` rows (None: slice every pair)."""
+    x = pairs.withColumn("_e", epoch_seconds("ts"))
+    slice_ = F.floor(F.col("_e") / F.lit(slice_seconds))
+    if busy_rows is None:
+        return x.withColumn("_slice", slice_)
+    busy = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > busy_rows)
+    busy = busy.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_busy"))
+    x = x.join(busy, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys], "left").drop(*[f"_b_{k}" for k in keys])
+    return x.withColumn("_slice", F.when(F.col("_busy"), slice_).otherwise(F.lit(0).cast("long"))).drop("_busy")
 
 
-def slice_moments(pairs: DataFrame, keys: Sequence[str], slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
+def slice_moments(pairs: DataFrame, keys: Sequence[str], slice_seconds: int = DEFAULT_SLICE_SECONDS,
+                  busy_rows: int | None = None) -> DataFrame:
     """Level 1: one row per (keys, slice) with mergeable moments."""
-    x = _sliced(pairs, slice_seconds)
+    x = _sliced(pairs, keys, slice_seconds, busy_rows)
     w = Window.partitionBy(*keys, "_slice").orderBy("ts")
     x = x.withColumn("_gap", F.col("_e") - F.lag("_e").over(w))
     return x.groupBy(*keys, "_slice").agg(*[F.expr(e) for e in (
@@ -69,50 +84,48 @@ def slice_moments(pairs: DataFrame, keys: Sequence[str], slice_seconds: int = DE
         "min(ts) AS ts_first",
         "max(ts) AS ts_last",
         "count(orig_bytes) AS bn",
-        "avg(orig_bytes) AS bmean",
-        "var_pop(orig_bytes) * count(orig_bytes) AS bm2",
+        f"sum(CAST(orig_bytes AS {_EXACT})) AS b1",
+        f"sum(CAST(orig_bytes AS DECIMAL(19,0)) * CAST(orig_bytes AS DECIMAL(19,0))) AS b2",
     )])
 
 
 def with_edges(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gap crossing into each slice from the previous non-empty slice of
-    the same keys, plus a per-keys reference point for the byte M2 merge
-    (the first slice's byte mean: any constant inside the data range keeps
-    the merge exact and stable; this one comes from the same ordered window)."""
+    the same keys."""
     w_ord = Window.partitionBy(*keys).orderBy("_slice")
     return slices.withColumns({
         "_prev_slice": F.lag("_slice").over(w_ord),
         "_edge": F.col("e_first") - F.lag("e_last").over(w_ord),
-        "_bmu": F.first("bmean", ignorenulls=True).over(w_ord),
     })
 
 
-# Level-2 merge, as SQL expressions over the slice rows.  Gap sums are exact
-# integers; the byte M2 is taken about the reference point _bmu and shifted
-# to the group mean: M2 = sum(M2_i + n_i (mean_i - c)^2) - N (mean - c)^2.
+# Level-2 merge, as SQL expressions over the slice rows.  All sums are exact
+# integers, so neither the order of merging nor a far outlier in another
+# window can change a spread.
 _MERGE = [
     "sum(n) AS connection_count",
     "sum(gn) + count(_edge) AS _gaps",
     "sum(g1) + coalesce(sum(_edge), 0) AS _g1",
     "sum(g2) + coalesce(sum(_edge * _edge), 0) AS _g2",
     "sum(bn) AS _bn",
-    "try_divide(sum(bn * bmean), sum(bn)) AS avg_bytes_sent",
-    "sum(bm2 + bn * (bmean - _bmu) * (bmean - _bmu)) AS _bm2_c",
-    "max(_bmu) AS _c",
+    f"CAST(sum(b1) AS {_EXACT}) AS _b1",
+    f"CAST(sum(b2) AS {_EXACT}) AS _b2",
     "min(e_first) AS first_seen",
     "max(e_last) AS last_seen",
     "min(ts_first) AS first_ts",
     "max(ts_last) AS last_ts",
 ]
+_MEAN = f"CAST(_b1 DIV _bn AS {_EXACT})"
 _PROFILE = [
     "connection_count",
     "CASE WHEN _gaps > 0 THEN CAST(_g1 AS DOUBLE) / CAST(_gaps AS DOUBLE) END AS avg_interval",
     f"CASE WHEN _gaps > 1 THEN sqrt(CAST(CAST(_gaps AS {_EXACT}) * CAST(_g2 AS {_EXACT})"
     f" - CAST(_g1 AS {_EXACT}) * CAST(_g1 AS {_EXACT}) AS DOUBLE)"
     " / (CAST(_gaps AS DOUBLE) * CAST(_gaps - 1 AS DOUBLE))) END AS interval_stddev",
-    "avg_bytes_sent",
-    "CASE WHEN _bn > 1 THEN sqrt(greatest(_bm2_c - _bn * (avg_bytes_sent - _c) * (avg_bytes_sent - _c), 0.0)"
-    " / CAST(_bn - 1 AS DOUBLE)) END AS bytes_sent_stddev",
+    "CASE WHEN _bn > 0 THEN CAST(_b1 AS DOUBLE) / CAST(_bn AS DOUBLE) END AS avg_bytes_sent",
+    # squares about the integer c just below the mean (exact), then about the mean
+    f"CASE WHEN _bn > 1 THEN sqrt(greatest(CAST(_b2 - 2 * {_MEAN} * _b1 + _bn * {_MEAN} * {_MEAN} AS DOUBLE)"
+    f" - power(CAST(_b1 - _bn * {_MEAN} AS DOUBLE), 2) / _bn, 0.0) / (_bn - 1)) END AS bytes_sent_stddev",
     "first_seen",
     "last_seen",
     "first_ts",
@@ -132,9 +145,10 @@ def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | Non
     return agg.selectExpr(*[f"`{k}`" for k in (*keys, *keep)], *_PROFILE)
 
 
-def profile_from_pairs(pairs: DataFrame, by: Sequence[str] = (), slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
+def profile_from_pairs(pairs: DataFrame, by: Sequence[str] = (), slice_seconds: int = DEFAULT_SLICE_SECONDS,
+                       busy_rows: int | None = BUSY_PAIR_ROWS) -> DataFrame:
     keys = [*by, *PAIR]
-    edged = with_edges(slice_moments(pairs, keys, slice_seconds), keys)
+    edged = with_edges(slice_moments(pairs, keys, slice_seconds, busy_rows), keys)
     return merge_moments(edged, keys)
 
 
@@ -147,13 +161,29 @@ def add_extensions(profile: DataFrame) -> DataFrame:
     })
 
 
-def c2_beacon_profile(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
+def c2_beacon_profile(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SECONDS,
+                      busy_rows: int | None = BUSY_PAIR_ROWS) -> DataFrame:
     """A1: per (source_ip, destination_ip, destination_port): connection
     count, interval mean/stddev, bytes mean/stddev, first/last epoch."""
-    return add_extensions(profile_from_pairs(conn_pairs(conn_logs), (), slice_seconds))
+    return add_extensions(profile_from_pairs(conn_pairs(conn_logs), (), slice_seconds, busy_rows))
 
 
-def c2_intervals(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
+def pair_sessions(conn_logs: DataFrame, *, max_gap: str = "30 minutes") -> DataFrame:
+    """Sessions of a pair: runs of connections no further apart than
+    ``max_gap``, longest first by their own length, with their connections and
+    bytes.  ``session_window`` merges partial sessions on the map side."""
+    pairs = conn_pairs(conn_logs)
+    ts_type = pairs.schema["ts"].dataType
+    s = F.session_window("ts", max_gap).alias("s")
+    agg = pairs.groupBy(*PAIR, s).agg(
+        F.count(F.lit(1)).alias("connection_count"), F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
+        F.sum("orig_bytes").cast("long").alias("bytes_sent"))
+    return agg.select(*PAIR, F.col("session_start").cast(ts_type).alias("session_start"), F.col("session_end").cast(ts_type).alias("session_end"),
+                      (epoch_seconds("session_end") - epoch_seconds("session_start")).alias("session_seconds"), "connection_count", "bytes_sent")
+
+
+def c2_intervals(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SECONDS,
+                 busy_rows: int | None = BUSY_PAIR_ROWS) -> DataFrame:
     """Per connection, seconds since the previous connection of the
     same pair (NULL for the first), computed slice by slice.
 
@@ -162,7 +192,7 @@ def c2_intervals(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SEC
     a ``lag`` over slices and are joined back to the first row of the next
     slice.  Both branches share the same exchange, so the log is read once."""
     keys = PAIR
-    x = _sliced(conn_pairs(conn_logs), slice_seconds)
+    x = _sliced(conn_pairs(conn_logs), keys, slice_seconds, busy_rows)
     w = Window.partitionBy(*keys, "_slice").orderBy("ts")
     x = x.withColumns({"_gap": F.col("_e") - F.lag("_e").over(w), "_tail": F.lead("_e").over(w).isNull()})
     tails = x.filter(F.col("_tail")).select(*keys, "_slice", F.col("_e").alias("_last"))
@@ -201,8 +231,8 @@ def beacon_findings(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     last = floor_second(F.col("last_ts"))
     raw = text.raw_json(
         connection_count=F.col("connection_count"),
-        avg_interval_seconds=text.json_number(F.col("avg_interval")),
-        interval_stddev=text.json_number(F.col("interval_stddev")),
+        avg_interval_seconds=F.col("avg_interval"),
+        interval_stddev=F.col("interval_stddev"),
         avg_bytes_sent=F.coalesce(F.col("avg_bytes_sent").cast("long"), F.lit(0).cast("long")),
         first_seen=text_time(first, with_fraction=False),
         last_seen=text_time(last, with_fraction=False),
@@ -226,9 +256,10 @@ def beacon_findings(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def c2_beaconing(conn_logs: DataFrame, *, min_connections: int = 10, jitter_threshold: float = 300,
                  byte_similarity_threshold: float | None = None, min_score: float = 50,
-                 null_score: str = "reference", slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
+                 null_score: str = "reference", slice_seconds: int = DEFAULT_SLICE_SECONDS,
+                 busy_rows: int | None = BUSY_PAIR_ROWS) -> DataFrame:
     """The C2 beaconing hunt: connection log -> findings."""
-    prof = c2_beacon_profile(conn_logs, slice_seconds=slice_seconds)
+    prof = c2_beacon_profile(conn_logs, slice_seconds=slice_seconds, busy_rows=busy_rows)
     cands = beacon_candidates(prof, min_connections=min_connections, jitter_threshold=jitter_threshold,
                               byte_similarity_threshold=byte_similarity_threshold)
     return beacon_findings(score_beacons(cands, min_score=min_score, null_score=null_score))

@@ -62,9 +62,9 @@ def tunneling_findings(profile: DataFrame, *, min_query_length: int = 50, min_qu
     scored = cand.withColumn("_score", s).filter(F.col("_score") > min_score)
     raw = text.raw_json(
         query_count=F.col("query_count"),
-        avg_query_length=text.json_number(F.col("avg_query_length")),
+        avg_query_length=F.col("avg_query_length"),
         max_query_length=F.col("max_query_length"),
-        avg_subdomain_count=text.json_number(F.col("avg_subdomain_count")),
+        avg_subdomain_count=F.col("avg_subdomain_count"),
         first_seen=text_time("first_seen"),
         last_seen=text_time("last_seen"),
     )
@@ -95,7 +95,5 @@ def dns_tunneling(dns_logs: DataFrame, *, min_query_length: int = 50, min_query_
                                min_query_count=min_query_count, min_score=min_score)
     if entropy_threshold is None:
         return found
-    from tracehound.operators.extensions import query_entropy
-    ent = query_entropy(found.select(F.col("destination_hostname").alias("query_domain")).distinct())
-    return (found.join(ent.withColumnRenamed("query_domain", "destination_hostname"), "destination_hostname")
-            .filter(F.col("entropy") >= entropy_threshold).drop("entropy"))
+    from tracehound.operators.extensions import shannon_entropy
+    return found.filter(shannon_entropy(F.col("destination_hostname")) >= entropy_threshold)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.plans.views import count_when, distinct_list
+from tracehound.plans.views import with_distinct_list
 
 # Columns of a run's state, as in the result table.
 STATE_COLUMNS = ["hunt_name", "execution_start", "execution_end", "status", "records_analyzed", "findings_count"]
@@ -52,11 +52,10 @@ def execution_log_latest(events: DataFrame) -> DataFrame:
 def campaign_summary(executions: DataFrame) -> DataFrame:
     """Per campaign (runs started the same day): runs, completed,
     failed, findings of completed runs, and the hunts that ran."""
-    completed = F.col("status") == "completed"
-    return executions.groupBy(F.to_date("execution_start").alias("campaign_date")).agg(
-        F.count(F.lit(1)).alias("hunts_run"),
-        count_when(completed).alias("successful_hunts"),
-        count_when(F.col("status") == "failed").alias("failed_hunts"),
-        F.coalesce(F.sum(F.when(completed, F.col("findings_count"))), F.lit(0)).cast("long").alias("total_findings"),
-        distinct_list("hunt_name").alias("hunts"),
-    )
+    return with_distinct_list(
+        executions.withColumn("campaign_date", F.to_date("execution_start")), ["campaign_date"], "hunt_name", "hunts",
+        {"hunts_run": ("count(1)", "sum"),
+         "successful_hunts": ("count_if(status = 'completed')", "sum"),
+         "failed_hunts": ("count_if(status = 'failed')", "sum"),
+         "total_findings": ("sum(CASE WHEN status = 'completed' THEN CAST(findings_count AS BIGINT) END)", "sum")},
+        total_findings=F.coalesce("total_findings", F.lit(0)).cast("long"))

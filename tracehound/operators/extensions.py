@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions import scoring
@@ -54,14 +54,20 @@ def previous_in_order(df: DataFrame, keys: Sequence[str], time_col: str, order:
 # --- E1 ---------------------------------------------------------------------------
 def query_entropy(names: DataFrame, col: str = "query_domain") -> DataFrame:
     """Shannon entropy (bits per character) of each distinct name."""
-    q = F.col(col)
-    distinct = names.select(q).filter(q.isNotNull() & (q != "")).distinct()
-    chars = distinct.select(q, F.length(q).alias("_len"),
-                            F.explode(F.sequence(F.lit(1), F.length(q))).alias("_pos"))
-    chars = chars.select(col, "_len", F.substring(q, F.col("_pos"), 1).alias("_ch"))
-    counts = chars.groupBy(col, "_len", "_ch").agg(F.count(F.lit(1)).alias("_n"))
-    p = F.col("_n") / F.col("_len")
-    return counts.groupBy(col).agg((-F.sum(p * F.log2(p))).alias("entropy"))
+    distinct = names.select(col).filter(F.col(col).isNotNull() & (F.col(col) != "")).distinct()
+    return distinct.withColumn("entropy", shannon_entropy(F.col(col)))
+
+
+def shannon_entropy(q: Column) -> Column:
+    """Bits per character of a text, in the projection: for each different
+    character, its share from the length that removing it leaves."""
+    n = F.length(q).cast("double")
+
+    def bits(acc: Column, c: Column) -> Column:
+        p = (F.length(q) - F.length(F.replace(q, c, F.lit("")))) / n
+        return acc - p * F.log2(p)
+
+    return F.aggregate(F.array_distinct(F.filter(F.split(q, ""), lambda c: c != "")), F.lit(0.0), bits)
 
 
 def dns_entropy(dns_logs: DataFrame, threshold: float = ENTROPY_THRESHOLD) -> DataFrame:

@@ -36,11 +36,32 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+# raw_data of the hunts that store unrounded numbers, as the compare rounds it.
+RAW_DATA = {
+    "c2_beaconing": "connection_count BIGINT, avg_interval_seconds DOUBLE, interval_stddev DOUBLE, avg_bytes_sent BIGINT, "
+                    "first_seen STRING, last_seen STRING",
+    "dns_tunneling": "query_count BIGINT, avg_query_length DOUBLE, max_query_length BIGINT, avg_subdomain_count DOUBLE, "
+                     "first_seen STRING, last_seen STRING",
+}
+
+
+def round_raw_data(df: DataFrame) -> DataFrame:
+    if not {"raw_data", "hunt_name"} <= set(df.columns):
+        return df
+    out = F.when(F.lit(False), F.col("raw_data"))
+    for hunt, fields in RAW_DATA.items():
+        parsed = F.from_json("raw_data", fields)
+        names = [f.split()[:2] for f in fields.split(", ")]
+        shown = {n: F.round(parsed[n], DIGITS) if kind == "DOUBLE" else parsed[n] for n, kind in names}
+        out = out.when(F.col("hunt_name") == hunt, text.raw_json(**shown))
+    return df.withColumn("raw_data", out.otherwise(F.col("raw_data")))
+
+
 def query(name: str):
     def deco(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             pin_utc(spark)
-            return round_doubles(fn(spark, sf_dir))
+            return round_raw_data(round_doubles(fn(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         run.__wrapped__ = fn
@@ -347,6 +368,35 @@ def q_sliding_c2_sweep(spark, sf_dir):
 
 
 # --- extensions ----------------------------------------------------------------
+@query("statistics_upsert")
+def q_statistics_upsert(spark, sf_dir):
+    """K5: the statistics of a week, then those of its last days replace theirs.
+    The first pass sees no finding created after its split date."""
+    f, e = _results(spark, sf_dir)
+    early = f.filter(F.col("created_at") < F.lit(fx.RESULTS_AS_OF).cast(f.schema["created_at"].dataType))
+    old = dashboards.hunt_statistics(e, early, as_of=fx.RESULTS_AS_OF, days=7)
+    new = dashboards.hunt_statistics(e, f, as_of=fx.RESULTS_AS_OF, days=3)
+    return dashboards.upsert_statistics(old, new)
+
+
+@query("c2_sessions")
+def q_c2_sessions(spark, sf_dir):
+    """Gap-based sessions per pair."""
+    return c2.pair_sessions(_load(spark, sf_dir, "conn_logs"), max_gap="2 hours")
+
+
+@query("admin_port_access")
+def q_admin_port_access(spark, sf_dir):
+    """E8 on a log with many ports: the port filter and the port in the key."""
+    return extensions.admin_port_fanout(_load(spark, sf_dir, "conn_logs_ports"), min_destinations=3)
+
+
+@query("c2_port_profile")
+def q_c2_port_profile(spark, sf_dir):
+    """A1 on a log where one pair of hosts talks on several ports."""
+    return c2.c2_beacon_profile(_load(spark, sf_dir, "conn_logs_ports")).drop("first_ts", "last_ts")
+
+
 @query("dns_entropy")
 def q_dns_entropy(spark, sf_dir):
     """Shannon entropy per distinct query name."""

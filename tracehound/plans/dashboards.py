@@ -12,10 +12,10 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.functions.scoring import severity_rank
+from tracehound.functions.scoring import severity_from_rank, severity_rank
 from tracehound.functions.timecols import at_midnight, cutoff
-from tracehound.plans.views import avg_score, count_when, distinct_list, max_severity_ranked, max_severity_text, \
-    n_distinct, not_false_positive, run_seconds
+from tracehound.plans.views import avg_score, count_when, n_distinct, not_false_positive, run_seconds, severity_at, \
+    text_position, with_distinct_list
 
 TOP_INDICATORS_LIMIT = 100
 
@@ -54,11 +54,9 @@ def dashboard_top_indicators(findings: DataFrame, *, as_of, days: int = 30,
     """(source, destination) pairs seen more than 5 times, top ``limit``
     (a top-k: TakeOrderedAndProject keeps only ``limit`` rows per task)."""
     f = not_false_positive(since(findings, "timestamp", as_of, days))
-    agg = f.groupBy("source_ip", "destination_ip").agg(
-        F.count(F.lit(1)).alias("occurrence_count"),
-        distinct_list("finding_type").alias("finding_types"),
-        max_severity_text().alias("max_severity"),
-    )
+    agg = with_distinct_list(
+        f.withColumn("_p", text_position()), ["source_ip", "destination_ip"], "finding_type", "finding_types",
+        {"occurrence_count": ("count(1)", "sum"), "_p": ("max(_p)", "max")}, max_severity=severity_at(F.col("_p"))).drop("_p")
     return (agg.filter(F.col("occurrence_count") > 5)
             .orderBy(F.desc("occurrence_count"), F.asc_nulls_first("source_ip"), F.asc_nulls_first("destination_ip"))
             .limit(limit))
@@ -83,15 +81,13 @@ def dashboard_ioc_feed(findings: DataFrame) -> DataFrame:
     ])).alias("ind")
     x = f.select(ind, "timestamp", "severity", "finding_type", "confidence_score").select(
         "ind.*", "timestamp", "severity", "finding_type", "confidence_score").filter(F.col("ioc_value").isNotNull())
-    agg = x.groupBy("branch", "ioc_type", "ioc_value").agg(
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        F.count(F.lit(1)).alias("times_seen"),
-        max_severity_text().alias("threat_level"),
-        max_severity_ranked().alias("threat_level_ranked"),
-        distinct_list("finding_type").alias("associated_hunts"),
-        F.max("confidence_score").cast("double").alias("max_confidence"),
-    )
+    agg = with_distinct_list(
+        x.withColumns({"_p": text_position(), "_r": severity_rank("severity")}), ["branch", "ioc_type", "ioc_value"],
+        "finding_type", "associated_hunts",
+        {"first_seen": ("min(timestamp)", "min"), "last_seen": ("max(timestamp)", "max"), "times_seen": ("count(1)", "sum"),
+         "_p": ("max(_p)", "max"), "_r": ("max(_r)", "max"), "max_confidence": ("max(confidence_score)", "max")},
+        threat_level=severity_at(F.col("_p")), threat_level_ranked=severity_from_rank("_r"),
+        max_confidence=F.col("max_confidence").cast("double")).drop("_p", "_r")
     return agg.drop("branch")
 
 
@@ -99,13 +95,16 @@ def hunt_statistics(executions: DataFrame, findings: DataFrame, *, as_of, days:
     """D6 (J1 + A8 + W3): per completed run in the last ``days`` days, its
     findings by severity and status; the last run per (hunt, date) wins.
 
-    Findings are pre-aggregated per execution before the join (one row per
-    execution on both sides: no skew, small shuffle), and "last wins" is a
-    ``max_by`` (partial aggregate) instead of a window."""
+    The window's executions come first: findings are cut to their ids by a
+    semi-join before anything is aggregated (stored findings are foldered by
+    execution, so other folders are not read), then pre-aggregated per
+    execution (one row per execution on both sides of the join).  "Last wins"
+    is a ``max_by`` (partial aggregate) instead of a window."""
     day0 = cutoff(as_of, days)
     ex = executions.filter((F.col("status") == "completed") & (F.to_date("execution_start") >= F.lit(day0)))
     sev = F.col("severity")
-    fagg = findings.groupBy("execution_id").agg(
+    inside = findings.join(ex.select("execution_id").distinct(), "execution_id", "left_semi")
+    fagg = inside.groupBy("execution_id").agg(
         F.count("finding_id").alias("total_findings"),
         count_when(sev == "critical").alias("critical_findings"),
         count_when(sev == "high").alias("high_findings"),
@@ -137,10 +136,11 @@ def upsert_statistics(existing: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def export_summary_statistics(findings: DataFrame, executions: DataFrame, *, as_of, days: int = 30) -> dict[str, DataFrame]:
+def export_summary_statistics(findings: DataFrame, executions: DataFrame, *, as_of, days: int = 30,
+                              approx: bool = False) -> dict[str, DataFrame]:
     """The four summary tables of one export run (lazy)."""
     return {
-        "dashboard_hunt_summary": dashboard_hunt_summary(executions, as_of=as_of, days=days),
+        "dashboard_hunt_summary": dashboard_hunt_summary(executions, as_of=as_of, days=days, approx=approx),
         "dashboard_severity_trends": dashboard_severity_trends(findings, as_of=as_of, days=days),
         "dashboard_finding_types": dashboard_finding_types(findings, as_of=as_of, days=days),
         "dashboard_top_indicators": dashboard_top_indicators(findings, as_of=as_of, days=days),

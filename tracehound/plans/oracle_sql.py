@@ -266,13 +266,14 @@ def result_sql(body: str) -> str:
     return with_(FINDINGS, EXECS) + body
 
 
-def hunt_statistics() -> str:
-    return with_(FINDINGS, EXECS, """fagg AS (
+def hunt_statistics(first_day: str = "2000-01-08", seen: str = "true") -> str:
+    """Statistics of runs from ``first_day`` on, over the findings ``seen``."""
+    return with_(FINDINGS, EXECS, f"""fagg AS (
   SELECT execution_id, count(finding_id) AS total_findings, count_if(severity = 'critical') AS critical_findings,
          count_if(severity = 'high') AS high_findings, count_if(severity = 'medium') AS medium_findings, count_if(severity = 'low') AS low_findings,
          count_if(status = 'false_positive') AS false_positives, count_if(status = 'confirmed') AS confirmed_threats,
          sum(confidence_score) AS s, count(confidence_score) AS n
-  FROM findings GROUP BY execution_id)""", """runs AS (
+  FROM findings WHERE {seen} GROUP BY execution_id)""", f"""runs AS (
   SELECT e.hunt_name, CAST(e.execution_start AS DATE) AS execution_date, e.records_analyzed, e.execution_start, e.execution_end,
          CAST(coalesce(sum(total_findings), 0) AS BIGINT) AS total_findings, CAST(coalesce(sum(critical_findings), 0) AS BIGINT) AS critical_findings,
          CAST(coalesce(sum(high_findings), 0) AS BIGINT) AS high_findings, CAST(coalesce(sum(medium_findings), 0) AS BIGINT) AS medium_findings,
@@ -280,7 +281,7 @@ def hunt_statistics() -> str:
          CAST(coalesce(sum(confirmed_threats), 0) AS BIGINT) AS confirmed_threats,
          round(CAST(sum(s) AS DOUBLE) / nullif(sum(n), 0), 6) AS avg_confidence_score
   FROM executions e LEFT JOIN fagg f ON e.execution_id = f.execution_id
-  WHERE e.status = 'completed' AND CAST(e.execution_start AS DATE) >= DATE '2000-01-08'
+  WHERE e.status = 'completed' AND CAST(e.execution_start AS DATE) >= DATE '{first_day}'
   GROUP BY e.hunt_name, CAST(e.execution_start AS DATE), e.records_analyzed, e.execution_start, e.execution_end)""") + f"""SELECT hunt_name, execution_date,
   total_findings, critical_findings, high_findings, medium_findings, low_findings, false_positives, confirmed_threats, avg_confidence_score,
   records_analyzed, {RUN_SECS} AS execution_time_seconds
@@ -288,6 +289,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY hunt_name, execution_date ORDER
 WHERE rn = 1"""
 
 
+def statistics_upsert() -> str:
+    return f"""WITH old AS ({hunt_statistics(seen="created_at < TIMESTAMP '2000-01-15 00:00:00'")}), new AS ({hunt_statistics("2000-01-12")})
+SELECT * FROM old WHERE (hunt_name, execution_date) NOT IN (SELECT (hunt_name, execution_date) FROM new)
+UNION ALL SELECT * FROM new"""
+
+
 def report_summary() -> str:
     v = VIEW_BODIES
     return with_(FINDINGS, EXECS, f"ov AS ({v['report_overall']})", f"sev AS ({v['report_severity']})",
@@ -482,6 +489,25 @@ def admin_port_fanout() -> str:
 FROM conn_logs WHERE id_resp_p IN (443) GROUP BY ALL HAVING count(DISTINCT id_resp_h) >= 3"""
 
 
+def c2_sessions() -> str:
+    return with_(CONN, """marked AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER pair <= INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM conn_logs
+  WINDOW pair AS (PARTITION BY id_orig_h, id_resp_h, id_resp_p ORDER BY ts))""", """numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY id_orig_h, id_resp_h, id_resp_p ORDER BY ts) AS k FROM marked)""") + """SELECT id_orig_h AS source_ip,
+  id_resp_h AS destination_ip, id_resp_p AS destination_port, min(ts) AS session_start, max(ts) AS session_end,
+  CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS session_seconds, count(*) AS connection_count,
+  CAST(sum(orig_bytes) AS BIGINT) AS bytes_sent
+FROM numbered GROUP BY id_orig_h, id_resp_h, id_resp_p, k"""
+
+
+PORTS = "CASE CAST(floor(value) AS BIGINT) % 4 WHEN 0 THEN 445 WHEN 1 THEN 3389 WHEN 2 THEN 443 ELSE 8080 END AS id_resp_p"
+
+
+def on_ports(sql: str) -> str:
+    """A statement over the connection log with ports."""
+    return sql.replace("443 AS id_resp_p", PORTS)
+
+
 # --- registry -----------------------------------------------------------------
 def registered() -> dict[str, str]:
     """name -> SQL for every query that has an oracle."""
@@ -520,4 +546,8 @@ def registered() -> dict[str, str]:
         "new_logon_pairs": new_logon_pairs(),
         "logon_escalation": logon_escalation(),
         "admin_port_fanout": admin_port_fanout(),
+        "statistics_upsert": statistics_upsert(),
+        "c2_sessions": c2_sessions(),
+        "admin_port_access": on_ports(admin_port_fanout()).replace("IN (443)", "IN (445, 3389)"),
+        "c2_port_profile": on_ports(c2_beacon_profile()),
     }

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tracehound.functions.scoring import severity_rank
 from tracehound.functions.timecols import as_date, cutoff
 from tracehound.plans.dashboards import since
-from tracehound.plans.views import count_when, distinct_list, max_severity_text, n_distinct, not_false_positive, run_seconds
+from tracehound.plans.views import count_when, n_distinct, not_false_positive, run_seconds, severity_at, text_position, \
+    with_distinct_list
 
 TOP_THREATS = 10
 
@@ -38,11 +39,9 @@ def report_severity(findings: DataFrame, *, as_of, days: int = 7) -> DataFrame:
 def report_top_threats(findings: DataFrame, *, as_of, days: int = 7, limit: int = TOP_THREATS) -> DataFrame:
     """confirmed/investigating sources with most findings (top-k)."""
     f = since(findings, "timestamp", as_of, days).filter(F.col("status").isin("confirmed", "investigating"))
-    agg = f.groupBy("source_ip").agg(
-        F.count(F.lit(1)).alias("finding_count"),
-        max_severity_text().alias("max_severity"),
-        distinct_list("finding_type").alias("threat_types"),
-    )
+    agg = with_distinct_list(
+        f.withColumn("_p", text_position()), ["source_ip"], "finding_type", "threat_types",
+        {"finding_count": ("count(1)", "sum"), "_p": ("max(_p)", "max")}, max_severity=severity_at(F.col("_p"))).drop("_p")
     return agg.orderBy(F.desc("finding_count"), F.asc_nulls_first("source_ip")).limit(limit)
 
 

@@ -7,6 +7,8 @@ exact distinct counts for HyperLogLog sketches on very large tables.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,18 @@ def max_severity_text(col: str = "severity") -> Column:
     each level's text position, an integer, so the aggregate stays
     hash-based (a string max forces a sort-based aggregate).  Severity is
     the result table's five-level enum; other text is ignored."""
+    return severity_at(F.max(text_position(col)))
+
+
+def text_position(col: str = "severity") -> Column:
     c = F.col(col)
     pos = F.when(c.isNull(), F.lit(None).cast("int"))
     for i, level in enumerate(TEXT_ORDER):
         pos = pos.when(c == level, F.lit(i))
-    m = F.max(pos)
+    return pos
+
+
+def severity_at(m: Column) -> Column:
     out = F.when(m.isNull(), F.lit(None).cast("string"))
     for i, level in enumerate(TEXT_ORDER):
         out = out.when(m == i, F.lit(level))
@@ -60,12 +69,26 @@ def max_severity_ranked(col: str = "severity") -> Column:
     return severity_from_rank(F.max(severity_rank(col)))
 
 
-def distinct_list(col: str) -> Column:
-    """GROUP_CONCAT(DISTINCT x): sorted, comma-joined; NULL when empty."""
-    s = F.array_sort(F.collect_set(col))
+def listed(col: str) -> Column:
+    """The values of ``col``, one row each, sorted and comma-joined; NULL when
+    there is none.  Collect only after grouping by ``col`` as well."""
+    s = F.array_sort(F.collect_list(col))
     return F.when(F.size(s) > 0, F.array_join(s, ","))
 
 
+def with_distinct_list(df: DataFrame, keys: Sequence[str], col: str, alias: str, parts: Mapping[str, tuple[str, str]],
+                       **finished: Column) -> DataFrame:
+    """GROUP BY ``keys`` with GROUP_CONCAT(DISTINCT ``col``) as ``alias``.
+
+    ``parts`` names mergeable aggregates: alias -> (SQL over the rows, SQL
+    function that merges them).  They are taken per (keys, col) first, in a
+    hash aggregate with fixed-width buffers; the list is then collected from
+    at most one row per value.  ``finished`` replaces merged columns."""
+    per_value = df.groupBy(*keys, col).agg(*[F.expr(first).alias(a) for a, (first, _) in parts.items()])
+    out = per_value.groupBy(*keys).agg(*[F.expr(f"{merge}({a})").alias(a) for a, (_, merge) in parts.items()], listed(col).alias(alias))
+    return out.withColumns(finished) if finished else out
+
+
 def vw_daily_findings(findings: DataFrame, approx: bool = False) -> DataFrame:
     """V1: date x hunt x severity, false positives excluded."""
     return not_false_positive(findings).groupBy(
@@ -150,12 +173,16 @@ VIEWS = {
 }
 
 
-def create_dashboard_views(findings: DataFrame, executions: DataFrame) -> dict[str, DataFrame]:
+# Views whose distinct counts can come from sketches.
+APPROXIMATE = ("vw_daily_findings", "vw_top_sources", "vw_hunt_timeline")
+
+
+def create_dashboard_views(findings: DataFrame, executions: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
     """K6: register all seven views as temp views (lazy; nothing runs)."""
     src = {"findings": findings, "executions": executions}
     out = {}
     for name, (table, fn) in VIEWS.items():
-        df = fn(src[table])
+        df = fn(src[table], approx=approx) if name in APPROXIMATE else fn(src[table])
         df.createOrReplaceTempView(name)
         out[name] = df
     return out

@@ -78,6 +78,13 @@ CONN_LOGS_ALT = [
     "l_discount AS duration",
 ]
 
+# The connection log with ports: SMB and RDP among others, by event value.
+CONN_LOGS_PORTS = [
+    c if not c.startswith("443") else
+    "CASE CAST(floor(value) AS BIGINT) % 4 WHEN 0 THEN 445 WHEN 1 THEN 3389 WHEN 2 THEN 443 ELSE 8080 END AS id_resp_p"
+    for c in CONN_LOGS
+]
+
 DNS_LOGS = [
     "concat('10.2.0.', CAST(page_id % 20 AS STRING)) AS id_orig_h",
     "CASE WHEN page_id % 16 = 0 THEN concat(sha2(url, 256), '.', sha2(concat(url, 'x'), 256), '.', md5(url), '.', host) "
@@ -160,6 +167,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One mapped input by name."""
     if name == "conn_logs":
         return conn_logs(table(spark, sf_dir, "events"))
+    if name == "conn_logs_ports":
+        return table(spark, sf_dir, "events").selectExpr(*CONN_LOGS_PORTS, *[e.format(t="ts") for e in YMD])
     if name == "dns_logs":
         return dns_logs(table(spark, sf_dir, "pages"))
     if name == "win_security":
