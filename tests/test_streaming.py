@@ -1,4 +1,5 @@
-"""Streaming hunts equal their batch definitions."""
+"""Streaming hunts equal their batch definitions (T4–T7), in append mode, with
+files in any order and rows shuffled over them, as far as the watermark allows."""
 
 import datetime as dt
 import tempfile
@@ -13,106 +14,123 @@ from tracehound.sources import fixtures as fx, sinks
 from tracehound.streaming import jobs as st
 
 SF = "/root/testdata/sf0.001"
+FLUSH = dt.datetime(2024, 6, 1)
 
 
-def chunked(spark, df, time_col, edges):
-    """Write ``df`` as one file per time chunk, in time order."""
+def disordered(spark, df, time_col, files=4, spread_hours=10):
+    """A stream over files that overlap in time by ``spread_hours``, each file
+    shuffled, then one row far in the future that closes every window."""
     path = tempfile.mkdtemp(prefix="th-stream-") + "/in"
-    t = df.schema[time_col].dataType
-    for a, b in zip(edges[:-1], edges[1:]):
-        part = df.filter((F.col(f"`{time_col}`") >= F.lit(a).cast(t)) & (F.col(f"`{time_col}`") < F.lit(b).cast(t)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    t = F.col(f"`{time_col}`")
+    jitter = F.unix_timestamp(t) + F.pmod(F.xxhash64(*df.columns), F.lit(spread_hours * 3600))
+    ranked = df.withColumn("_k", jitter)
+    lo, hi = ranked.agg(F.min("_k"), F.max("_k")).first()
+    for i in range(files):
+        a, b = lo + (hi - lo + 1) * i / files, lo + (hi - lo + 1) * (i + 1) / files
+        part = ranked.filter((F.col("_k") >= a) & (F.col("_k") < b)).drop("_k")
+        part.orderBy(F.xxhash64(*df.columns)).coalesce(1).write.mode("append").parquet(path)
+    last = df.limit(1).withColumn(time_col, F.lit(FLUSH).cast(df.schema[time_col].dataType))
+    last.coalesce(1).write.mode("append").parquet(path)
+    last.withColumn(time_col, t + F.expr("INTERVAL 1 DAY")).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run(spark, sdf, mode, name=None):
-    name = name or f"q_{uuid.uuid4().hex[:8]}"
-    q = sdf.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+def run(spark, sdf, mode="append"):
+    name = f"q_{uuid.uuid4().hex[:8]}"
+    sdf.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
 
-EDGES = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 7), dt.datetime(2024, 1, 14), dt.datetime(2024, 1, 21),
-         dt.datetime(2024, 2, 1)]
-
+def keys(df, cols):
+    return sorted(tuple(str(r[c]) for c in cols) for r in df.collect())
 
-def stream_of(spark, df, time_col):
-    path = chunked(spark, df, time_col, EDGES)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
+COLS = ["source_ip", "confidence_score", "severity", "description", "raw_data"]
 
-def key(r, cols):
-    return tuple(str(r[c]) for c in cols)
 
-
-def test_streaming_c2_profile_equals_batch(spark):
+def test_streaming_c2_equals_batch_under_disorder(spark):
     logs = fx.load(spark, SF, "conn_logs").drop("year", "month", "day")
-    got = run(spark, st.streaming_c2_profile(stream_of(spark, logs, "ts")), "update")
-    last = {}
-    for r in got.collect():
-        k = (r.source_ip, r.destination_ip, r.destination_port)
-        if k not in last or r.connection_count > last[k].connection_count:
-            last[k] = r
-    want = {(r.source_ip, r.destination_ip, r.destination_port): r for r in c2.c2_beacon_profile(logs).collect()}
-    assert set(last) == set(want)
+    slices = run(spark, st.streaming_c2_slices(disordered(spark, logs, "ts"), watermark="11 hours")).where(F.col("ts_last") < F.lit(FLUSH))
+    got = {tuple(r[k] for k in c2.PAIR): r for r in st.c2_profile_from_slices(slices).collect()}
+    want = {tuple(r[k] for k in c2.PAIR): r for r in c2.c2_beacon_profile(logs).collect()}
+    assert set(got) == set(want)
     for k, w in want.items():
-        g = last[k]
-        assert g.connection_count == w.connection_count and g.late_rows == 0
-        assert (g.first_seen, g.last_seen) == (w.first_seen, w.last_seen)
-        for c in ("avg_interval", "interval_stddev", "avg_bytes_sent", "bytes_sent_stddev"):
-            assert (g[c] is None and w[c] is None) or g[c] == pytest.approx(w[c], rel=1e-9, abs=1e-9)
+        for c in ("connection_count", "first_seen", "last_seen", "avg_interval", "interval_stddev", "avg_bytes_sent", "bytes_sent_stddev"):
+            assert got[k][c] == w[c] or got[k][c] == pytest.approx(w[c], rel=1e-12)
+    assert keys(st.c2_from_slices(slices, **fx.C2_PARAMS), COLS) == keys(c2.c2_beaconing(logs, **fx.C2_PARAMS), COLS)
+
+
+def test_interleaved_minutes_lose_no_row(spark):
+    """Two files of interleaved minutes within the default watermark."""
+    base = dt.datetime(2024, 1, 1)
+    schema = "ts timestamp_ntz, id_orig_h string, id_resp_h string, id_resp_p int, orig_bytes long, resp_bytes long, duration double"
+    rows = [(base + dt.timedelta(minutes=m), "a", "b", 443, 10 + m, 0, 1.0) for m in range(11)]
+    flush = [(FLUSH, "z", "z", 1, 1, 0, 1.0)]
+    path = tempfile.mkdtemp(prefix="th-inter-") + "/in"
+    for part in (rows[::2], rows[1::2], flush, [(FLUSH + dt.timedelta(days=1), "z", "z", 1, 1, 0, 1.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    base_path = tempfile.mkdtemp(prefix="th-c2-")
+    q = st.streaming_c2_slices(stream).writeStream.foreachBatch(st.c2_upkeep(base_path, min_score=0)).trigger(availableNow=True)
+    q.option("checkpointLocation", tempfile.mkdtemp(prefix="th-ck-")).start().awaitTermination()
+    slices = spark.read.parquet(f"{base_path}/slices").where("source_ip = 'a'")
+    r = st.c2_profile_from_slices(slices.drop("batch")).collect()[0]
+    assert (r.connection_count, r.avg_interval, r.interval_stddev, r.avg_bytes_sent) == (11, 60.0, 0.0, 15.0)
+    found = spark.read.parquet(f"{base_path}/findings").where("source_ip = 'a'").collect()
+    assert len(found) >= 1 and "11 connections" in found[-1].description
 
 
-def test_streaming_lateral_equals_batch(spark):
+def test_streaming_lateral_equals_batch_under_disorder(spark):
     logs = fx.load(spark, SF, "win_security").drop("year", "month", "day")
     params = dict(fx.LATERAL_PARAMS)
-    got = run(spark, st.streaming_lateral(stream_of(spark, logs, "@timestamp"), watermark="1 day", **params), "complete")
+    got = run(spark, st.streaming_lateral(disordered(spark, logs, "@timestamp"), watermark="11 hours", **params))
     want = lateral.lateral_movement(logs, **params)
-    cols = ["username", "source_ip", "confidence_score", "severity", "description", "raw_data"]
-    assert sorted(key(r, cols) for r in got.collect()) == sorted(key(r, cols) for r in want.collect())
-    assert want.count() > 0
+    cols = ["username", *COLS]
+    assert keys(got, cols) == keys(want, cols) and want.count() > 0
 
 
-def test_streaming_dns_equals_daily_batch(spark):
+def test_streaming_dns_equals_daily_batch_under_disorder(spark):
     logs = fx.load(spark, SF, "dns_logs").drop("year", "month", "day")
-    got = run(spark, st.streaming_dns(stream_of(spark, logs, "ts")), "complete")
+    got = run(spark, st.streaming_dns(disordered(spark, logs, "ts", spread_hours=1), watermark="3 hours"))
     want = sweeps.dns_sweep(logs, sweeps.daily_runs)
-    cols = ["source_ip", "destination_hostname", "confidence_score", "severity", "description", "raw_data"]
-    assert sorted(key(r, cols) for r in got.collect()) == sorted(key(r, cols) for r in want.collect())
+    cols = ["destination_hostname", *COLS]
+    rows = [k for k in keys(got.where(F.col("timestamp") < F.lit(FLUSH)), cols)]
+    assert rows == keys(want, cols) and rows
 
 
-def test_streaming_dedup_and_ioc_upkeep(spark):
+def test_ioc_upkeep_equals_one_roll_up_and_survives_replay(spark):
     f = fx.load(spark, SF, "findings")
-    split = dt.datetime(1995, 6, 1)
-    edges = [dt.datetime(1990, 1, 1), split, dt.datetime(2010, 1, 1)]
-    path = chunked(spark, f, "created_at", edges)
+    path = tempfile.mkdtemp(prefix="th-ioc-in-") + "/in"
+    for early in (True, False):
+        f.where((F.col("created_at") < "1995-06-01") == F.lit(early)).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    # IOC upkeep through foreachBatch equals one roll-up of everything
     base = tempfile.mkdtemp(prefix="th-ioc-") + "/iocs"
-    q = stream.writeStream.foreachBatch(st.ioc_upkeep(base)).trigger(availableNow=True) \
-        .option("checkpointLocation", tempfile.mkdtemp(prefix="th-ck-")).start()
-    q.awaitTermination()
-    got = {(r.ioc_type, r.ioc_value): r.asDict() for r in sinks.read_versioned(spark, base).collect()}
+    stream.writeStream.foreachBatch(st.ioc_upkeep(base)).trigger(availableNow=True) \
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="th-ck-")).start().awaitTermination()
     want = {(r.ioc_type, r.ioc_value): r.asDict() for r in ioc.ioc_rollup(f).collect()}
-    assert got == want
-    # duplicates of a fingerprint inside the watermark are dropped
-    dd = run(spark, st.streaming_dedup(stream, watermark="36500 days"), "append")
-    assert dd.count() == dedup.with_fingerprint(f).select("fingerprint").distinct().count()
-
-
-def test_late_rows_counted_not_applied(spark):
-    base = dt.datetime(2024, 1, 1)
-    schema = "ts timestamp_ntz, id_orig_h string, id_resp_h string, id_resp_p int, orig_bytes long, resp_bytes long, duration double"
-    path = tempfile.mkdtemp(prefix="th-late-") + "/in"
-    on_time = [(base + dt.timedelta(minutes=m), "a", "b", 443, 10, 0, 1.0) for m in (10, 20, 30)]
-    late = [(base + dt.timedelta(minutes=5), "a", "b", 443, 10, 0, 1.0)]
-    spark.createDataFrame(on_time, schema).coalesce(1).write.mode("append").parquet(path)
-    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(path)
+    read = lambda: {(r.ioc_type, r.ioc_value): r.asDict() for r in sinks.read_iocs(spark, base).collect()}
+    assert read() == want
+    st.ioc_upkeep(base)(f.where("created_at < '1995-06-01'"), 0)
+    assert read() == want
+
+
+def test_streaming_dedup_keeps_findings_of_old_logs(spark):
+    """Event times go back for years from file to file; creation does not."""
+    t0 = dt.datetime(2024, 5, 1)
+    schema = ("finding_type string, source_ip string, destination_ip string, destination_hostname string, username string, "
+              "timestamp timestamp_ntz, created_at timestamp_ntz")
+    files = [[("c2", "a", "b", None, None, dt.datetime(2024, 4, 1), t0), ("c2", "a", "b", None, None, dt.datetime(2024, 4, 2), t0)],
+             [("c2", "x", "b", None, None, dt.datetime(2019, 1, 1), t0 + dt.timedelta(days=1))],
+             [("c2", "y", "b", None, None, dt.datetime(2015, 1, 1), t0 + dt.timedelta(days=2)),
+              ("c2", "a", "b", None, None, dt.datetime(2016, 1, 1), t0 + dt.timedelta(days=2)),
+              ("c2", "z", "b", None, None, dt.datetime(2024, 4, 20), t0 - dt.timedelta(days=3))]]
+    path = tempfile.mkdtemp(prefix="th-dd-") + "/in"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    name = f"late_{uuid.uuid4().hex[:6]}"
-    st.run_available_now(st.streaming_c2_profile(stream), name, sink="memory", output_mode="update")
-    final = max(spark.table(name).collect(), key=lambda r: (r.connection_count, r.late_rows))
-    assert (final.connection_count, final.late_rows, final.avg_interval) == (3, 1, 600.0)
+    got = run(spark, st.streaming_dedup(stream))
+    assert sorted(r.source_ip for r in got.collect()) == ["a", "x", "y", "z"]
+    assert dedup.with_fingerprint(got.drop("fingerprint")).count() == 4
 
 
 def test_checkpoint_dir_defaults_to_session_setting(spark):
@@ -121,17 +139,12 @@ def test_checkpoint_dir_defaults_to_session_setting(spark):
     assert d and spark.conf.get("spark.checkpoint.dir") == d
 
 
-def test_streaming_c2_findings_equal_batch(spark):
-    import json
-    logs = fx.load(spark, SF, "conn_logs").drop("year", "month", "day")
-    got = run(spark, st.streaming_c2(stream_of(spark, logs, "ts"), **fx.C2_PARAMS), "update")
-    final = {}   # a pair's last emission is the one over the most connections
-    for r in got.collect():
-        k, n = (r.source_ip, r.destination_ip), json.loads(r.raw_data)["connection_count"]
-        if k not in final or n > final[k][0]:
-            final[k] = (n, r)
-    want = {(r.source_ip, r.destination_ip): r for r in c2.c2_beaconing(logs, **fx.C2_PARAMS).collect()}
-    assert want and set(want) <= set(final)
-    for k, w in want.items():
-        g = final[k][1]
-        assert (g.confidence_score, g.severity, g.description, g.raw_data) == (w.confidence_score, w.severity, w.description, w.raw_data)
+def test_checkpoint_dir_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracehound.session import checkpoint_dir
+    for master, fine in (("yarn", False), ("local-cluster[3,2,1024]", False)):
+        conf = SimpleNamespace(get=lambda *a: None)
+        fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError):
+            checkpoint_dir(fake)

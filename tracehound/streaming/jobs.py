@@ -10,17 +10,12 @@ definition.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import TimestampType
 
 from tracehound.functions import scoring
-from tracehound.functions.timecols import epoch_micros, epoch_seconds, epoch_to_time, ntz_as_utc
+from tracehound.functions.timecols import epoch_seconds, ntz_as_utc
 from tracehound.operators import c2, dedup, dns, ioc, lateral
 from tracehound.sources import sinks
 
@@ -63,98 +58,76 @@ def streaming_dns(dns_stream: DataFrame, *, min_query_length: int = 50, min_quer
 
 
 # --- T6 ------------------------------------------------------------------------
-PROFILE_SCHEMA = (
-    "source_ip string, destination_ip string, destination_port int, connection_count long, avg_interval double, "
-    "interval_stddev double, avg_bytes_sent double, bytes_sent_stddev double, first_seen long, last_seen long, late_rows long")
-STATE_SCHEMA = ("n long, first_e long, last_e long, last_us long, gn long, g1 long, g2 decimal(38,0), "
-                "bn long, bmean double, bm2 double, late long")
-
-
-def _beacon_state(key, batches, state):
-    """Fold one pair's new rows (in time order) into its running moments."""
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if state.exists:
-        n, first_e, last_e, last_us, gn, g1, g2, bn, bmean, bm2, late = state.get
-        g2 = int(g2)
-    else:
-        n, first_e, last_e, last_us, gn, g1, g2, bn, bmean, bm2, late = 0, None, None, None, 0, 0, 0, 0, None, None, 0
-    pdf = pdf.sort_values("_us", kind="stable")
-    if last_us is not None:                       # older than what was applied: late
-        is_late = pdf["_us"].to_numpy() < last_us
-        late += int(is_late.sum())
-        pdf = pdf[~is_late]
-    if len(pdf):
-        e = pdf["_e"].to_numpy(dtype=np.int64)
-        prev = np.concatenate([[last_e], e[:-1]]) if last_e is not None else np.concatenate([[e[0]], e[:-1]])
-        gaps = (e - prev) if last_e is not None else (e - prev)[1:]
-        gn += len(gaps)
-        g1 += int(gaps.sum())
-        g2 += sum(int(g) * int(g) for g in gaps.tolist())
-        first_e = int(e[0]) if first_e is None else first_e
-        last_e, last_us = int(e[-1]), int(pdf["_us"].iloc[-1])
-        n += len(e)
-        b = pdf["orig_bytes"].dropna().to_numpy(dtype=np.float64)
-        if len(b):
-            m, m2 = float(b.mean()), float(((b - b.mean()) ** 2).sum())
-            if bn == 0:
-                bn, bmean, bm2 = len(b), m, m2
-            else:
-                tot = bn + len(b)
-                d = m - bmean
-                bm2 = bm2 + m2 + d * d * bn * len(b) / tot
-                bmean = bmean + d * len(b) / tot
-                bn = tot
-    state.update((n, first_e, last_e, last_us, gn, g1, Decimal(g2), bn, bmean, bm2, late))
-    avg = g1 / gn if gn else None
-    sd = (max(gn * g2 - g1 * g1, 0) / (gn * (gn - 1))) ** 0.5 if gn > 1 else None
-    bsd = (max(bm2, 0.0) / (bn - 1)) ** 0.5 if bn > 1 else None
-    yield pd.DataFrame([{**dict(zip(["source_ip", "destination_ip", "destination_port"], key)),
-                         "connection_count": n, "avg_interval": avg, "interval_stddev": sd,
-                         "avg_bytes_sent": bmean if bn else None, "bytes_sent_stddev": bsd,
-                         "first_seen": first_e, "last_seen": last_e, "late_rows": late}])
-
-
-def streaming_c2_profile(conn_stream: DataFrame) -> DataFrame:
-    """Running per-pair profile (update mode).  ``lag`` is not available on
-    streams, so each pair's state holds its last connection time and exact
-    gap sums; rows are applied in time order within a micro-batch and rows
-    older than the pair's last applied connection are counted as late."""
-    pairs = c2.conn_pairs(conn_stream).withColumns({
-        "_e": epoch_seconds("ts"),
-        "_us": epoch_micros("ts"),
-    }).select(*c2.PAIR, "_e", "_us", "orig_bytes")
-    return pairs.groupBy(*c2.PAIR).applyInPandasWithState(
-        _beacon_state, PROFILE_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-
-
-def streaming_c2(conn_stream: DataFrame, *, min_connections: int = 10, jitter_threshold: float = 300,
-                 min_score: float = 50, null_score: str = "reference") -> DataFrame:
-    """C2 findings re-emitted whenever a pair's profile changes."""
-    prof = streaming_c2_profile(conn_stream)
-    prof = prof.withColumns({"first_ts": epoch_to_time(F.col("first_seen"), TimestampType()),
-                             "last_ts": epoch_to_time(F.col("last_seen"), TimestampType())})
-    cands = c2.beacon_candidates(prof, min_connections=min_connections, jitter_threshold=jitter_threshold)
+def streaming_c2_slices(conn_stream: DataFrame, *, watermark: str = "10 minutes",
+                        slice_seconds: int = c2.DEFAULT_SLICE_SECONDS) -> DataFrame:
+    """The level-1 moments of the batch hunt, one row per (pair, time slice),
+    in append mode: a slice comes out once, when the watermark has passed it.
+
+    Rows may arrive in any order within the watermark; the slice's times are
+    sorted when it closes, so gaps never depend on arrival.  State is the open
+    slices only; what a slice holds is bounded by one pair's burst in it."""
+    ev = _event_time(c2.conn_pairs(conn_stream), "ts")
+    t = F.array_sort(F.collect_list(epoch_seconds("ts")))
+    exact = "decimal(38,0)"
+    b = F.col("orig_bytes").cast("decimal(19,0)")
+    agg = ev.withWatermark("ts", watermark).groupBy(F.window("ts", f"{slice_seconds} seconds").alias("_win"), *c2.PAIR).agg(
+        t.alias("_t"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last"),
+        F.count("orig_bytes").alias("bn"), F.sum(b.cast(exact)).alias("b1"), F.sum((b * b).cast(exact)).alias("b2"))
+    gaps = F.zip_with(F.slice("_t", 2, F.size("_t")), F.slice("_t", 1, F.size("_t") - 1), lambda later, earlier: later - earlier)
+    return agg.select(
+        *c2.PAIR, F.floor(epoch_seconds("_win.start") / F.lit(slice_seconds)).alias("_slice"), "n",
+        (F.col("n") - 1).alias("gn"), (F.element_at("_t", -1) - F.element_at("_t", 1)).alias("g1"),
+        F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, g: acc + g * g).alias("g2"),
+        F.element_at("_t", 1).alias("e_first"), F.element_at("_t", -1).alias("e_last"), "ts_first", "ts_last", "bn", "b1", "b2")
+
+
+def c2_profile_from_slices(slices: DataFrame) -> DataFrame:
+    """Level 2 of the batch hunt over closed slices."""
+    return c2.add_extensions(c2.merge_moments(c2.with_edges(slices, c2.PAIR), c2.PAIR))
+
+
+def c2_from_slices(slices: DataFrame, *, min_connections: int = 10, jitter_threshold: float = 300,
+                   byte_similarity_threshold: float | None = None, min_score: float = 50, null_score: str = "reference") -> DataFrame:
+    """C2 findings over closed slices: those of the batch hunt on their rows."""
+    cands = c2.beacon_candidates(c2_profile_from_slices(slices), min_connections=min_connections, jitter_threshold=jitter_threshold,
+                                 byte_similarity_threshold=byte_similarity_threshold)
     return c2.beacon_findings(c2.score_beacons(cands, min_score=min_score, null_score=null_score))
 
 
+def c2_upkeep(base_path: str, **params):
+    """foreachBatch function for ``streaming_c2_slices``: store the batch's
+    closed slices and, for the pairs they touch, the findings over all stored
+    slices.  Both folders are named after the batch and replaced, so a replayed
+    batch changes nothing."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mine = f"{base_path}/slices/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(mine)
+        schema = batch.schema
+        every = spark.read.schema(schema).parquet(f"{base_path}/slices/batch=*")
+        touched = spark.read.schema(schema).parquet(mine).select(*[F.col(k).alias(f"_t_{k}") for k in c2.PAIR]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in c2.PAIR]
+        found = c2_from_slices(every.join(touched, same, "left_semi"), **params)
+        found.write.mode("overwrite").parquet(f"{base_path}/findings/batch={batch_id}")
+    return apply
+
+
 # --- T7 ------------------------------------------------------------------------
-def streaming_dedup(findings_stream: DataFrame, watermark: str = "7 days") -> DataFrame:
+def streaming_dedup(findings_stream: DataFrame, watermark: str = "7 days", time_col: str = "created_at") -> DataFrame:
     """Drop repeats of a fingerprint while its first copy is within the
-    watermark (state is bounded by the watermark)."""
-    f = _event_time(dedup.with_fingerprint(findings_stream), "timestamp")
-    return f.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["fingerprint"])
+    watermark (state is bounded by the watermark).  The watermark is on when a
+    finding was made, as in the batch look-back: the findings of a hunt over
+    old logs have old event times but are not late."""
+    f = _event_time(dedup.with_fingerprint(findings_stream), time_col)
+    return f.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
 def ioc_upkeep(base_path: str):
-    """foreachBatch function: merge each micro-batch's indicators into the
-    versioned IOC table.  Idempotent per batch id: a replayed batch finds
-    its version folder and only re-points to it."""
+    """foreachBatch function: store each micro-batch's mergeable IOC roll-up
+    under its batch id (``sinks.read_iocs`` merges them).  A replayed batch
+    replaces its own roll-up."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = sinks.read_versioned(spark, base_path)
-        delta = ioc.ioc_rollup(batch)
-        merged = delta if state is None else ioc.ioc_upsert(state, delta)
-        sinks.swap_write(merged, base_path, name=f"b-{batch_id:012d}")
+        sinks.write_iocs(ioc.stored_partial(batch), base_path, batch_id)
     return apply
 
 
