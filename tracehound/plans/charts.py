@@ -1,7 +1,8 @@
 """Chart datasets X1–X10: the re-aggregations the dashboards draw.
 
-They run on top of the views, so Catalyst collapses view + chart into one
-aggregate plan (no materialised intermediate).
+They run on top of the views in one plan, without a stored intermediate.  A
+chart that sums a view again (X1, X2, X5) adds a second, small exchange over the
+view's groups.
 """
 
 from __future__ import annotations
