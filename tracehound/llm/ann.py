@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from . import common
+from . import common, worker
 
 SAMPLE = 6000
 NEIGHBOURS = 10
@@ -199,14 +199,12 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
     def to_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(blob.value)
         for b in batches:
-            part = m.home(_matrix(b.column(0))) if m and b.num_rows else np.zeros(b.num_rows, int)
+            part = m.home(_matrix(b.column(0))) if m else np.zeros(b.num_rows, int)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int32())], ["v", "ids", "part"])
 
     def to_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(blob.value)
         for b in batches:
-            if not b.num_rows:
-                continue
             q, part = np.nonzero(m.seen(_matrix(b.column(1)))) if m else (np.arange(b.num_rows), np.zeros(b.num_rows, int))
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(q)).columns, pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
@@ -225,10 +223,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     # two vectors may share a query's id: both are compared, the nearer counts
-    index = base.mapInArrow(to_home, "v array<double>, ids array<long>, part int").withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces)))
-    routed = asked.select("vec_id", "v").mapInArrow(to_seen, "vec_id long, v array<double>, part int")
+    index = worker.map_batches(base, to_home, "v array<double>, ids array<long>, part int").withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces)))
+    routed = worker.map_batches(asked.select("vec_id", "v"), to_seen, "vec_id long, v array<double>, part int")
     routed = routed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)).cast("array<long>")))
-    near = routed.groupBy("part", "piece").cogroup(index.groupBy("part", "piece")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    near = routed.groupBy("part", "piece").cogroup(index.groupBy("part", "piece")).applyInArrow(worker.per_group(rerank), "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from . import common
+from . import common, worker
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 32768
@@ -130,7 +130,7 @@ def line_refs(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k1", "k2", "doc_id"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(rows, REF_SCHEMA)
+    return worker.map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, REF_SCHEMA)
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ class LineIndex:
             f = CuckooFilter(blob["buckets"][0].as_py(), blob["cells"][0].as_py())
             return lines.filter(pa.array(f.has(lines["k1"].to_numpy(), lines["k2"].to_numpy())))
 
-        hits = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, REF_SCHEMA)
+        hits = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(worker.per_group(probe), REF_SCHEMA)
         exact = self.counts.where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "max_doc")
         return hits.join(exact, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc"))).select("doc_id", "k1", "k2")
 
@@ -263,7 +263,7 @@ class LineIndex:
                 cols += [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests)]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-        return joined.mapInArrow(edit, schema)
+        return worker.map_batches(joined, edit, schema)
 
 
 def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_docs=MIN_DOCS, min_chars=MIN_CHARS) -> DataFrame:

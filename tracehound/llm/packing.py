@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import common, tokens
+from . import common, tokens, worker
 
 GROUP = 30_000
 PIECE_SCHEMA = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, paths: tuple[str, str], limit: int, id_col="doc_id",
 
     # the copy number only keeps repeated rows apart
     light = docs.select(F.col(id_col).cast("long"), F.monotonically_increasing_id(), F.col(text_col).cast("string"))
-    return light.mapInArrow(rows, PIECE_SCHEMA)
+    return worker.map_batches(light, rows, PIECE_SCHEMA)
 
 
 def pack_documents(docs: DataFrame, cap: Capacity = Capacity(), paths: tuple[str, str] | None = None, id_col="doc_id", text_col="text") -> DataFrame:
@@ -130,4 +130,4 @@ def pack_documents(docs: DataFrame, cap: Capacity = Capacity(), paths: tuple[str
         return rows.drop_columns(["copy", "g"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("g").applyInArrow(fill, schema)
+    return dealt.groupBy("g").applyInArrow(worker.per_group(fill), schema)

@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from . import worker
+
 CACHE = 400_000
 #: The word split of the vocabulary file, and what str.split()
 #: takes for white space although the file's own pattern does not.
@@ -146,5 +148,6 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col="doc_id", text_col="te
 
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col), F.col(text_col).cast("string"), size.alias("b")).mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_tokens long")
+    light = docs.select(F.col(id_col), F.col(text_col).cast("string"), size.alias("b"))
+    out = worker.map_batches(light, rows, f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

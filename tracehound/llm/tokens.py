@@ -9,6 +9,8 @@ outside ``COMMON`` goes to the JSON form itself.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import os
 
 import numpy as np
@@ -28,15 +30,20 @@ class ByteTokens:
         import public_tokenizers
         import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(json_path)
-        self.eot = self.exact.token_to_id(EOT)
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.eot = next(t["id"] for t in json.load(f)["added_tokens"] if t["content"] == EOT)
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def ids(self, text: str) -> np.ndarray:
         if not text.isascii() and not COMMON.fullmatch(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CACHE = 300_000
+from . import worker
+
+CACHE = 150_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -22,7 +24,7 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
+_WORDS = worker.cache(_Words())
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -51,6 +53,31 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+_BASE = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least n."""
+    while len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            have = _POWERS[k]
+            _POWERS[k] = np.concatenate([have, have * (have[-1] * base)])
+    return _POWERS[0], _POWERS[1]
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from every position on, in time that does not
+    depend on n: differences of one running polynomial sum."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    up, down = _powers(len(h))
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down[: len(h)], dtype=np.uint64)])
+    return mix((run[n:] - run[:-n]) * up[:m] + np.uint64(n))
+
+
 def sequence_key(values: np.ndarray) -> tuple[int, int]:
     """128-bit hash of an array as two signed 64-bit integers."""
     d = xxhash.xxh3_128_digest(values.tobytes())
