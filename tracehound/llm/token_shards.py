@@ -1,17 +1,19 @@
 """Token ids written in training order as fixed-stride shards.
 
-Sequences get dense ordinals 0..N-1 (hash cells counted in a grouped pass,
-cell offsets by one running sum over a bounded number of cells, positions
-within a cell by a window).  A keyed Feistel permutation of the smallest even
-power of two that holds N, walked until it falls below N (cycle-walking),
+Sequences are stored once as they are scanned, each with the number of its
+partition and its place there; a running sum over one row per partition turns
+that into dense ordinals 0..N-1.  A keyed Feistel permutation of the smallest
+even power of two that holds N, walked until it falls below N (cycle-walking),
 turns the ordinal into the global slot: a permutation of 0..N-1 that needs no
 sort, no state and can be inverted.
 
-Sequences are range-partitioned by slot and written as rows of one block each:
-``block`` holds slots [block * BLOCK, (block + 1) * BLOCK), ``data`` their ids
-as little-endian 16-bit integers, ``stride`` ids a sequence, padded.  The place
-of a slot is therefore arithmetic (block, byte offset), and a reader resumes at
-any slot by reading on from its block (``read_slots``).
+The ids then move once, straight to the file of their slot range, and are
+written as rows of one block each: ``block`` holds slots [block * BLOCK,
+(block + 1) * BLOCK), ``data`` their ids as little-endian 16-bit integers,
+``stride`` ids a sequence, padded.  The place of a slot is therefore arithmetic
+(block, byte offset), and a reader resumes at any slot by reading on from its
+block (``read_slots``).  The order is a function of the key and the scan, so
+the same files read with the same split size give the same order.
 
 Rows: a null or empty text has just the end id, one sequence.  Rows that
 repeat a ``doc_id`` are separate documents; null ids are kept as null.  An empty
@@ -20,6 +22,7 @@ table writes no block.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +31,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from . import common, tokens
+from . import common, tokens, worker
 
 STRIDE = 512
 BLOCK = 512
-CELLS = 4096
+FILE_BLOCKS = 64
 ROUNDS = 4
 
 
@@ -62,40 +65,37 @@ def permute(ordinals: np.ndarray, n: int, key: int, inverse: bool = False) -> np
 
 
 def sequences(docs: DataFrame, paths: tuple[str, str], stride: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, copy, seq, length, ids binary): every document's ids and an
-    end id 0, cut into pieces of ``stride``."""
+    """(doc_id, part, nth, seq, length, ids binary): every document's ids and
+    an end id 0, cut into pieces of ``stride``; nth counts within part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = tokens.byte_tokens(*paths).ids
+        ids, nth = tokens.byte_tokens(*paths).ids, itertools.count()
         for b in batches:
             out = []
-            for doc, copy, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 raw = np.append(ids(text.as_py() or ""), np.uint32(0)).astype("<u2")
-                out += [(doc, copy, k, min(stride, len(raw) - at), raw[at : at + stride].tobytes()) for k, at in enumerate(range(0, len(raw), stride))]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "copy", "seq", "length", "ids"])
-
-    light = docs.select(F.col(id_col).cast("long"), F.monotonically_increasing_id(), F.col(text_col).cast("string"))
-    return light.mapInArrow(rows, "doc_id long, copy long, seq int, length int, ids binary")
-
-
-def with_slots(seqs: DataFrame, key: int, order: list[str]) -> tuple[DataFrame, int]:
-    """``seqs`` with ``slot``; and their number.  ``seqs`` must be stored."""
-    celled = seqs.withColumn("cell", F.pmod(F.xxhash64(*order), F.lit(CELLS)).cast("int"))
-    sizes = celled.groupBy("cell").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = common.stash(sizes.select("cell", "n", before.alias("base")).coalesce(1), "cells")
-    total = offsets.agg(F.sum("n")).first()[0] or 0
-    rank = F.row_number().over(W.partitionBy("cell").orderBy(*order)) - 1
-    placed = celled.join(F.broadcast(offsets.select("cell", "base")), "cell")  # at most CELLS rows
-    ordinal = (F.col("base") + rank).cast("long")
+                out += [(doc, part, next(nth), k, min(stride, len(raw) - at), raw[at : at + stride].tobytes()) for k, at in enumerate(range(0, len(raw), stride))]
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "part", "nth", "seq", "length", "ids"])
+
+    light = docs.select(F.col(id_col).cast("long"), F.spark_partition_id(), F.col(text_col).cast("string"))
+    return worker.map_batches(light, rows, "doc_id long, part int, nth long, seq int, length int, ids binary")
+
+
+def with_slots(seqs: DataFrame, key: int) -> tuple[DataFrame, int]:
+    """``seqs`` (stored, with part and nth) with ``slot``; and their number."""
+    sizes = seqs.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = common.stash(sizes.select("part", "n", before.alias("base")).coalesce(1), "parts")  # one row per partition
+    total = bases.agg(F.sum("n")).first()[0] or 0
 
     @F.pandas_udf("long")
-    def slot(o: pd.Series) -> pd.Series:
-        return pd.Series(permute(o.to_numpy(), total, key))
+    def slot(ordinal: pd.Series) -> pd.Series:
+        return pd.Series(permute(ordinal.to_numpy(), total, key))
 
-    return placed.withColumn("slot", slot(ordinal)).drop("cell", "base"), total
+    placed = seqs.join(common.bounded(bases.select("part", "base"), 24), "part")
+    return placed.withColumn("slot", slot(F.col("base") + F.col("nth"))).drop("part", "nth", "base"), total
 
 
 def place(slot: Column, stride: int = STRIDE) -> tuple[Column, Column]:
@@ -107,21 +107,17 @@ def materialise(docs: DataFrame, out: str, key: int = 20, stride: int = STRIDE,
     """Write the shards to ``out``; return the ledger: doc_id, seq, length,
     slot, block, byte_offset, ids_crc32."""
     seqs = common.stash(sequences(docs, paths or tokens.default_paths(), stride, id_col, text_col), "sequences")
-    # the order needs no ids column: only light rows go through the window
-    light = seqs.select("doc_id", "copy", "seq", "length", F.crc32("ids").alias("ids_crc32"))
-    slotted, total = with_slots(light, key, ["doc_id", "copy", "seq"])
-    block, offset = place(F.col("slot"), stride)
-    ledger = common.stash(slotted.withColumn("block", block).withColumn("byte_offset", offset), "ledger")
+    slotted, total = with_slots(seqs, key)
     if total:
-        _write(seqs, ledger, out, total, stride)
-    return ledger.select("doc_id", "seq", "length", "slot", "block", "byte_offset", "ids_crc32")
+        _write(slotted, out, total, stride)
+    block, offset = place(F.col("slot"), stride)
+    return slotted.select("doc_id", "seq", "length", "slot", block.alias("block"), offset.alias("byte_offset"), F.crc32("ids").alias("ids_crc32"))
 
 
-def _write(seqs: DataFrame, ledger: DataFrame, out: str, total: int, stride: int) -> None:
-    spot = ledger.select("doc_id", "copy", "seq", "slot")
-    same = [seqs[c].eqNullSafe(spot[c]) for c in ("doc_id", "copy", "seq")]
-    files = total // (64 * BLOCK) + 1
-    ordered = seqs.join(spot, same).select("slot", "ids").repartitionByRange(files, F.floor(F.col("slot") / BLOCK)).sortWithinPartitions("slot")
+def _write(slotted: DataFrame, out: str, total: int, stride: int) -> None:
+    span = FILE_BLOCKS * BLOCK  # slots of a file
+    file = F.floor(F.col("slot") / span).cast("int")
+    ordered = slotted.select("slot", "ids").repartitionById((total - 1) // span + 1, file).sortWithinPartitions("slot")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -140,7 +136,7 @@ def _write(seqs: DataFrame, ledger: DataFrame, out: str, total: int, stride: int
         cols = [pa.array([x], t) for x, t in ((at, pa.int64()), (len(rows), pa.int32()), (zlib.crc32(data), pa.int64()), (data, pa.binary()))]
         return pa.RecordBatch.from_arrays(cols, ["block", "sequences", "crc32", "data"])
 
-    ordered.mapInArrow(blocks, "block long, sequences int, crc32 long, data binary").write.parquet(out)
+    worker.map_batches(ordered, blocks, "block long, sequences int, crc32 long, data binary").write.parquet(out)
 
 
 def read_slots(spark: SparkSession, out: str, start: int, count: int, stride: int = STRIDE) -> DataFrame:
@@ -157,4 +153,4 @@ def read_slots(spark: SparkSession, out: str, start: int, count: int, stride: in
                 yield pa.RecordBatch.from_arrays([pa.array(slots[ok]), pa.array(list(ids[ok]), pa.list_(pa.int32()))], ["slot", "ids"])
 
     found = spark.read.parquet(out).where(F.col("block").between(first, last)).select("block", "sequences", "data")
-    return found.mapInArrow(rows, "slot long, ids array<int>").orderBy("slot")
+    return worker.map_batches(found, rows, "slot long, ids array<int>").orderBy("slot")
