@@ -4,16 +4,15 @@ A passage is a run of at least ``MIN_WORDS`` words (A-Z lower-cased) that two
 different documents share.
 
 1. **Sparse suffixes.**  Of the suffixes of a text only those at minimisers
-   stay: positions whose ``GRAM``-word hash is the smallest of a window of
-   ``WINDOW`` positions.  Any passage has one among its first WINDOW positions,
-   at the same place in every copy, and then shares at least ``RIGHT`` words
-   from there.  So suffixes are filed under the hash of their first RIGHT
-   words, and only hashes that two documents have go on.
-2. **Sort and compare.**  The candidates' contexts are read from the texts:
-   up to WINDOW - 1 words to the left and as many beyond RIGHT.  For every left
-   extension the suffixes of a file are sorted by their words (as hashes of
-   the extended prefix) and neighbours compared: equal neighbours of different
-   documents are a passage of MIN_WORDS words.
+   stay: positions whose ``GRAM``-word hash is the smallest of the ``WINDOW``
+   positions from some start on.  Every MIN_WORDS-word window has one, chosen
+   by its own words alone, so at the same place in every copy; from there at
+   least ``RIGHT`` words belong to the window.  Suffixes are filed under the hash
+   of their first RIGHT words, and only files of two documents go on.
+2. **Sort and compare.**  The candidates are extended in their texts, left to
+   the start of each window that chose them and right to its end.  Within a
+   file the extended suffixes are sorted (by hash) and neighbours compared:
+   equal neighbours of different documents are a passage of MIN_WORDS words.
 3. **Extension.**  The windows found around one suffix, and those of the next
    suffixes, are joined into maximal spans left and right.
 
@@ -37,56 +36,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import common, words
+from . import common, words, worker
 
 MIN_WORDS = 50
 GRAM = 8
 WINDOW = 26
 RIGHT = MIN_WORDS - WINDOW + 1
 HOT = 20_000
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 60_000
 
 
-def minimisers(h: np.ndarray) -> np.ndarray:
-    """Positions kept for a text's word hashes; those with RIGHT words left."""
-    grams = words.gram_hashes(h, GRAM)
-    if len(h) < MIN_WORDS or len(grams) < WINDOW:
+def chosen(h: np.ndarray) -> np.ndarray:
+    """For the start of every MIN_WORDS-word window: the position in its first
+    WINDOW positions with the smallest GRAM-word hash, the leftmost of equals."""
+    starts = len(h) - MIN_WORDS + 1
+    if starts <= 0:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    at = np.unique(view.argmin(1) + np.arange(len(view)))
-    return at[at + RIGHT <= len(h)]
-
-
-def files(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of the RIGHT words from each position."""
-    out = np.full(len(at), RIGHT, np.uint64)
-    for k in range(RIGHT):
-        out = words.chain(out, h[at + k])
-    return out
-
-
-def contexts(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 0..WINDOW-1 words before each position (nearest first)
-    and of the 0..WINDOW-1 words after its first RIGHT; 0 past an end."""
-    out = []
-    for step, first in ((-1, at - 1), (1, at + RIGHT)):
-        table = np.zeros((len(at), WINDOW), np.uint64)
-        now = np.full(len(at), 1 + (step > 0), np.uint64)
-        table[:, 0] = now
-        for k in range(WINDOW - 1):
-            pos = first + step * k
-            ok = (pos >= 0) & (pos < len(h))
-            now = np.where(ok & (now > 0), words.chain(now, h[np.clip(pos, 0, len(h) - 1)]) | np.uint64(1), np.uint64(0))
-            table[:, k + 1] = now
-        out.append(table)
-    return out[0], out[1]
-
-
-def windows(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """(n, WINDOW): hash of the MIN_WORDS-word window that starts l words
-    before the suffix, for each l; 0 where the text ends first."""
-    l, r = left, right[:, ::-1]
-    return np.where((l > 0) & (r > 0), words.mix(l * np.uint64(3) + r) | np.uint64(1), np.uint64(0))
+    g = words.window_hashes(h, GRAM)
+    best, width = np.arange(len(g)), 1
+    while width < WINDOW:  # doubling, the last step overlapping
+        step = min(width, WINDOW - width)
+        a, b = best[:-step], best[step:]
+        best = np.where(g[a] <= g[b], a, b)
+        width += step
+    return best[:starts]
 
 
 def _indexed(docs: DataFrame) -> DataFrame:
@@ -97,19 +70,21 @@ def _indexed(docs: DataFrame) -> DataFrame:
             cols: list[list] = [[], [], [], [], []]
             for text in words.texts(b, 1):
                 h = words.word_hashes(text)
-                at = minimisers(h)
-                for c, v in zip(cols, (len(h), *words.sequence_key(h), at.astype(np.int32), files(h, at).view(np.int64)), strict=True):
+                at = np.unique(chosen(h))
+                file = words.window_hashes(h, RIGHT)[at].view(np.int64) if len(at) else at
+                for c, v in zip(cols, (len(h), *words.sequence_key(h), at.astype(np.int32), file), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             arrays = [b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "n", "k1", "k2", "at", "file"])
 
-    return docs.mapInArrow(rows, "doc long, n long, k1 long, k2 long, at array<int>, file array<long>")
+    return worker.map_batches(docs, rows, "doc long, n long, k1 long, k2 long, at array<int>, file array<long>")
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """(doc, at, file, win) of rows (doc, text, k1, at array, file array): the
-    windows around every candidate suffix of the text that has key k1."""
+    """(doc, file, first, win) of rows (doc, text, k1, at array, file array):
+    the starts and hashes of the windows that chose each candidate suffix, in
+    the text that has key k1."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,40 +92,42 @@ def _candidates(texts: DataFrame) -> DataFrame:
                 h = words.word_hashes(text)
                 if words.sequence_key(h)[0] != b.column(2)[k].as_py():
                     continue
-                at = np.array(b.column(3)[k].as_py(), np.int64)
-                win = windows(*contexts(h, at)).view(np.int64)
-                n = len(at)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * WINDOW, pa.int32()), pa.array(win.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * n, pa.int64()), pa.array(at, pa.int32()), b.column(4)[k].values, lists], ["doc", "at", "file", "win"])
+                at = b.column(3)[k].values.to_numpy()
+                pick, win = chosen(h), words.window_hashes(h, MIN_WORDS).view(np.int64)
+                lo, hi = np.searchsorted(pick, at, "left"), np.searchsorted(pick, at, "right")
+                ends = np.concatenate([[0], np.cumsum(hi - lo)])
+                flat = np.repeat(lo - ends[:-1], hi - lo) + np.arange(ends[-1])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(win[flat]))
+                doc = pa.array([b.column(0)[k].as_py()] * len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([doc, b.column(4)[k].values, pa.array(lo, pa.int64()), lists], ["doc", "file", "first", "win"])
 
-    return texts.mapInArrow(rows, "doc long, at int, file long, win array<long>")
+    return worker.map_batches(texts, rows, "doc long, file long, first long, win array<long>")
 
 
 def _compare(rows: pa.Table) -> pa.Table:
-    """Spans (doc, start, end, first_doc) of files that fit in a task: for each
-    left extension, sort the windows and compare neighbours."""
-    doc, at, file = (rows[c].to_numpy() for c in ("doc", "at", "file"))
-    win = rows["win"].combine_chunks().flatten().to_numpy().reshape(-1, WINDOW)
-    out: list[pa.Table] = []
-    for l in range(WINDOW):
-        w = win[:, l]
-        order = np.lexsort((doc, w, file))
-        order = order[w[order] != 0]
-        if not len(order):
-            continue
-        new = np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (file[order][1:] != file[order][:-1])])
-        group, head = np.cumsum(new) - 1, np.flatnonzero(new)
-        tail = np.concatenate([head[1:], [len(order)]]) - 1
-        low, high = doc[order][head], doc[order][tail]  # sorted by doc within a group
-        hit = (low < high)[group]
-        got, first = order[hit], low[group][hit]
-        out.append(pa.table({"doc": doc[got], "start": at[got].astype(np.int64) - l, "end": at[got].astype(np.int64) - l + MIN_WORDS, "first_doc": first}))
-    return _joined(pa.concat_tables(out)) if out else pa.table({c: pa.array([], pa.int64()) for c in ("doc", "start", "end", "first_doc")})
+    """Spans (doc, start, end, first_doc) of files that fit in a task: sort the
+    extended suffixes and compare neighbours."""
+    rows = rows.combine_chunks()
+    win = rows["win"].combine_chunks()
+    sizes = np.diff(win.offsets.to_numpy())
+    doc, file = (np.repeat(rows[c].to_numpy(), sizes) for c in ("doc", "file"))
+    start = np.repeat(rows["first"].to_numpy() - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    w = win.flatten().to_numpy()
+    order = np.lexsort((doc, w, file))
+    doc, file, w, start = doc[order], file[order], w[order], start[order]
+    new = np.concatenate([[True], (w[1:] != w[:-1]) | (file[1:] != file[:-1])])[: len(w)]
+    group, head = np.cumsum(new) - 1, np.flatnonzero(new)
+    tail = np.concatenate([head[1:], [len(w)]])[: len(head)] - 1
+    hit = (doc[head] < doc[tail])[group]  # sorted by doc within a group
+    first = doc[head][group][hit]
+    return _joined(pa.table({"doc": doc[hit], "start": start[hit], "end": start[hit] + MIN_WORDS, "first_doc": first}))
 
 
 def _joined(spans: pa.Table) -> pa.Table:
     """Spans of a document that overlap or touch, as one."""
     doc, start, end, first = (spans[c].to_numpy() for c in ("doc", "start", "end", "first_doc"))
+    if not len(doc):
+        return spans
     order = np.lexsort((end, start, doc))
     doc, start, end, first = doc[order], start[order], end[order], first[order]
     # the furthest end so far within the document; ends are small against 2**40
@@ -160,6 +137,10 @@ def _joined(spans: pa.Table) -> pa.Table:
     return pa.table({"doc": doc[head], "start": start[head], "end": np.maximum.reduceat(end, head), "first_doc": np.minimum.reduceat(first, head)})
 
 
+def _merged(spans: pa.Table) -> pa.Table:
+    return _joined(spans.drop_columns(["part"]))
+
+
 SPANS = "doc long, start long, end long, first_doc long"
 
 
@@ -180,19 +161,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = common.stash(shared, "suffix-files")
     found = suffixes.join(shared, "file").groupBy("doc", "k1").agg(F.collect_list(F.struct("at", "file")).alias("s"))
     found = common.stash(found.select("doc", "k1", F.col("s.at").alias("at"), F.col("s.file").alias("file")), "suffix-candidates")
-    held = found.agg(F.sum(F.size("at") * 12 + 48)).first()[0] or 0
-    texts = docs.join(common.bounded(found, 1, rows=held), "doc").select("doc", "text", "k1", "at", "file")
+    texts = docs.join(found, "doc").select("doc", "text", "k1", "at", "file")
     rows = common.stash(_candidates(texts), "suffix-windows")
 
     hot = F.broadcast(shared.where(F.col("size") > HOT).select("file"))  # at most suffixes / HOT rows
     total = rows.count()
     calm = rows.join(hot, "file", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(total // BUCKET_ROWS + 1)))
-    spans = calm.groupBy("bucket").applyInArrow(lambda t: _compare(t), SPANS)
-    single = rows.join(hot, "file", "left_semi").select("doc", "at", F.posexplode("win").alias("l", "w")).where("w <> 0")
-    both = single.groupBy("l", "w").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("b")).where("first_doc < b")
-    start = F.col("at").cast("long") - F.col("l")
-    spans = spans.unionByName(single.join(both, ["l", "w"]).select("doc", start.alias("start"), (start + MIN_WORDS).alias("end"), "first_doc"))
+    spans = calm.groupBy("bucket").applyInArrow(worker.per_group(_compare), SPANS)
+    single = rows.join(hot, "file", "left_semi").select("doc", "file", "first", F.posexplode("win").alias("l", "w"))
+    both = single.groupBy("file", "w").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("b")).where("first_doc < b")
+    start = F.col("first") + F.col("l")
+    spans = spans.unionByName(single.join(both, ["file", "w"]).select("doc", start.alias("start"), (start + MIN_WORDS).alias("end"), "first_doc"))
     whole = members.select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("rep").alias("first_doc"))
     part = F.pmod(F.xxhash64("doc"), F.lit(total // BUCKET_ROWS + 1))
-    merged = spans.unionByName(whole).withColumn("part", part).groupBy("part").applyInArrow(lambda t: _joined(t.drop_columns(["part"])), SPANS)
+    merged = spans.unionByName(whole).withColumn("part", part).groupBy("part").applyInArrow(worker.per_group(_merged), SPANS)
     return merged.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "first_doc")
