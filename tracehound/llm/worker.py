@@ -8,10 +8,11 @@ module caches and handing free memory back to the system.
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 CACHES: list[dict] = []
@@ -33,6 +34,17 @@ def tidy() -> None:
         pass
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it
+    (one machine or a shared folder).  Elsewhere install it on the executors
+    or pass it with ``--py-files``; the extra path then does nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow``; batches without rows are not handed on."""
 
@@ -42,6 +54,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
         finally:
             tidy()
 
+    reach(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
