@@ -48,6 +48,23 @@ def test_test_table(spark, n, percent):
     assert len(set(want.values())) < len(want)
 
 
+def test_large_blocks_whose_sets_do_not_all_link(spark, monkeypatch):
+    """Chains: neighbours link, ends do not, no set links with all others; the
+    chunks of a block must still find every link between them."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 250)
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(3):
+        words = [f"c{c}w{i}" for i in range(60)]
+        for i in range(30):
+            words[int(rng.integers(60))] = f"c{c}n{i}"
+            rows.append((1000 * c + i * 7 % 31 + 31 * (i == 0), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = compare(df, 3, 85)
+    assert 3 <= len(set(want.values())) < len(want)
+    compare(spark.read.parquet(f"{SF}/documents.parquet"), 4, 60)
+
+
 def near_copies(rng, base, count, edits):
     out = []
     for _ in range(count):

@@ -15,14 +15,18 @@ when 100 * intersection >= percent * union.  Steps:
 3. **Blocks.**  Sets that share a prefix n-gram are tied to the smallest such
    set (a star, not all pairs); the components of these ties are blocks, and
    every linked pair lies within one block.
-4. **Tree join.**  A block's sets, each shipped once a chunk pair, go into a
-   trie of globally ordered n-grams (commonest of the chunk first, so that
-   near copies share long paths).  A set walks the trie once: the overlap with
-   a path is counted once for all sets below it, and a subtree is left when
-   even all remaining n-grams could not reach the threshold.  Sets already
-   joined are skipped, so a chunk emits a spanning forest, never all pairs.
-   A block larger than ``CHUNK`` n-grams is split into hashed chunks and the
-   chunk pairs spread over tasks.
+4. **Tree join.**  A block's sets go into a trie of globally ordered n-grams
+   (commonest of the chunk first, so that near copies share long paths).  A set
+   walks the trie once: the overlap with a path is counted once for all sets
+   below it, and a subtree is left when even all remaining n-grams could not
+   reach the threshold.  Sets already joined are skipped, so a task emits a
+   spanning forest, never all pairs.
+   A block of more than ``CHUNK`` n-grams is cut into hashed chunks.  Each is
+   joined by itself together with the block's smallest set id, which ties the
+   chunks of a dense group to each other; then only the sets outside the
+   block's largest component so far are joined with every chunk.  So a group of
+   near copies is shipped once however large it is; a large block whose sets
+   do not link costs (sets outside) x (chunks).
 5. **Components** of the class members and the links.
 
 Rows: null or wordless texts have an empty set and link with nothing.  Rows
@@ -37,12 +41,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import common, words
+from . import common, words, worker
 
 LOW = 0.25
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -77,7 +81,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "k1", "k2", "short", "low", "rest"])
 
     schema = "doc_id long, n int, k1 long, k2 long, short int, low array<long>, rest array<long>"
-    return docs.mapInArrow(lambda it: rows(b for b in it if b.num_rows), schema)
+    return worker.map_batches(docs, rows, schema)
 
 
 def _postings(reps: DataFrame) -> DataFrame:
@@ -223,21 +227,20 @@ def tree_join(grams: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, perc
 
 def _linked(percent: int):
     def join(rows: pa.Table) -> pa.Table:
-        """Joins every (block, i, j) of the task."""
+        """Joins every (block, i, j) of the task: side 0 with side 1, or with
+        itself where there is no side 1."""
         out: list[tuple[int, int]] = []
         parts: dict[tuple, list[int]] = {}
         for k, key in enumerate(zip(rows["block"].to_pylist(), rows["i"].to_pylist(), rows["j"].to_pylist(), strict=True)):
             parts.setdefault(key, []).append(k)
-        docs, chunk = rows["doc"].to_numpy(), rows["chunk"].to_numpy()
+        docs, sides = rows["doc"].to_numpy(), rows["side"].to_numpy()
         sets = rows["grams"].combine_chunks()
         values, offsets = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
-        for (_, i, _), members in parts.items():
-            if len(members) < 2:
+        for members in parts.values():
+            side = sides[members]
+            if len(members) < 2 or side.all():
                 continue
             grams = [values[offsets[k] : offsets[k + 1]] for k in members]
-            side = (chunk[members] != i).astype(int)
-            if len(side) and side.any() and side.all():
-                continue
             sizes = np.array([len(g) for g in grams])
             out += [(int(docs[members[a]]), int(docs[members[b]])) for a, b in tree_join(grams, sizes, side, percent)]
         cols = list(zip(*out, strict=True)) or [(), ()]
@@ -246,16 +249,39 @@ def _linked(percent: int):
     return join
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(…, grams) of rows (doc, text, block, chunk, chunks)."""
+def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """``members`` (doc, ...) with ``grams``, the sets of their texts."""
+    names = [*members.columns, "grams"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = pa.array([shingles(t, n).view(np.int64) for t in words.texts(b, 1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], grams], ["doc", "block", "chunk", "chunks", "grams"])
+            grams = pa.array([shingles(t, n).view(np.int64) for t in words.texts(b, 0)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], grams], names)
+
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(common.bounded(members, 64), "doc").select("text", *members.columns)
+    schema = T.StructType([*members.schema.fields, T.StructField("grams", T.ArrayType(T.LongType()))])
+    return worker.map_batches(texts, rows, schema)
+
+
+def _tasks(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of rows (doc, block, i, j, side, task, grams)."""
+    return sets.groupBy("task").applyInArrow(worker.per_group(_linked(percent)), "u long, v long")
+
 
-    schema = "doc long, block long, chunk long, chunks long, grams array<long>"
-    return docs.mapInArrow(lambda it: rows(b for b in it if b.num_rows), schema)
+def _across_chunks(docs: DataFrame, members: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between the chunks of large blocks, given the links within them:
+    every set outside its block's largest component against every chunk."""
+    label = common.components(first.join(members.select(F.col("doc").alias("u")), "u", "left_semi"), "ngram-chunk-links")
+    named = members.join(label.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    named = common.stash(named, "ngram-chunk-labels")
+    largest = named.groupBy("block", "label").agg(F.sum("n").alias("held")).groupBy("block").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
+    outside = named.join(largest, "block").where("label <> main").select("doc", "block", "n", "chunks")
+    size = outside.groupBy("block").agg((F.floor(F.sum("n") / CHUNK) + 1).cast("long").alias("parts"))
+    outside = common.stash(outside.join(size, "block").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))), "ngram-outside")
+    task = F.concat_ws(":", "block", "i", "j").alias("task")
+    inside = members.join(size, "block").select("doc", "block", F.col("chunk").alias("i"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("j"), F.lit(0).alias("side"))
+    others = outside.select("doc", "block", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))
+    return _tasks(_sets(docs, common.stash(inside.unionByName(others).select("*", task), "ngram-pairs"), n), percent)
 
 
 def links(docs: DataFrame, sig: DataFrame, light: DataFrame, n: int, percent: int) -> DataFrame:
@@ -271,20 +297,20 @@ def links(docs: DataFrame, sig: DataFrame, light: DataFrame, n: int, percent: in
     star = postings.groupBy("gram").agg(F.min("doc").alias("v"), F.max("doc").alias("w")).where("v < w").select("gram", "v")
     blocks = common.components(postings.join(star, "gram").select(F.col("doc").alias("u"), "v"), "ngram-blocks")
     held = blocks.join(light.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
-    held = common.stash(held.select("node", F.col("label").alias("block"), "n"), "ngram-members")
+    held = common.stash(held.select(F.col("node").alias("doc"), F.col("label").alias("block"), "n"), "ngram-members")
     buckets = int((held.agg(F.sum("n")).first()[0] or 0) // CHUNK + 1)
     room = held.groupBy("block").agg((F.floor(F.sum("n") / CHUNK) + 1).cast("long").alias("chunks"))
-    members = held.join(room, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    members = common.stash(members.select(F.col("node").alias("doc"), "block", "chunk", "chunks"), "ngram-chunks")
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(common.bounded(members, 40), "doc")
-    sets = _sets(texts.select("doc", "text", "block", "chunk", "chunks"), n)
-    dealt = sets.withColumn("k", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
-        "doc", "block", "chunk", "grams", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"),
-        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block"), F.lit(buckets))).alias("bucket"),
-    )
-    # small blocks share a task; every chunk pair of a large one has its own
-    tasks = dealt.withColumn("task", F.coalesce(F.concat(F.lit("s"), "bucket"), F.concat_ws(":", "block", "i", "j"))).drop("bucket")
-    found = tasks.groupBy("task").applyInArrow(lambda t: _linked(percent)(t), "u long, v long")
+    members = held.join(room, "block").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")))
+    members = common.stash(members.select("doc", "block", "n", "chunk", "chunks"), "ngram-chunks")
+    # small blocks share a task; every chunk of a large one has its own, and
+    # the block's smallest document (its label) is in all of them
+    pivot = F.expr("CASE WHEN doc = block THEN sequence(0L, chunks - 1) ELSE array(chunk) END")
+    task = F.when(F.col("chunks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(buckets)))).otherwise(F.concat_ws(":", "block", "i"))
+    dealt = members.select("doc", "block", "chunks", F.explode(pivot).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    found = common.stash(_tasks(_sets(docs, dealt.select("doc", "block", "i", "j", "side", task.alias("task")), n), percent), "ngram-found")
+    large = members.where("chunks > 1")
+    if not large.isEmpty():
+        found = found.unionByName(_across_chunks(docs, large, found, n, percent))
     return found.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("doc").alias("v")))
 
 
