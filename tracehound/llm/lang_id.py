@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from . import common
+from . import common, worker
 
 TRAIN = 1500
 CELLS = 1 << 16
@@ -94,7 +94,7 @@ def fit(labelled: DataFrame, id_col="doc_id", text_col="text", label_col="lang",
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], ["lang", "cell", "n"])
 
-    cells = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    cells = worker.map_batches(sample, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), CELLS))
     table = cells.toArrow()  # at most languages x CELLS rows
     at = [languages.index(x) for x in table["lang"].to_pylist()]
@@ -102,9 +102,16 @@ def fit(labelled: DataFrame, id_col="doc_id", text_col="text", label_col="lang",
     return TextModel(languages, counts)
 
 
-def _softmax(x: Column) -> Column:
-    shifted = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(shifted, lambda v: v / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
+def with_softmax(df: DataFrame, name: str, x: Column) -> DataFrame:
+    """Column ``name``: the softmax of an array.  Each step is a column of its
+    own, so that nothing is computed again for every element."""
+    df = df.withColumn("_x", x).withColumn("_most", F.array_max("_x"))
+    df = df.withColumn("_w", F.transform("_x", lambda v: F.exp(v - F.col("_most")))).withColumn("_sum", _total(F.col("_w")))
+    return df.withColumn(name, F.transform("_w", lambda v: v / F.col("_sum"))).drop("_x", "_most", "_w", "_sum")
 
 
 def _sum(*arrays: Column) -> Column:
@@ -138,11 +145,12 @@ def identify(rows: DataFrame, model: TextModel | None, keys: list[str], text_col
             yield pa.RecordBatch.from_arrays([*b.columns[:at], e], schema.names)
 
     # soft: text posterior of the languages alone, in thousandths
-    scored = light.mapInArrow(score, schema)
+    scored = worker.map_batches(light, score, schema)
     langs = F.slice("_e", 1, k)
-    soft = F.transform(_softmax(langs), lambda p: F.round(p * 1000).cast("long"))
+    soft = F.transform("_q", lambda p: F.round(p * 1000).cast("long"))
     empty = F.array(*[F.lit(0).cast("long")] * k)
-    scored = common.stash(scored.withColumn("_n", F.coalesce(F.when(F.element_at("_e", k + 1) < 0, soft), empty)), "language-evidence")
+    scored = with_softmax(scored, "_q", langs).withColumn("_n", F.coalesce(F.when(F.element_at("_e", k + 1) < 0, soft), empty))
+    scored = common.stash(scored.drop("_q"), "language-evidence")
 
     hosts = scored.groupBy(F.col("_suffix").alias("s"), F.col("_host").alias("h")).agg(_each("_n", k).alias("hn"))
     hosts = common.stash(hosts, "language-hosts")
@@ -157,18 +165,19 @@ def identify(rows: DataFrame, model: TextModel | None, keys: list[str], text_col
 
     out = scored.join(common.bounded(address, 400), F.col("_suffix").eqNullSafe(F.col("s")) & F.col("_host").eqNullSafe(F.col("h")), "left")
 
-    def others(counts: str) -> Column:  # without the row's own share
-        return F.zip_with(F.col(counts), F.col("_n"), lambda a, b: (a - b) / 1000.0)
-
-    def smoothed(n: Column, base: Column, weight: float) -> Column:
-        total = F.aggregate(n, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(n, base, lambda x, p: (x + weight * p) / (total + weight))
+    def smoothed(df: DataFrame, name: str, counts: str, base: Column, weight: float) -> DataFrame:
+        """Column ``name``: counts without the row's own share, towards base."""
+        df = df.withColumn("_c", F.zip_with(counts, "_n", lambda a, b: (a - b) / 1000.0)).withColumn("_base", base)
+        df = df.withColumn("_sum", _total(F.col("_c")) + weight)
+        return df.withColumn(name, F.zip_with("_c", "_base", lambda x, p: (x + weight * p) / F.col("_sum"))).drop("_c", "_base", "_sum")
 
-    suffix_p = smoothed(others("sn"), F.array(*map(F.lit, overall)), SMOOTH_SUFFIX)
-    prior = F.transform(smoothed(others("hn"), suffix_p, SMOOTH_HOST), lambda p: F.log(p))
+    out = smoothed(out, "_ps", "sn", F.array(*map(F.lit, overall)), SMOOTH_SUFFIX)
+    out = smoothed(out, "_ph", "hn", F.col("_ps"), SMOOTH_HOST)
+    out = out.withColumn("_prior", F.transform("_ph", lambda p: F.log(p)))
     flat = F.array(F.element_at("_e", k + 1) + float(np.log(1.0 / (k + 2))) + float(np.log(1.0 / (k + 1))))
-    out = out.withColumn("_p", _softmax(F.concat(_sum(langs, declared, prior), flat)))
-    best = F.array_max(F.slice("_p", 1, k))
+    out = with_softmax(out, "_p", F.concat(_sum(langs, declared, F.col("_prior")), flat))
+    out = out.withColumn("_best", F.array_max(F.slice("_p", 1, k)))
+    best = F.col("_best")
     language = F.element_at(F.array(*map(F.lit, names)), F.array_position(F.slice("_p", 1, k), best).cast("int"))
     sure = F.coalesce((best >= MIN_POSTERIOR) & (F.element_at("_p", k + 1) < best), F.lit(False))
     return out.select(*kept, F.when(sure, language).alias("language"), F.coalesce(F.round(best, 6), F.lit(0.0)).alias("posterior"), sure.alias("kept"))
