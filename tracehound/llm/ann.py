@@ -9,8 +9,9 @@ spread over the parts.  The model is the only thing broadcast (bounded by
 dimensions and parts).
 
 Every vector is indexed: it goes to its most probable part.  A query goes to
-its ``probes`` most probable parts, where all vectors are compared with it in
-double precision.  Equal vectors are indexed once with their smallest ids (as
+its most probable parts, as many as held-out points of the sample need to reach
+``recall`` of their neighbours, where all vectors are compared with it in double
+precision.  Equal vectors are indexed once with their smallest ids (as
 many as a result can show), so copies of one vector cannot fill a part; a part
 larger than ``ROWS`` vectors is searched in hashed pieces.
 
@@ -34,7 +35,7 @@ from . import common, worker
 SAMPLE = 6000
 NEIGHBOURS = 10
 HIDDEN = 96
-EPOCHS = 40
+EPOCHS = 8
 SLACK = 1.1
 ROWS = 20_000
 SALTS = 32
@@ -119,44 +120,37 @@ class Router:
 
 
 def parts_for(vectors: int) -> int:
-    """A power of two near a quarter of the square root, 4 to 256."""
-    return 1 << int(np.clip(np.round(np.log2(max(vectors, 1) ** 0.5 / 4)), 2, 8))
+    """A power of two near half of the square root, 4 to 256."""
+    return 1 << int(np.clip(np.round(np.log2(max(vectors, 1) ** 0.5 / 2)), 2, 8))
 
 
 class Model:
-    """A router, and the probability mass of parts that a query must see."""
+    """A router, and the number of parts that a query must look into."""
 
     def __init__(self, x: np.ndarray, parts: int, recall: float):
         near = graph(x, min(NEIGHBOURS, len(x) - 1))
         label = balanced_parts(x, near, parts)
         target = np.zeros((len(x), parts))
         np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), label[near.ravel()]), 1 / near.shape[1])
-        target = 0.5 * target + 0.5 * np.eye(parts)[label]
-        kept = np.arange(len(x)) % 5 > 0  # a fifth is held out to set the mass
-        trial = Router(x[kept], target[kept])
-        p, home = trial.probabilities(x), trial.probabilities(x).argmax(1)
+        kept = np.arange(len(x)) % 5 > 0  # a fifth is held out to set the number
+        p = Router(x[kept], target[kept]).probabilities(x)
         held = np.flatnonzero(~kept)
-        self.mass = next(
-            (m for m in (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99)
-             if np.take_along_axis(self._seen(p[held], m), home[near[held]], 1).mean() >= recall), 1.0,
-        )
+        # the place of each neighbour's part in the held-out point's order
+        place = np.argsort(np.argsort(-p[held], 1, kind="stable"), 1)
+        wanted = np.take_along_axis(place, p.argmax(1)[near[held]], 1)
+        reached = np.cumsum(np.bincount(wanted.ravel(), minlength=parts)) / wanted.size
+        self.probes = int(np.searchsorted(reached, recall) + 1)
         self.router = Router(x, target)
 
-    @staticmethod
-    def _seen(p: np.ndarray, mass: float) -> np.ndarray:
-        """Which parts each row looks into: most probable first, until they
-        hold ``mass``."""
-        order = np.argsort(-p, 1, kind="stable")
-        before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
-        seen = np.zeros(p.shape, bool)
-        np.put_along_axis(seen, order, before < mass, 1)
-        return seen
-
     def home(self, x: np.ndarray) -> np.ndarray:
         return self.router.probabilities(x).argmax(1)
 
     def seen(self, x: np.ndarray) -> np.ndarray:
-        return self._seen(self.router.probabilities(x), self.mass)
+        """Which parts each row looks into: its most probable ones."""
+        p = self.router.probabilities(x)
+        out = np.zeros(p.shape, bool)
+        np.put_along_axis(out, np.argsort(-p, 1, kind="stable")[:, : self.probes], True, 1)
+        return out
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
