@@ -25,11 +25,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tracehound-{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut
-    at files every executor sees, so a lost executor costs only its own tasks."""
+    at files every executor sees, so a lost executor costs only its own tasks.
+    ``codec`` is the file compression, the session's own unless given."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -37,6 +37,7 @@ STRIDE = 512
 BLOCK = 512
 FILE_BLOCKS = 64
 ROUNDS = 4
+CODEC = "zstd"  # ids are too even for the lighter codecs
 
 
 def _mix(half: np.ndarray, key: int, r: int, mask: np.uint64) -> np.ndarray:
@@ -106,7 +107,7 @@ def place(slot: Column, stride: int = STRIDE) -> tuple[Column, Column]:
 def materialise(docs: DataFrame, out: str, key: int = 20, stride: int = STRIDE, paths=None, id_col="doc_id", text_col="text") -> DataFrame:
     """Write the shards to ``out``; return the ledger: doc_id, seq, length,
     slot, block, byte_offset, ids_crc32."""
-    seqs = common.stash(sequences(docs, paths or tokens.default_paths(), stride, id_col, text_col), "sequences")
+    seqs = common.stash(sequences(docs, paths or tokens.default_paths(), stride, id_col, text_col), "sequences", CODEC)
     slotted, total = with_slots(seqs, key)
     if total:
         _write(slotted, out, total, stride)
@@ -136,7 +137,7 @@ def _write(slotted: DataFrame, out: str, total: int, stride: int) -> None:
         cols = [pa.array([x], t) for x, t in ((at, pa.int64()), (len(rows), pa.int32()), (zlib.crc32(data), pa.int64()), (data, pa.binary()))]
         return pa.RecordBatch.from_arrays(cols, ["block", "sequences", "crc32", "data"])
 
-    worker.map_batches(ordered, blocks, "block long, sequences int, crc32 long, data binary").write.parquet(out)
+    worker.map_batches(ordered, blocks, "block long, sequences int, crc32 long, data binary").write.option("compression", CODEC).parquet(out)
 
 
 def read_slots(spark: SparkSession, out: str, start: int, count: int, stride: int = STRIDE) -> DataFrame:
