@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of its text, so rows that share an id are judged one by one."""
     docs = docs.select(COLUMNS)
     named = lang_id.from_documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    judged = lang_id.identify(named, lang_id.fit(docs), ["doc_id", "text_hash"])
-    out = common.stash(judged.where("NOT kept").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct(), "rejected")
+    # stored before the filter, which would otherwise be computed from the texts' evidence again
+    judged = common.stash(lang_id.identify(named, lang_id.fit(docs), ["doc_id", "text_hash"]), "judged")
+    out = judged.where("NOT kept").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
     same = docs.doc_id.eqNullSafe(F.col("d")) & (F.xxhash64(docs.text) == F.col("h"))
     return docs.join(common.bounded(out, 32), same, "left_anti")
 
