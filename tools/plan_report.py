@@ -28,6 +28,7 @@ def summarize(plan: str) -> dict:
         "smj": final.count("SortMergeJoin"),
         "shj": final.count("ShuffledHashJoin"),
         "sortagg": final.count("SortAggregate"),
+        "objagg": final.count("ObjectHashAggregate"),
         "window": len(re.findall(r"\bWindow\b", final)),
         "python": ("ArrowEvalPython" in final) or ("BatchEvalPython" in final) or ("FlatMapGroupsInPandas" in final),
         "topk": final.count("TakeOrderedAndProject"),
@@ -42,15 +43,15 @@ def main() -> None:
     spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
     print(f"# Physical plans ({os.path.basename(sf_dir)}, final AQE plans)\n")
     print("hash/range/single = shuffle exchanges by partitioning; reused = exchanges reused by another branch; BHJ/SMJ/SHJ = broadcast-hash / sort-merge / "
-          "shuffled-hash joins; sort-agg = sort-based aggregates (struct-valued min/max); cols = columns read per scan.\n")
-    print("| query | hash | range | single | reused | BHJ | SMJ | SHJ | sort-agg | window | top-k | python | cols per scan |")
-    print("|---|---|---|---|---|---|---|---|---|---|---|---|---|")
+          "shuffled-hash joins; sort-agg = sort-based aggregates (struct-valued min/max); obj-agg = aggregates with collected lists; cols = columns read per scan.\n")
+    print("| query | hash | range | single | reused | BHJ | SMJ | SHJ | sort-agg | obj-agg | window | top-k | python | cols per scan |")
+    print("|---|---|---|---|---|---|---|---|---|---|---|---|---|---|")
     for name, q in catalog.REGISTRY.items():
         df = q(spark, sf_dir)
         df.collect()    # runs the DataFrame's own plan, so AQE finalises it
         s = summarize(df._jdf.queryExecution().executedPlan().toString())
         print(f"| {name} | {s['hash']} | {s['range']} | {s['single']} | {s['reused']} | {s['bhj']} | {s['smj']} | {s['shj']} | "
-              f"{s['sortagg']} | {s['window']} | {s['topk']} | {'yes' if s['python'] else 'no'} | {s['scans']} |")
+              f"{s['sortagg']} | {s['objagg']} | {s['window']} | {s['topk']} | {'yes' if s['python'] else 'no'} | {s['scans']} |")
 
 
 if __name__ == "__main__":
