@@ -138,3 +138,35 @@ def test_components(spark):
                 root[a] = root[b] = min(root[a], root[b])
     ends = {x for a, b in edges if a is not None and a != b for x in (a, b)}
     assert got == {k: v for k, v in root.items() if k in ends}
+
+
+def other_words(words, places, tag):
+    return [f"{tag}{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_repeated_rows_keep_their_links(spark):
+    """A row repeated 16 times has the prefix of one row: its few words that
+    differ from a near copy's do not fill it."""
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(100)]
+        rows += [(100 * g, " ".join(base))] * 16 + [(100 * g + 1, " ".join(other_words(base, {50}, f"g{g}n")))] * 16
+    want = compare(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert len(set(want.values())) == 12
+
+
+def test_two_texts_under_one_id_keep_their_links(spark, monkeypatch):
+    """The longer text's rarer n-grams do not push the shorter one's out of the
+    prefix; also with the sets of a block in several chunks."""
+    rows = []
+    for g in range(12):
+        base, long = [f"g{g}w{i}" for i in range(100)], [f"g{g}v{i}" for i in range(600)]
+        rows += [(100 * g, " ".join(base)), (100 * g, " ".join(long)), (100 * g + 1, " ".join(other_words(base, {50}, f"g{g}n")))]
+        rows += [(100 * g + 2, " ".join(other_words(long, {300}, f"g{g}m")))]
+        # a third copy of the short text makes its n-grams the commoner ones
+        rows += [(100 * g + 3, " ".join(other_words(base, {50}, f"g{g}o")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = compare(df, 4, 85)
+    assert len(set(want.values())) == 12
+    monkeypatch.setattr(ngram_join, "CHUNK", 500)
+    compare(df, 4, 85)

@@ -3,8 +3,9 @@
 A document is the set of its distinct word n-grams (64-bit hashes).  Two link
 when 100 * intersection >= percent * union.  Steps:
 
-1. **Classes.**  Documents with equal sets are one class; only its smallest
-   id goes on, so exact copies never meet again.
+1. **Classes.**  Rows with equal sets are one class; only one row of its
+   smallest id goes on, so exact copies never meet again, whether they repeat
+   an id or not.
 2. **Rare n-grams first.**  Of two linked sets x and y, the first
    |x| - ceil(t|x|) + 1 n-grams of x and of y in any global order share one.
    The order here: n-grams with a hash in the lowest ``LOW`` of the range come
@@ -30,8 +31,8 @@ when 100 * intersection >= percent * union.  Steps:
 5. **Components** of the class members and the links.
 
 Rows: null or wordless texts have an empty set and link with nothing.  Rows
-that share a ``doc_id`` are one document: their links add up.  A row with a
-null ``doc_id`` gets its set size and a null component and links nothing.  An
+that share a ``doc_id`` are one document: each distinct set of it has its own
+prefix and place in the trie, and their links add up.  A row with a null ``doc_id`` gets its set size and a null component and links nothing.  An
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -47,6 +48,8 @@ from . import common, words, worker
 
 LOW = 0.25
 CHUNK = 1_000_000
+#: What names a set: its document, the hash of its text, and whether other rows repeat both.
+SET = ("doc", "th", "again")
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -62,37 +65,40 @@ def need(size: int, percent: int) -> int:
 
 
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n (set size), k1, k2 (hash of the set), low (its
-    n-grams in the low range), rest (further n-grams if the low ones are fewer
-    than the prefix), short (prefix length)."""
+    """Per row: doc_id, row (a number of its own once stored), th (hash of the
+    text), n (set size), k1, k2 (hash of the set), low (its n-grams in the low
+    range), rest (further n-grams if the low ones are fewer than the prefix),
+    short (prefix length)."""
     edge = np.uint64(int(LOW * 2**64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in words.texts(b, 1):
+            for text in words.texts(b, 3):
                 s = shingles(text, n)
                 p = len(s) - need(len(s), percent) + 1 if len(s) else 0
                 cut = int(np.searchsorted(s, edge))
                 out.append((len(s), *words.sequence_key(s), p, s[:cut].view(np.int64), s[cut : max(cut, p)].view(np.int64)))
             cols = list(zip(*out, strict=True))
             longs = pa.list_(pa.int64())
-            arrays = [b.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], longs), pa.array(cols[5], longs)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "k1", "k2", "short", "low", "rest"])
+            arrays = [*b.columns[:3], pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], longs), pa.array(cols[5], longs)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "th", "n", "k1", "k2", "short", "low", "rest"])
 
-    schema = "doc_id long, n int, k1 long, k2 long, short int, low array<long>, rest array<long>"
-    return worker.map_batches(docs, rows, schema)
+    schema = "doc_id long, row long, th long, n int, k1 long, k2 long, short int, low array<long>, rest array<long>"
+    named = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("th"), "text")
+    return worker.map_batches(named, rows, schema)
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(gram, doc): prefix n-grams that may be shared.  A low n-gram that only
-    one class has ties nothing; it just takes its place in the prefix."""
-    low = reps.select("doc", F.explode("low").alias("gram"))
+    """(gram, doc): prefix n-grams that may be shared, from one row per class.
+    A low n-gram that only one class has ties nothing; it just takes its place
+    in the prefix."""
+    low = reps.select("row", F.explode("low").alias("gram"))
     shared = low.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    held = low.join(shared, "gram").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
-    size = reps.groupBy("doc").agg(F.max("short").alias("short"), F.min("n_low").alias("n_low"))
+    held = low.join(shared, "gram").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
+    size = reps.select("row", "doc", "short", "n_low")
     # the lone ones come first; shared ones fill what is left of the prefix
-    first = held.join(size, "doc").select("doc", F.expr("slice(held, 1, greatest(0, short - greatest(0, n_low - size(held))))").alias("held"))
+    first = held.join(size, "row").select("doc", F.expr("slice(held, 1, greatest(0, short - greatest(0, n_low - size(held))))").alias("held"))
     picked = first.select("doc", F.explode("held.gram").alias("gram"))
     return picked.unionByName(reps.select("doc", F.explode("rest").alias("gram")))
 
@@ -250,17 +256,21 @@ def _linked(percent: int):
 
 
 def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """``members`` (doc, ...) with ``grams``, the sets of their texts."""
-    names = [*members.columns, "grams"]
+    """``members`` (doc, th, again, ...) with ``grams``, the sets of their
+    texts; a text that several rows of the document hold is read once."""
+    keep = [c for c in members.columns if c not in ("th", "again")]
+    names = [*keep, "grams"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = pa.array([shingles(t, n).view(np.int64) for t in words.texts(b, 0)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], grams], names)
 
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(common.bounded(members, 64), "doc").select("text", *members.columns)
-    schema = T.StructType([*members.schema.fields, T.StructField("grams", T.ArrayType(T.LongType()))])
-    return worker.map_batches(texts, rows, schema)
+    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").join(common.bounded(members, 80), ["doc", "th"])
+    if not members.where("again").isEmpty():
+        texts = texts.where("NOT again").unionByName(texts.where("again").dropDuplicates(members.columns))
+    schema = T.StructType([*[members.schema[c] for c in keep], T.StructField("grams", T.ArrayType(T.LongType()))])
+    return worker.map_batches(texts.select("text", *keep), rows, schema)
 
 
 def _tasks(sets: DataFrame, percent: int) -> DataFrame:
@@ -275,39 +285,45 @@ def _across_chunks(docs: DataFrame, members: DataFrame, first: DataFrame, n: int
     named = members.join(label.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     named = common.stash(named, "ngram-chunk-labels")
     largest = named.groupBy("block", "label").agg(F.sum("n").alias("held")).groupBy("block").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
-    outside = named.join(largest, "block").where("label <> main").select("doc", "block", "n", "chunks")
+    outside = named.join(largest, "block").where("label <> main").select(*SET, "block", "n", "chunks")
     size = outside.groupBy("block").agg((F.floor(F.sum("n") / CHUNK) + 1).cast("long").alias("parts"))
-    outside = common.stash(outside.join(size, "block").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))), "ngram-outside")
+    outside = common.stash(outside.join(size, "block").withColumn("part", F.pmod(F.xxhash64("doc", "th"), F.col("parts"))), "ngram-outside")
     task = F.concat_ws(":", "block", "i", "j").alias("task")
-    inside = members.join(size, "block").select("doc", "block", F.col("chunk").alias("i"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("j"), F.lit(0).alias("side"))
-    others = outside.select("doc", "block", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))
+    inside = members.join(size, "block").select(*SET, "block", F.col("chunk").alias("i"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("j"), F.lit(0).alias("side"))
+    others = outside.select(*SET, "block", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))
     return _tasks(_sets(docs, common.stash(inside.unionByName(others).select("*", task), "ngram-pairs"), n), percent)
 
 
 def links(docs: DataFrame, sig: DataFrame, light: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v): links between class representatives that span their
     components.  ``sig`` and ``light`` are stored."""
-    classes = light.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"))
-    copies = common.stash(
-        light.join(classes, ["k1", "k2"]).where("doc_id <> doc").select("doc_id", "k1", "k2", "doc"), "ngram-copies"
+    first = F.min(F.struct("doc_id", "row", "th")).alias("first")
+    classes = light.groupBy("k1", "k2").agg(first, F.max("n").alias("n"))
+    classes = common.stash(
+        classes.select("k1", "k2", "n", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("rep"), F.col("first.th").alias("rep_th")), "ngram-classes"
     )
-    reps = sig.where("n > 0 AND doc_id IS NOT NULL").join(common.bounded(copies.drop("doc"), 32), ["doc_id", "k1", "k2"], "left_anti")
-    reps = reps.select(F.col("doc_id").alias("doc"), "short", F.size("low").alias("n_low"), "low", "rest")
+    copies = light.join(classes.drop("n"), ["k1", "k2"]).where("row <> rep")
+    copies = common.stash(copies.select("doc_id", "row", "doc", "rep", F.expr("doc_id = doc AND th = rep_th").alias("same")), "ngram-copies")
+    reps = sig.where("n > 0 AND doc_id IS NOT NULL").join(common.bounded(copies.select("row"), 16), "row", "left_anti")
+    reps = reps.select("row", F.col("doc_id").alias("doc"), "short", F.size("low").alias("n_low"), "low", "rest")
     postings = common.stash(_postings(reps), "ngram-prefixes")
     star = postings.groupBy("gram").agg(F.min("doc").alias("v"), F.max("doc").alias("w")).where("v < w").select("gram", "v")
     blocks = common.components(postings.join(star, "gram").select(F.col("doc").alias("u"), "v"), "ngram-blocks")
-    held = blocks.join(light.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
-    held = common.stash(held.select(F.col("node").alias("doc"), F.col("label").alias("block"), "n"), "ngram-members")
+    again = copies.where("same").select("rep", F.lit(True).alias("again")).distinct()
+    sets = classes.join(again, "rep", "left").select("doc", F.col("rep_th").alias("th"), F.coalesce("again", F.lit(False)).alias("again"), "n")
+    held = blocks.select(F.col("node").alias("doc"), F.col("label").alias("block")).join(sets, "doc")
+    held = common.stash(held.select(*SET, "block", "n"), "ngram-members")
     buckets = int((held.agg(F.sum("n")).first()[0] or 0) // CHUNK + 1)
-    room = held.groupBy("block").agg((F.floor(F.sum("n") / CHUNK) + 1).cast("long").alias("chunks"))
-    members = held.join(room, "block").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")))
-    members = common.stash(members.select("doc", "block", "n", "chunk", "chunks"), "ngram-chunks")
+    lead = F.min(F.when(F.col("doc") == F.col("block"), F.col("th"))).alias("lead")
+    room = held.groupBy("block").agg((F.floor(F.sum("n") / CHUNK) + 1).cast("long").alias("chunks"), lead)
+    members = held.join(room, "block").withColumn("chunk", F.pmod(F.xxhash64("doc", "th"), F.col("chunks")))
+    members = common.stash(members.select(*SET, "block", "n", "chunk", "chunks", "lead"), "ngram-chunks")
     # small blocks share a task; every chunk of a large one has its own, and
-    # the block's smallest document (its label) is in all of them
-    pivot = F.expr("CASE WHEN doc = block THEN sequence(0L, chunks - 1) ELSE array(chunk) END")
+    # one set of the block's smallest document (its label) is in all of them
+    pivot = F.expr("CASE WHEN doc = block AND th = lead THEN sequence(0L, chunks - 1) ELSE array(chunk) END")
     task = F.when(F.col("chunks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(buckets)))).otherwise(F.concat_ws(":", "block", "i"))
-    dealt = members.select("doc", "block", "chunks", F.explode(pivot).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
-    found = common.stash(_tasks(_sets(docs, dealt.select("doc", "block", "i", "j", "side", task.alias("task")), n), percent), "ngram-found")
+    dealt = members.select(*SET, "block", "chunks", F.explode(pivot).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    found = common.stash(_tasks(_sets(docs, dealt.select(*SET, "block", "i", "j", "side", task.alias("task")), n), percent), "ngram-found")
     large = members.where("chunks > 1")
     if not large.isEmpty():
         found = found.unionByName(_across_chunks(docs, large, found, n, percent))
@@ -319,7 +335,7 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     doc_id that can be reached by links, itself included)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = common.stash(_signatures(docs, n, percent), "ngram-sets")
-    light = sig.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "k1", "k2")
+    light = sig.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "row", "th", "n", "k1", "k2")
     label = common.components(links(docs, sig, light, n, percent), "ngram-links").select(F.col("node").alias("doc_id"), "label")
     return sig.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(label, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
