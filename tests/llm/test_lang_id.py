@@ -102,3 +102,29 @@ def test_pages(spark, model):
     one = spark.createDataFrame([(1, "https://u@WWW.Example.FR:80/a?b", '<html class=x lang="fr-FR"><script>var a="<p>";</script><p>le <b>mot</b></p><!-- x --></html>'), (2, None, None)], "page_id long, url string, html string")
     a, b = sorted(lang_id.from_pages(one).collect())
     assert (a.text, a.declared, a.suffix, a.host) == ("le mot", "fr-FR", "fr", "www.example.fr") and b.text is None
+
+
+def test_more_than_64_labels(spark):
+    """Every label has a model, in whatever form its code is written; a text of
+    the rarest one is kept and named."""
+    rows, rng = [], np.random.default_rng(4)
+    codes = [f"{a}{b}" for a in "abcdefghij" for b in "qrstuvwx"]  # 80
+    for c, code in enumerate(codes):
+        words = ["".join(chr(0x400 + 12 * c + int(x)) for x in rng.integers(0, 12, 5)) for _ in range(40)]
+        for i in range(2 if c == 79 else 4):
+            rows.append((10 * c + i, " ".join(rng.choice(words, 60)), [code, code.upper(), f"{code}-XY", f" {code}_xy"][i], "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = lang_id.fit(df)
+    assert model.languages == codes and model.table is None
+    got = lang_id.identify(lang_id.from_documents(df), model, ["doc_id"]).collect()
+    assert len(got) == len(rows) and all(r.kept and r.language == codes[r.doc_id // 10] for r in got)
+
+
+def test_sparse_model_equals_the_table(docs, monkeypatch):
+    table = lang_id.fit(docs)
+    monkeypatch.setattr(lang_id, "DENSE", 1)
+    sparse = lang_id.fit(docs)
+    assert table.table is not None and sparse.table is None
+    for r in docs.limit(50).collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        assert sparse.evidence(raw) == pytest.approx(table.evidence(raw), abs=1e-2)
