@@ -37,7 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (five words, 0.8): of each group the smallest id
-    stays.  Rows with a null id are in no group."""
+    stays, with all rows that carry it, also repeats of one row.  Rows with a
+    null id are in no group: all stay."""
     docs = docs.select(COLUMNS)
     found = ngram_join.components(docs, n=5, percent=80)
     gone = common.stash(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")

@@ -116,3 +116,13 @@ def test_empty_input(spark, start):
     for name, stage in cp.STAGES:
         docs = common.stash(stage(spark, docs, SF), f"none-{name}")
     assert docs.count() == 0
+
+
+def test_near_duplicates_go_by_id(spark):
+    """The stage removes ids: repeats of a kept row stay, every row of a
+    removed id goes, and rows without an id stay."""
+    text = " ".join(f"w{i}" for i in range(60))
+    kept = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (None, text, "en", "s", 9), (None, text, "en", "s", 9)]
+    gone = [(2, text + " more", "en", "s", 9), (2, "something else under the id of a copy", "en", "s", 9)]
+    docs = spark.createDataFrame(kept + gone, "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(rows(cp.near_duplicates(spark, docs, SF))) == Counter(kept)
