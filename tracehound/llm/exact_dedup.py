@@ -10,9 +10,14 @@ table in the shared folder:
   splits on its next hash bit, and the directory doubles until no bucket is
   overfull (or ``MAX_DEPTH`` bits are used; such a bucket just stays longer).
   At most 2**MAX_DEPTH entries, so its broadcast is bounded (about 1 MB);
-* **entries** – one row per different text, sorted by bucket and hash, each
-  file a contiguous key range.  Texts whose hashes collide are chained under
-  one hash and told apart by comparing bytes.
+* **entries** – one row per different text, as the hash-dealt aggregate leaves
+  them: neither sorted nor in key ranges.  Texts whose hashes collide are told
+  apart by comparing bytes in the grouping.
+
+The directory only names the bucket of each key and entry.  No task owns a
+bucket and no lookup goes through one: equal texts meet in a grouping by hash
+and text, and keys find their entry by a join on hash and SHA-256, which gives
+the same rows.
 
 Copies are combined on the map side before anything is shuffled, so a group
 that holds a third of all rows reaches its owner as one row per map task.
