@@ -118,3 +118,16 @@ def test_inserts_and_deletions_are_reversible(spark, monkeypatch, shard_keys):
     assert got(few.rewrite(frame(spark, left))) == plain(left)
     common, claimed = held(few)
     assert common <= claimed and len(claimed) <= len(common)
+
+
+def test_shards_follow_inserts(spark, monkeypatch):
+    """An index built on an empty batch gets the shards of what is inserted."""
+    monkeypatch.setattr(ld, "SHARD_KEYS", 20)
+    lines = [f"line {i} of a page footer that many documents of a site hold" for i in range(100)]
+    docs = spark.createDataFrame([(d, "\n".join(lines)) for d in range(6)], "doc_id long, text string")
+    grown = ld.LineIndex.build(docs.limit(0)).insert(docs)
+    whole = ld.LineIndex.build(docs)
+    assert grown.shards == whole.shards == 6 and grown.filters.count() == whole.filters.count() > 1
+    assert sorted(grown.drops().collect()) == sorted(whole.drops().collect()) and grown.drops().count() == 500
+    back = grown.delete(docs.select("doc_id").where("doc_id > 2"))
+    assert back.drops().count() == 0 and back.insert(docs).drops().count() == 500

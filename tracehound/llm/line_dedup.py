@@ -163,6 +163,11 @@ class LineIndex:
         refs = common.stash(line_refs(docs, id_col, text_col, min_chars).groupBy("k1", "k2", "doc_id").agg(F.lit(1)).select("k1", "k2", "doc_id"), "line-refs")
         counts = common.stash(_counted(refs), "line-counts")
         shards = counts.where(F.col("n_docs") >= min_docs).count() // SHARD_KEYS + 1
+        return cls._filtered(refs, counts, shards, min_docs, min_chars)
+
+    @classmethod
+    def _filtered(cls, refs: DataFrame, counts: DataFrame, shards: int, min_docs: int, min_chars: int) -> LineIndex:
+        """The index of stored references and counts, with its filters built."""
         index = cls(refs, counts, None, shards, min_docs, min_chars)
         index.filters = common.stash(index._common(counts).groupBy("shard").applyInPandas(_build, FILTER_SCHEMA), "line-filters")
         return index
@@ -175,10 +180,14 @@ class LineIndex:
 
     def _moved(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
         """The index after the references became ``refs``; only ``touched``
-        keys are counted again and only their shards' filters edited."""
+        keys are counted again and only their shards' filters edited, unless
+        the common keys have outgrown the shards: then all are built anew."""
         key = ["k1", "k2"]
         fresh = _counted(refs.join(touched, key, "left_semi"))
         counts = common.stash(self.counts.join(touched, key, "left_anti").unionByName(fresh), "line-counts")
+        shards = counts.where(F.col("n_docs") >= self.min_docs).count() // SHARD_KEYS + 1
+        if shards > self.shards:
+            return LineIndex._filtered(refs, counts, shards, self.min_docs, self.min_chars)
         was, now = self._common(self.counts), self._common(counts)
         edits = now.join(was, key, "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, key, "left_anti").withColumn("add", F.lit(False)))
 
