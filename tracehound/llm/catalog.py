@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, common, exact_dedup, lang_id, line_dedup, mixing, ngram_join, oracle_sql, packing, repeats, token_count, token_shards
+from . import ann, common, digests, exact_dedup, lang_id, lexical, line_dedup, mixing, ngram_join, oracle_sql, packing, periodic, repeats, token_count, token_shards
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rows an Arrow batch carries to a Python worker; long texts make rows large.
@@ -88,5 +88,25 @@ def op10_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query
+def op11_fingerprint(spark, sf_dir):
+    return digests.with_edits(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(common.table(spark, sf_dir, "documents"), edit=periodic.repeat_tail)
+    best = periodic.strongest(F.col("runs"))
+    light = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                         periodic.runs_digest(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("(1000 * best.length) DIV best.period").alias("exponent_milli")
+    return light.select("doc_id", "n_runs", "best.*", exponent, "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def registered() -> dict[str, str]:
     return dict(oracle_sql.SQL)
