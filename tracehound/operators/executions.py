@@ -2,8 +2,9 @@
 
 The reference inserts a 'running' row and later updates it in place.  Here
 a run appends events (start, then completion) and the current state of each
-run is the latest event — a ``max_by`` partial aggregate, no update, no
-window over a hot key.
+run is the latest event of its latest attempt — a ``max_by`` partial aggregate,
+no update, no window over a hot key.  Attempts are numbered, so a retry counts
+whatever its times are, and an older attempt that ends late does not.
 """
 
 from __future__ import annotations
@@ -39,13 +40,15 @@ def execution_events(executions: DataFrame) -> DataFrame:
     )
     finished = F.col("status") != "running"
     ev = F.explode(F.when(finished, F.array(start, done)).otherwise(F.array(start)))
-    return executions.select("execution_id", ev.alias("e")).select("execution_id", "e.*")
+    return executions.select("execution_id", F.lit(1).alias("attempt"), ev.alias("e")).select("execution_id", "attempt", "e.*")
 
 
 def execution_log_latest(events: DataFrame) -> DataFrame:
-    """Current state per run: the event with the highest (event_seq, event_time)."""
+    """Current state per run: the event with the highest (attempt, event_seq,
+    event_time).  Events without an attempt number come first."""
+    attempt = F.coalesce(F.col("attempt"), F.lit(0)) if "attempt" in events.columns else F.lit(0)
     latest = events.groupBy("execution_id").agg(
-        F.max_by(F.struct(*STATE_COLUMNS), F.struct("event_seq", "event_time")).alias("_s"))
+        F.max_by(F.struct(*STATE_COLUMNS), F.struct(attempt, "event_seq", "event_time")).alias("_s"))
     return latest.select("execution_id", "_s.*")
 
 

@@ -44,7 +44,7 @@ def _logs(spark: SparkSession, h: hunts.Hunt, logs: DataFrame | str, start: _dt.
     return partition_date_range(logs, start, end, h.time_col)
 
 
-def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *, results_dir: str, execution_id: int,
+def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *, results_dir: str, execution_id: int | None = None,
                  start_date: _dt.date | str, end_date: _dt.date | str, params: Mapping | None = None,
                  dedup_mode: str = "fingerprint", lookback_days: int = 7, now: _dt.datetime | None = None,
                  fmt: str = "parquet") -> dict:
@@ -55,13 +55,18 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *
     source with an *event time* in the look-back), "fingerprint" drops
     findings whose five-field fingerprint was stored in the look-back, and
     repeats within the run.  ``now`` (UTC unless it has a zone) stands for the
-    start of the run."""
+    start of the run.  Without an ``execution_id`` the run gets a new one; the
+    id of an earlier run of this hunt repeats that run, and its latest attempt
+    is the one that counts."""
     params = dict(params or {})
     h = hunts.get(name)
     now, clock = sinks.utc(now or _dt.datetime.now(_dt.timezone.utc)), time.monotonic()
     start_date, end_date = as_date(start_date), as_date(end_date)
     p = _paths(results_dir)
-    base = {"execution_id": execution_id, "hunt_name": name, "hunt_version": h.version, "execution_start": now,
+    if execution_id is None:
+        execution_id = sinks.new_execution_id(spark, p["hunt_executions"])
+    attempt = sinks.start_attempt(spark, p["hunt_executions"], execution_id, name)
+    base = {"execution_id": execution_id, "attempt": attempt, "hunt_name": name, "hunt_version": h.version, "execution_start": now,
             "date_range_start": start_date, "date_range_end": end_date, "parameters": json.dumps(params, default=str)}
 
     def finish(status: str, **fields) -> None:
@@ -89,7 +94,7 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *
         sinks.write_findings(table, p["hunt_findings"], execution_id, now)
         n_found, records = int(written.get.get("n") or 0), int(seen.get.get("n") or 0)
         stored = sinks.read_findings(spark, p["hunt_findings"]).filter(F.col("execution_id") == execution_id)
-        sinks.write_iocs(ioc.stored_partial(stored), p["hunt_iocs"], execution_id)
+        sinks.write_iocs(ioc.stored_partial(stored), p["hunt_iocs"], execution_id, attempt)
         finish("completed", records_analyzed=records, findings_count=n_found)
         return {"execution_id": execution_id, "hunt_name": name, "status": "completed",
                 "findings_count": n_found, "records_analyzed": records}
@@ -98,23 +103,25 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *
         raise
 
 
-def run_campaign(spark: SparkSession, inputs: Mapping[str, DataFrame | str], *, results_dir: str, first_execution_id: int,
-                 start_date, end_date, params: Mapping[str, Mapping] | None = None, now: _dt.datetime | None = None) -> list[dict]:
+def run_campaign(spark: SparkSession, inputs: Mapping[str, DataFrame | str], *, results_dir: str,
+                 first_execution_id: int | None = None, start_date, end_date, params: Mapping[str, Mapping] | None = None, now: _dt.datetime | None = None) -> list[dict]:
     """Every registered hunt in turn over the logs (frames or table paths) of
     ``inputs``.  A hunt that fails, or whose log is not given, is recorded as
-    failed and the others go on."""
+    failed and the others go on.  Runs are numbered from
+    ``first_execution_id`` on, or get new ids."""
     out = []
     for i, (name, h) in enumerate(hunts.REGISTRY.items()):
+        run_id = sinks.new_execution_id(spark, _paths(results_dir)["hunt_executions"]) if first_execution_id is None else first_execution_id + i
         try:
             out.append(run_hunt_job(spark, name, inputs.get(h.source), results_dir=results_dir,
-                                    execution_id=first_execution_id + i, start_date=start_date, end_date=end_date,
+                                    execution_id=run_id, start_date=start_date, end_date=end_date,
                                     params=(params or {}).get(name), now=now))
         except Exception as e:  # noqa: BLE001 - campaign keeps going
-            out.append({"execution_id": first_execution_id + i, "hunt_name": name, "status": "failed", "error": str(e)})
+            out.append({"execution_id": run_id, "hunt_name": name, "status": "failed", "error": str(e)})
     return out
 
 
-def run_lookback_hunt(spark: SparkSession, name: str, path: str, *, results_dir: str, execution_id: int,
+def run_lookback_hunt(spark: SparkSession, name: str, path: str, *, results_dir: str, execution_id: int | None = None,
                       as_of, lookback_days: int = 30, fmt: str = "parquet", params: Mapping | None = None) -> dict:
     """A hunt over the last ``lookback_days`` days up to ``as_of`` (inclusive
     day range, pruned at the scan)."""

@@ -5,10 +5,11 @@ retried or repeated job converges and runs never touch each other's rows:
 
 * findings – ``execution_id=N/created_date=D``; a run replaces its folder, also
   with nothing; the creation date lets a look-back skip older folders;
-* IOCs – ``execution_id=N`` holds the run's mergeable roll-up; readers merge
-  them (``read_iocs``), with a snapshot of many runs as a cache;
+* IOCs – the mergeable roll-up of each run's attempt, visible through a
+  committed list (``manifest``); readers merge them (``read_iocs``), with a
+  snapshot of many runs as a cache;
 * statistics – one folder per (date, hunt), replaced by partition;
-* execution events – appended.
+* execution events – appended, each with its run's attempt.
 
 Tables are read with their schema given, so a folder without files is an empty
 table, not an error.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tracehound.operators import ioc
 from tracehound.operators.dedup import with_fingerprint
+from tracehound.sources import manifest
+from tracehound.sources.manifest import exists
 
 # Stored findings table: column -> Spark type (result-table DDL).
 FINDINGS_TABLE = [
@@ -40,8 +43,7 @@ STATISTICS_SCHEMA = (
 EVENT_SCHEMA = (
     "execution_id bigint, event_seq int, event_time timestamp, hunt_name string, hunt_version string, "
     "execution_start timestamp, execution_end timestamp, status string, records_analyzed bigint, "
-    "findings_count int, date_range_start date, date_range_end date, parameters string, error_message string")
-SNAPSHOTS = "_snapshots"
+    "findings_count int, date_range_start date, date_range_end date, parameters string, error_message string, attempt int")
 
 
 def utc(t: _dt.datetime) -> _dt.datetime:
@@ -49,16 +51,6 @@ def utc(t: _dt.datetime) -> _dt.datetime:
     return t.replace(tzinfo=_dt.timezone.utc) if t.tzinfo is None else t.astimezone(_dt.timezone.utc)
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return bool(fs.exists(p))
-
-
 def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A result table; one that was never written is empty."""
     if not exists(spark, path):
@@ -127,53 +119,40 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def write_iocs(delta: DataFrame, base: str, execution_id: int) -> None:
-    """K4: the run's own roll-up (``ioc.stored_partial``), replaced on a re-run.
-    Snapshots that hold the run's older roll-up go first."""
-    spark = delta.sparkSession
-    for snapshot in _snapshots(spark, base):
-        if not spark.read.parquet(f"{snapshot}/runs").where(F.col("execution_id") == execution_id).isEmpty():
-            fs, p = _path(spark, snapshot)
-            fs.delete(p, True)
-    delta.write.mode("overwrite").parquet(f"{base}/execution_id={execution_id}")
+def start_attempt(spark: SparkSession, events: str, execution_id: int, hunt_name: str) -> int:
+    """K3: the number of this attempt at a run, above all earlier ones.  An id
+    whose start event names another hunt is refused: its results would be
+    replaced."""
+    others = (read_result(spark, events, EVENT_SCHEMA).where(F.col("execution_id") == execution_id)
+              .where(F.col("hunt_name") != hunt_name).select("hunt_name").first())
+    if others:
+        raise ValueError(f"execution {execution_id} is a run of {others.hunt_name}")
+    return manifest.claim(spark, events, f"execution_id={execution_id}")
 
 
-def _snapshots(spark: SparkSession, base: str) -> list[str]:
-    """Complete snapshots, oldest first (the list of runs is written last)."""
-    fs, p = _path(spark, f"{base}/{SNAPSHOTS}")
-    names = sorted(c.getPath().toString() for c in fs.listStatus(p)) if fs.exists(p) else []
-    return [n for n in names if exists(spark, f"{n}/runs/_SUCCESS")]
+def new_execution_id(spark: SparkSession, events: str) -> int:
+    """A run id that no run has and no other job gets: above all stored ones."""
+    highest = read_result(spark, events, EVENT_SCHEMA).agg(F.max("execution_id")).first()[0] or 0
+    while (n := manifest.claim(spark, events, "ids")) <= highest:
+        manifest.raise_to(spark, events, "ids", highest)
+    return n
 
 
-def _ioc_partials(spark: SparkSession, base: str) -> DataFrame:
-    """The roll-ups of all runs: the newest snapshot, and the runs not in it."""
-    schema = ioc.PARTIAL_SCHEMA
-    runs = read_result(spark, base, f"{schema}, execution_id bigint")
-    found = _snapshots(spark, base)
-    if not found:
-        return runs.drop("execution_id")
-    covered = spark.read.parquet(f"{found[-1]}/runs")
-    held = spark.read.schema(schema).parquet(f"{found[-1]}/partials")
-    return runs.join(covered, "execution_id", "left_anti").drop("execution_id").unionByName(held)
+def write_iocs(delta: DataFrame, base: str, execution_id: int, attempt: int | None = None) -> None:
+    """K4: the run's own roll-up (``ioc.stored_partial``).  It counts once it
+    is stored whole, in place of the run's earlier attempts."""
+    manifest.write(delta, base, execution_id, attempt)
 
 
 def read_iocs(spark: SparkSession, base: str) -> DataFrame:
-    """The tracked indicators: all runs' roll-ups merged."""
-    return ioc.ioc_finish(ioc.merge_partials(_ioc_partials(spark, base)))
+    """The tracked indicators: all committed runs' roll-ups merged."""
+    return ioc.ioc_finish(ioc.merge_partials(manifest.read(spark, base, ioc.PARTIAL_SCHEMA)))
 
 
 def compact_iocs(spark: SparkSession, base: str) -> None:
-    """Merge all runs' roll-ups into a snapshot.  The runs' folders stay, so a
-    run can be repeated and a lost snapshot costs nothing."""
-    fs, p = _path(spark, base)
-    ids = [int(c.getPath().getName().split("=")[1]) for c in fs.listStatus(p) if c.getPath().getName().startswith("execution_id=")]
-    found = _snapshots(spark, base)
-    target = f"{base}/{SNAPSHOTS}/{len(found):06d}-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S%f}"
-    ioc.merge_partials(_ioc_partials(spark, base)).write.parquet(f"{target}/partials")
-    spark.createDataFrame([(i,) for i in ids], "execution_id bigint").write.parquet(f"{target}/runs")
-    for old in found:
-        old_fs, old_p = _path(spark, old)
-        old_fs.delete(old_p, True)
+    """Merge the committed runs' roll-ups into a snapshot, also while other
+    runs are being written or committed."""
+    manifest.compact(spark, base, ioc.PARTIAL_SCHEMA, ioc.merge_partials)
 
 
 def write_statistics(new: DataFrame, path: str) -> None:
