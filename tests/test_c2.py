@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import CONN_SCHEMA
 from tracehound.operators import c2
+from tracehound.sources import fixtures as fx
 
 T0 = dt.datetime(2024, 1, 1, 0, 0, 0)
 
@@ -176,3 +177,80 @@ def test_stored_numbers_are_not_rounded(spark):
     times = every(12, 60) + [T0 + dt.timedelta(seconds=60 * 11 + 47)]
     r = c2.c2_beaconing(conn(spark, times)).collect()[0]
     assert json.loads(r.raw_data)["avg_interval_seconds"] == pytest.approx((60 * 11 + 47) / 12, abs=1e-12)
+
+
+def hot_and_ordinary(spark):
+    """One pair with a third of all rows, in bursts and pauses."""
+    import random
+    rnd = random.Random(3)
+    rows, t = [], T0
+    for i in range(1500):
+        t += dt.timedelta(seconds=rnd.choice([5, 40, 40, 600, 1800, 1801, 9000]), microseconds=rnd.randint(0, 999999))
+        rows.append((t, "10.9.9.9", "198.51.100.1", 443, i, 0, 1.0))
+    for p in range(300):
+        for j in range(10):
+            rows.append((T0 + dt.timedelta(seconds=p * 97 + rnd.randint(0, 9) * 700 + j), f"10.0.{p // 250}.{p % 250}", "198.51.100.2", 443, 100, 0, 1.0))
+    rows += [(None, "10.9.9.9", "198.51.100.1", 443, 1, 0, 1.0)]
+    return spark.createDataFrame(rows, CONN_SCHEMA).repartition(6)
+
+
+@pytest.mark.parametrize("busy_rows", [None, 1, 1000])
+def test_sessions_of_a_hot_pair_meet_across_slices(spark, busy_rows):
+    from pyspark.sql import Window
+    df = hot_and_ordinary(spark)
+    got = sorted(map(tuple, c2.pair_sessions(df, slice_seconds=900, busy_rows=busy_rows).collect()))
+    w = Window.partitionBy("id_orig_h", "id_resp_h", "id_resp_p").orderBy("ts")
+    fresh = F.when(F.expr("INTERVAL 30 MINUTES") >= F.col("ts") - F.lag("ts").over(w), 0).otherwise(1)
+    flat = df.where("ts IS NOT NULL").withColumn("f", fresh).withColumn("s", F.sum("f").over(w))
+    want = flat.groupBy("id_orig_h", "id_resp_h", "id_resp_p", "s").agg(
+        F.min("ts"), F.max("ts"), F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts")), F.count("*"), F.sum("orig_bytes"))
+    assert got == sorted(map(tuple, want.drop("s").collect()))
+
+
+def test_busy_pairs_come_from_a_sample_and_are_few(spark, monkeypatch):
+    pairs = c2.conn_pairs(hot_and_ordinary(spark))
+    assert [r.source_ip for r in c2.busy_pairs(pairs, c2.PAIR, 1000).collect()] == ["10.9.9.9"]
+    assert c2.busy_pairs(pairs, c2.PAIR, 10_000).count() == 0
+    monkeypatch.setattr(c2, "BUSY_SAMPLED", 100)
+    assert [r.source_ip for r in c2.busy_pairs(pairs, c2.PAIR, 700).collect()] == ["10.9.9.9"]
+    monkeypatch.setattr(c2, "MAX_BUSY", 3)
+    assert c2.busy_pairs(pairs, c2.PAIR, 5).count() == 3
+
+
+@pytest.mark.parametrize("op", [c2.c2_beaconing, c2.c2_intervals, c2.pair_sessions, c2.c2_beacon_profile])
+def test_the_raw_log_moves_once_without_automatic_broadcasts(spark, op):
+    """Of the exchanges, one has the raw rows below it; the others carry
+    aggregated rows, or one row per slice."""
+    import re
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = op(fx.load(spark, "/root/testdata/sf0.001", "conn_logs"))._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    at = [(re.search(r"[A-Z]", x).start(), x) for x in plan if re.search(r"[A-Z]", x)]
+    raw = []
+    for i, (depth, line) in enumerate(at):
+        if "Exchange hashpartitioning" in line and "Reused" not in line:
+            below = []
+            for d, x in at[i + 1:]:
+                if d <= depth:
+                    break
+                below.append(x)
+            # what the exchange carries: aggregated rows, slice edges (a filter on a window) or the log
+            if not re.search("Aggregate|Window", next(x for x in below if re.search("Aggregate|Window|Exchange|Scan", x))):
+                raw.append(line)
+    assert len(raw) == 1 and not any(re.search("Cartesian|NestedLoop|SortMergeJoin", x) for x in plan), "\n".join(plan)
+
+
+@pytest.mark.parametrize("busy_rows", [None, 1, 10_000])
+def test_intervals_of_a_hot_pair(spark, busy_rows):
+    from pyspark.sql import Window
+    df = hot_and_ordinary(spark).where("ts IS NOT NULL")
+    df = df.unionByName(df.where("orig_bytes % 7 = 0")).withColumn("id_resp_p", F.expr("IF(orig_bytes % 2 = 0, NULL, id_resp_p)"))
+    w = Window.partitionBy("id_orig_h", "id_resp_h", "id_resp_p").orderBy("ts")
+    want = df.select("id_orig_h", "id_resp_h", "id_resp_p", "ts", F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(w))
+    got = c2.c2_intervals(df, slice_seconds=500, busy_rows=busy_rows)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))

@@ -197,6 +197,37 @@ def test_registered_hunt_reaches_the_sweeps(spark, monkeypatch):
     assert got.where("hunt_name = 'busy'").count() == per_day
 
 
+def test_a_keyed_hunt_reads_its_log_once_for_all_runs(spark, monkeypatch):
+    def busy(logs, min_rows=1, by=()):
+        g = logs.groupBy(*by, "id_orig_h").agg(F.count("*").alias("n"), F.min("ts").alias("timestamp")).where(F.col("n") >= min_rows)
+        nothing = {c: F.lit(None).cast("string") for c in hunts.FINDING_COLUMNS if c not in ("source_ip", "timestamp")}
+        return g.withColumn("source_ip", F.col("id_orig_h")).withColumns({**nothing, "hunt_name": F.lit("busy")})
+
+    monkeypatch.setitem(hunts.REGISTRY, "busy", hunts.Hunt("busy", "conn_logs", busy, lambda logs: logs))
+    logs = fx.load(spark, SF, "conn_logs")
+    days = logs.select(F.to_date("ts")).distinct().count()
+    for name, scans in (("busy", 1), ("c2_beaconing", 2)):      # the C2 hunt also takes a sample
+        got = sweeps.hunt_sweep({"conn_logs": logs}, sweeps.daily_runs, names=[name], params={"busy": {"min_rows": 2}})
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert days >= 28 and plan.count("FileScan parquet") == scans
+    busy_sweep = sweeps.hunt_sweep({"conn_logs": logs}, sweeps.daily_runs, names=["busy"], params={"busy": {"min_rows": 2}})
+    one_by_one = sweeps.run_by_run(hunts.get("busy"), logs, sweeps.daily_runs, min_rows=2).select(busy_sweep.columns)
+    assert sorted(map(str, busy_sweep.collect())) == sorted(map(str, one_by_one.collect()))
+    # a function that takes by and does not return its columns
+    monkeypatch.setitem(hunts.REGISTRY, "busy", hunts.Hunt("busy", "conn_logs", lambda logs, by=(): busy(logs), lambda logs: logs))
+    with pytest.raises(ValueError, match="run_start"):
+        sweeps.hunt_sweep({"conn_logs": logs}, sweeps.daily_runs, names=["busy"])
+
+
+@pytest.mark.parametrize("name", ["dns_tunneling", "lateral_movement"])
+def test_keyed_hunts_equal_single_runs(spark, name):
+    h = hunts.get(name)
+    logs, params = fx.load(spark, SF, h.source), fx.LATERAL_PARAMS if name == "lateral_movement" else {"min_query_count": 1}
+    got = sweeps.in_one_pass(h, logs, sweeps.weekly_runs, **params)
+    want = sweeps.run_by_run(h, logs, sweeps.weekly_runs, **params).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 0
+
+
 def test_times_do_not_shift_with_the_drivers_zone():
     code = f"""
 import datetime as dt, sys, tempfile

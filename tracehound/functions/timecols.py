@@ -25,6 +25,8 @@ def normalize_time(df: DataFrame, name: str, alias: str | None = None) -> DataFr
         col = F.to_timestamp(col)
     elif isinstance(dtype, T.DateType):
         col = col.cast("timestamp_ntz")
+    elif alias == name:
+        return df       # as it is; an alias would keep exchanges from being reused
     return df.withColumn(alias, col)
 
 

@@ -1,9 +1,10 @@
 """C2 beaconing: periodic connections from one source to one service.
 
-Plan shape (two exchanges, both skew-safe):
+Plan shape (the raw log goes through one exchange):
 
-0. A map-side combined count per pair finds the busy pairs (few rows, so the
-   join that marks them is a run-time broadcast).
+0. Busy pairs are found in a sample of the log: a map-side combined count, of
+   which at most ``MAX_BUSY`` pairs are kept.  So what marks them in the log is
+   a broadcast of proven size, never a join that shuffles the log.
 1. ``(pair, time slice)`` — the connection log is hash-partitioned on the
    pair *and*, for busy pairs, a fixed-width time slice of the connection
    time, so one hot pair (say a third of all rows) is spread over
@@ -11,10 +12,11 @@ Plan shape (two exchanges, both skew-safe):
    Inside a slice ``lag`` gives the gaps; the slice is reduced to
    mergeable moments: gap count/sum/sum of squares (exact 64-bit integers),
    byte count/sum/sum of squares (exact) and the first/last connection time.
-2. ``pair`` — one row per non-empty slice (at most range/slice per pair,
-   independent of traffic).  ``lag`` over slices yields the gap that
-   crosses each slice boundary; all sums are merged exactly.
+2. ``pair`` — one row per non-empty slice (for an ordinary pair: one row).
+   ``lag`` over slices yields the gap that crosses each slice boundary; all
+   sums are merged exactly.
 
+Which pairs are sliced changes the spread over tasks only, not the result.
 The result equals one ``lag`` over the whole pair followed by ``avg`` and
 ``stddev`` — without ever putting a whole pair into one task.
 """
@@ -32,10 +34,16 @@ from tracehound.functions.timecols import epoch_seconds, floor_second, normalize
 PAIR = ["source_ip", "destination_ip", "destination_port"]
 HUNT = "c2_beaconing"
 DEFAULT_SLICE_SECONDS = 300
-# A pair with more connections than this is cut into time slices; any other is
-# one slice, so the second exchange carries one row for it.  The result is the
-# same for every value.
+SESSION_SLICE_SECONDS = 3600
+# A pair with about this many connections or more is cut into time slices; any
+# other is one slice, so the second exchange carries one row for it.  The
+# result is the same for every value.
 BUSY_PAIR_ROWS = 500_000
+# The sample is taken so that a pair of BUSY_PAIR_ROWS has this many rows in it.
+BUSY_SAMPLED = 2_000
+# At most so many pairs are sliced, the busiest; any other one then has less
+# than 1 / MAX_BUSY of the log.
+MAX_BUSY = 10_000
 # Gaps are non-negative and add up to last - first, so every sum of squared
 # gaps is at most (last - first)^2: a long holds it for spans under ~95
 # years.  Only the variance numerator n*S2 - S1^2 needs exact decimals.
@@ -55,16 +63,24 @@ def conn_pairs(conn_logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def busy_pairs(pairs: DataFrame, keys: Sequence[str], busy_rows: int) -> DataFrame:
+    """The keys of at most ``MAX_BUSY`` pairs with about ``busy_rows`` rows or
+    more, by their rows in a sample."""
+    rate = min(1.0, BUSY_SAMPLED / max(1, busy_rows))
+    some = pairs.select(*keys) if rate == 1.0 else pairs.select(*keys).sample(False, rate, seed=1)
+    n = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > busy_rows * rate)
+    return n.orderBy(F.desc("_rows")).limit(MAX_BUSY).select(*keys)
+
+
 def _sliced(pairs: DataFrame, keys: Sequence[str], slice_seconds: int, busy_rows: int | None) -> DataFrame:
     """Epoch second and slice of each row; slice 0 for all rows of a pair
-    with at most ``busy_rows`` rows (None: slice every pair)."""
+    that is not busy (``busy_rows`` None: slice every pair)."""
     x = pairs.withColumn("_e", epoch_seconds("ts"))
     slice_ = F.floor(F.col("_e") / F.lit(slice_seconds))
     if busy_rows is None:
         return x.withColumn("_slice", slice_)
-    busy = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > busy_rows)
-    busy = busy.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_busy"))
-    x = x.join(busy, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys], "left").drop(*[f"_b_{k}" for k in keys])
+    busy = busy_pairs(pairs, keys, busy_rows).select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_busy"))
+    x = x.join(F.broadcast(busy), [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys], "left").drop(*[f"_b_{k}" for k in keys])
     return x.withColumn("_slice", F.when(F.col("_busy"), slice_).otherwise(F.lit(0).cast("long"))).drop("_busy")
 
 
@@ -142,7 +158,12 @@ def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | Non
     if edge_used is not None:
         edged = edged.withColumn("_edge", F.when(edge_used, F.col("_edge")))
     agg = edged.groupBy(*keys).agg(*[F.expr(e) for e in _MERGE], *[F.first(k).alias(k) for k in keep])
-    return agg.selectExpr(*[f"`{k}`" for k in (*keys, *keep)], *_PROFILE)
+    return profile_of_moments(agg, [*keys, *keep])
+
+
+def profile_of_moments(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The profile of fully merged moments (means and spreads)."""
+    return merged.selectExpr(*[f"`{k}`" for k in keys], *_PROFILE)
 
 
 def profile_from_pairs(pairs: DataFrame, by: Sequence[str] = (), slice_seconds: int = DEFAULT_SLICE_SECONDS,
@@ -162,24 +183,37 @@ def add_extensions(profile: DataFrame) -> DataFrame:
 
 
 def c2_beacon_profile(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SECONDS,
-                      busy_rows: int | None = BUSY_PAIR_ROWS) -> DataFrame:
+                      busy_rows: int | None = BUSY_PAIR_ROWS, by: Sequence[str] = ()) -> DataFrame:
     """A1: per (source_ip, destination_ip, destination_port): connection
-    count, interval mean/stddev, bytes mean/stddev, first/last epoch."""
-    return add_extensions(profile_from_pairs(conn_pairs(conn_logs), (), slice_seconds, busy_rows))
+    count, interval mean/stddev, bytes mean/stddev, first/last epoch.  ``by``
+    names further key columns of the log."""
+    return add_extensions(profile_from_pairs(conn_pairs(conn_logs, by), by, slice_seconds, busy_rows))
 
 
-def pair_sessions(conn_logs: DataFrame, *, max_gap: str = "30 minutes") -> DataFrame:
+def pair_sessions(conn_logs: DataFrame, *, max_gap: str = "30 minutes", slice_seconds: int = SESSION_SLICE_SECONDS,
+                  busy_rows: int | None = BUSY_PAIR_ROWS) -> DataFrame:
     """Sessions of a pair: runs of connections no further apart than
-    ``max_gap``, longest first by their own length, with their connections and
-    bytes.  ``session_window`` merges partial sessions on the map side."""
-    pairs = conn_pairs(conn_logs)
-    ts_type = pairs.schema["ts"].dataType
-    s = F.session_window("ts", max_gap).alias("s")
-    agg = pairs.groupBy(*PAIR, s).agg(
-        F.count(F.lit(1)).alias("connection_count"), F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
-        F.sum("orig_bytes").cast("long").alias("bytes_sent"))
-    return agg.select(*PAIR, F.col("session_start").cast(ts_type).alias("session_start"), F.col("session_end").cast(ts_type).alias("session_end"),
-                      (epoch_seconds("session_end") - epoch_seconds("session_start")).alias("session_seconds"), "connection_count", "bytes_sent")
+    ``max_gap``, with their length, connections and bytes.
+
+    Two levels, as for the profile: sessions inside (pair, time slice), then
+    sessions that meet across slice edges are joined.  The raw log moves once,
+    a busy pair's rows by slice; the second exchange carries sessions, of which
+    a pair has at most one per ``max_gap`` and slice."""
+    x = _sliced(conn_pairs(conn_logs).where("ts IS NOT NULL"), PAIR, slice_seconds, busy_rows)
+    gap = F.expr(f"INTERVAL {max_gap}")
+    inside = Window.partitionBy(*PAIR, "_slice").orderBy("ts")
+    x = x.withColumn("_new", F.when(F.col("ts") - F.lag("ts").over(inside) <= gap, 0).otherwise(1))
+    x = x.withColumn("_k", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    part = x.groupBy(*PAIR, "_slice", "_k").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.sum("orig_bytes").alias("bytes"))
+    across = Window.partitionBy(*PAIR).orderBy("_slice", "_k")
+    part = part.withColumn("_new", F.when(F.col("a") - F.lag("b").over(across) <= gap, 0).otherwise(1))
+    part = part.withColumn("_s", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = part.groupBy(*PAIR, "_s").agg(
+        F.sum("n").alias("connection_count"), F.min("a").alias("session_start"), F.max("b").alias("session_end"),
+        F.sum("bytes").cast("long").alias("bytes_sent"))
+    return whole.select(*PAIR, "session_start", "session_end",
+                        (epoch_seconds("session_end") - epoch_seconds("session_start")).alias("session_seconds"), "connection_count", "bytes_sent")
 
 
 def c2_intervals(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SECONDS,
@@ -187,23 +221,22 @@ def c2_intervals(conn_logs: DataFrame, *, slice_seconds: int = DEFAULT_SLICE_SEC
     """Per connection, seconds since the previous connection of the
     same pair (NULL for the first), computed slice by slice.
 
-    One window over (pair, slice) yields both the in-slice ``lag`` and the
-    slice's last row (``lead`` is NULL); the last rows (one per slice) take
-    a ``lag`` over slices and are joined back to the first row of the next
-    slice.  Both branches share the same exchange, so the log is read once."""
-    keys = PAIR
-    x = _sliced(conn_pairs(conn_logs), keys, slice_seconds, busy_rows)
-    w = Window.partitionBy(*keys, "_slice").orderBy("ts")
-    x = x.withColumns({"_gap": F.col("_e") - F.lag("_e").over(w), "_tail": F.lead("_e").over(w).isNull()})
-    tails = x.filter(F.col("_tail")).select(*keys, "_slice", F.col("_e").alias("_last"))
-    tails = tails.withColumn("_prev_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")))
-    tails = tails.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_slice").alias("_h_slice"), "_prev_last")
-    cond = [x[k].eqNullSafe(tails[f"_h_{k}"]) for k in keys] + [x["_slice"] == tails["_h_slice"]]
-    joined = x.join(tails, cond, "left")
-    return joined.select(
-        *keys, "ts",
-        F.coalesce(F.col("_gap"), F.col("_e") - F.col("_prev_last")).alias("interval_seconds"),
-    )
+    ``lag`` inside (pair, slice) gives every row but a slice's first.  The
+    first and last rows of the slices (two per slice, so at most two for an
+    ordinary pair) are stitched over the pair: before a slice's first row comes
+    the last row of the slice before.  Both branches read the one exchange of
+    the log; nothing is joined to it.  Rows of equal time give equal rows
+    whichever of them is first."""
+    x = _sliced(conn_pairs(conn_logs), PAIR, slice_seconds, busy_rows)
+    w = Window.partitionBy(*PAIR, "_slice").orderBy("ts")
+    x = x.select(*PAIR, "ts", "_e", "_slice").withColumns({
+        "_gap": F.col("_e") - F.lag("_e").over(w), "_first": F.lag(F.lit(1)).over(w).isNull(), "_last": F.lead(F.lit(1)).over(w).isNull()})
+    inside = x.where(~F.col("_first")).select(*PAIR, "ts", F.col("_gap").alias("interval_seconds"))
+    edges = x.where(F.col("_first") | F.col("_last"))
+    # of a slice with two rows or more, the first one comes before the last one
+    across = Window.partitionBy(*PAIR).orderBy("_slice", F.col("_first").desc())
+    edges = edges.withColumn("interval_seconds", F.col("_e") - F.lag("_e").over(across))
+    return inside.unionByName(edges.where("_first").select(*PAIR, "ts", "interval_seconds"))
 
 
 def beacon_candidates(profile: DataFrame, *, min_connections: int, jitter_threshold: float,
@@ -257,9 +290,10 @@ def beacon_findings(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def c2_beaconing(conn_logs: DataFrame, *, min_connections: int = 10, jitter_threshold: float = 300,
                  byte_similarity_threshold: float | None = None, min_score: float = 50,
                  null_score: str = "reference", slice_seconds: int = DEFAULT_SLICE_SECONDS,
-                 busy_rows: int | None = BUSY_PAIR_ROWS) -> DataFrame:
-    """The C2 beaconing hunt: connection log -> findings."""
-    prof = c2_beacon_profile(conn_logs, slice_seconds=slice_seconds, busy_rows=busy_rows)
+                 busy_rows: int | None = BUSY_PAIR_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """The C2 beaconing hunt: connection log -> findings, for each value of
+    the ``by`` columns apart."""
+    prof = c2_beacon_profile(conn_logs, slice_seconds=slice_seconds, busy_rows=busy_rows, by=by)
     cands = beacon_candidates(prof, min_connections=min_connections, jitter_threshold=jitter_threshold,
                               byte_similarity_threshold=byte_similarity_threshold)
-    return beacon_findings(score_beacons(cands, min_score=min_score, null_score=null_score))
+    return beacon_findings(score_beacons(cands, min_score=min_score, null_score=null_score), by=by)

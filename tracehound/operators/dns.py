@@ -44,10 +44,10 @@ def profile_queries(queries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def dns_profile(dns_logs: DataFrame) -> DataFrame:
+def dns_profile(dns_logs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A2: per (source_ip, query_domain) count, avg/max length, avg labels,
-    first/last time."""
-    return profile_queries(dns_queries(dns_logs))
+    first/last time.  ``by`` names further key columns of the log."""
+    return profile_queries(dns_queries(dns_logs, by), by)
 
 
 def tunneling_findings(profile: DataFrame, *, min_query_length: int = 50, min_query_count: int = 100,
@@ -85,14 +85,15 @@ def tunneling_findings(profile: DataFrame, *, min_query_length: int = 50, min_qu
 
 
 def dns_tunneling(dns_logs: DataFrame, *, min_query_length: int = 50, min_query_count: int = 100,
-                  entropy_threshold: float | None = None, min_score: float = 50) -> DataFrame:
-    """The DNS tunneling hunt: DNS log -> findings.
+                  entropy_threshold: float | None = None, min_score: float = 50, by: Sequence[str] = ()) -> DataFrame:
+    """The DNS tunneling hunt: DNS log -> findings, for each value of the
+    ``by`` columns apart.
 
     ``entropy_threshold`` is documented by the reference but not applied
     there; when given, findings are also required to have a query-name
     Shannon entropy at or above it (see ``extensions.dns_entropy``)."""
-    found = tunneling_findings(dns_profile(dns_logs), min_query_length=min_query_length,
-                               min_query_count=min_query_count, min_score=min_score)
+    found = tunneling_findings(dns_profile(dns_logs, by), min_query_length=min_query_length,
+                               min_query_count=min_query_count, min_score=min_score, by=by)
     if entropy_threshold is None:
         return found
     from tracehound.operators.extensions import shannon_entropy

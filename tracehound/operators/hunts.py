@@ -4,11 +4,16 @@ A hunt is a function ``(logs: DataFrame, **params) -> findings DataFrame``
 registered with the name of the log it reads.  New hunts register the
 same way; the campaign is a ``unionByName`` of every hunt's findings, so
 it stays one lazy plan.
+
+A hunt whose function takes ``by`` is keyed: given names of log columns, it
+hunts each of their values apart and returns them with the findings.  Sweeps
+then compute all their runs in one pass over the log.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import inspect
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,6 +43,19 @@ class Hunt:
     description: str = ""
     time_col: str = "ts"                          # event time of its log
 
+    @property
+    def keyed(self) -> bool:
+        """Whether the function takes ``by``."""
+        return "by" in inspect.signature(self.run).parameters
+
+    def run_by(self, logs: DataFrame, by: Sequence[str], **params) -> DataFrame:
+        """The hunt for each value of the log columns ``by`` apart; a keyed
+        hunt whose findings lack them breaks its contract."""
+        found = self.run(logs, by=list(by), **params)
+        if absent := [c for c in by if c not in found.columns]:
+            raise ValueError(f"hunt {self.name} takes by but returns no {absent}")
+        return found
+
 
 REGISTRY: dict[str, Hunt] = {}
 

@@ -46,7 +46,12 @@ def burst_profile(logons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     g = [*by, *GROUP]
     per_host = logons.groupBy(*g, "destination_host").agg(
         F.count(F.lit(1)).alias("_n"), F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
-    return per_host.groupBy(*g).agg(
+    return hosts_merged(per_host, g)
+
+
+def hosts_merged(per_host: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The second stage of A3, from one row per distinct host of a group."""
+    return per_host.groupBy(*keys).agg(
         F.count("destination_host").alias("unique_hosts"),
         F.sum("_n").alias("logon_attempts"),
         F.array_sort(F.collect_list("destination_host")).alias("hosts_accessed"),
@@ -55,9 +60,11 @@ def burst_profile(logons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def lateral_profile(win_logs: DataFrame, *, time_window_minutes: int = 60, time_col: str = "@timestamp") -> DataFrame:
-    """A3: per (username, source_ip, time_bucket) burst statistics."""
-    return burst_profile(bucketed(logon_events(win_logs, time_col=time_col), time_window_minutes))
+def lateral_profile(win_logs: DataFrame, *, time_window_minutes: int = 60, time_col: str = "@timestamp",
+                    by: Sequence[str] = ()) -> DataFrame:
+    """A3: per (username, source_ip, time_bucket) burst statistics.  ``by``
+    names further key columns of the log."""
+    return burst_profile(bucketed(logon_events(win_logs, time_col=time_col, keep=by), time_window_minutes), by)
 
 
 def with_privilege(profile: DataFrame, patterns: Sequence[str] = scoring.PRIVILEGED_PATTERNS) -> DataFrame:
@@ -100,8 +107,9 @@ def movement_findings(profile: DataFrame, *, time_window_minutes: int, min_hosts
 
 def lateral_movement(win_logs: DataFrame, *, time_window_minutes: int = 60, min_hosts: int = 5,
                      privileged_accounts: Sequence[str] = scoring.PRIVILEGED_PATTERNS,
-                     min_score: float = 50, time_col: str = "@timestamp") -> DataFrame:
-    """The lateral movement hunt: Windows security log -> findings."""
-    prof = lateral_profile(win_logs, time_window_minutes=time_window_minutes, time_col=time_col)
+                     min_score: float = 50, time_col: str = "@timestamp", by: Sequence[str] = ()) -> DataFrame:
+    """The lateral movement hunt: Windows security log -> findings, for each
+    value of the ``by`` columns apart."""
+    prof = lateral_profile(win_logs, time_window_minutes=time_window_minutes, time_col=time_col, by=by)
     return movement_findings(prof, time_window_minutes=time_window_minutes, min_hosts=min_hosts,
-                             privileged_accounts=privileged_accounts, min_score=min_score)
+                             privileged_accounts=privileged_accounts, min_score=min_score, by=by)

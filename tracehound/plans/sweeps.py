@@ -1,8 +1,9 @@
 """Scheduled sweeps (T1–T3) as single batch jobs.
 
 Instead of a timer that re-runs each hunt per day, every event is tagged
-with the run(s) it belongs to and the run becomes one more grouping key —
-one plan computes every run of every hunt.  For the sliding C2 sweep the
+with the run(s) it belongs to and the run becomes one more key of the hunt
+(``by``) — one plan computes every run of every hunt, and each hunt reads its
+log once.  For the sliding C2 sweep the
 raw rows are *not* copied into each overlapping window: each pair's
 time-slice moments are computed once and only those (small) slice rows
 are fanned out to the windows that contain them, then merged.
@@ -11,13 +12,13 @@ are fanned out to the windows that contain them, then merged.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehound.functions.timecols import epoch_to_time, normalize_time
-from tracehound.operators import c2, dns, lateral
+from tracehound.operators import c2
 from tracehound.operators.hunts import FINDING_COLUMNS, Hunt, chosen
 from tracehound.sources.tables import partition_date_range
 
@@ -38,41 +39,22 @@ def weekly_runs(day: Column) -> Column:
     return F.when(F.dayofweek(day) == 1, F.array(run(end1), run(F.date_add(end1, 7)))).otherwise(F.array(run(end1)))
 
 
-def _tag(df: DataFrame, time_col: str, runs: Runs) -> DataFrame:
-    return df.withColumn("_run", F.explode(runs(F.to_date(time_col)))).withColumns(
+def tagged(logs: DataFrame, time_col: str, runs: Runs) -> DataFrame:
+    """The log with the run(s) of each row; a row without a time has none."""
+    day = F.to_date(F.col(f"`{time_col}`"))
+    logs = normalize_time(logs, time_col).drop(*RUN)
+    return logs.where(day.isNotNull()).withColumn("_run", F.explode(runs(day))).withColumns(
         {"run_start": F.col("_run.run_start"), "run_end": F.col("_run.run_end")}).drop("_run")
 
 
-def c2_sweep(conn_logs: DataFrame, runs: Runs, *, min_connections=10, jitter_threshold=300, min_score=50,
-             null_score="reference", byte_similarity_threshold=None, slice_seconds=c2.DEFAULT_SLICE_SECONDS) -> DataFrame:
-    pairs = _tag(c2.conn_pairs(conn_logs), "ts", runs)
-    prof = c2.add_extensions(c2.profile_from_pairs(pairs, RUN, slice_seconds))
-    cands = c2.beacon_candidates(prof, min_connections=min_connections, jitter_threshold=jitter_threshold,
-                                 byte_similarity_threshold=byte_similarity_threshold)
-    return c2.beacon_findings(c2.score_beacons(cands, min_score=min_score, null_score=null_score), by=RUN)
-
-
-def dns_sweep(dns_logs: DataFrame, runs: Runs, *, min_query_length=50, min_query_count=100, min_score=50) -> DataFrame:
-    q = _tag(dns.dns_queries(dns_logs), "timestamp", runs)
-    return dns.tunneling_findings(dns.profile_queries(q, RUN), min_query_length=min_query_length,
-                                  min_query_count=min_query_count, min_score=min_score, by=RUN)
-
-
-def lateral_sweep(win_logs: DataFrame, runs: Runs, *, time_window_minutes=60, min_hosts=5,
-                  privileged_accounts=lateral.scoring.PRIVILEGED_PATTERNS, min_score=50, time_col="@timestamp") -> DataFrame:
-    ev = _tag(lateral.bucketed(lateral.logon_events(win_logs, time_col=time_col), time_window_minutes), "timestamp", runs)
-    return lateral.movement_findings(lateral.burst_profile(ev, RUN), time_window_minutes=time_window_minutes,
-                                     min_hosts=min_hosts, privileged_accounts=privileged_accounts,
-                                     min_score=min_score, by=RUN)
-
-
-# Hunts with a form that computes all runs in one pass over the log.
-SWEEPS = {"c2_beaconing": c2_sweep, "dns_tunneling": dns_sweep, "lateral_movement": lateral_sweep}
+def in_one_pass(hunt: Hunt, logs: DataFrame, runs: Runs, **params) -> DataFrame:
+    """All runs of a keyed hunt, its log read once however many there are."""
+    return hunt.run_by(tagged(logs, hunt.time_col, runs), RUN, **params)
 
 
 def run_by_run(hunt: Hunt, logs: DataFrame, runs: Runs, **params) -> DataFrame:
-    """Any registered hunt, once per run: the runs that the log's days belong
-    to (a list of dates) are found first, then each gets its date range."""
+    """A hunt that is not keyed, once per run: the runs that the log's days
+    belong to (a list of dates) are found first, then each gets its date range."""
     days = normalize_time(logs, hunt.time_col).select(F.to_date(F.col(f"`{hunt.time_col}`")).alias("d")).where("d IS NOT NULL").distinct()
     spans = sorted({(r.r.run_start, r.r.run_end) for r in days.select(F.explode(runs(F.col("d"))).alias("r")).distinct().collect()})
     parts = [hunt.run(partition_date_range(logs, a, b, hunt.time_col), **params).withColumns(
@@ -87,8 +69,8 @@ def hunt_sweep(inputs: Mapping[str, DataFrame], runs: Runs, params: Mapping[str,
     """Every registered hunt, every run, one plan."""
     params, parts = params or {}, []
     for h in chosen(inputs, names):
-        fn = SWEEPS.get(h.name, partial(run_by_run, h))
-        parts.append(fn(inputs[h.source], runs, **dict(params.get(h.name, {}))).select(*RUN, *FINDING_COLUMNS))
+        fn = in_one_pass if h.keyed else run_by_run
+        parts.append(fn(h, inputs[h.source], runs, **dict(params.get(h.name, {}))).select(*RUN, *FINDING_COLUMNS))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -9,6 +9,14 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+#: The state store of streams: on disk, so state may outgrow memory, and only
+#: changed keys are written per batch.  ``streaming_c2_pairs`` needs it.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "tracehound") -> SparkSession:
     """Build (or reuse) a session with the settings the library assumes:
     UTC session zone, AQE with skew-join and partition coalescing, no UI."""
@@ -24,6 +32,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(map=STREAM_SETTINGS)
         .config("spark.driver.memory", os.environ.get("TRACEHOUND_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -71,6 +80,7 @@ CLUSTER_SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
+    **STREAM_SETTINGS,
 }
 
 

@@ -9,15 +9,17 @@ definition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import decimal
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracehound.functions import scoring
 from tracehound.functions.timecols import epoch_seconds, ntz_as_utc
 from tracehound.operators import c2, dedup, dns, ioc, lateral
-from tracehound.sources import sinks
+from tracehound.sources import manifest, sinks
 
 
 def _event_time(df: DataFrame, col: str) -> DataFrame:
@@ -36,13 +38,14 @@ def streaming_lateral(win_stream: DataFrame, *, time_window_minutes: int = 60, m
                       watermark: str = "10 minutes", time_col: str = "@timestamp") -> DataFrame:
     """Tumbling ``time_window_minutes`` windows (epoch-aligned, the same
     buckets as the batch hunt); late rows beyond the watermark are dropped."""
-    ev = _event_time(lateral.logon_events(win_stream, time_col=time_col), "timestamp")
-    hosts = F.array_sort(F.collect_set("destination_host"))
-    agg = ev.withWatermark("timestamp", watermark).groupBy(
-        F.window("timestamp", f"{time_window_minutes} minutes").alias("win"), "username", "source_ip"
-    ).agg(hosts.alias("hosts_accessed"), F.count(F.lit(1)).alias("logon_attempts"),
-          F.min("timestamp").alias("first_logon"), F.max("timestamp").alias("last_logon"))
-    prof = agg.withColumn("unique_hosts", F.size("hosts_accessed").cast("long"))
+    ev = _event_time(lateral.logon_events(win_stream, time_col=time_col), "timestamp").withWatermark("timestamp", watermark)
+    span = f"{time_window_minutes} minutes"
+    # two chained stateful aggregates: the state of the first is one row per
+    # host and window, also for a hot account; the second gets closed windows
+    per_host = ev.groupBy(F.window("timestamp", span).alias("win"), "username", "source_ip", "destination_host").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    closed = per_host.withColumn("at", F.window_time("win"))
+    prof = lateral.hosts_merged(closed, [F.window("at", span), "username", "source_ip"])
     return lateral.movement_findings(prof, time_window_minutes=time_window_minutes, min_hosts=min_hosts,
                                      privileged_accounts=privileged_accounts, min_score=min_score)
 
@@ -75,7 +78,7 @@ def streaming_c2_slices(conn_stream: DataFrame, *, watermark: str = "10 minutes"
         F.count("orig_bytes").alias("bn"), F.sum(b.cast(exact)).alias("b1"), F.sum((b * b).cast(exact)).alias("b2"))
     gaps = F.zip_with(F.slice("_t", 2, F.size("_t")), F.slice("_t", 1, F.size("_t") - 1), lambda later, earlier: later - earlier)
     return agg.select(
-        *c2.PAIR, F.floor(epoch_seconds("_win.start") / F.lit(slice_seconds)).alias("_slice"), "n",
+        *c2.PAIR, F.window_time("_win").alias("closes"), F.floor(epoch_seconds("_win.start") / F.lit(slice_seconds)).alias("_slice"), "n",
         (F.col("n") - 1).alias("gn"), (F.element_at("_t", -1) - F.element_at("_t", 1)).alias("g1"),
         F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, g: acc + g * g).alias("g2"),
         F.element_at("_t", 1).alias("e_first"), F.element_at("_t", -1).alias("e_last"), "ts_first", "ts_last", "bn", "b1", "b2")
@@ -94,24 +97,119 @@ def c2_from_slices(slices: DataFrame, *, min_connections: int = 10, jitter_thres
     return c2.beacon_findings(c2.score_beacons(cands, min_score=min_score, null_score=null_score))
 
 
-def c2_upkeep(base_path: str, **params):
-    """foreachBatch function for ``streaming_c2_slices``: store the batch's
-    closed slices and, for the pairs they touch, the findings over all stored
-    slices.  Both folders are named after the batch and replaced, so a replayed
-    batch changes nothing."""
+#: What is known of a pair: the merged moments of its closed slices (times in
+#: microseconds, the state has no zones) and the last of these slices.
+PAIR_STATE = ("connection_count bigint, _gaps bigint, _g1 bigint, _g2 bigint, _bn bigint, _b1 decimal(38,0), _b2 decimal(38,0), "
+              "first_seen bigint, last_seen bigint, first_us bigint, last_us bigint, _slice bigint")
+_STATE_COLUMNS = [c.split()[0] for c in PAIR_STATE.split(", ")]
+PAIR_TYPES = "source_ip string, destination_ip string, destination_port int"
+
+
+def add_slice(held: dict | None, new: dict) -> dict:
+    """The moments of a pair and those of a later slice of it: sums add, and
+    the gap between the two is one more gap."""
+    add = lambda a, b: a if b is None else int(b) + int(a or 0)
+    if held is None:
+        return {"connection_count": new["n"], "_gaps": new["gn"], "_g1": new["g1"], "_g2": new["g2"], "_bn": new["bn"], "_b1": add(None, new["b1"]),
+                "_b2": add(None, new["b2"]), "first_seen": new["e_first"], "last_seen": new["e_last"], "first_us": new["first_us"], "last_us": new["last_us"],
+                "_slice": new["_slice"]}
+    edge = int(new["e_first"]) - int(held["last_seen"])
+    return held | {
+        "connection_count": held["connection_count"] + new["n"], "_gaps": held["_gaps"] + new["gn"] + 1, "_g1": held["_g1"] + new["g1"] + edge,
+        "_g2": held["_g2"] + new["g2"] + edge * edge, "_bn": held["_bn"] + new["bn"], "_b1": add(held["_b1"], new["b1"]), "_b2": add(held["_b2"], new["b2"]),
+        "last_seen": new["e_last"], "last_us": new["last_us"], "_slice": new["_slice"]}
+
+
+class PairMoments(StatefulProcessor):
+    """One row of moments per pair, to which its closed slices are added."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("moments", PAIR_STATE)
+
+    def _forget_at(self, held: dict) -> int:
+        return held["last_us"] // 1000 + self.idle_ms
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = held = dict(zip(_STATE_COLUMNS, self.state.get())) if self.state.exists() else None
+        for new in sorted((r.asDict() for r in rows), key=lambda r: r["_slice"]):
+            held = add_slice(held, new)
+        for c in ("_b1", "_b2"):
+            held[c] = None if held[c] is None else decimal.Decimal(int(held[c]))
+        self.state.update(tuple(held[c] for c in _STATE_COLUMNS))
+        if before:
+            self.handle.deleteTimer(self._forget_at(before))
+        self.handle.registerTimer(self._forget_at(held))
+        yield Row(**dict(zip(c2.PAIR, key)), **{c: held[c] for c in _STATE_COLUMNS})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_c2_pairs(conn_stream: DataFrame, *, watermark: str = "10 minutes", slice_seconds: int = c2.DEFAULT_SLICE_SECONDS,
+                       idle_days: int = 30) -> DataFrame:
+    """The merged moments of each pair, as one row per batch in which a slice
+    of it closed (``PAIR_STATE``; a pair's row with the highest ``_slice`` is
+    its latest).
+
+    A second stateful operator after the slices keeps one row of moments per
+    pair in the state store, which versions it by batch.  Slices of a pair
+    close in order, so each is added to what is held, and a batch costs the
+    pairs it touches, whatever came before.  A pair without a connection for
+    ``idle_days`` is forgotten and would start anew.  Needs the RocksDB state
+    store (``session.STREAM_SETTINGS``)."""
+    slices = streaming_c2_slices(conn_stream, watermark=watermark, slice_seconds=slice_seconds)
+    slices = slices.withColumns({"first_us": F.unix_micros("ts_first"), "last_us": F.unix_micros("ts_last")}).drop("ts_first", "ts_last")
+    types = ", ".join(f"{k} {slices.schema[k].dataType.simpleString()}" for k in c2.PAIR)
+    return slices.groupBy(*c2.PAIR).transformWithState(PairMoments(idle_days * 86_400_000), f"{types}, {PAIR_STATE}", "Append", "EventTime")
+
+
+def c2_upkeep(base_path: str):
+    """foreachBatch function for ``streaming_c2_pairs``: store the batch's
+    rows, committed under its id; a replayed batch replaces its own."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        mine = f"{base_path}/slices/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(mine)
-        schema = batch.schema
-        every = spark.read.schema(schema).parquet(f"{base_path}/slices/batch=*")
-        touched = spark.read.schema(schema).parquet(mine).select(*[F.col(k).alias(f"_t_{k}") for k in c2.PAIR]).distinct()
-        same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in c2.PAIR]
-        found = c2_from_slices(every.join(touched, same, "left_semi"), **params)
-        found.write.mode("overwrite").parquet(f"{base_path}/findings/batch={batch_id}")
+        manifest.write(batch, base_path, batch_id)
     return apply
 
 
+def _pair_schema(pair_types: str) -> str:
+    return f"{pair_types}, {PAIR_STATE}"
+
+
+def latest_pairs(rows: DataFrame) -> DataFrame:
+    """Each pair's row with the highest slice."""
+    held = F.max_by(F.struct(*_STATE_COLUMNS), "_slice").alias("_s")
+    return rows.groupBy(*c2.PAIR).agg(held).select(*c2.PAIR, "_s.*")
+
+
+def read_c2_pairs(spark: SparkSession, base_path: str, pair_types: str = PAIR_TYPES) -> DataFrame:
+    """The stored state of the C2 stream: one profile per pair."""
+    rows = latest_pairs(manifest.read(spark, base_path, _pair_schema(pair_types)))
+    times = {"first_ts": F.timestamp_micros("first_us"), "last_ts": F.timestamp_micros("last_us")}
+    return c2.add_extensions(c2.profile_of_moments(rows.withColumns(times), c2.PAIR))
+
+
+def latest_c2_findings(spark: SparkSession, base_path: str, *, pair_types: str = PAIR_TYPES, min_connections: int = 10, jitter_threshold: float = 300,
+                       byte_similarity_threshold: float | None = None, min_score: float = 50, null_score: str = "reference") -> DataFrame:
+    """The finding of each pair as of its last closed slice: at most one, and
+    those of the batch hunt on the rows seen so far."""
+    cands = c2.beacon_candidates(read_c2_pairs(spark, base_path, pair_types), min_connections=min_connections, jitter_threshold=jitter_threshold,
+                                 byte_similarity_threshold=byte_similarity_threshold)
+    return c2.beacon_findings(c2.score_beacons(cands, min_score=min_score, null_score=null_score))
+
+
+def compact_c2_pairs(spark: SparkSession, base_path: str, pair_types: str = PAIR_TYPES) -> None:
+    """Fold the stored batches into one row per pair."""
+    manifest.compact(spark, base_path, _pair_schema(pair_types), latest_pairs)
+
+
 # --- T7 ------------------------------------------------------------------------
 def streaming_dedup(findings_stream: DataFrame, watermark: str = "7 days", time_col: str = "created_at") -> DataFrame:
     """Drop repeats of a fingerprint while its first copy is within the
