@@ -1,0 +1,104 @@
+"""Document fingerprints against a plain recomputation, and on odd rows."""
+
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracehound.llm import digests
+
+RNG = random.Random(7)
+VOCABULARY = ["".join(RNG.choices("abcdefghijklmnopqrstuvwxyz", k=RNG.randint(2, 9))) for _ in range(3000)]
+
+
+def prose(seed, n=300):
+    r = random.Random(seed)
+    return " ".join(r.choices(VOCABULARY, k=n))
+
+
+def plain_digest(text):
+    """Counts one window at a time."""
+    b, c = text.encode(), Counter()
+    for i in range(len(b) - 2):
+        kinds = [(b[i], b[i + 1], b[i + 2], 0)]
+        if i + 3 < len(b):
+            kinds += [(b[i], b[i + 1], b[i + 3], 1), (b[i], b[i + 2], b[i + 3], 2)]
+        for x, y, z, tag in kinds:
+            c[((tag * 2**24 + x * 65536 + y * 256 + z) * 2654435761 % 2**32) >> 24] += 1
+    counts = [c[k] for k in range(256)]
+    s = sorted(counts)
+    code = [sum(v > s[k] for k in (63, 127, 191)) for v in counts]
+    e = (len(b) + 1).bit_length() - 1
+    length = min(255, 8 * e + int((len(b) + 1) * 8 // 2**e) % 8)
+    return f"{length:02x}" + "".join(f"{4 * code[i] + code[i + 1]:x}" for i in range(0, 256, 2))
+
+
+def plain_rows(rows):
+    """Expected output; rows of one id have equal texts here."""
+    ordered = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
+    for i, (key, text) in enumerate(ordered):
+        follower = ordered[(i + 1) % len(ordered)][1]
+        k = len(text) // 3
+        other = text[: len(text) - k] + follower[:k]
+        a, b, c = map(plain_digest, (text, other, follower))
+        out.append((key, len(text), hashlib.sha256(other.encode()).hexdigest(), a, b, digests.likeness(a, b), digests.likeness(a, c)))
+    return sorted(out, key=str)
+
+
+ROWS = [(i, prose(i, 20 + 7 * i)) for i in range(40)]
+ROWS += [(100, None), (101, ""), (102, "a"), (103, "ab"), (104, "abc"), (105, "naïve 日本語 " * 30), (106, "word " * 200_000), (107, ROWS[3][1])]
+ROWS += [(7, ROWS[7][1])] * 60 + [(None, "no id")] * 3
+
+
+def test_against_plain(spark):
+    frame = spark.createDataFrame([(*r, "x", 1, 2) for r in ROWS], "doc_id long, text string, edge string, part int, h long")
+    for parts in (1, 7):
+        got = [tuple(r) for r in digests.with_edits(frame.repartition(parts)).collect()]
+        assert sorted(got, key=str) == plain_rows(ROWS)
+
+
+def test_columns_of_other_names(spark):
+    frame = spark.createDataFrame([("b", "one two three"), ("a", None)], "name string, body string")
+    got = {r.doc_id: r for r in digests.with_edits(frame, "name", "body").collect()}
+    assert got["b"].n_chars == 13 and got["a"].n_chars == 0 and got["b"].near_next == 0.0
+    assert {r.doc_id: r.fingerprint for r in digests.fingerprints(frame, "name", "body").collect()} == {k: v.fingerprint for k, v in got.items()}
+
+
+@pytest.mark.parametrize("rows", [[], [(5, "only this row here")], [(5, None)]])
+def test_few_rows(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = digests.with_edits(frame)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_rows(rows)
+    assert digests.fingerprints(frame).count() == len(rows)
+
+
+def test_ids_of_several_texts_follow_in_one_order(spark):
+    frame = spark.createDataFrame([(1, prose(i)) for i in range(50)], "doc_id long, text string")
+    order = [r.text for r in frame.orderBy(F.xxhash64("text")).collect()]
+    want = sorted(hashlib.sha256(digests.edited(t, order[(i + 1) % 50]).encode()).hexdigest() for i, t in enumerate(order))
+    for parts in (1, 5):
+        assert sorted(r.edited_sha256 for r in digests.with_edits(frame.repartition(parts)).collect()) == want
+
+
+def test_likeness():
+    a, b = prose(1), prose(2)
+    near, far = digests.digest(digests.edited(a, b).encode()), digests.digest(b.encode())
+    mark = digests.digest(a.encode())
+    assert digests.likeness(mark, mark) == 1.0
+    assert digests.likeness(mark, near) == digests.likeness(near, mark) > 0.4 > digests.likeness(mark, far)
+    assert digests.likeness(mark, digests.digest((a[:1000] + a[1010:]).encode())) > 0.9
+    assert digests.likeness(digests.digest(b"abc"), digests.digest(b"xyz")) == 0.0
+    assert digests.likeness(digests.digest(b""), digests.digest(b"")) == 1.0
+    for x in (b"", b"a", b"abc", b"aaaaaaa", a.encode(), b.encode() * 50):
+        for y in (b"", b"ab", b"abc", b.encode()):
+            assert 0.0 <= digests.likeness(digests.digest(x), digests.digest(y)) <= 1.0
+
+
+def test_long_texts_go_by_block(monkeypatch):
+    text = prose(9, 2000).encode()
+    whole = digests.bucket_counts(text)
+    monkeypatch.setattr(digests, "BLOCK", 7)
+    assert (digests.bucket_counts(text) == whole).all() and whole.sum() == 3 * (len(text) - 3) + 1
