@@ -36,13 +36,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (five words, 0.8): of each group the smallest id
-    stays, with all rows that carry it, also repeats of one row.  Rows with a
-    null id are in no group: all stay."""
-    docs = docs.select(COLUMNS)
-    found = ngram_join.components(docs, n=5, percent=80)
-    gone = common.stash(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(common.bounded(gone, 24), "doc_id", "left_anti").select(COLUMNS)
+    """N-gram Jaccard join (five words, 0.8): of each group of linked rows one
+    row stays, that of the smallest id (null ids last; of several rows of this
+    id, the one with the smallest text hash).
+
+    Rows are judged by themselves, not by their id: they are numbered once and
+    stored so (numbers given while reading would not survive another split of
+    the files).  So a row is never removed because it shares the id of a copy,
+    repeated rows are a group, and so are rows without an id.  Rows without
+    words are in no group: all stay."""
+    numbered = common.stash(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered-rows", "zstd")
+    found = ngram_join.components(numbered, n=5, percent=80, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash"), "row").alias("rank")
+    ranked = common.stash(numbered.select("row", rank).join(found, "row"), "ranked-rows")
+    groups = ranked.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = common.stash(groups.select("component_id", F.col("first.row").alias("stays")), "near-copies")
+    gone = ranked.join(common.bounded(groups, 24), "component_id").where("row <> stays").select("row")
+    return numbered.join(common.bounded(gone, 16), "row", "left_anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
