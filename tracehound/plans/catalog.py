@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from tracehound.functions import text
 from tracehound.functions.timecols import cutoff
-from tracehound.operators import c2, dedup, dns, executions, extensions, hunts, inventory, ioc, lateral
-from tracehound.plans import charts, dashboards, report, sweeps, views
+from tracehound.operators import c2, dedup, dns, edits, executions, extensions, hunts, inventory, ioc, lateral
+from tracehound.plans import charts, dashboards, report, rollups, sweeps, views
 from tracehound.session import pin_utc
 from tracehound.sources import fixtures as fx
 from tracehound.sources import tables
@@ -300,6 +300,52 @@ def _ioc_out(df):
                      text.to_json("associated_hunts").alias("associated_hunts"), "threat_level")
 
 
+# --- stored summaries and edits -------------------------------------------------
+def _by_run(spark, sf_dir, table, partial, merge):
+    """The summaries of the runs of even and odd months, merged."""
+    df = _load(spark, sf_dir, table)
+    odd = F.month("created_at" if table == "findings" else "execution_start") % 2 == 1
+    parts = partial(df.where(odd)).unionByName(partial(df.where(~odd)))
+    return merge(parts) if merge else parts
+
+
+@query("rollup_daily_findings")
+def q_rollup_daily(spark, sf_dir):
+    """V1 (A9) from mergeable hourly summaries."""
+    return rollups.daily_findings(_by_run(spark, sf_dir, "findings", rollups.hourly_partial, rollups.merge_hourly))
+
+
+@query("rollup_hunt_timeline")
+def q_rollup_timeline(spark, sf_dir):
+    """V5 (A9) from mergeable hourly summaries."""
+    return rollups.hunt_timeline(_by_run(spark, sf_dir, "findings", rollups.hourly_partial, rollups.merge_hourly))
+
+
+@query("rollup_top_sources")
+def q_rollup_sources(spark, sf_dir):
+    """V4 from mergeable per-source summaries."""
+    return rollups.top_sources(_by_run(spark, sf_dir, "findings", rollups.source_partial, None))
+
+
+@query("edited_investigation_status")
+def q_edited_status(spark, sf_dir):
+    """V6 over findings as analysts edited them."""
+    return views.vw_investigation_status(edits.with_edits(_load(spark, sf_dir, "findings"), _load(spark, sf_dir, "edits")))
+
+
+@query("edited_hunt_effectiveness")
+def q_edited_effectiveness(spark, sf_dir):
+    """V7 over findings as analysts edited them."""
+    return views.vw_hunt_effectiveness(edits.with_edits(_load(spark, sf_dir, "findings"), _load(spark, sf_dir, "edits")))
+
+
+@query("edited_top_threats")
+def q_edited_threats(spark, sf_dir):
+    """R3 over findings as analysts edited them."""
+    found = edits.with_edits(_load(spark, sf_dir, "findings"), _load(spark, sf_dir, "edits"))
+    return report.report_top_threats(found, **RESULT_WINDOW)
+
+
 @query("ioc_rollup")
 def q_ioc_rollup(spark, sf_dir):
     """Indicator roll-up of all findings."""

@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from tracehound.functions.timecols import as_date, cutoff
 from tracehound.operators import dedup, hunts, ioc
 from tracehound.operators.executions import execution_log_latest
-from tracehound.plans import dashboards, report, views
+from tracehound.plans import dashboards, report, rollups, views
 from tracehound.sources import sinks
 from tracehound.sources.tables import lookback_range, partition_date_range, read_table
 
 
 def _paths(results_dir: str) -> dict[str, str]:
-    return {k: os.path.join(results_dir, k) for k in ("hunt_findings", "hunt_executions", "hunt_iocs", "hunt_statistics")}
+    return {k: os.path.join(results_dir, k) for k in (
+        "hunt_findings", "hunt_executions", "hunt_iocs", "hunt_statistics", "finding_edits", "finding_hours", "finding_sources")}
 
 
 def _event(spark: SparkSession, row: dict) -> DataFrame:
@@ -95,6 +96,7 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *
         n_found, records = int(written.get.get("n") or 0), int(seen.get.get("n") or 0)
         stored = sinks.read_findings(spark, p["hunt_findings"]).filter(F.col("execution_id") == execution_id)
         sinks.write_iocs(ioc.stored_partial(stored), p["hunt_iocs"], execution_id, attempt)
+        _summarise(spark, p, execution_id)
         finish("completed", records_analyzed=records, findings_count=n_found)
         return {"execution_id": execution_id, "hunt_name": name, "status": "completed",
                 "findings_count": n_found, "records_analyzed": records}
@@ -103,6 +105,22 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *
         raise
 
 
+def _summarise(spark: SparkSession, p: dict[str, str], execution_id: int) -> None:
+    """Store the mergeable summaries of a run's findings as edited."""
+    found = sinks.read_findings(spark, p["hunt_findings"], p["finding_edits"]).filter(F.col("execution_id") == execution_id)
+    sinks.write_rollups(found, p["finding_hours"], p["finding_sources"], execution_id)
+
+
+def edit_findings(spark: SparkSession, results_dir: str, edits: DataFrame) -> None:
+    """Store analysts' edits (``sinks.EDITS_SCHEMA``) and bring the summaries
+    of the runs they touch up to date."""
+    p = _paths(results_dir)
+    edits = edits.select("execution_id", *[c for c in edits.columns if c != "execution_id"])
+    sinks.append_edits(edits, p["finding_edits"])
+    for r in edits.select("execution_id").where("execution_id IS NOT NULL").distinct().collect():
+        _summarise(spark, p, r.execution_id)
+
+
 def run_campaign(spark: SparkSession, inputs: Mapping[str, DataFrame | str], *, results_dir: str,
                  first_execution_id: int | None = None, start_date, end_date, params: Mapping[str, Mapping] | None = None, now: _dt.datetime | None = None) -> list[dict]:
     """Every registered hunt in turn over the logs (frames or table paths) of
@@ -131,10 +149,11 @@ def run_lookback_hunt(spark: SparkSession, name: str, path: str, *, results_dir:
 
 
 def stored_results(spark: SparkSession, results_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The stored findings and the current state of every run."""
+    """The stored findings, as analysts edited them, and the current state of
+    every run."""
     p = _paths(results_dir)
     events = sinks.read_result(spark, p["hunt_executions"], sinks.EVENT_SCHEMA)
-    return sinks.read_findings(spark, p["hunt_findings"]), execution_log_latest(events)
+    return sinks.read_findings(spark, p["hunt_findings"], p["finding_edits"]), execution_log_latest(events)
 
 
 def create_ioc_feed(spark: SparkSession, results_dir: str) -> int:
@@ -166,9 +185,17 @@ def save_report(spark: SparkSession, results_dir: str, *, as_of, days: int = 7,
 def run_full_export(spark: SparkSession, results_dir: str, *, as_of, days: int = 30, approx: bool = False) -> dict[str, int]:
     """Views, the four summaries, the IOC feed, the statistics upsert and
     the report, written next to the result tables.  Returns row counts.
-    ``approx`` takes distinct counts from sketches (very large histories)."""
+    ``approx`` takes distinct counts from sketches, and the daily, timeline
+    and source views from the runs' stored summaries: a few rows per run
+    instead of every finding (very large histories)."""
     findings, executions = stored_results(spark, results_dir)
     views.create_dashboard_views(findings, executions, approx=approx)
+    if approx:
+        p = _paths(results_dir)
+        hourly = sinks.read_hourly(spark, p["finding_hours"])
+        rollups.daily_findings(hourly).createOrReplaceTempView("vw_daily_findings")
+        rollups.hunt_timeline(hourly).createOrReplaceTempView("vw_hunt_timeline")
+        rollups.top_sources(sinks.read_sources(spark, p["finding_sources"])).createOrReplaceTempView("vw_top_sources")
     counts = {}
     for name, df in dashboards.export_summary_statistics(findings, executions, as_of=as_of, days=days, approx=approx).items():
         sinks.replace_table(df, os.path.join(results_dir, name))

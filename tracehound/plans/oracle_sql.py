@@ -266,6 +266,22 @@ def result_sql(body: str) -> str:
     return with_(FINDINGS, EXECS) + body
 
 
+EDITED = FINDINGS.replace("findings AS (", "stored AS (", 1) + """,
+edits AS (
+  SELECT l_orderkey AS execution_id, l_orderkey*10+l_linenumber AS finding_id, l_shipdate + to_days(CAST(2 + l_suppkey % 9 AS INTEGER)) AS edited_at,
+         CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'false_positive' END AS new_status
+  FROM lineitem WHERE l_discount >= 0.05),
+latest AS (
+  SELECT execution_id, finding_id, new_status FROM edits WHERE new_status IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY execution_id, finding_id ORDER BY edited_at DESC, new_status DESC) = 1),
+findings AS (
+  SELECT stored.* REPLACE (coalesce(new_status, status) AS status) FROM stored LEFT JOIN latest USING (execution_id, finding_id))"""
+
+
+def edited_sql(view: str) -> str:
+    return with_(EDITED) + VIEW_BODIES[view]
+
+
 def hunt_statistics(first_day: str = "2000-01-08", seen: str = "true") -> str:
     """Statistics of runs from ``first_day`` on, over the findings ``seen``."""
     return with_(FINDINGS, EXECS, f"""fagg AS (
@@ -550,4 +566,10 @@ def registered() -> dict[str, str]:
         "c2_sessions": c2_sessions(),
         "admin_port_access": on_ports(admin_port_fanout()).replace("IN (443)", "IN (445, 3389)"),
         "c2_port_profile": on_ports(c2_beacon_profile()),
+        "rollup_daily_findings": result_sql(VIEW_BODIES["vw_daily_findings"]),
+        "rollup_hunt_timeline": result_sql(VIEW_BODIES["vw_hunt_timeline"]),
+        "rollup_top_sources": result_sql(VIEW_BODIES["vw_top_sources"]),
+        "edited_investigation_status": edited_sql("vw_investigation_status"),
+        "edited_hunt_effectiveness": edited_sql("vw_hunt_effectiveness"),
+        "edited_top_threats": edited_sql("report_top_threats"),
     }

@@ -130,6 +130,17 @@ FINDINGS = [
 ]
 
 
+# Analysts' edits: what is decided some days later about the findings of
+# discounted lines; some edits leave the status as it is.
+EDITS = [
+    "l_orderkey AS execution_id",
+    "l_orderkey * 10 + l_linenumber AS finding_id",
+    "timestampadd(DAY, 2 + l_suppkey % 9, l_shipdate) AS edited_at",
+    "CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'false_positive' END AS status",
+    "concat('seen as ', l_linestatus) AS analyst_notes",
+]
+
+
 def conn_logs(events: DataFrame) -> DataFrame:
     """events -> Zeek-style connection log."""
     return events.selectExpr(*CONN_LOGS, *[e.format(t="ts") for e in YMD])
@@ -177,4 +188,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return executions(table(spark, sf_dir, "orders"))
     if name == "findings":
         return findings(table(spark, sf_dir, "lineitem"))
+    if name == "edits":
+        return table(spark, sf_dir, "lineitem").where("l_discount >= 0.05").selectExpr(*EDITS)
     raise ValueError(f"unknown fixture {name!r}")

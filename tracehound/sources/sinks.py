@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tracehound.operators import ioc
 from tracehound.operators.dedup import with_fingerprint
+from tracehound.operators.edits import with_edits
+from tracehound.plans import rollups
 from tracehound.sources import manifest
 from tracehound.sources.manifest import exists
 
@@ -36,6 +38,7 @@ FINDINGS_TABLE = [
     ("analyst_notes", "string"), ("status", "string"), ("created_at", "timestamp"), ("updated_at", "timestamp"),
 ]
 FINDINGS_SCHEMA = ", ".join(f"`{n}` {t}" for n, t in FINDINGS_TABLE) + ", created_date date"
+EDITS_SCHEMA = "execution_id bigint, finding_id bigint, edited_at timestamp, status string, analyst_notes string"
 STATISTICS_SCHEMA = (
     "total_findings bigint, critical_findings bigint, high_findings bigint, medium_findings bigint, low_findings bigint, "
     "false_positives bigint, confirmed_threats bigint, avg_confidence_score double, records_analyzed bigint, "
@@ -98,8 +101,17 @@ def write_findings(table: DataFrame, path: str, execution_id: int, created_at: _
      .option("partitionOverwriteMode", "static").partitionBy("created_date").parquet(f"{path}/execution_id={execution_id}"))
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    return read_result(spark, path, FINDINGS_SCHEMA)
+def read_findings(spark: SparkSession, path: str, edits: str | None = None) -> DataFrame:
+    """The stored findings; with ``edits`` (a folder) as analysts edited them."""
+    found = read_result(spark, path, FINDINGS_SCHEMA)
+    return with_edits(found, read_result(spark, edits, EDITS_SCHEMA)) if edits and exists(spark, edits) else found
+
+
+def append_edits(edits: DataFrame, path: str) -> None:
+    """Add analysts' edits (EDITS_SCHEMA; a null field stays as it is)."""
+    names = [c.split()[0] for c in EDITS_SCHEMA.split(", ")]
+    edits.select(*[(F.col(n) if n in edits.columns else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in EDITS_SCHEMA.split(", "))]) \
+        .select(names).write.mode("append").parquet(path)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batchsize: int = 1000, **props) -> None:
@@ -155,6 +167,25 @@ def compact_iocs(spark: SparkSession, base: str) -> None:
     manifest.compact(spark, base, ioc.PARTIAL_SCHEMA, ioc.merge_partials)
 
 
+def write_rollups(findings: DataFrame, hours: str, sources: str, execution_id: int, attempt: int | None = None) -> None:
+    """The mergeable summaries of a run's findings, in place of its earlier ones."""
+    manifest.write(rollups.hourly_partial(findings), hours, execution_id, attempt)
+    manifest.write(rollups.source_partial(findings), sources, execution_id, attempt)
+
+
+def read_hourly(spark: SparkSession, hours: str) -> DataFrame:
+    return manifest.read(spark, hours, rollups.HOURLY_SCHEMA)
+
+
+def read_sources(spark: SparkSession, sources: str) -> DataFrame:
+    return manifest.read(spark, sources, rollups.SOURCE_SCHEMA)
+
+
+def compact_rollups(spark: SparkSession, hours: str, sources: str) -> None:
+    manifest.compact(spark, hours, rollups.HOURLY_SCHEMA, rollups.merge_hourly)
+    manifest.compact(spark, sources, rollups.SOURCE_SCHEMA, rollups.merge_sources)
+
+
 def write_statistics(new: DataFrame, path: str) -> None:
     """K5: replace the rows of each (date, hunt) in ``new``."""
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
