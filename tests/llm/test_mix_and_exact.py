@@ -114,3 +114,53 @@ def test_directory_splits_until_buckets_fit(spark):
         size = 1 << (exact_dedup.MAX_DEPTH - depth + 1)
         lo = bucket // size * size
         assert placed.where(F.col("entry").between(lo, lo + size - 1)).count() > 40
+
+
+def test_directory_leaves_no_bucket_out(spark):
+    assert exact_dedup.directory(spark.range(0).select(F.col("id").alias("h")), 10).count() == 0
+    one = exact_dedup.directory(spark.range(5).select(F.xxhash64("id").alias("h")), 10).collect()
+    assert len(one) == 1 << exact_dedup.MAX_DEPTH and {(r.bucket, r.depth) for r in one} == {(0, 0)}
+
+
+@pytest.mark.parametrize("capacity", [4096, 1])
+def test_colliding_texts_are_chained(spark, capacity):
+    """A hash with four values: nearly all texts collide."""
+    rows = EXACT + [(100 + i, f"text {i % 40} {'y' * (i % 3)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    weak = lambda c: F.shiftleft(F.pmod(F.octet_length(c), F.lit(4)).cast("long"), 61)
+    got = exact_dedup.exact_duplicates(df, capacity=capacity, hash_of=weak).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == plain(rows)
+    assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
+    index = exact_dedup.build_index(df, hash_of=weak)
+    chains = [[bytes(t.sha) for t in r.chain] for r in index["entries"].collect()]
+    assert len(chains) <= 4 and max(map(len, chains)) > 10 and all(len(set(c)) == len(c) for c in chains)
+
+
+def test_each_file_of_entries_is_a_range(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('t', id % 3000) AS text")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"     # these few rows would go to one task
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        entries = exact_dedup.build_index(df, capacity=50)["entries"]
+    finally:
+        spark.conf.set(key, old)
+    files = entries.groupBy(F.input_file_name()).agg(F.min(F.struct("bucket", "h")).alias("a"), F.max(F.struct("bucket", "h")).alias("b")).collect()
+    spans = sorted((tuple(r.a), tuple(r.b)) for r in files)
+    assert len(spans) > 1 and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_hot_texts_and_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES", 50)
+    rows = [(None, "hot")] * 400 + [(7, "Hot 2")] * 300 + [(i, "HOT 2") for i in range(5)] + [(i, f"own {i}") for i in range(100)]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == plain(rows)
+    assert sum(r.kept for r in got) == 102 and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_owner_tasks_need_no_further_exchange(spark):
+    rows = exact_dedup._keyed(spark.range(10).selectExpr("id AS doc_id", "string(id) AS text"), "doc_id", "text", F.xxhash64)
+    book = spark.createDataFrame([(0, 0)], "entry int, bucket int")
+    plan = exact_dedup._entries(rows, book, F.broadcast(rows.select("h").limit(0)))._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Exchange rangepartitioning")[0]
+    assert "rangepartitioning" in plan and "Exchange" not in above and "Python" not in plan
