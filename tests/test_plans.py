@@ -110,3 +110,25 @@ def test_observed_records_keep_logon_pushdown(spark):
     df.collect()
     assert obs.get["n"] == catalog.fx.load(spark, SF, "win_security").filter(F.col("event_code").isin("4624", "4625", "4648")).count()
     assert "PushedFilters: [In(event_code" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedup_reads_the_history_in_place(spark):
+    """Below the filter join the history has no exchange."""
+    import re
+
+    from tracehound.operators import dedup
+    from tracehound.sources import fixtures as fx
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        f = fx.load(spark, SF, "findings")
+        text = dedup.dedup_fingerprint(f.where("execution_id % 2 = 0"), f, as_of="1998-01-01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = [(re.search(r"[A-Z]", x).start(), x) for x in text.split("\n") if re.search(r"[A-Z]", x)]
+    at = next(i for i, (_, x) in enumerate(lines) if "BroadcastHashJoin" in x and "_number" in x)
+    stream = []
+    for d, x in lines[at + 1:]:
+        if "BroadcastExchange" in x:
+            break
+        stream.append(x)
+    assert any("FileScan" in x for x in stream) and not any("Exchange" in x for x in stream), text

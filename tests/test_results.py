@@ -120,3 +120,28 @@ def test_views_approx_distinct_close_to_exact(spark):
     approx = {(r.hunt_name, r.severity): r.unique_sources for r in views.vw_daily_findings(f(spark, rows), approx=True).collect()}
     for k, v in exact.items():
         assert abs(approx[k] - v) <= max(1, 0.05 * v)
+
+
+def test_the_key_filter_passes_every_repeat_and_little_else(spark):
+    keys = spark.range(5000).selectExpr("concat('k', id) AS a", "IF(id % 10 = 0, NULL, id) AS b")
+    filt = dedup.key_filter(keys, ["a", "b"]).collect()
+    assert len(filt) <= dedup.FILTER_BITS // 32768 and all(len(r["_bitmap"]) == 4096 for r in filt)
+    history = spark.range(20_000).selectExpr("concat('k', id) AS a", "IF(id % 10 = 0, NULL, id) AS b", "id")
+    got = {r.id for r in dedup.maybe_among(history, keys, ["a", "b"]).collect()}
+    assert set(range(5000)) <= got and len(got) < 5050
+    assert dedup.maybe_among(history, keys.limit(0), ["a", "b"]).count() == 0
+
+
+def test_few_bits_change_no_result(spark, monkeypatch):
+    inc = f(spark, [row(i, D(2024, 1, 9), src=f"10.{i}") for i in range(300)])
+    hist = f(spark, [row(i, D(2024, 1, 8), src=f"10.{i * 3}") for i in range(300)])
+    want = sorted(f"10.{i}" for i in range(300) if i % 3)
+
+    def left():
+        made = [dedup.dedup_fingerprint(inc, hist, as_of="2024-01-09")]
+        made += [dedup.dedup_source(inc, hist, as_of="2024-01-09", prefilter=p) for p in (True, False)]
+        return [sorted(r.source_ip for r in m.collect()) for m in made]
+
+    assert left() == [want] * 3
+    monkeypatch.setattr(dedup, "FILTER_BITS", 128)
+    assert left() == [want] * 3

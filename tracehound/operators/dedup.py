@@ -1,16 +1,19 @@
 """Finding de-duplication (J2, J3, F14) as anti joins, not per-row lookups.
 
-The history side is reduced to its distinct keys before the join, and for
-fingerprints the incoming side to one row per key as well, so a hot key costs
-nothing extra; AQE turns the join into a broadcast when the key set is small at
-run time (a checked size).
+The history is not shuffled: each of its rows is first looked up in a bitmap
+filter of the incoming keys (a Bloom filter with one hash), which is broadcast
+and has a fixed size however many keys there are.  Only keys that pass are
+reduced to distinct ones and joined, so a run pays for the stored findings it
+might repeat.  For fingerprints the incoming side is one row per key as well,
+so a hot key costs nothing extra.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehound.functions import scoring
@@ -21,18 +24,48 @@ SOURCE_KEYS = ["finding_type", "source_ip"]
 FIRST_ORDER = ["timestamp", "finding_id", "execution_id", "confidence_score", "severity", "status", "created_at", "hunt_name"]
 
 
+#: Bits of the filter: 8 MB as 2048 bitmaps of 4 KB.  A history row that repeats
+#: nothing passes with probability (incoming keys) / FILTER_BITS.
+FILTER_BITS = 1 << 26
+_HASH, _BITMAP = "_hash", "_bitmap"
+
+
+def _place(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)) + 1     # bitmap functions count from one
+
+
+def key_filter(incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The incoming keys as bitmaps: (bitmap number, bitmap), at most
+    FILTER_BITS / 32768 rows."""
+    at = incoming.select(_place(keys).alias(_HASH))
+    return at.groupBy(F.bitmap_bucket_number(_HASH).alias("_number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_HASH)).alias(_BITMAP))
+
+
+def maybe_among(history: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The history rows whose keys may be among the incoming ones: all that
+    are, and a few others.  The history is read in place."""
+    f = F.broadcast(key_filter(incoming, keys))
+    placed = history.withColumn(_HASH, _place(keys)).withColumn("_number", F.bitmap_bucket_number(_HASH))
+    bit = F.bitmap_bit_position(_HASH)
+    byte = F.conv(F.hex(F.substring(_BITMAP, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (bit % 8).cast("int")) == 1
+    return placed.join(f, "_number").where(hit).select(*history.columns)
+
+
 def recent(history: DataFrame, as_of: _dt.date | str, lookback_days: int, time_col: str = "timestamp") -> DataFrame:
     """History rows with ``time_col >= as_of - lookback_days`` (midnight)."""
     t = history.schema[time_col].dataType
     return history.filter(F.col(time_col) >= at_midnight(cutoff(as_of, lookback_days), t))
 
 
-def dedup_source(incoming: DataFrame, history: DataFrame, *, as_of, lookback_days: int = 7) -> DataFrame:
+def dedup_source(incoming: DataFrame, history: DataFrame, *, as_of, lookback_days: int = 7, prefilter: bool = False) -> DataFrame:
     """Drop an incoming finding when the history holds the same
     (finding_type, source_ip) within the look-back.  A NULL source never
     matches, so such findings are kept; incoming rows are not compared with
-    each other (as in the reference)."""
-    keys = recent(history, as_of, lookback_days).select(*SOURCE_KEYS).distinct()
+    each other (as in the reference).  ``prefilter`` looks the history up in
+    the filter first; it reads ``incoming`` twice, so give it stored rows."""
+    keys = recent(history, as_of, lookback_days).select(*SOURCE_KEYS)
+    keys = (maybe_among(keys, incoming, SOURCE_KEYS) if prefilter else keys).distinct()
     return incoming.join(keys, SOURCE_KEYS, "left_anti")
 
 
@@ -62,8 +95,10 @@ def dedup_fingerprint(incoming: DataFrame, history: DataFrame, *, as_of, lookbac
     stored within the look-back, and keep only the first of repeats within
     the batch.  The look-back is on ``created_at`` (when a finding was
     stored) when the history has it, so findings of a retrospective hunt,
-    whose event times are old, are still recognised as repeats."""
+    whose event times are old, are still recognised as repeats.  Reads
+    ``incoming`` twice (filter and join): give it stored rows, as the job does."""
     time_col = time_col or ("created_at" if "created_at" in history.columns else "timestamp")
-    seen = with_fingerprint(recent(history, as_of, lookback_days, time_col)).select("fingerprint").distinct()
     # first of each fingerprint before the join: one row per key on both sides
-    return first_per_fingerprint(incoming).join(seen, "fingerprint", "left_anti")
+    first = first_per_fingerprint(incoming)
+    seen = with_fingerprint(recent(history, as_of, lookback_days, time_col)).select("fingerprint")
+    return first.join(maybe_among(seen, first, ["fingerprint"]).distinct(), "fingerprint", "left_anti")

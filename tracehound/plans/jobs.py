@@ -84,19 +84,24 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *
         # the observation so it is still pushed into the reader
         scoped = h.scope(_logs(spark, h, logs, start_date, end_date, fmt))
         findings = h.run(scoped.observe(seen, F.count(F.lit(1)).alias("n")), **params)
+        # stored before the de-duplication, which reads them twice; the log is read once
+        staged = f"{results_dir}/_staging/execution_id={execution_id}/attempt={attempt}"
+        findings.write.mode("overwrite").parquet(staged)
+        findings = spark.read.schema(findings.schema).parquet(staged)
         # a re-run of this execution replaces its own output
         history = sinks.read_findings(spark, p["hunt_findings"]).filter(F.col("execution_id") != execution_id)
         if dedup_mode == "fingerprint":
             history = history.filter(F.col("created_date") >= F.lit(cutoff(now.date(), lookback_days)))
             findings = dedup.dedup_fingerprint(findings, history, as_of=now.date(), lookback_days=lookback_days)
         else:
-            findings = dedup.dedup_source(findings, history, as_of=now.date(), lookback_days=lookback_days)
+            findings = dedup.dedup_source(findings, history, as_of=now.date(), lookback_days=lookback_days, prefilter=True)
         table = sinks.to_findings_table(findings, execution_id, now).observe(written, F.count(F.lit(1)).alias("n"))
         sinks.write_findings(table, p["hunt_findings"], execution_id, now)
         n_found, records = int(written.get.get("n") or 0), int(seen.get.get("n") or 0)
         stored = sinks.read_findings(spark, p["hunt_findings"]).filter(F.col("execution_id") == execution_id)
         sinks.write_iocs(ioc.stored_partial(stored), p["hunt_iocs"], execution_id, attempt)
         _summarise(spark, p, execution_id)
+        sinks.remove(spark, staged)
         finish("completed", records_analyzed=records, findings_count=n_found)
         return {"execution_id": execution_id, "hunt_name": name, "status": "completed",
                 "findings_count": n_found, "records_analyzed": records}

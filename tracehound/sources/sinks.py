@@ -54,6 +54,11 @@ def utc(t: _dt.datetime) -> _dt.datetime:
     return t.replace(tzinfo=_dt.timezone.utc) if t.tzinfo is None else t.astimezone(_dt.timezone.utc)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = manifest.file_system(spark, path)
+    fs.delete(p, True)
+
+
 def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A result table; one that was never written is empty."""
     if not exists(spark, path):
