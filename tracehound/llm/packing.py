@@ -35,33 +35,34 @@ PIECE_SCHEMA = "doc_id long, copy long, piece int, start long, length long, ids_
 @dataclass(frozen=True)
 class Capacity:
     """What one sequence holds, and how the dimensions weigh in the choice.
-    ``None`` leaves a dimension without a limit."""
+    ``None`` stands for the most that its tokens allow: one document a token,
+    and the attention cost of one document.  These never keep a piece out, but
+    take part in the choice of its bin."""
 
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     rule: str = "norm"  # or "dot"
 
-    def dims(self) -> list[tuple[int, float, float]]:
-        """(dimension, limit, weight) of the limited dimensions."""
-        every = (self.tokens, self.documents, self.attention)
-        return [(k, float(most), self.weights[k]) for k, most in enumerate(every) if most is not None]
+    def limits(self) -> np.ndarray:
+        most = (self.tokens, self.documents or self.tokens, self.attention or self.tokens**2)
+        return np.array(most, float)
 
 
 def pack(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """Bin of each piece and its offset there.
 
     Pieces go in order of falling length.  Bins with equal residual vectors
-    are alike, so the choice looks at the distinct vectors only (at most one
-    per token count if only tokens are limited); full bins leave the list."""
-    axes, limit, weight = (np.array(x) for x in zip(*cap.dims(), strict=True))
-    weight = weight / limit**2
-    demands = np.stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2], 1)[:, axes]
+    are alike, so the choice looks at the distinct vectors only; full bins
+    leave the list."""
+    limit = cap.limits()
+    weight = np.array(cap.weights) / limit**2
+    demands = np.stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2], 1)
     if (demands > limit).any():
         raise ValueError("a piece is larger than an empty sequence")
     bins, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    kinds, live = np.zeros((64, len(axes))), np.zeros(64, bool)
+    kinds, live = np.zeros((64, len(limit))), np.zeros(64, bool)
     held: list[list[int]] = []  # open bins of each kind of residual
     index: dict[tuple, int] = {}
     used: list[int] = []
