@@ -111,6 +111,23 @@ def test_every_capacity_holds(rule):
     assert bins.max() + 1 <= max(lengths.sum() / 2048, len(lengths) / 6) * 1.25 + 1
 
 
+def test_the_default_weighs_every_dimension():
+    """Limits that keep nothing out, and a choice by all three."""
+    lengths = np.minimum(np.random.default_rng(5).geometric(0.002, 6000), 2048)
+    cap = packing.Capacity()
+    assert cap.limits().tolist() == [2048, 2048, 2048**2] and all(w > 0 for w in cap.weights)
+    bins, _ = packing.pack(lengths, cap)
+    tokens_only, _ = packing.pack(lengths, packing.Capacity(weights=(1.0, 0.0, 0.0)))
+    assert np.bincount(bins, weights=lengths).max() <= 2048 and bins.max() <= tokens_only.max() + 2
+    assert (bins != tokens_only).any()
+
+
+def test_ids_beyond_two_bytes_are_refused():
+    assert token_shards.two_bytes(np.array([0, 65535], np.uint32)).tolist() == [0, 65535]
+    with pytest.raises(ValueError, match="70000"):
+        token_shards.two_bytes(np.array([70000, 1], np.uint32))
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert packing.pack_documents(none).count() == 0

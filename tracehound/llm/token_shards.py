@@ -65,6 +65,13 @@ def permute(ordinals: np.ndarray, n: int, key: int, inverse: bool = False) -> np
     return out.astype(np.int64)
 
 
+def two_bytes(ids: np.ndarray) -> np.ndarray:
+    """Ids as stored, two bytes each; a larger vocabulary does not fit."""
+    if ids.max() > 0xFFFF:
+        raise ValueError(f"token id {ids.max()} does not fit into the two bytes an id has in a shard")
+    return ids.astype("<u2")
+
+
 def sequences(docs: DataFrame, paths: tuple[str, str], stride: int, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, part, nth, seq, length, ids binary): every document's ids and
     an end id 0, cut into pieces of ``stride``; nth counts within part."""
@@ -74,7 +81,7 @@ def sequences(docs: DataFrame, paths: tuple[str, str], stride: int, id_col="doc_
         for b in batches:
             out = []
             for doc, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = np.append(ids(text.as_py() or ""), np.uint32(0)).astype("<u2")
+                raw = two_bytes(np.append(ids(text.as_py() or ""), np.uint32(0)))
                 out += [(doc, part, next(nth), k, min(stride, len(raw) - at), raw[at : at + stride].tobytes()) for k, at in enumerate(range(0, len(raw), stride))]
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
