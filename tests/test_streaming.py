@@ -18,6 +18,15 @@ SF = "/root/testdata/sf0.001"
 FLUSH = dt.datetime(2024, 6, 1)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every stateful operator has a state store per partition and batch."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def disordered(spark, df, time_col, files=4, spread_hours=10):
     """A stream over files that overlap in time by ``spread_hours``, each file
     shuffled, then one row far in the future that closes every window."""
