@@ -49,13 +49,13 @@ def plain_rows(rows):
 
 
 ROWS = [(i, prose(i, 20 + 7 * i)) for i in range(40)]
-ROWS += [(100, None), (101, ""), (102, "a"), (103, "ab"), (104, "abc"), (105, "naïve 日本語 " * 30), (106, "word " * 200_000), (107, ROWS[3][1])]
+ROWS += [(100, None), (101, ""), (102, "a"), (103, "ab"), (104, "abc"), (105, "naïve 日本語 " * 30), (106, "word " * 20_000), (107, ROWS[3][1])]
 ROWS += [(7, ROWS[7][1])] * 60 + [(None, "no id")] * 3
 
 
 def test_against_plain(spark):
     frame = spark.createDataFrame([(*r, "x", 1, 2) for r in ROWS], "doc_id long, text string, edge string, part int, h long")
-    for parts in (1, 7):
+    for parts in (2, 7):
         got = [tuple(r) for r in digests.with_edits(frame.repartition(parts)).collect()]
         assert sorted(got, key=str) == plain_rows(ROWS)
 
