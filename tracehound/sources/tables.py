@@ -90,15 +90,18 @@ def partition_date_range(df: DataFrame, start: _dt.date | str, end: _dt.date | s
 
 def day_folders(spark: SparkSession, root: str, start: _dt.date, end: _dt.date) -> list[str] | None:
     """The ``year=/month=/day=`` folders of a table in [start, end], or None
-    if it is not laid out by day.  Only folders of those days are looked up."""
+    if it is not laid out by day.  One listing per month of the range."""
     fs, p = _fs(spark, root)
     if not any(c.getPath().getName().startswith("year=") for c in fs.listStatus(p)):
         return None
     path, found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
-    for k in range((end - start).days + 1):
-        d = start + _dt.timedelta(days=k)
-        pattern = f"{root}/year={d.year}/month={{{d.month},{d.month:02d}}}/day={{{d.day},{d.day:02d}}}"
-        found += [x.getPath().toString() for x in fs.globStatus(path(pattern)) or []]
+    for m in range(12 * start.year + start.month - 1, 12 * end.year + end.month):
+        year, month = m // 12, m % 12 + 1
+        listed = fs.globStatus(path(f"{root}/year={year}/month={{{month},{month:02d}}}/day=*")) or []
+        for name, folder in sorted((x.getPath().getName(), x.getPath().toString()) for x in listed):
+            day = name.removeprefix("day=")
+            if day.isdigit() and (start.year, start.month, start.day) <= (year, month, int(day)) <= (end.year, end.month, end.day):
+                found.append(folder)
     return found
 
 
