@@ -61,6 +61,18 @@ def test_sketches_of_many_sources_are_within_the_stated_error(spark):
     assert abs(r.unique_sources - n) < 4 * 0.016 * n and r.unique_destinations == 9 and r.avg_confidence is None
 
 
+def test_findings_without_a_time_or_source_survive_storing(spark):
+    t = dt.datetime(2024, 1, 1, 5)
+    f = spark.createDataFrame([(t, "h", "low", "new", "1.1.1.1", None, None), (None, "h", "low", "new", None, "x", 1.5), (None, None, None, "new", "1.1.1.1", "x", 2.5),
+                               (t, "h", "low", None, "2.2.2.2", "x", 2.5)],
+                              "timestamp timestamp, hunt_name string, severity string, status string, source_ip string, destination_ip string, s double")
+    f = f.withColumn("confidence_score", F.col("s").cast("decimal(5,2)")).withColumn("finding_type", F.col("hunt_name"))
+    rows = rollups.merge_partials(rollups.partials(f).unionByName(rollups.partials(f.limit(0))))
+    assert shown(rollups.daily_findings(rollups.hourly_of(rows))) == shown(views.vw_daily_findings(f))
+    assert shown(rollups.hunt_timeline(rollups.hourly_of(rows))) == shown(views.vw_hunt_timeline(f))
+    assert shown(rollups.top_sources(rollups.sources_of(rows))) == shown(views.vw_top_sources(f)) != []
+
+
 def test_empty_tables(spark):
     f, e = fx.load(spark, SF, "findings").limit(0), fx.load(spark, SF, "executions").limit(0)
     assert rollups.daily_findings(rollups.hourly_partial(f)).count() == rollups.top_sources(rollups.source_partial(f)).count() == 0
@@ -95,12 +107,14 @@ def test_edits_and_summaries_of_stored_runs(spark):
 
     def same():
         found, _ = jobs.stored_results(spark, out)
-        hourly, sources = sinks.read_hourly(spark, f"{out}/finding_hours"), sinks.read_sources(spark, f"{out}/finding_sources")
+        jobs.refresh_summaries(spark, out)
+        hourly, sources = sinks.read_rollups(spark, f"{out}/finding_rollups")
         assert shown(rollups.daily_findings(hourly)) == shown(views.vw_daily_findings(found))
         assert shown(rollups.hunt_timeline(hourly)) == shown(views.vw_hunt_timeline(found))
         assert shown(rollups.top_sources(sources)) == shown(views.vw_top_sources(found))
         return {(r.execution_id, r.source_ip): (r.status, r.analyst_notes) for r in found.collect()}, found
 
+    assert jobs.refresh_summaries(spark, out) == [1, 2] and jobs.refresh_summaries(spark, out) == []
     before, found = same()
     assert len(before) == 5 and set(before.values()) == {("new", None)}
     ids = {(r.execution_id, r.source_ip): r.finding_id for r in found.collect()}
@@ -110,8 +124,8 @@ def test_edits_and_summaries_of_stored_runs(spark):
     assert after == before | {(1, "10.0.0.0"): ("false_positive", "a scanner"), (2, "10.0.0.4"): ("confirmed", None)}
     # a repeated run keeps what was decided about its findings
     jobs.run_hunt_job(spark, "c2_beaconing", logs(spark), results_dir=out, execution_id=1, now=now, **DAYS)
-    sinks.compact_rollups(spark, f"{out}/finding_hours", f"{out}/finding_sources")
+    sinks.compact_rollups(spark, f"{out}/finding_rollups")
     assert same()[0] == after
-    assert len(manifest.parts(spark, f"{out}/finding_hours", rollups.HOURLY_SCHEMA)) == 1
+    assert len(manifest.parts(spark, f"{out}/finding_rollups", rollups.PARTIALS_SCHEMA)) == 1
     counts = jobs.run_full_export(spark, out, as_of="2024-01-04", approx=True)
     assert counts["dashboard_ioc_feed"] == 2 and spark.table("vw_daily_findings").agg(F.sum("finding_count")).first()[0] == 4

@@ -24,18 +24,18 @@ from tracehound.functions.timecols import as_date, cutoff
 from tracehound.operators import dedup, hunts, ioc
 from tracehound.operators.executions import execution_log_latest
 from tracehound.plans import dashboards, report, rollups, views
-from tracehound.sources import sinks
+from tracehound.sources import manifest, sinks
+from tracehound.sources.manifest import one_row
 from tracehound.sources.tables import lookback_range, partition_date_range, read_table
 
 
 def _paths(results_dir: str) -> dict[str, str]:
     return {k: os.path.join(results_dir, k) for k in (
-        "hunt_findings", "hunt_executions", "hunt_iocs", "hunt_statistics", "finding_edits", "finding_hours", "finding_sources")}
+        "hunt_findings", "hunt_executions", "hunt_iocs", "hunt_statistics", "finding_edits", "finding_rollups")}
 
 
 def _event(spark: SparkSession, row: dict) -> DataFrame:
-    cols = [c.split()[0] for c in sinks.EVENT_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(row.get(c) for c in cols)], sinks.EVENT_SCHEMA)
+    return one_row(spark, sinks.EVENT_SCHEMA, **row)
 
 
 def _logs(spark: SparkSession, h: hunts.Hunt, logs: DataFrame | str, start: _dt.date, end: _dt.date, fmt: str) -> DataFrame:
@@ -84,24 +84,29 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *
         # the observation so it is still pushed into the reader
         scoped = h.scope(_logs(spark, h, logs, start_date, end_date, fmt))
         findings = h.run(scoped.observe(seen, F.count(F.lit(1)).alias("n")), **params)
-        # stored before the de-duplication, which reads them twice; the log is read once
-        staged = f"{results_dir}/_staging/execution_id={execution_id}/attempt={attempt}"
-        findings.write.mode("overwrite").parquet(staged)
-        findings = spark.read.schema(findings.schema).parquet(staged)
+        staged = None
+        if sinks.exists(spark, p["hunt_findings"]):
+            # stored before the de-duplication, which reads them twice; the log is read once
+            staged = f"{results_dir}/_staging/execution_id={execution_id}/attempt={attempt}"
+            findings.write.mode("overwrite").parquet(staged)
+            findings = spark.read.schema(findings.schema).parquet(staged)
         # a re-run of this execution replaces its own output
         history = sinks.read_findings(spark, p["hunt_findings"]).filter(F.col("execution_id") != execution_id)
         if dedup_mode == "fingerprint":
             history = history.filter(F.col("created_date") >= F.lit(cutoff(now.date(), lookback_days)))
-            findings = dedup.dedup_fingerprint(findings, history, as_of=now.date(), lookback_days=lookback_days)
-        else:
+            findings = (dedup.dedup_fingerprint(findings, history, as_of=now.date(), lookback_days=lookback_days) if staged
+                        else dedup.first_per_fingerprint(findings).drop("fingerprint"))     # nothing is stored yet
+        elif staged:
             findings = dedup.dedup_source(findings, history, as_of=now.date(), lookback_days=lookback_days, prefilter=True)
         table = sinks.to_findings_table(findings, execution_id, now).observe(written, F.count(F.lit(1)).alias("n"))
         sinks.write_findings(table, p["hunt_findings"], execution_id, now)
         n_found, records = int(written.get.get("n") or 0), int(seen.get.get("n") or 0)
         stored = sinks.read_findings(spark, p["hunt_findings"]).filter(F.col("execution_id") == execution_id)
         sinks.write_iocs(ioc.stored_partial(stored), p["hunt_iocs"], execution_id, attempt)
-        _summarise(spark, p, execution_id)
-        sinks.remove(spark, staged)
+        if attempt > 1:     # its summaries may be there already; those of new runs wait for the next export
+            _summarise(spark, p, execution_id)
+        if staged:
+            sinks.remove(spark, staged)
         finish("completed", records_analyzed=records, findings_count=n_found)
         return {"execution_id": execution_id, "hunt_name": name, "status": "completed",
                 "findings_count": n_found, "records_analyzed": records}
@@ -113,7 +118,18 @@ def run_hunt_job(spark: SparkSession, name: str, logs: DataFrame | str | None, *
 def _summarise(spark: SparkSession, p: dict[str, str], execution_id: int) -> None:
     """Store the mergeable summaries of a run's findings as edited."""
     found = sinks.read_findings(spark, p["hunt_findings"], p["finding_edits"]).filter(F.col("execution_id") == execution_id)
-    sinks.write_rollups(found, p["finding_hours"], p["finding_sources"], execution_id)
+    sinks.write_rollups(found, p["finding_rollups"], execution_id)
+
+
+def refresh_summaries(spark: SparkSession, results_dir: str) -> list[int]:
+    """Summarise the runs that are stored and have no summary yet; their ids."""
+    p = _paths(results_dir)
+    have = {r.key for r in manifest.latest(spark, p["finding_rollups"]).collect()}
+    stored = [int(n.split("=")[1]) for n in manifest.children(spark, p["hunt_findings"]) if n.startswith("execution_id=")]
+    new = sorted(set(stored) - have)
+    for execution_id in new:
+        _summarise(spark, p, execution_id)
+    return new
 
 
 def edit_findings(spark: SparkSession, results_dir: str, edits: DataFrame) -> None:
@@ -192,15 +208,16 @@ def run_full_export(spark: SparkSession, results_dir: str, *, as_of, days: int =
     the report, written next to the result tables.  Returns row counts.
     ``approx`` takes distinct counts from sketches, and the daily, timeline
     and source views from the runs' stored summaries: a few rows per run
-    instead of every finding (very large histories)."""
+    instead of every finding (very large histories).  Only runs since the last
+    such export are summarised first."""
     findings, executions = stored_results(spark, results_dir)
     views.create_dashboard_views(findings, executions, approx=approx)
     if approx:
-        p = _paths(results_dir)
-        hourly = sinks.read_hourly(spark, p["finding_hours"])
+        refresh_summaries(spark, results_dir)
+        hourly, sources = sinks.read_rollups(spark, _paths(results_dir)["finding_rollups"])
         rollups.daily_findings(hourly).createOrReplaceTempView("vw_daily_findings")
         rollups.hunt_timeline(hourly).createOrReplaceTempView("vw_hunt_timeline")
-        rollups.top_sources(sinks.read_sources(spark, p["finding_sources"])).createOrReplaceTempView("vw_top_sources")
+        rollups.top_sources(sources).createOrReplaceTempView("vw_top_sources")
     counts = {}
     for name, df in dashboards.export_summary_statistics(findings, executions, as_of=as_of, days=days, approx=approx).items():
         sinks.replace_table(df, os.path.join(results_dir, name))

@@ -26,10 +26,11 @@ SKETCH_BITS = 12
 HOUR_KEYS = ["finding_date", "hour", "hunt_name", "severity"]
 SOURCE_KEYS = ["source_ip", "finding_type"]
 RUN_KEYS = ["hunt_name", "execution_date"]
-HOURLY_SCHEMA = ("finding_date date, hour int, hunt_name string, severity string, finding_count bigint, score_sum decimal(38,2), score_n bigint, "
-                 "sources binary, destinations binary")
-SOURCE_SCHEMA = ("source_ip string, finding_type string, finding_count bigint, score_sum decimal(38,2), score_n bigint, text_rank int, rank int, "
-                 "first_seen timestamp, last_seen timestamp")
+#: Both summaries of a run in one table: hourly rows have an hour, source rows a source.
+PARTIALS_SCHEMA = ("finding_date date, hour int, hunt_name string, severity string, finding_count bigint, score_sum decimal(38,2), score_n bigint, "
+                   "sources binary, destinations binary, source_ip string, finding_type string, text_rank int, rank int, first_seen timestamp, last_seen timestamp")
+_HOURLY = [*HOUR_KEYS, "finding_count", "score_sum", "score_n", "sources", "destinations"]
+_SOURCE = [*SOURCE_KEYS, "finding_count", "score_sum", "score_n", "text_rank", "rank", "first_seen", "last_seen"]
 
 
 def _sketch(col: str) -> Column:
@@ -90,8 +91,7 @@ _SOURCE_MERGE = {"finding_count": F.sum, "text_rank": F.max, "rank": F.max, "fir
 
 
 def merge_sources(partials: DataFrame) -> DataFrame:
-    return partials.groupBy(*SOURCE_KEYS).agg(*_merged_score(), *[f(c).alias(c) for c, f in _SOURCE_MERGE.items()]).select(
-        *SOURCE_KEYS, "finding_count", "score_sum", "score_n", "text_rank", "rank", "first_seen", "last_seen")
+    return partials.groupBy(*SOURCE_KEYS).agg(*_merged_score(), *[f(c).alias(c) for c, f in _SOURCE_MERGE.items()]).select(_SOURCE)
 
 
 def top_sources(partials: DataFrame) -> DataFrame:
@@ -103,6 +103,29 @@ def top_sources(partials: DataFrame) -> DataFrame:
     return agg.where("finding_count > 1").orderBy(F.desc("finding_count"), F.asc("source_ip"))
 
 
+def partials(findings: DataFrame) -> DataFrame:
+    """Both summaries of some findings, as stored.  A finding without a time
+    is in an hour of its own (-1)."""
+    hourly = hourly_partial(findings).withColumn("hour", F.coalesce("hour", F.lit(-1)))
+    rows = hourly.unionByName(source_partial(findings), allowMissingColumns=True)
+    return rows.select(*[F.col(n).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in PARTIALS_SCHEMA.split(", "))])
+
+
+def hourly_of(rows: DataFrame) -> DataFrame:
+    return rows.where("source_ip IS NULL").select(_HOURLY).withColumn("hour", F.nullif("hour", F.lit(-1)))
+
+
+def sources_of(rows: DataFrame) -> DataFrame:
+    return rows.where("source_ip IS NOT NULL").select(_SOURCE)
+
+
+def merge_partials(rows: DataFrame) -> DataFrame:
+    """Stored summaries of several runs as one."""
+    hourly = merge_hourly(rows.where("source_ip IS NULL").select(_HOURLY))
+    both = hourly.unionByName(merge_sources(sources_of(rows)), allowMissingColumns=True)
+    return both.select([c.split(" ", 1)[0] for c in PARTIALS_SCHEMA.split(", ")])
+
+
 def runs_partial(executions: DataFrame) -> DataFrame:
     """The per-day summary of some runs."""
     return executions.groupBy("hunt_name", F.to_date("execution_start").alias("execution_date")).agg(

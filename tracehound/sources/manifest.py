@@ -89,8 +89,13 @@ def write(df: DataFrame, base: str, key: int, attempt: int | None = None) -> int
     return attempt
 
 
+def one_row(spark: SparkSession, schema: str, **values) -> DataFrame:
+    """A row of literals (``schema``: name and type pairs; absent ones null)."""
+    return spark.range(0, 1, 1, 1).select(*[F.lit(values.get(n)).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in schema.split(", "))])
+
+
 def commit(spark: SparkSession, base: str, key: int, attempt: int) -> None:
-    _append(spark, base, spark.createDataFrame([(key, attempt, None, None)], COMMIT_SCHEMA))
+    _append(spark, base, one_row(spark, COMMIT_SCHEMA, key=key, attempt=attempt))
 
 
 def commits(spark: SparkSession, base: str) -> DataFrame:
@@ -107,6 +112,11 @@ def _latest(listed: DataFrame) -> DataFrame:
     return listed.where("key IS NOT NULL").select("key", "attempt").unionByName(covered).groupBy("key").agg(F.max("attempt").alias("attempt"))
 
 
+def latest(spark: SparkSession, base: str) -> DataFrame:
+    """(key, attempt) of all committed runs."""
+    return _latest(commits(spark, base))
+
+
 def _usable(listed: DataFrame) -> str | None:
     """The snapshot that covers most runs, all by their latest attempt."""
     held = listed.where("covers IS NOT NULL").select("snapshot", F.explode("covers").alias("c")).select("snapshot", "c.key", F.col("c.attempt").alias("held"))

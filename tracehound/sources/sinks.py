@@ -140,11 +140,13 @@ def start_attempt(spark: SparkSession, events: str, execution_id: int, hunt_name
     """K3: the number of this attempt at a run, above all earlier ones.  An id
     whose start event names another hunt is refused: its results would be
     replaced."""
-    others = (read_result(spark, events, EVENT_SCHEMA).where(F.col("execution_id") == execution_id)
-              .where(F.col("hunt_name") != hunt_name).select("hunt_name").first())
-    if others:
-        raise ValueError(f"execution {execution_id} is a run of {others.hunt_name}")
-    return manifest.claim(spark, events, f"execution_id={execution_id}")
+    attempt = manifest.claim(spark, events, f"execution_id={execution_id}")
+    if attempt > 1:
+        others = (read_result(spark, events, EVENT_SCHEMA).where(F.col("execution_id") == execution_id)
+                  .where(F.col("hunt_name") != hunt_name).select("hunt_name").first())
+        if others:
+            raise ValueError(f"execution {execution_id} is a run of {others.hunt_name}")
+    return attempt
 
 
 def new_execution_id(spark: SparkSession, events: str) -> int:
@@ -172,23 +174,19 @@ def compact_iocs(spark: SparkSession, base: str) -> None:
     manifest.compact(spark, base, ioc.PARTIAL_SCHEMA, ioc.merge_partials)
 
 
-def write_rollups(findings: DataFrame, hours: str, sources: str, execution_id: int, attempt: int | None = None) -> None:
+def write_rollups(findings: DataFrame, path: str, execution_id: int, attempt: int | None = None) -> None:
     """The mergeable summaries of a run's findings, in place of its earlier ones."""
-    manifest.write(rollups.hourly_partial(findings), hours, execution_id, attempt)
-    manifest.write(rollups.source_partial(findings), sources, execution_id, attempt)
+    manifest.write(rollups.partials(findings), path, execution_id, attempt)
 
 
-def read_hourly(spark: SparkSession, hours: str) -> DataFrame:
-    return manifest.read(spark, hours, rollups.HOURLY_SCHEMA)
+def read_rollups(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The hourly and the per-source summaries of all runs."""
+    rows = manifest.read(spark, path, rollups.PARTIALS_SCHEMA)
+    return rollups.hourly_of(rows), rollups.sources_of(rows)
 
 
-def read_sources(spark: SparkSession, sources: str) -> DataFrame:
-    return manifest.read(spark, sources, rollups.SOURCE_SCHEMA)
-
-
-def compact_rollups(spark: SparkSession, hours: str, sources: str) -> None:
-    manifest.compact(spark, hours, rollups.HOURLY_SCHEMA, rollups.merge_hourly)
-    manifest.compact(spark, sources, rollups.SOURCE_SCHEMA, rollups.merge_sources)
+def compact_rollups(spark: SparkSession, path: str) -> None:
+    manifest.compact(spark, path, rollups.PARTIALS_SCHEMA, rollups.merge_partials)
 
 
 def write_statistics(new: DataFrame, path: str) -> None:
