@@ -1,6 +1,7 @@
 """Physical-plan properties that matter at scale."""
 
 import os
+import re
 
 import pytest
 
@@ -52,6 +53,15 @@ def test_second_c2_exchange_has_a_row_per_pair(spark):
     assert rows == pairs.select(*c2.PAIR).distinct().count() < c2.slice_moments(pairs, c2.PAIR).count()
 
 
+def test_sliding_sweep_holds_no_window_of_a_task_in_memory(spark):
+    """Two exchanges of slice rows, and the rows of a task are only sorted: no
+    hash table of the (pair, window) groups, twelve for a slice row."""
+    p = plan(catalog.REGISTRY["sliding_c2_sweep"](spark, SF)).split("== Initial Plan ==")[0]
+    assert p.count("Exchange") == 2
+    assert "Aggregate" not in p
+    assert len(re.findall(r"\bSort\b", p)) == 2
+
+
 def test_entropy_stays_in_the_projection(spark):
     assert "Generate" not in plan(catalog.REGISTRY["dns_entropy"](spark, SF))
 

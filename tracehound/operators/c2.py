@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracehound.functions import scoring, text
@@ -48,6 +48,8 @@ MAX_BUSY = 10_000
 # gaps is at most (last - first)^2: a long holds it for spans under ~95
 # years.  Only the variance numerator n*S2 - S1^2 needs exact decimals.
 _EXACT = "decimal(38,0)"
+_NO_HOP = 1 << 62   # after the last hop
+MOMENTS = ["n", "gn", "g1", "g2", "e_first", "e_last", "ts_first", "ts_last", "bn", "b1", "b2"]
 
 
 def conn_pairs(conn_logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -86,23 +88,27 @@ def _sliced(pairs: DataFrame, keys: Sequence[str], slice_seconds: int, busy_rows
 
 def slice_moments(pairs: DataFrame, keys: Sequence[str], slice_seconds: int = DEFAULT_SLICE_SECONDS,
                   busy_rows: int | None = None) -> DataFrame:
-    """Level 1: one row per (keys, slice) with mergeable moments."""
+    """Level 1: one row per (keys, slice) with mergeable moments.  The slices
+    are summed as they come out of the sort that ``lag`` needs: a slice often
+    is a single row, and a hash table would hold them all."""
     x = _sliced(pairs, keys, slice_seconds, busy_rows)
-    w = Window.partitionBy(*keys, "_slice").orderBy("ts")
-    x = x.withColumn("_gap", F.col("_e") - F.lag("_e").over(w))
-    return x.groupBy(*keys, "_slice").agg(*[F.expr(e) for e in (
-        "count(1) AS n",
-        "count(_gap) AS gn",
-        "coalesce(sum(_gap), 0) AS g1",
-        "coalesce(sum(_gap * _gap), 0) AS g2",
-        "min(_e) AS e_first",
-        "max(_e) AS e_last",
-        "min(ts) AS ts_first",
-        "max(ts) AS ts_last",
-        "count(orig_bytes) AS bn",
-        f"sum(CAST(orig_bytes AS {_EXACT})) AS b1",
-        f"sum(CAST(orig_bytes AS DECIMAL(19,0)) * CAST(orig_bytes AS DECIMAL(19,0))) AS b2",
-    )])
+    w = Window.partitionBy(*keys, "_slice")
+    x = x.withColumns({"_gap": F.col("_e") - F.lag("_e").over(w.orderBy("ts")), "_last": F.lead(F.lit(1)).over(w.orderBy("ts")).isNull()})
+    total = lambda e: F.expr(e).over(w)
+    x = x.withColumns({
+        "n": total("count(1)"),
+        "gn": total("count(_gap)"),
+        "g1": F.coalesce(total("sum(_gap)"), F.lit(0)),
+        "g2": F.coalesce(total("sum(_gap * _gap)"), F.lit(0)),
+        "e_first": total("min(_e)"),
+        "e_last": total("max(_e)"),
+        "ts_first": total("min(ts)"),
+        "ts_last": total("max(ts)"),
+        "bn": total("count(orig_bytes)"),
+        "b1": total(f"sum(CAST(orig_bytes AS {_EXACT}))"),
+        "b2": total("sum(CAST(orig_bytes AS DECIMAL(19,0)) * CAST(orig_bytes AS DECIMAL(19,0)))"),
+    })
+    return x.where("_last").select(*keys, "_slice", *MOMENTS)
 
 
 def with_edges(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -149,18 +155,77 @@ _PROFILE = [
 ]
 
 
-def merge_moments(edged: DataFrame, keys: Sequence[str], edge_used: Column | None = None,
-                  keep: Sequence[str] = ()) -> DataFrame:
-    """Level 2: merge slice moments to one profile row per keys.
-
-    ``edge_used`` (optional boolean column) drops boundary gaps that are
-    not part of the group (used by the sliding sweep)."""
-    if edge_used is not None:
-        edged = edged.withColumn("_edge", F.when(edge_used, F.col("_edge")))
+def merge_moments(edged: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Level 2: merge slice moments to one profile row per keys."""
     agg = edged.groupBy(*keys).agg(*[F.expr(e) for e in _MERGE], *[F.first(k).alias(k) for k in keep])
     return profile_of_moments(agg, [*keys, *keep])
 
 
+def hop_moments(slices: DataFrame, keys: Sequence[str], slice_seconds: int, hop_seconds: int) -> DataFrame:
+    """The slices of each hop (``_h``, a multiple of the slice) merged to one
+    row, with the gap that crosses into it from the keys' previous hop
+    (``_edge``, ``_prev_h``).  All of it follows one sort."""
+    across, inside = Window.partitionBy(*keys).orderBy("_h", "_slice"), Window.partitionBy(*keys, "_h")
+    x = slices.withColumn("_h", F.floor(F.col("_slice") * F.lit(slice_seconds) / F.lit(hop_seconds)))
+    x = x.withColumns({"_prev_h": F.lag("_h").over(across), "_edge": F.col("e_first") - F.lag("e_last").over(across)})
+    x = x.withColumn("_in", F.when(F.col("_prev_h") == F.col("_h"), F.col("_edge")))
+    total = lambda e: F.expr(e).over(inside)
+    x = x.withColumns({
+        "n": total("sum(n)"),
+        "gn": total("sum(gn)") + total("count(_in)"),
+        "g1": total("sum(g1)") + F.coalesce(total("sum(_in)"), F.lit(0)),
+        "g2": total("sum(g2)") + F.coalesce(total("sum(_in * _in)"), F.lit(0)),
+        "e_first": total("min(e_first)"),
+        "e_last": total("max(e_last)"),
+        "ts_first": total("min(ts_first)"),
+        "ts_last": total("max(ts_last)"),
+        "bn": total("sum(bn)"),
+        "b1": total("sum(b1)"),
+        "b2": total("sum(b2)"),
+    })
+    return x.where("_prev_h IS NULL OR _prev_h <> _h").select(*keys, "_h", "_prev_h", "_edge", *MOMENTS)
+
+
+def sliding_moments(hops: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The merged moments of every window of ``k`` hops that holds one.
+
+    What a window holds changes only where a hop comes in (window ``_h - k + 1``)
+    or has gone (window ``_h + 1``), so a hop gives at most two rows, each for the
+    windows ``_from`` to ``_to``.  Their sums are over at most ``k`` hop rows of
+    the sorted keys: no row is copied per window and nothing is hashed."""
+    order = Window.partitionBy(*keys).orderBy("_h")
+    # a gap between hops that no window holds both of is never used (nor squared)
+    x = hops.withColumns({"_edge": F.when(F.col("_h") - F.col("_prev_h") < k, F.col("_edge")),
+                          "_next_h": F.coalesce(F.lead("_h").over(order), F.lit(_NO_HOP))})
+
+    def merged(frame: WindowSpec, start: Column, used: Column) -> Column:
+        total = lambda e: F.expr(e).over(frame)
+        # the first hop's gap comes from before the window
+        before = F.coalesce(total("first(_edge)"), F.lit(0))
+        return F.when(used, F.struct(
+            start.alias("_from"),
+            F.least(total("min(_h)"), total("max(_next_h)") - k).alias("_to"),
+            total("sum(n)").alias("connection_count"),
+            (total("sum(gn)") + total("count(_edge)") - F.when(total("first(_edge)").isNull(), 0).otherwise(1)).alias("_gaps"),
+            (total("sum(g1)") + F.coalesce(total("sum(_edge)"), F.lit(0)) - before).alias("_g1"),
+            (total("sum(g2)") + F.coalesce(total("sum(_edge * _edge)"), F.lit(0)) - before * before).alias("_g2"),
+            total("sum(bn)").alias("_bn"),
+            total("sum(b1)").cast(_EXACT).alias("_b1"),
+            total("sum(b2)").cast(_EXACT).alias("_b2"),
+            total("min(e_first)").alias("first_seen"),
+            total("max(e_last)").alias("last_seen"),
+            total("min(ts_first)").alias("first_ts"),
+            total("max(ts_last)").alias("last_ts"),
+        ))
+
+    into, gone = order.rangeBetween(1 - k, 0), order.rangeBetween(1, k)
+    # nothing is left once the hop has gone (no last hop), or another one comes in with the same window
+    x = x.withColumns({"_into": merged(into, F.col("_h") - (k - 1), F.lit(True)),
+                       "_gone": merged(gone, F.col("_h") + 1, F.expr("max(_h)").over(gone) < F.col("_h") + k)})
+    x = x.select(*keys, F.explode(F.array("_into", "_gone")).alias("_m"))
+    return x.where("_m IS NOT NULL").select(*keys, "_m.*")
+
+
 def profile_of_moments(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The profile of fully merged moments (means and spreads)."""
     return merged.selectExpr(*[f"`{k}`" for k in keys], *_PROFILE)

@@ -5,8 +5,9 @@ with the run(s) it belongs to and the run becomes one more key of the hunt
 (``by``) — one plan computes every run of every hunt, and each hunt reads its
 log once.  For the sliding C2 sweep the
 raw rows are *not* copied into each overlapping window: each pair's
-time-slice moments are computed once and only those (small) slice rows
-are fanned out to the windows that contain them, then merged.
+time-slice moments are computed once and merged per hop, each run of windows
+that hold the same hops is summed once, and only its profile is given out
+to the single windows.
 """
 
 from __future__ import annotations
@@ -91,15 +92,11 @@ def sliding_c2_profile(conn_logs: DataFrame, *, window_hours: int = 72, hop_hour
     size, hop = window_hours * 3600, hop_hours * 3600
     if size % hop or hop % slice_seconds:
         raise ValueError("window must be a multiple of hop, hop a multiple of slice_seconds")
-    k = size // hop
-    pairs = c2.conn_pairs(conn_logs)
+    pairs = c2.conn_pairs(conn_logs).where("ts IS NOT NULL")
     ts_type = pairs.schema["ts"].dataType
-    edged = c2.with_edges(c2.slice_moments(pairs, c2.PAIR, slice_seconds), c2.PAIR)
-    last_win = F.floor(F.col("_slice") * F.lit(slice_seconds) / F.lit(hop))
-    fanned = edged.withColumn("_w", F.explode(F.sequence(last_win - F.lit(k - 1), last_win)))
-    # a boundary gap counts only when the previous slice lies in the same window
-    used = (F.col("_prev_slice") * F.lit(slice_seconds)) >= (F.col("_w") * F.lit(hop))
-    prof = c2.merge_moments(fanned, ["_w", *c2.PAIR], edge_used=used)
+    hops = c2.hop_moments(c2.slice_moments(pairs, c2.PAIR, slice_seconds), c2.PAIR, slice_seconds, hop)
+    prof = c2.profile_of_moments(c2.sliding_moments(hops, c2.PAIR, size // hop), ["_from", "_to", *c2.PAIR])
+    prof = prof.select(F.explode(F.sequence("_from", "_to")).alias("_w"), *prof.columns[2:])
     start = F.col("_w") * F.lit(hop)
     return c2.add_extensions(prof.withColumns({"window_start": epoch_to_time(start, ts_type),
                                                "window_end": epoch_to_time(start + F.lit(size), ts_type)}))
