@@ -170,3 +170,41 @@ def test_two_texts_under_one_id_keep_their_links(spark, monkeypatch):
     assert len(set(want.values())) == 12
     monkeypatch.setattr(ngram_join, "CHUNK", 500)
     compare(df, 4, 85)
+
+
+def test_common_lines_do_not_make_one_large_block(spark, monkeypatch):
+    """Short texts with some of a few common lines and words of their own are
+    tied by the lines but do not link; the chunks of no block meet all others,
+    and the near copies among them are found."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 5000)
+    rng = np.random.default_rng(4)
+    lines = [" ".join(f"line{k}word{i}" for i in range(12)) for k in range(6)]
+    rows = []
+    for i in range(240):
+        words = [f"own{i}w{k}" for k in range(30)]
+        first, second = rng.choice(6, 2, replace=False)
+        rows.append((2 * i, "\n".join([lines[first], " ".join(words), lines[second]])))
+        if i % 8 == 0:
+            rows.append((2 * i + 1, "\n".join([lines[first], " ".join([*words[:-1], "other"]), lines[second]])))
+    pairs, dealt = [], ngram_join._tasks
+    monkeypatch.setattr(ngram_join, "_across_chunks", lambda *a: pairs.append(a))
+    monkeypatch.setattr(ngram_join, "_tasks", lambda sets, percent: pairs.append(sets.groupBy("task", "block").count().collect()) or dealt(sets, percent))
+    want = compare(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert len(set(want.values())) == 240
+    assert len(pairs) == 1 and max(r["count"] for r in pairs[0]) <= 60
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
+def test_linked_sets_share_a_part(percent):
+    rng = np.random.default_rng(percent)
+    met = 0
+    for _ in range(1500):
+        x = np.unique(rng.integers(0, 2**64, rng.choice([rng.integers(1, 12), rng.integers(5, 60), rng.integers(50, 400)]), np.uint64))
+        edits = rng.integers(0, len(x) * (100 - percent) // percent + 1)
+        gone = rng.integers(0, min(edits + 1, len(x)))
+        y = np.unique(np.concatenate([np.delete(x, rng.permutation(len(x))[:gone]), rng.integers(0, 2**64, edits - gone, np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            met += 1
+            assert len(np.intersect1d(ngram_join.part_keys(x, percent), ngram_join.part_keys(y, percent)))
+    assert met > 500

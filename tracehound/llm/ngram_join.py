@@ -15,7 +15,14 @@ when 100 * intersection >= percent * union.  Steps:
    nobody.
 3. **Blocks.**  Sets that share a prefix n-gram are tied to the smallest such
    set (a star, not all pairs); the components of these ties are blocks, and
-   every linked pair lies within one block.
+   every linked pair lies within one block.  Common lines tie many short sets
+   that do not link into one block, which grows faster than the corpus.  So in
+   a block of more than ``CHUNK / WIDE`` n-grams all n-grams are counted.  A set
+   of which fewer than ceil(t|x|) are in another set of the block links with
+   none and goes; the others are counted again, ``ROUNDS`` times.  What is left
+   is tied anew, by parts (see ``part_keys``): linked sets differ in so few
+   n-grams that, dealt into parts by hash, some part is equal in both.  Those
+   components replace the block.
 4. **Tree join.**  A block's sets go into a trie of globally ordered n-grams
    (commonest of the chunk first, so that near copies share long paths).  A set
    walks the trie once: the overlap with a path is counted once for all sets
@@ -38,6 +45,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +56,9 @@ from . import common, words, worker
 
 LOW = 0.25
 CHUNK = 1_000_000
+#: A block of more than CHUNK / WIDE n-grams is counted at most ROUNDS times and tied anew by parts.
+WIDE = 16
+ROUNDS = 3
 #: What names a set: its document, the hash of its text, and whether other rows repeat both.
 SET = ("doc", "th", "again")
 
@@ -64,6 +75,43 @@ def need(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+@functools.lru_cache(4096)
+def _parts(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """(class, parts, most) for both classes in which a set of this size is
+    compared.  Class c takes sizes up to a last one, and a set that links is in
+    the same class or the one beside it: so c is for its own sizes and the next
+    class's.  ``most`` is how many n-grams two sets that link there can differ
+    in; there are some more parts than that."""
+    last, own = [], 0
+    while own < size:
+        last.append(own := 100 * (own + 1) // percent)
+    out = []
+    for c in range(max(0, len(last) - 2), len(last)):
+        most = (last[c] + 100 * last[c] // percent) * (100 - percent) // (100 + percent)
+        out.append((c, most + 2 + most // 5, most))
+    return out
+
+
+def part_keys(grams: np.ndarray, percent: int) -> np.ndarray:
+    """64-bit keys of a sorted set; two sets that link share one.
+
+    The n-grams are dealt into parts by hash and a key names a part with all it
+    holds.  Each n-gram that only one set has spoils one part at most, so of
+    more than ``most`` parts with n-grams one is equal in both sets.  Sets with
+    fewer such parts also have their prefix as keys, and two of these share an
+    n-gram of it."""
+    found, poor = [], False
+    for c, parts, most in _parts(len(grams), percent):
+        part = grams % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        held, first = np.unique(part[order], return_index=True)
+        found.append(words.chain(words.mix(np.uint64(c << 32) + held), np.add.reduceat(words.mix(grams[order]), first)))
+        poor |= len(held) <= most
+    if poor:
+        found.append(grams[: len(grams) - need(len(grams), percent) + 1])
+    return np.unique(np.concatenate(found))
+
+
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row: doc_id, row (a number of its own once stored), th (hash of the
     text), n (set size), k1, k2 (hash of the set), low (its n-grams in the low
@@ -273,6 +321,39 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return worker.map_batches(texts.select("text", *keep), rows, schema)
 
 
+def _finer(docs: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
+    """``held`` (doc, th, again, block, n) with the wide blocks cut into the
+    components of sets that may link."""
+    wide = held.groupBy("block").agg(F.sum("n").alias("all")).where(F.col("all") > CHUNK // WIDE).select("block")
+    if wide.isEmpty():
+        return held
+    wide = common.bounded(wide, 16)
+    sets = common.stash(_sets(docs, held.join(wide, "block").select(*SET, "block", "n", F.col("th").alias("set")), n), "ngram-wide")
+    left, count = sets, -1
+    for _ in range(ROUNDS):
+        each = left.select("doc", "set", "block", "n", F.explode("grams").alias("gram"))
+        shared = each.groupBy("block", "gram").agg(F.count("*").alias("df")).where("df > 1").select("block", "gram")
+        may = each.join(shared, ["block", "gram"]).groupBy("doc", "set", "n").agg(F.count("*").alias("shared"))
+        may = common.stash(may.where(100 * F.col("shared") >= percent * F.col("n")).select("doc", "set"), "ngram-may-link")
+        before, count = count, may.count()
+        if count == before:
+            break
+        left = sets.join(common.bounded(may, 32, count), ["doc", "set"], "left_semi")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [part_keys(x.values.to_numpy().view(np.uint64), percent).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc", "keys"])
+
+    keyed = common.stash(worker.map_batches(left.select("doc", "grams"), keys, "doc long, keys array<long>"), "ngram-parts")
+    keyed = keyed.select("doc", F.explode("keys").alias("key"))
+    star = keyed.groupBy("key").agg(F.min("doc").alias("v"), F.max("doc").alias("w")).where("v < w").select("key", "v")
+    tied = common.components(keyed.join(star, "key").select(F.col("doc").alias("u"), "v"), "ngram-finer")
+    cut = held.join(wide, "block").drop("block").join(may.withColumnRenamed("set", "th"), ["doc", "th"], "left_semi")
+    cut = cut.join(tied.select(F.col("node").alias("doc"), F.col("label").alias("block")), "doc")
+    return common.stash(held.join(wide, "block", "left_anti").unionByName(cut.select(held.columns)), "ngram-finer-members")
+
+
 def _tasks(sets: DataFrame, percent: int) -> DataFrame:
     """Links of rows (doc, block, i, j, side, task, grams)."""
     return sets.groupBy("task").applyInArrow(worker.per_group(_linked(percent)), "u long, v long")
@@ -312,7 +393,7 @@ def links(docs: DataFrame, sig: DataFrame, light: DataFrame, n: int, percent: in
     again = copies.where("same").select("rep", F.lit(True).alias("again")).distinct()
     sets = classes.join(again, "rep", "left").select("doc", F.col("rep_th").alias("th"), F.coalesce("again", F.lit(False)).alias("again"), "n")
     held = blocks.select(F.col("node").alias("doc"), F.col("label").alias("block")).join(sets, "doc")
-    held = common.stash(held.select(*SET, "block", "n"), "ngram-members")
+    held = _finer(docs, common.stash(held.select(*SET, "block", "n"), "ngram-members"), n, percent)
     buckets = int((held.agg(F.sum("n")).first()[0] or 0) // CHUNK + 1)
     lead = F.min(F.when(F.col("doc") == F.col("block"), F.col("th"))).alias("lead")
     room = held.groupBy("block").agg((F.floor(F.sum("n") / CHUNK) + 1).cast("long").alias("chunks"), lead)
