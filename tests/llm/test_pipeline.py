@@ -10,7 +10,7 @@ import corpus_pipeline as cp
 from test_lang_id import plain
 from test_ngram_join import brute as near_brute
 from test_tokens import reference_ids
-from tracehound.llm import common, lang_id, oracle_sql
+from tracehound.llm import common, lang_id, ngram_join as near, oracle_sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -153,3 +153,19 @@ def test_near_duplicates_of_many_repeats(spark):
     got = rows(cp.near_duplicates(spark, docs, SF))
     check_groups(given, got)
     assert len(got) == 6
+
+
+def test_near_duplicates_with_common_lines(spark, monkeypatch):
+    """Rows that only share common lines all stay, near copies go, and the sets
+    tied by the lines are not shipped to each other's chunks."""
+    monkeypatch.setattr(near, "CHUNK", 5000)
+    monkeypatch.setattr(near, "_across_chunks", lambda *a: pytest.fail("chunks of a block of common lines met each other"))
+    lines = [" ".join(f"line{k}word{i}" for i in range(12)) for k in range(6)]
+    data = []
+    for i in range(240):
+        words = [f"own{i}w{k}" for k in range(30)]
+        for d, own in [(2 * i, words), (2 * i + 1, [*words[:-1], "other"])][: 2 if i % 8 == 0 else 1]:
+            text = "\n".join([lines[i % 6], " ".join(own), lines[(i + 1 + i // 6 % 5) % 6]])
+            data.append((d, text, "en", "s1", len(text)))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()) == [2 * i for i in range(240)]

@@ -57,8 +57,8 @@ from . import common, words, worker
 LOW = 0.25
 CHUNK = 1_000_000
 #: A block of more than CHUNK / WIDE n-grams is counted at most ROUNDS times and tied anew by parts.
-WIDE = 16
-ROUNDS = 3
+WIDE = 4
+ROUNDS = 2
 #: What names a set: its document, the hash of its text, and whether other rows repeat both.
 SET = ("doc", "th", "again")
 
